@@ -21,3 +21,186 @@ SELECT l_suppkey,
 FROM lineitem
 GROUP BY l_suppkey, year(l_shipdate)
 """
+
+ORACLE["q_season_simple"] = f"""
+SELECT l_suppkey,
+       CAST(year(l_shipdate) AS INTEGER) AS year,
+       round(coalesce(sum(CASE WHEN {SEASON} THEN l_extendedprice END), 0.0), 6) + 0.0 AS precipitation,
+       round(avg(CASE WHEN {SEASON} THEN l_discount END), 6) + 0.0 AS avg_temp,
+       round(coalesce(sum(CASE WHEN {SEASON} THEN greatest((l_quantity + l_tax) / 2 - 10.0, 0.0) END), 0.0), 6) + 0.0 AS gdd
+FROM (SELECT l_suppkey, l_shipdate, l_quantity, l_tax, l_extendedprice, l_discount
+      FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'
+      UNION ALL
+      SELECT l_suppkey, l_shipdate, l_quantity, l_tax, l_extendedprice, l_discount
+      FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')
+GROUP BY l_suppkey, year(l_shipdate)
+"""
+
+ORACLE["q_cum_gdd"] = """
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS t
+           FROM events GROUP BY user_id, CAST(ts AS DATE))
+SELECT user_id, date, CAST(year(date) AS INTEGER) AS year,
+       round(greatest(t - 10.0, 0.0), 6) + 0.0 AS gdd,
+       round(sum(greatest(t - 10.0, 0.0)) OVER (PARTITION BY user_id, year(date) ORDER BY date
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0.0 AS cum_gdd
+FROM d
+"""
+
+SOIL_CTE = """
+soil AS (
+  SELECT state, county,
+         sum(l_discount * w) / nullif(sum(w), 0) AS ph,
+         sum(l_tax * w) / nullif(sum(w), 0) AS organic_matter,
+         sum(l_quantity * w) / nullif(sum(w), 0) AS sand_pct,
+         sum(CAST(p_size AS DOUBLE) * w) / nullif(sum(w), 0) AS clay_pct
+  FROM (SELECT r.r_name AS state, n.n_name AS county, l.l_discount, l.l_tax, l.l_quantity,
+               p.p_size, l.l_quantity / 100.0 * p.p_retailprice AS w
+        FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey
+        JOIN supplier s ON n.n_nationkey = s.s_nationkey
+        JOIN lineitem l ON s.s_suppkey = l.l_suppkey
+        JOIN part p ON l.l_partkey = p.p_partkey
+        WHERE l.l_returnflag = 'N' AND p.p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))
+  GROUP BY state, county)
+"""
+
+YIELDS_CTE = """
+yields AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year, r.r_name AS state,
+         'AD' || right(n.n_name, 1) AS district, n.n_name AS county,
+         CAST(n.n_nationkey AS VARCHAR) AS county_ansi, o.o_orderpriority AS crop,
+         avg(o.o_totalprice) AS value, 'BU / ACRE' AS unit
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY year(o.o_orderdate), r.r_name, n.n_name, n.n_nationkey, o.o_orderpriority)
+"""
+
+WEATHER_CTE = f"""
+weather AS (
+  SELECT n.n_name AS county, r.r_name AS state, CAST(year(l.l_shipdate) AS INTEGER) AS year,
+         avg(CASE WHEN {SEASON} THEN (l_quantity + l_tax) / 2 END) AS avg_temp,
+         coalesce(sum(CASE WHEN {SEASON} THEN l_extendedprice END), 0.0) AS precipitation,
+         avg(CASE WHEN {SEASON} THEN l_discount END) AS vp,
+         avg(CASE WHEN {SEASON} THEN l_tax END) AS srad,
+         coalesce(sum(CASE WHEN {SEASON} THEN greatest((l_quantity + l_tax) / 2 - 10.0, 0.0) END), 0.0) AS gdd
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY n.n_name, r.r_name, year(l.l_shipdate))
+"""
+
+WITH_ALL = f"WITH {YIELDS_CTE}, {WEATHER_CTE}, {SOIL_CTE}"
+
+
+def r6(c: str, alias: str | None = None) -> str:
+    return f"round({c}, 6) + 0.0 AS {alias or c.split('.')[-1]}"
+
+
+FRAME_SELECT = ", ".join([
+    "y.year", "y.state", "y.district", "y.county", "y.county_ansi", "y.crop",
+    r6("y.value", "yield"), "y.unit", r6("w.avg_temp"), r6("w.precipitation"), r6("w.vp"),
+    r6("w.srad"), r6("w.gdd"), r6("s.ph"), r6("s.organic_matter"), r6("s.sand_pct"),
+    r6("s.clay_pct")])
+
+FRAME_FROM = """
+FROM yields y
+LEFT JOIN weather w ON y.state = w.state AND y.county = w.county AND y.year = w.year
+LEFT JOIN soil s ON y.state = s.state AND y.county = s.county
+"""
+
+NOT_SENTINEL = "(y.county IS NULL OR y.county NOT IN ('OTHER (COMBINED) COUNTIES', 'OTHER COUNTIES'))"
+
+ORACLE["q_weighted"] = f"""WITH {SOIL_CTE}
+SELECT state, county, {r6('ph')}, {r6('organic_matter')}, {r6('sand_pct')}, {r6('clay_pct')}
+FROM soil"""
+
+ORACLE["q_texture"] = """
+SELECT l_orderkey, l_linenumber,
+       round(l_quantity / (l_quantity + l_tax * 100 + l_discount * 100), 6) + 0.0 AS sand_frac,
+       round(l_tax * 100 / (l_quantity + l_tax * 100 + l_discount * 100), 6) + 0.0 AS silt_frac,
+       round(l_discount * 100 / (l_quantity + l_tax * 100 + l_discount * 100), 6) + 0.0 AS clay_frac
+FROM lineitem
+"""
+
+ORACLE["q_frame"] = f"{WITH_ALL} SELECT {FRAME_SELECT} {FRAME_FROM} WHERE {NOT_SENTINEL}"
+
+ORACLE["q_unmatched"] = f"""{WITH_ALL},
+w2 AS (SELECT * FROM weather WHERE year <= 1999),
+s2 AS (SELECT * FROM soil WHERE state <> 'ASIA'),
+j AS (SELECT y.*, w2.year IS NOT NULL AS has_w, s2.state IS NOT NULL AS has_s
+      FROM yields y
+      LEFT JOIN w2 ON y.state = w2.state AND y.county = w2.county AND y.year = w2.year
+      LEFT JOIN s2 ON y.state = s2.state AND y.county = s2.county)
+SELECT 'yield_rows' AS metric, CAST(count(*) AS BIGINT) AS n FROM j
+UNION ALL SELECT 'no_weather', CAST(count(*) FILTER (WHERE NOT has_w) AS BIGINT) FROM j
+UNION ALL SELECT 'no_soil', CAST(count(*) FILTER (WHERE NOT has_s) AS BIGINT) FROM j
+UNION ALL SELECT 'weather_rows', CAST(count(*) AS BIGINT) FROM w2
+UNION ALL SELECT 'soil_rows', CAST(count(*) AS BIGINT) FROM s2
+"""
+
+ORACLE["q_unmatched_rows"] = f"""{WITH_ALL}
+SELECT {FRAME_SELECT.replace('w.', 'w2.')}
+FROM yields y
+LEFT JOIN (SELECT * FROM weather WHERE year <= 1999) w2
+  ON y.state = w2.state AND y.county = w2.county AND y.year = w2.year
+LEFT JOIN soil s ON y.state = s.state AND y.county = s.county
+WHERE w2.year IS NULL
+"""
+
+ORACLE["q_scope"] = f"""{WITH_ALL}
+SELECT y.year, y.state, y.county, y.crop, {r6('y.value', 'yield')}, {r6('w.avg_temp')},
+       {r6('w.precipitation')}, {r6('w.vp')}, {r6('w.srad')}, {r6('w.gdd')}, {r6('s.ph')},
+       {r6('s.organic_matter')}, {r6('s.sand_pct')}, {r6('s.clay_pct')}
+{FRAME_FROM} WHERE {NOT_SENTINEL} AND y.district IN ('AD1', 'AD3')
+"""
+
+ORACLE["q_pick"] = f"""{WITH_ALL}
+SELECT {FRAME_SELECT} {FRAME_FROM}
+WHERE {NOT_SENTINEL} AND y.county = 'NATION_3' AND y.year = 1997
+ORDER BY y.county, y.year, y.crop LIMIT 1
+"""
+
+ORACLE["q_yield_query"] = f"""WITH {YIELDS_CTE}
+SELECT year, state, district, county, county_ansi, crop, {r6('value')}, unit FROM yields
+WHERE state = 'AMERICA' AND crop = '1-URGENT' AND year >= 1996 AND year <= 2000
+"""
+
+ORACLE["q_weather_query"] = f"""WITH {WEATHER_CTE}
+SELECT county, state, year, {r6('avg_temp')}, {r6('precipitation')}, {r6('vp')}, {r6('srad')},
+       {r6('gdd')}
+FROM weather WHERE state = 'EUROPE' AND year = 1998
+"""
+
+ORACLE["q_soil_query"] = f"""WITH {SOIL_CTE}
+SELECT state, county, {r6('ph')}, {r6('organic_matter')}, {r6('sand_pct')}, {r6('clay_pct')}
+FROM soil WHERE state = 'ASIA'
+"""
+
+ORACLE["q_crop_list"] = """
+SELECT DISTINCT upper(o_orderpriority) AS crop FROM orders WHERE o_orderpriority IS NOT NULL
+"""
+
+ORACLE["q_year_counts"] = f"""WITH {YIELDS_CTE}
+SELECT county, CAST(count(DISTINCT year) AS BIGINT) AS n_years FROM yields GROUP BY county
+"""
+
+ORACLE["q_span"] = """
+SELECT trim(n.n_name) AS county, trim(r.r_name) AS state,
+       CAST(min(year(o.o_orderdate)) AS INTEGER) AS start_year,
+       CAST(max(year(o.o_orderdate)) AS INTEGER) AS end_year
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE o.o_orderdate IS NOT NULL
+GROUP BY trim(n.n_name), trim(r.r_name)
+"""
+
+ORACLE["q_head_tail"] = f"""WITH {YIELDS_CTE}
+SELECT * FROM (SELECT year, state, district, county, county_ansi, crop, {r6('value')}, unit,
+                      'head' AS part
+               FROM yields ORDER BY state, county, year, crop LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT year, state, district, county, county_ansi, crop, {r6('value')}, unit,
+                      'tail' AS part
+               FROM yields ORDER BY state DESC, county DESC, year DESC, crop DESC LIMIT 5)
+"""

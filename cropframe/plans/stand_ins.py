@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.functions import round_doubles
-from cropframe.operators import season
-from cropframe.sources import driver_table
+from cropframe.operators import frame, query, season, soil
+from cropframe.sources import concat_frames, driver_table
 
 DIGITS = 6
 
@@ -38,9 +38,207 @@ def q_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+
+def q_season_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 + D7: two landed halves with different columns, CSV-variant temperature."""
+    li = _t(spark, sf_dir, "lineitem")
+    cols = ["l_suppkey", "l_shipdate", "l_quantity", "l_tax", "l_extendedprice", "l_discount"]
+    first = li.filter(F.col("l_shipdate") < F.lit("1998-06-01")).select(*cols)
+    second = li.filter(F.col("l_shipdate") >= F.lit("1998-06-01")).select(*cols, "l_linenumber")
+    daily = concat_frames([first, second])
+    out = season.annual_features(daily, keys=["l_suppkey"], date="l_shipdate",
+                                 tmax="l_quantity", tmin="l_tax",
+                                 sums={"precipitation": "l_extendedprice"},
+                                 temp_mean="l_discount")
+    return round_doubles(out, DIGITS)
+
+
+def q_cum_gdd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 on events: one temperature reading per event, whole-year season."""
+    ev = _t(spark, sf_dir, "events")
+    out = season.cumulative_gdd(ev, keys=["user_id"], date="ts", tmax="value", tmin="value",
+                                months=(1, 12))
+    return round_doubles(out, DIGITS)
+
+
+# --------------------------------------------------------------------------- soil
+SOIL_BRANDS = ["Brand#1", "Brand#2", "Brand#3"]
+
+
+def soil_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region > nation > supplier > lineitem > part as the five survey tables.
+
+    kind = l_returnflag 'N', horizons = three brands, weight =
+    l_quantity / 100 * p_retailprice; one row per (state, county).
+    """
+    region = _t(spark, sf_dir, "region")
+    nation = _t(spark, sf_dir, "nation")
+    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    li = (_t(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "N")
+          .select("l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax"))
+    part = (_t(spark, sf_dir, "part").filter(F.col("p_brand").isin(SOIL_BRANDS))
+            .select("p_partkey", "p_retailprice", "p_size"))
+    rows = soil.chain([region, nation, supplier, li, part],
+                      [("r_regionkey", "n_regionkey"), ("n_nationkey", "s_nationkey"),
+                       ("s_suppkey", "l_suppkey"), ("l_partkey", "p_partkey")])
+    rows = rows.select(F.col("r_name").alias("state"), F.col("n_name").alias("county"), "*")
+    return soil.weighted_mean(
+        rows, ["state", "county"],
+        {"ph": "l_discount", "organic_matter": "l_tax", "sand_pct": "l_quantity",
+         "clay_pct": "p_size"},
+        soil.component_acres("l_quantity", "p_retailprice"))
+
+
+def q_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(soil_stand_in(spark, sf_dir), DIGITS)
+
+
+def q_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    out = soil.texture_fractions(li, sand="l_quantity", clay=F.col("l_discount") * 100,
+                                 silt=F.col("l_tax") * 100,
+                                 keep=["l_orderkey", "l_linenumber"])
+    return round_doubles(out, DIGITS)
+
+
+# --------------------------------------------------------------------------- frame
+def yields_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders by (year, nation, region, priority) as the stored yields table."""
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority",
+                                           "o_totalprice")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    j = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+          .join(r, n.n_regionkey == r.r_regionkey))
+    g = j.groupBy(F.year("o_orderdate").alias("year"), F.col("r_name").alias("state"),
+                  F.col("n_name").alias("county"), F.col("n_nationkey"),
+                  F.col("o_orderpriority").alias("crop")).agg(
+        F.avg("o_totalprice").alias("value"))
+    return g.select("year", "state",
+                    F.concat(F.lit("AD"), F.substring("county", -1, 1)).alias("district"),
+                    "county", F.col("n_nationkey").cast("string").alias("county_ansi"),
+                    "crop", "value", F.lit("BU / ACRE").alias("unit"))
+
+
+def weather_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem by supplier nation and ship year as the stored weather table."""
+    li = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity",
+                                              "l_tax", "l_extendedprice", "l_discount")
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    daily = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+               .join(r, n.n_regionkey == r.r_regionkey)
+               .select(F.col("r_name").alias("state"), F.col("n_name").alias("county"),
+                       "l_shipdate", "l_quantity", "l_tax", "l_extendedprice", "l_discount"))
+    w = season.annual_features(daily, keys=["state", "county"], date="l_shipdate",
+                               tmax="l_quantity", tmin="l_tax",
+                               sums={"precipitation": "l_extendedprice"},
+                               means={"vp": "l_discount", "srad": "l_tax"})
+    return w.select("county", "state", "year", "avg_temp", "precipitation", "vp", "srad", "gdd")
+
+
+def stand_in_tables(spark: SparkSession, sf_dir: str):
+    return (yields_stand_in(spark, sf_dir), weather_stand_in(spark, sf_dir),
+            soil_stand_in(spark, sf_dir))
+
+
+def q_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, w, s = stand_in_tables(spark, sf_dir)
+    return round_doubles(frame.build_frame(y, w, s), DIGITS)
+
+
+def q_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 + J3 with weather only up to 1999 and no soil for ASIA."""
+    y, w, s = stand_in_tables(spark, sf_dir)
+    return frame.diagnostics(y, w.filter(F.col("year") <= 1999), s.filter(F.col("state") != "ASIA"))
+
+
+def q_unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yield rows without a weather match (weather only up to 1999)."""
+    y, w, s = stand_in_tables(spark, sf_dir)
+    return round_doubles(frame.unmatched(y, w.filter(F.col("year") <= 1999), s), DIGITS)
+
+
+def q_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, w, s = stand_in_tables(spark, sf_dir)
+    f = frame.training_scope(frame.build_frame(y, w, s), ["AD1", "AD3"])
+    feats = frame.feature_columns(f)
+    return round_doubles(f.select("year", "state", "county", "crop", "yield", *feats), DIGITS)
+
+
+def q_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, w, s = stand_in_tables(spark, sf_dir)
+    f = frame.build_frame(y, w, s)
+    row = query.pick_row(f, ["county", "year", "crop"], county="NATION_3", year=1997)
+    return round_doubles(row, DIGITS)
+
+
+def q_yield_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = yields_stand_in(spark, sf_dir)
+    out = query.yield_query(y, state="america", crop="1-urgent", start_year=1996, end_year=2000)
+    return round_doubles(out, DIGITS)
+
+
+def q_weather_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = weather_stand_in(spark, sf_dir)
+    return round_doubles(query.weather_query(w, state="europe", county=None, year=1998), DIGITS)
+
+
+def q_soil_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(query.soil_query(soil_stand_in(spark, sf_dir), state="asia"), DIGITS)
+
+
+def q_crop_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.crop_list(spark, yields_stand_in(spark, sf_dir))
+
+
+def q_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.count_distinct_by(yields_stand_in(spark, sf_dir), ["county"], "year",
+                                   out="n_years")
+
+
+def q_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 on raw orders: year span per (county, state) of the customer's nation."""
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    j = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+          .join(r, n.n_regionkey == r.r_regionkey)
+          .select(F.col("n_name").alias("county"), F.col("r_name").alias("state"),
+                  F.year("o_orderdate").alias("year")))
+    return query.year_span(j, ["county", "state"])
+
+
+def q_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = yields_stand_in(spark, sf_dir)
+    order = ["state", "county", "year", "crop"]
+    h = query.head_rows(y, order).withColumn("part", F.lit("head"))
+    t = query.tail_rows(y, order).withColumn("part", F.lit("tail"))
+    return round_doubles(h.unionByName(t), DIGITS)
+
+
 # --------------------------------------------------------------------------- registry
 QUERIES = {
     "q_season": q_season,
+    "q_season_simple": q_season_simple,
+    "q_cum_gdd": q_cum_gdd,
+    "q_weighted": q_weighted,
+    "q_texture": q_texture,
+    "q_frame": q_frame,
+    "q_unmatched": q_unmatched,
+    "q_unmatched_rows": q_unmatched_rows,
+    "q_scope": q_scope,
+    "q_pick": q_pick,
+    "q_yield_query": q_yield_query,
+    "q_weather_query": q_weather_query,
+    "q_soil_query": q_soil_query,
+    "q_crop_list": q_crop_list,
+    "q_year_counts": q_year_counts,
+    "q_span": q_span,
+    "q_head_tail": q_head_tail,
 }
 
-FLAGSHIP = q_season
+FLAGSHIP = q_frame
