@@ -75,9 +75,18 @@ def crop_list(spark: SparkSession, yields: DataFrame, crop: str = "crop") -> Dat
     """
     found = value_list(yields, crop, upper=True, out="crop")
     defaults = spark.createDataFrame([(c,) for c in DEFAULT_CROPS], "crop string")
-    any_found = found.select(F.lit(1).alias("_k")).limit(1)
-    fallback = defaults.withColumn("_k", F.lit(1)).join(any_found, "_k", "left_anti").drop("_k")
-    return found.unionByName(fallback).orderBy("crop")
+    return or_else(found, defaults).orderBy("crop")
+
+
+def or_else(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Rows of ``primary``, or those of ``fallback`` when ``primary`` is empty.
+
+    Decided inside the plan: the fallback is anti-joined on a constant key
+    with a one-row probe of ``primary``, no count on the driver.
+    """
+    probe = primary.select(F.lit(1).alias("_k")).limit(1)
+    rest = fallback.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")
+    return primary.unionByName(rest)
 
 
 def head_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:

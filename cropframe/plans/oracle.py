@@ -204,3 +204,168 @@ SELECT * FROM (SELECT year, state, district, county, county_ansi, crop, {r6('val
                       'tail' AS part
                FROM yields ORDER BY state DESC, county DESC, year DESC, crop DESC LIMIT 5)
 """
+
+NUM_RE = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def parse_sql(expr: str) -> str:
+    return f"(CASE WHEN regexp_full_match({expr}, '{NUM_RE}') THEN TRY_CAST(trim({expr}) AS DOUBLE) END)"
+
+
+ORACLE["q_clean_numeric"] = f"""
+WITH li AS (SELECT l_orderkey, l_linenumber, format('{{:,.2f}}', l_extendedprice) AS raw FROM lineitem),
+u AS (
+  SELECT 'props' AS source, event_id AS id, CAST(NULL AS INTEGER) AS line,
+         {parse_sql("regexp_extract(props, ':([^}]*)', 1)")} AS value FROM events
+  UNION ALL
+  SELECT 'price_strip', l_orderkey, l_linenumber, {parse_sql("replace(raw, ',', '')")} FROM li
+  UNION ALL
+  SELECT 'price_plain', l_orderkey, l_linenumber, {parse_sql("raw")} FROM li)
+SELECT source, id, line, round(value, 6) + 0.0 AS value FROM u WHERE value IS NOT NULL
+"""
+
+ORACLE["q_clean_names"] = """
+WITH j AS (
+  SELECT n.n_nationkey AS areasymbol,
+         CASE WHEN r.r_name = 'MIDDLE EAST' THEN n.n_name || ', ' || r.r_name
+              ELSE n.n_name || ' County, ' || r.r_name END AS areaname,
+         r.r_name AS state, '  ' || lower(n.n_name) || ' ' AS padded
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT areasymbol, areaname, state,
+       CASE WHEN strpos(areaname, ' County,') > 0
+            THEN substr(areaname, 1, strpos(areaname, ' County,') - 1) ELSE areaname END AS county,
+       upper(trim(padded)) AS key, ends_with(areaname, ', AMERICA') AS in_america
+FROM j
+"""
+
+ORACLE["q_dates"] = """
+WITH d AS (SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS year,
+                  CAST(dayofyear(l_shipdate) AS INTEGER) AS yday, CAST(l_shipdate AS DATE) AS ship
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, year, yday, make_date(year, 1, 1) + (yday - 1) AS date,
+       CAST(month(make_date(year, 1, 1) + (yday - 1)) AS INTEGER) AS month,
+       (make_date(year, 1, 1) + (yday - 1)) = ship AS same
+FROM d
+"""
+
+ORACLE["q_box_center"] = """
+WITH c AS (
+  SELECT n.n_name || ' County, ' || r.r_name AS areaname,
+         CAST(n.n_nationkey AS VARCHAR) || CASE WHEN s.s_acctbal >= 0 THEN '-P' ELSE '-N' END AS areasymbol,
+         min(s.s_acctbal) AS mbrminx, max(s.s_acctbal) AS mbrmaxx,
+         CAST(min(s.s_suppkey) AS DOUBLE) AS mbrminy, CAST(max(s.s_suppkey) AS DOUBLE) AS mbrmaxy
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY 1, 2),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY areaname ORDER BY areasymbol) = 1)
+SELECT areaname, round((mbrminx + mbrmaxx) / 2, 6) + 0.0 AS lon,
+       round((mbrminy + mbrmaxy) / 2, 6) + 0.0 AS lat
+FROM f
+"""
+
+ORACLE["q_yield_rows"] = f"""
+WITH csv AS (
+  SELECT ' ' || lower(r.r_name) || ' ' AS "State", n.n_name AS "County",
+         CAST(year(o.o_orderdate) AS VARCHAR) AS "Year", o.o_orderpriority AS "Commodity",
+         CASE o.o_orderstatus WHEN 'F' THEN o.o_orderpriority || ' - YIELD, MEASURED IN BU / ACRE'
+                              WHEN 'O' THEN o.o_orderpriority || ' - PRODUCTION'
+                              ELSE lower(o.o_orderpriority) || ' - yield' END AS "Data Item",
+         CASE WHEN o.o_orderstatus = 'P' THEN format('{{:,.2f}}', o.o_totalprice)
+              ELSE CAST(o.o_totalprice AS VARCHAR) END AS "Value",
+         c.c_mktsegment AS "Ag District", CAST(c.c_nationkey AS VARCHAR) AS "County ANSI"
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+req AS (SELECT DISTINCT upper(trim(n.n_name)) AS rc, upper(trim(lower(r.r_name))) AS rs
+        FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'AMERICA'),
+kept AS (
+  SELECT * FROM csv
+  WHERE coalesce(contains(upper("Data Item"), 'YIELD'), false)
+    AND TRY_CAST("Year" AS INTEGER) BETWEEN 1996 AND 2000
+    AND EXISTS (SELECT 1 FROM req WHERE req.rc = upper(trim(csv."County"))
+                                   AND req.rs = upper(trim(csv."State"))))
+SELECT TRY_CAST("Year" AS INTEGER) AS year, trim("State") AS state, trim("County") AS county,
+       round({parse_sql('"Value"')}, 6) + 0.0 AS value, "Commodity" AS crop,
+       nullif("Data Item", '') AS unit, "Ag District" AS district, "County ANSI" AS county_ansi
+FROM kept WHERE {parse_sql('"Value"')} IS NOT NULL
+"""
+
+ORACLE["q_catalog_join"] = """
+WITH cat AS (SELECT n.n_nationkey AS areasymbol, n.n_name || ' County, ' || r.r_name AS areaname
+             FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+cat_s AS (SELECT * FROM cat WHERE ends_with(areaname, ', EUROPE')),
+k AS (SELECT o.o_orderkey, lower(n.n_name) AS county, r.r_name AS state
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+      JOIN nation n ON c.c_nationkey = n.n_nationkey
+      JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT k.o_orderkey, cat_s.areasymbol, k.county AS order_county, cat_s.areaname
+FROM k JOIN cat_s ON lower(k.county || ' County, ' || k.state) = lower(cat_s.areaname)
+"""
+
+GAPS_SQL = """
+keys AS (SELECT DISTINCT o_custkey FROM {src}),
+wanted AS (SELECT o_custkey, CAST(y AS INTEGER) AS year FROM keys, range(1995, 2002) t(y)),
+present AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM {src}
+            WHERE year(o_orderdate) BETWEEN 1995 AND 2001),
+missing AS (SELECT * FROM wanted w WHERE NOT EXISTS
+            (SELECT 1 FROM present p WHERE p.o_custkey = w.o_custkey AND p.year = w.year)),
+g AS (SELECT o_custkey, year, year - row_number() OVER (PARTITION BY o_custkey ORDER BY year) AS grp
+      FROM missing),
+ranges AS (SELECT o_custkey, CAST(min(year) AS INTEGER) AS range_start,
+                  CAST(max(year) AS INTEGER) AS range_end FROM g GROUP BY o_custkey, grp)
+"""
+
+ORACLE["q_gaps"] = "WITH " + GAPS_SQL.format(src="orders") + " SELECT * FROM ranges"
+
+ORACLE["q_keep_missing"] = """WITH tgt AS (SELECT * FROM orders WHERE year(o_orderdate) >= 1998),
+""" + GAPS_SQL.format(src="tgt") + """
+SELECT o.o_orderkey, o.o_custkey, CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_orderpriority,
+       round(o.o_totalprice, 6) + 0.0 AS o_totalprice
+FROM orders o
+WHERE year(o.o_orderdate) <= 1997 AND o.o_orderpriority = '1-URGENT'
+  AND EXISTS (SELECT 1 FROM ranges r WHERE r.o_custkey = o.o_custkey
+              AND year(o.o_orderdate) BETWEEN r.range_start AND r.range_end)
+"""
+
+LAST_ORDER = "ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC"
+LI_PART = f"OVER (PARTITION BY l_orderkey, l_linenumber {LAST_ORDER})"
+LI_COLS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+           "l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate")
+
+ORACLE["q_upsert_batch"] = f"""
+WITH t AS (SELECT {LI_COLS} FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'
+           QUALIFY row_number() {LI_PART} = 1),
+b AS (SELECT {LI_COLS} FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'
+      QUALIFY row_number() {LI_PART} = 1),
+u AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = t.l_orderkey
+                                        AND b.l_linenumber = t.l_linenumber)
+      UNION ALL SELECT * FROM b)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       round(l_quantity, 6) + 0.0 AS l_quantity, round(l_extendedprice, 6) + 0.0 AS l_extendedprice,
+       round(l_discount, 6) + 0.0 AS l_discount, round(l_tax, 6) + 0.0 AS l_tax,
+       l_returnflag, l_linestatus, l_shipdate
+FROM u
+"""
+
+ORACLE["q_upsert_merge"] = f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag AS flag,
+                  l_linestatus AS status
+           FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'
+           QUALIFY row_number() {LI_PART} = 1),
+src AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate, l_partkey,
+               l_suppkey, nullif(l_returnflag, 'N') AS flag, nullif(l_linestatus, 'O') AS status
+        FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
+bl AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM src
+       QUALIFY row_number() {LI_PART} = 1),
+bk AS (SELECT l_orderkey, l_linenumber,
+              (array_agg(flag {LAST_ORDER}) FILTER (WHERE flag IS NOT NULL))[1] AS flag,
+              (array_agg(status {LAST_ORDER}) FILTER (WHERE status IS NOT NULL))[1] AS status
+       FROM src GROUP BY l_orderkey, l_linenumber),
+b AS (SELECT * FROM bl JOIN bk USING (l_orderkey, l_linenumber))
+SELECT coalesce(b.l_orderkey, t.l_orderkey) AS l_orderkey,
+       coalesce(b.l_linenumber, t.l_linenumber) AS l_linenumber,
+       round(CASE WHEN b.l_orderkey IS NOT NULL THEN b.l_quantity ELSE t.l_quantity END, 6) + 0.0 AS l_quantity,
+       round(CASE WHEN b.l_orderkey IS NOT NULL THEN b.l_extendedprice ELSE t.l_extendedprice END, 6) + 0.0 AS l_extendedprice,
+       coalesce(b.flag, t.flag) AS flag, coalesce(b.status, t.status) AS status
+FROM t FULL OUTER JOIN b ON t.l_orderkey = b.l_orderkey AND t.l_linenumber = b.l_linenumber
+"""

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.functions import round_doubles
-from cropframe.operators import frame, query, season, soil
-from cropframe.sources import concat_frames, driver_table
+from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
+from cropframe.operators import clean, frame, gaps, query, season, soil, upsert
+from cropframe.sources import concat_frames, driver_table, read_catalog
 
 DIGITS = 6
 
@@ -220,6 +221,177 @@ def q_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(h.unionByName(t), DIGITS)
 
 
+
+
+# --------------------------------------------------------------------------- clean
+def q_clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event props text, and prices formatted with thousands separators
+    parsed with (records path) and without (CSV path, rows without value dropped)."""
+    ev = _t(spark, sf_dir, "events").select(
+        F.lit("props").alias("source"), F.col("event_id").alias("id"),
+        F.lit(None).cast("int").alias("line"),
+        parse_number(F.regexp_extract("props", ":([^}]*)", 1)).alias("value"))
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.format_number("l_extendedprice", 2).alias("raw"))
+    strip = li.select(F.lit("price_strip").alias("source"), F.col("l_orderkey").alias("id"),
+                      F.col("l_linenumber").alias("line"),
+                      parse_number("raw", strip_thousands=True).alias("value"))
+    plain = li.select(F.lit("price_plain").alias("source"), F.col("l_orderkey").alias("id"),
+                      F.col("l_linenumber").alias("line"), parse_number("raw").alias("value"))
+    out = ev.unionByName(strip).unionByName(plain).dropna(subset=["value"])
+    return round_doubles(out, DIGITS)
+
+
+def q_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed area names split back into counties."""
+    n = clean.select_renamed(_t(spark, sf_dir, "nation"),
+                             {"n_nationkey": "areasymbol", "n_name": "name",
+                              "n_regionkey": "regionkey", "n_comment": "comment"})
+    r = _t(spark, sf_dir, "region")
+    j = n.join(r, n.regionkey == r.r_regionkey)
+    areaname = F.when(F.col("r_name") == "MIDDLE EAST",
+                      F.concat("name", F.lit(", "), "r_name")).otherwise(area_name("name", "r_name"))
+    j = j.select("areasymbol", areaname.alias("areaname"), F.col("r_name").alias("state"),
+                 F.concat(F.lit("  "), F.lower("name"), F.lit(" ")).alias("padded"))
+    return j.select("areasymbol", "areaname", "state",
+                    clean.county_name("areaname").alias("county"),
+                    norm_key("padded").alias("key"),
+                    F.col("areaname").endswith(", AMERICA").alias("in_america"))
+
+
+def q_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, day-of-year) back to a date, equal to the ship date."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"),
+        F.dayofyear("l_shipdate").alias("yday"), F.to_date("l_shipdate").alias("ship"))
+    d = day_of_year_date("year", "yday")
+    return li.select("l_orderkey", "l_linenumber", "year", "yday", d.alias("date"),
+                     F.month(d).alias("month"), (d == F.col("ship")).alias("same"))
+
+
+def catalog_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey catalog from suppliers: two areas per nation (by balance sign),
+    boxes from balance and supplier key ranges."""
+    s = _t(spark, sf_dir, "supplier")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    sym = F.concat(F.col("n_nationkey").cast("string"),
+                   F.when(F.col("s_acctbal") >= 0, F.lit("-P")).otherwise(F.lit("-N")))
+    return j.groupBy(area_name("n_name", "r_name").alias("areaname"), sym.alias("areasymbol")).agg(
+        F.min("s_acctbal").alias("mbrminx"), F.max("s_acctbal").alias("mbrmaxx"),
+        F.min("s_suppkey").cast("double").alias("mbrminy"),
+        F.max("s_suppkey").cast("double").alias("mbrmaxy"))
+
+
+def q_box_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(clean.box_center(catalog_stand_in(spark, sf_dir)), DIGITS)
+
+
+def yield_csv_stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as the landed yield CSV: text columns, mixed case and blanks,
+    YIELD and non-YIELD items, values with and without thousands separators."""
+    o = _t(spark, sf_dir, "orders")
+    c = _t(spark, sf_dir, "customer")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    j = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+          .join(r, n.n_regionkey == r.r_regionkey))
+    st = F.col("o_orderstatus")
+    item = (F.when(st == "F", F.concat("o_orderpriority", F.lit(" - YIELD, MEASURED IN BU / ACRE")))
+             .when(st == "O", F.concat("o_orderpriority", F.lit(" - PRODUCTION")))
+             .otherwise(F.concat(F.lower("o_orderpriority"), F.lit(" - yield"))))
+    value = F.when(st == "P", F.format_number("o_totalprice", 2)).otherwise(
+        F.col("o_totalprice").cast("string"))
+    return j.select(F.concat(F.lit(" "), F.lower("r_name"), F.lit(" ")).alias("State"),
+                    F.col("n_name").alias("County"),
+                    F.year("o_orderdate").cast("string").alias("Year"),
+                    F.col("o_orderpriority").alias("Commodity"), item.alias("Data Item"),
+                    value.alias("Value"), F.col("c_mktsegment").alias("Ag District"),
+                    F.col("c_nationkey").cast("double").cast("string").alias("County ANSI"))
+
+
+def q_yield_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5, F6, C4, C12 for the AMERICA counties, 1996-2000."""
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region").filter(F.col("r_name") == "AMERICA")
+    requests = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("county"), F.lower("r_name").alias("state"))
+    out = clean.clean_yield_csv(yield_csv_stand_in(spark, sf_dir), 1996, 2000, requests)
+    return round_doubles(out, DIGITS)
+
+
+def q_catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + J8: EUROPE's catalog rows attached to orders by composed area name."""
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    catalog = read_catalog(nr.select(F.col("n_nationkey").alias("areasymbol"),
+                                     area_name("n_name", "r_name").alias("areaname")),
+                           state="EUROPE")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    keyed = (o.join(c, o.o_custkey == c.c_custkey).join(nr, c.c_nationkey == nr.n_nationkey)
+              .select("o_orderkey", F.lower("n_name").alias("county"), F.col("r_name").alias("state")))
+    return clean.catalog_join(keyed, catalog).select("o_orderkey", "areasymbol",
+                                                     F.col("county").alias("order_county"),
+                                                     F.col("areaname"))
+
+
+# --------------------------------------------------------------------------- gaps
+def orders_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+
+
+def q_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch ranges of missing years 1995-2001 per customer."""
+    return gaps.fetch_plan(orders_years(spark, sf_dir), ["o_custkey"], 1995, 2001)
+
+
+def q_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of 1995-1997 landed against a target holding 1998 onwards."""
+    o = orders_years(spark, sf_dir)
+    target = o.filter(F.col("year") >= 1998)
+    landed = o.filter(F.col("year") <= 1997)
+    ranges = gaps.fetch_plan(target, ["o_custkey"], 1995, 2001)
+    kept = gaps.keep_missing(landed, ranges, ["o_custkey"], crop="1-URGENT",
+                             crop_col="o_orderpriority")
+    return round_doubles(kept.select("o_orderkey", "o_custkey", "year", "o_orderpriority",
+                                     "o_totalprice"), DIGITS)
+
+
+# --------------------------------------------------------------------------- upsert
+LI_KEY = ["l_orderkey", "l_linenumber"]
+LI_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
+SPLIT_DATE = "1998-01-01"
+
+
+def lineitem_batches(spark: SparkSession, sf_dir: str):
+    li = _t(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.to_date("l_shipdate"))
+    return (li.filter(F.col("l_shipdate") < F.lit(SPLIT_DATE)),
+            li.filter(F.col("l_shipdate") >= F.lit(SPLIT_DATE)))
+
+
+def q_upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + K2: later lineitem rows replace earlier ones key by key."""
+    before, after = lineitem_batches(spark, sf_dir)
+    target = upsert.last_per_key(before, LI_KEY, LI_ORDER, keep_order=True)
+    return round_doubles(upsert.replace(target, after, LI_KEY, LI_ORDER), DIGITS)
+
+
+def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures overwritten, nullable codes kept when the batch has NULL."""
+    before, after = lineitem_batches(spark, sf_dir)
+    target = upsert.last_per_key(
+        before.select(*LI_KEY, *LI_ORDER, "l_quantity", "l_extendedprice",
+                      F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")),
+        LI_KEY, LI_ORDER)
+    batch = after.select(*LI_KEY, *LI_ORDER, "l_quantity", "l_extendedprice",
+                         F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+                         F.nullif("l_linestatus", F.lit("O")).alias("status"))
+    out = upsert.merge(target, batch, LI_KEY, LI_ORDER, overwrite=["l_quantity", "l_extendedprice"],
+                       keep_if_null=["flag", "status"])
+    return round_doubles(out, DIGITS)
 # --------------------------------------------------------------------------- registry
 QUERIES = {
     "q_season": q_season,
@@ -239,6 +411,16 @@ QUERIES = {
     "q_year_counts": q_year_counts,
     "q_span": q_span,
     "q_head_tail": q_head_tail,
+    "q_clean_numeric": q_clean_numeric,
+    "q_clean_names": q_clean_names,
+    "q_dates": q_dates,
+    "q_box_center": q_box_center,
+    "q_yield_rows": q_yield_rows,
+    "q_catalog_join": q_catalog_join,
+    "q_gaps": q_gaps,
+    "q_keep_missing": q_keep_missing,
+    "q_upsert_batch": q_upsert_batch,
+    "q_upsert_merge": q_upsert_merge,
 }
 
 FLAGSHIP = q_frame
