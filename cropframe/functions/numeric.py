@@ -51,12 +51,28 @@ def safe_div(num, den) -> Column:
     return F.try_divide(_c(num), _c(den))
 
 
+# Comparison rounding. Below BIG, `digits` decimals; from BIG
+# up, 10 significant digits (6 decimals of a 1e9 sum are below double
+# resolution, so summation order would show). Values are first scaled by
+# NUDGE so an exact decimal tie (a mean such as 0.0399315) rounds the same
+# way in every engine, whatever its last-bit summation noise.
+BIG = 1e4
+NUDGE = "1.0000000000003"
+
+
+def stable_round(c, digits: int = 6) -> Column:
+    """Round for order-insensitive comparison; -0.0 becomes 0.0."""
+    x = _c(c).cast(T.DoubleType()) * F.lit(float(NUDGE))
+    sig = F.format_string("%.9e", x).cast(T.DoubleType())
+    return F.when(F.abs(x) >= F.lit(BIG), sig).otherwise(F.round(x, digits)) + F.lit(0.0)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (and turn -0.0 into 0.0) for stable comparison."""
+    """Apply ``stable_round`` to every double column."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append(stable_round(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -369,3 +369,220 @@ SELECT coalesce(b.l_orderkey, t.l_orderkey) AS l_orderkey,
        coalesce(b.flag, t.flag) AS flag, coalesce(b.status, t.status) AS status
 FROM t FULL OUTER JOIN b ON t.l_orderkey = b.l_orderkey AND t.l_linenumber = b.l_linenumber
 """
+
+# --------------------------------------------------------------------------- profile
+NUM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def long_sql(table: str, cols: list[str], cast: str = "DOUBLE") -> str:
+    zero = " + 0.0" if cast == "DOUBLE" else ""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS {cast}){zero} AS value FROM {table}" for c in cols)
+
+
+ORACLE["q_overview"] = f"""
+WITH a AS (SELECT count(*) AS n, {' + '.join(f'count(*) FILTER (WHERE {c} IS NULL)' for c in LI_ALL)} AS miss
+           FROM lineitem),
+d AS (SELECT count(*) AS dn FROM (SELECT DISTINCT * FROM lineitem))
+SELECT 'rows' AS metric, CAST(n AS DOUBLE) AS value FROM a
+UNION ALL SELECT 'columns', {float(len(LI_ALL))} FROM a
+UNION ALL SELECT 'missing_cells', CAST(miss AS DOUBLE) FROM a
+UNION ALL SELECT 'missing_share', round(miss / (n * {float(len(LI_ALL))}), 6) + 0.0 FROM a
+UNION ALL SELECT 'duplicate_rows', CAST(n - dn AS DOUBLE) FROM a, d
+"""
+
+PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+ORACLE["q_profile_num"] = f"""
+WITH l AS ({long_sql('lineitem', NUM_COLS)}),
+med AS (SELECT feature, quantile_cont(value, 0.5) AS m FROM l GROUP BY feature)
+SELECT l.feature, count(value) AS count, count(*) FILTER (WHERE value IS NULL) AS missing,
+       count(DISTINCT value) AS distinct, {r6('avg(value)', 'mean')}, {r6('stddev_samp(value)', 'std')},
+       {r6('var_samp(value)', 'variance')}, {r6('min(value)', 'min')}, {r6('max(value)', 'max')},
+       {r6('sum(value)', 'sum')}, count(*) FILTER (WHERE value = 0) AS zeros,
+       count(*) FILTER (WHERE value < 0) AS negatives, {r6('skewness(value)', 'skewness')},
+       {r6('kurtosis(value)', 'kurtosis')},
+       {', '.join(r6(f'quantile_cont(value, {p})', k) for k, p in PROBS.items())},
+       {r6('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)', 'iqr')},
+       {r6('quantile_cont(abs(value - med.m), 0.5)', 'mad')}
+FROM l JOIN med ON l.feature = med.feature
+GROUP BY l.feature
+"""
+
+CAT_COLS = ["p_name", "p_brand", "p_type"]
+
+ORACLE["q_profile_cat"] = f"""
+WITH l AS ({long_sql('part', CAT_COLS, 'VARCHAR')})
+SELECT feature, count(value) AS count, count(*) FILTER (WHERE value IS NULL) AS missing,
+       count(DISTINCT value) AS distinct, CAST(min(length(value)) AS INTEGER) AS min_length,
+       {r6('avg(length(value))', 'mean_length')}, CAST(max(length(value)) AS INTEGER) AS max_length
+FROM l GROUP BY feature
+"""
+
+ORACLE["q_top_values"] = f"""
+WITH l AS ({long_sql('part', CAT_COLS, 'VARCHAR')}),
+vc AS (SELECT feature, value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY feature, value)
+SELECT feature, value, count,
+       CAST(row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS INTEGER) AS rank
+FROM vc QUALIFY rank <= 5
+"""
+
+ORACLE["q_hist"] = f"""
+WITH l AS ({long_sql('lineitem', NUM_COLS)}),
+r AS (SELECT feature, min(value) AS mn, max(value) AS mx FROM l WHERE value IS NOT NULL GROUP BY feature),
+b AS (SELECT l.feature, mn, mx, (mx - mn) / 10.0 AS w,
+             CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((value - mn) / ((mx - mn) / 10.0)), 9) END AS INTEGER) AS bin
+      FROM l JOIN r ON l.feature = r.feature WHERE value IS NOT NULL)
+SELECT feature, bin, {r6('mn + bin * w', 'lo')},
+       {r6('CASE WHEN bin = 9 THEN mx ELSE mn + (bin + 1) * w END', 'hi')}, count(*) AS count
+FROM b GROUP BY feature, bin, mn, mx, w
+"""
+
+NULLABLE = """(SELECT l_quantity, nullif(l_discount, 0.0) AS l_discount, nullif(l_tax, 0.0) AS l_tax,
+                      nullif(l_returnflag, 'N') AS l_returnflag FROM lineitem)"""
+NULL_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+
+ORACLE["q_nullity"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS missing, "
+    f"round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 6) + 0.0 AS share FROM {NULLABLE}"
+    for c in NULL_COLS)
+
+ORACLE["q_nullity_corr"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(CASE WHEN var_pop(CAST({a} IS NULL AS DOUBLE)) = 0 OR var_pop(CAST({b} IS NULL AS DOUBLE)) = 0 THEN NULL ELSE corr(CAST({a} IS NULL AS DOUBLE), CAST({b} IS NULL AS DOUBLE)) END, 6) + 0.0 AS r FROM {NULLABLE}"
+    for i, a in enumerate(NULL_COLS) for b in NULL_COLS[i + 1:])
+
+ORACLE["q_pearson"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem"
+    for i, a in enumerate(NUM_COLS) for b in NUM_COLS[i + 1:])
+
+
+def spearman_sql(src: str, a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS x, '{b}' AS y, round(corr(ra, rb), 6) + 0.0 AS r FROM (
+  SELECT rank() OVER (ORDER BY va) + (count(*) OVER (PARTITION BY va) - 1) / 2.0 AS ra,
+         rank() OVER (ORDER BY vb) + (count(*) OVER (PARTITION BY vb) - 1) / 2.0 AS rb
+  FROM (SELECT CAST({a} AS DOUBLE) + 0.0 AS va, CAST({b} AS DOUBLE) + 0.0 AS vb FROM {src}
+        WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"""
+
+
+RANK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+ORACLE["q_spearman"] = " UNION ALL ".join(
+    spearman_sql("lineitem", a, b) for i, a in enumerate(RANK_COLS) for b in RANK_COLS[i + 1:])
+
+ORACLE["q_kendall"] = """
+WITH p AS (SELECT CAST(l_linenumber AS DOUBLE) AS x, CAST(round(l_discount * 100) AS INTEGER) AS y,
+                  count(*) AS c FROM lineitem GROUP BY 1, 2),
+s AS (SELECT sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b),
+n AS (SELECT sum(c) AS n FROM p),
+tx AS (SELECT sum(t * (t - 1) / 2) AS v FROM (SELECT sum(c) AS t FROM p GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1) / 2) AS v FROM (SELECT sum(c) AS t FROM p GROUP BY y))
+SELECT 'l_linenumber' AS x, 'discount_pct' AS y,
+       round(s.s / sqrt((n.n * (n.n - 1) / 2 - tx.v) * (n.n * (n.n - 1) / 2 - ty.v)), 6) + 0.0 AS tau
+FROM s, n, tx, ty
+"""
+
+
+def chi_sql(src: str, a: str, b: str, correction: bool = True) -> str:
+    return f"""(WITH d AS (SELECT {a} AS xa, {b} AS xb FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+cells AS (SELECT xa, xb, CAST(count(*) AS DOUBLE) AS o FROM d GROUP BY xa, xb),
+rx AS (SELECT xa, sum(o) AS ri FROM cells GROUP BY xa),
+cy AS (SELECT xb, sum(o) AS cj FROM cells GROUP BY xb),
+n AS (SELECT sum(o) AS n FROM cells),
+e AS (SELECT cells.xa, cells.xb, o, ri, cj, n FROM cells JOIN rx USING (xa) JOIN cy USING (xb), n),
+t AS (SELECT (SELECT count(*) FROM rx) AS r, (SELECT count(*) FROM cy) AS k, max(n) AS n,
+             sum((o - ri * cj / n) * (o - ri * cj / n) / (ri * cj / n)) AS plain,
+             max(abs(o - ri * cj / n)) AS dev FROM e),
+c AS (SELECT *, (r - 1) * (k - 1) AS dof,
+             CASE WHEN {str(correction).upper()} AND (r - 1) * (k - 1) = 1
+                  THEN (SELECT sum(power(greatest(t.dev - 0.5, 0), 2) / (ri * cj / e.n)) FROM rx, cy, (SELECT max(n) AS n FROM n) e)
+                  ELSE plain END AS chi2 FROM t),
+v AS (SELECT *, greatest(0.0, chi2 / n - (k - 1.0) * (r - 1.0) / (n - 1)) AS phi2c,
+             least(k - (k - 1.0) * (k - 1.0) / (n - 1) - 1, r - (r - 1.0) * (r - 1.0) / (n - 1) - 1) AS rk
+      FROM c)
+SELECT '{a}' AS x, '{b}' AS y, round(chi2, 6) + 0.0 AS chi2, CAST(dof AS BIGINT) AS dof,
+       round(CASE WHEN rk = 0 THEN 1.0 ELSE sqrt(phi2c / rk) END, 6) + 0.0 AS cramers_v FROM v)"""
+
+
+SIZED = "(SELECT *, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class FROM lineitem)"
+ORACLE["q_cramers"] = (chi_sql(SIZED, "l_returnflag", "l_linestatus") + " UNION ALL "
+                       + chi_sql(SIZED, "l_linestatus", "size_class"))
+
+
+def binned(src: str, col: str) -> str:
+    return f"""(SELECT * REPLACE (CAST(CAST(CASE WHEN {col} IS NULL THEN NULL WHEN mx = mn THEN 0
+                 ELSE least(floor(({col} - mn) / ((mx - mn) / 10.0)), 9) END AS INTEGER) AS VARCHAR) AS {col})
+        FROM {src}, (SELECT min({col}) AS mn, max({col}) AS mx FROM {src}))"""
+
+
+def auto_sql() -> str:
+    parts = [f"SELECT x, y, 'spearman' AS method, r AS value FROM ({spearman_sql('lineitem', 'l_quantity', 'l_discount')})"]
+    num, cat = ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"]
+    allc = num + cat
+    for i, a in enumerate(allc):
+        for b in allc[i + 1:]:
+            if a in num and b in num:
+                continue
+            src = "lineitem"
+            if a in num:
+                src = binned(src, a)
+            if b in num:
+                src = binned(src, b)
+            parts.append(f"SELECT x, y, 'cramers' AS method, cramers_v AS value FROM {chi_sql(src, a, b)}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["q_auto"] = auto_sql()
+
+ALERT_COLS = NUM_COLS + ["l_linenumber", "tax_or_null"]
+ALERT_SRC = "(SELECT *, nullif(l_tax, 0.0) AS tax_or_null FROM lineitem)"
+ORACLE["q_alerts"] = f"""
+WITH l AS ({long_sql(ALERT_SRC, ALERT_COLS)}),
+p AS (SELECT feature, count(value) AS cnt, count(*) FILTER (WHERE value IS NULL) AS miss,
+             count(DISTINCT value) AS dist, count(*) FILTER (WHERE value = 0) AS zeros,
+             skewness(value) AS skew FROM l GROUP BY feature),
+pr AS ({' UNION ALL '.join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM {ALERT_SRC}" for i, a in enumerate(ALERT_COLS) for b in ALERT_COLS[i + 1:])}),
+hc AS (SELECT feature, max(abs(r)) AS v FROM (SELECT x AS feature, r FROM pr UNION ALL SELECT y, r FROM pr)
+       WHERE abs(r) > 0.9 GROUP BY feature)
+SELECT feature, 'constant' AS alert, CAST(dist AS DOUBLE) AS value FROM p WHERE dist = 1
+UNION ALL SELECT feature, 'unique', CAST(dist AS DOUBLE) FROM p WHERE dist = cnt AND cnt > 0
+UNION ALL SELECT feature, 'missing', round(miss / (cnt + miss), 6) + 0.0 FROM p WHERE miss / (cnt + miss) > 0.2
+UNION ALL SELECT feature, 'zeros', round(zeros / cnt, 6) + 0.0 FROM p WHERE zeros / cnt > 0.1
+UNION ALL SELECT feature, 'skewed', round(skew, 6) + 0.0 FROM p WHERE abs(skew) > 20
+UNION ALL SELECT feature, 'high_correlation', round(v, 6) + 0.0 FROM hc
+"""
+
+
+def _stable(sql: str) -> str:
+    """Rewrite each ``round(E, 6) + 0.0`` into the magnitude-aware rounding
+    used on the Spark side (10 significant digits from 1e4 up)."""
+    out, i = [], 0
+    tail = ", 6) + 0.0"
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("round")
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = sql[j + len("round("):k]
+        if sql[k - 3:k + 7] == tail and inner.endswith(", 6"):
+            e = f"(({_stable(inner[:-3])}) * 1.0000000000003)"
+            out.append(sql[i:j])
+            out.append(f"(CASE WHEN abs({e}) >= 1e4 THEN CAST(printf('%.9e', {e}) AS DOUBLE) "
+                       f"ELSE round({e}, 6) END + 0.0)")
+            i = k + 7
+        else:
+            out.append(sql[i:j + len("round(")])
+            i = j + len("round(")
+
+
+ORACLE = {k: _stable(v) for k, v in ORACLE.items()}

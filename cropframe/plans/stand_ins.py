@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cropframe.functions import round_doubles
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
-from cropframe.operators import clean, frame, gaps, query, season, soil, upsert
+from cropframe.operators import clean, frame, gaps, profile, query, season, soil, upsert
 from cropframe.sources import concat_frames, driver_table, read_catalog
 
 DIGITS = 6
@@ -392,6 +392,94 @@ def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = upsert.merge(target, batch, LI_KEY, LI_ORDER, overwrite=["l_quantity", "l_extendedprice"],
                        keep_if_null=["flag", "status"])
     return round_doubles(out, DIGITS)
+
+
+# --------------------------------------------------------------------------- profile
+NUM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+RANK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+CAT_COLS = ["p_name", "p_brand", "p_type"]
+
+
+def _li(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem")
+
+
+def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(profile.overview(_li(spark, sf_dir)), DIGITS)
+
+
+def q_profile_num(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir)
+    out = profile.numeric_profile(li, NUM_COLS).join(profile.quantiles(li, NUM_COLS), "feature")
+    return round_doubles(out, DIGITS)
+
+
+def q_profile_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary, _ = profile.category_profile(_t(spark, sf_dir, "part"), CAT_COLS)
+    return round_doubles(summary, DIGITS)
+
+
+def q_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, top = profile.category_profile(_t(spark, sf_dir, "part"), CAT_COLS)
+    return top
+
+
+def q_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(profile.histogram(_li(spark, sf_dir), NUM_COLS), DIGITS)
+
+
+def nullable_lineitem(spark, sf_dir):
+    return _li(spark, sf_dir).select(
+        "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"),
+        F.nullif("l_tax", F.lit(0.0)).alias("l_tax"),
+        F.nullif("l_returnflag", F.lit("N")).alias("l_returnflag"))
+
+
+def q_nullity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_col, _ = profile.nullity(nullable_lineitem(spark, sf_dir))
+    return round_doubles(per_col, DIGITS)
+
+
+def q_nullity_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pairs = profile.nullity(nullable_lineitem(spark, sf_dir))
+    return round_doubles(pairs, DIGITS)
+
+
+def q_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(profile.pearson(_li(spark, sf_dir), NUM_COLS), DIGITS)
+
+
+def q_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(profile.spearman(_li(spark, sf_dir), RANK_COLS), DIGITS)
+
+
+def q_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir).select(
+        "l_linenumber", F.round(F.col("l_discount") * 100).cast("int").alias("discount_pct"))
+    return round_doubles(profile.kendall_pair(li, "l_linenumber", "discount_pct"), DIGITS)
+
+
+def _size_class(li: DataFrame) -> DataFrame:
+    return li.withColumn("size_class", F.when(F.col("l_quantity") > 25, "big").otherwise("small"))
+
+
+def q_cramers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _size_class(_li(spark, sf_dir))
+    out = profile.chi_square(li, "l_returnflag", "l_linestatus").unionByName(
+        profile.chi_square(li, "l_linestatus", "size_class"))
+    return round_doubles(out, DIGITS)
+
+
+def q_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir)
+    out = profile.auto_matrix(li, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"])
+    return round_doubles(out, DIGITS)
+
+
+def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir).select(*NUM_COLS, "l_linenumber",
+                                   F.nullif("l_tax", F.lit(0.0)).alias("tax_or_null"))
+    return round_doubles(profile.alerts(li), DIGITS)
 # --------------------------------------------------------------------------- registry
 QUERIES = {
     "q_season": q_season,
@@ -421,6 +509,19 @@ QUERIES = {
     "q_keep_missing": q_keep_missing,
     "q_upsert_batch": q_upsert_batch,
     "q_upsert_merge": q_upsert_merge,
+    "q_overview": q_overview,
+    "q_profile_num": q_profile_num,
+    "q_profile_cat": q_profile_cat,
+    "q_top_values": q_top_values,
+    "q_hist": q_hist,
+    "q_nullity": q_nullity,
+    "q_nullity_corr": q_nullity_corr,
+    "q_pearson": q_pearson,
+    "q_spearman": q_spearman,
+    "q_kendall": q_kendall,
+    "q_cramers": q_cramers,
+    "q_auto": q_auto,
+    "q_alerts": q_alerts,
 }
 
 FLAGSHIP = q_frame
