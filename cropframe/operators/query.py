@@ -125,11 +125,15 @@ def relevance_order(df: DataFrame, score: str = "relevance", name: str = "featur
     return df.orderBy(F.col(score).desc(), F.col(name))
 
 
-def top_k_per_group(df: DataFrame, group: list[str], score, k: int, out: str = "rank") -> DataFrame:
-    """The k rows of largest |score| per group (row_number over a bounded group)."""
+def top_k_per_group(df: DataFrame, group: list[str], score, k: int, tie: str,
+                    out: str = "rank") -> DataFrame:
+    """The k rows of largest |score| per group, ties by ``tie``.
+
+    ``row_number() <= k`` lets Spark insert a per-partition group limit
+    before the shuffle, so even a large group ships only k rows per task.
+    """
     s = F.col(score) if isinstance(score, str) else score
-    w = Window.partitionBy(*group).orderBy(F.abs(s).desc(), *[F.col(c) for c in df.columns
-                                                              if c not in group][:1])
+    w = Window.partitionBy(*group).orderBy(F.abs(s).desc(), F.col(tie))
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 

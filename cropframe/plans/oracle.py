@@ -586,3 +586,95 @@ def _stable(sql: str) -> str:
 
 
 ORACLE = {k: _stable(v) for k, v in ORACLE.items()}
+
+# --------------------------------------------------------------------------- select / model / explain
+NUDGE = "1.0000000000003"
+
+ORACLE["q_impute"] = _stable("""
+WITH d AS (SELECT l_orderkey, l_linenumber, nullif(l_discount, 0.0) AS discount FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(coalesce(discount, avg(discount) OVER ()), 6) + 0.0 AS discount
+FROM d
+""")
+
+MI_F = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _bin_sql(c: str) -> str:
+    return (f"CAST(CASE WHEN mx_{c} = mn_{c} THEN 0 ELSE least(floor(({c} - mn_{c}) / "
+            f"((mx_{c} - mn_{c}) / 10.0)), 9) END AS INTEGER)")
+
+
+ORACLE["q_mi"] = _stable(f"""
+WITH d AS (SELECT {', '.join(f'{c} + 0.0 AS {c}' for c in MI_F)}, l_extendedprice + 0.0 AS y
+           FROM lineitem WHERE l_extendedprice IS NOT NULL),
+r AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in MI_F + ['y'])} FROM d),
+b AS (SELECT {', '.join(f'{_bin_sql(c)} AS {c}' for c in MI_F + ['y'])} FROM d, r),
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS xb, y AS yb FROM b" for c in MI_F)}),
+joint AS (SELECT feature, xb, yb, count(*) AS nxy FROM long GROUP BY feature, xb, yb),
+px AS (SELECT feature, xb, sum(nxy) AS nx FROM joint GROUP BY feature, xb),
+py AS (SELECT feature, yb, sum(nxy) AS ny FROM joint GROUP BY feature, yb),
+n AS (SELECT feature, sum(nxy) AS n FROM joint GROUP BY feature)
+SELECT j.feature, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) + 0.0 AS relevance
+FROM joint j JOIN px USING (feature, xb) JOIN py USING (feature, yb) JOIN n USING (feature)
+GROUP BY j.feature
+""")
+
+REGIONS = """(SELECT l.l_orderkey, l.l_linenumber, r.r_name AS region, l.l_quantity, l.l_extendedprice
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+FITS = f"""fits AS (SELECT region, regr_intercept(l_extendedprice, l_quantity) AS a,
+                      regr_slope(l_extendedprice, l_quantity) AS b FROM {REGIONS} GROUP BY region),
+pred AS (SELECT d.*, a + b * l_quantity AS prediction FROM {REGIONS} d JOIN fits USING (region))"""
+
+ORACLE["q_ols_group"] = _stable(f"""
+SELECT region, round(regr_intercept(l_extendedprice, l_quantity), 6) + 0.0 AS intercept,
+       round(regr_slope(l_extendedprice, l_quantity), 6) + 0.0 AS l_quantity
+FROM {REGIONS} GROUP BY region
+""")
+
+ORACLE["q_metrics"] = _stable(f"""
+WITH {FITS}
+SELECT region, round(avg(abs(l_extendedprice - prediction)), 6) + 0.0 AS mae,
+       round(avg((l_extendedprice - prediction) ^ 2), 6) + 0.0 AS mse,
+       round(sqrt(avg((l_extendedprice - prediction) ^ 2)), 6) + 0.0 AS rmse,
+       round(1 - sum((l_extendedprice - prediction) ^ 2) / (var_pop(l_extendedprice) * count(*)), 6) + 0.0 AS r2,
+       round(sqrt(avg((ln(1 + abs(prediction)) - ln(1 + abs(l_extendedprice))) ^ 2)), 6) + 0.0 AS rmsle,
+       round(avg(abs(l_extendedprice - prediction) / nullif(abs(l_extendedprice), 0)), 6) + 0.0 AS mape
+FROM pred GROUP BY region
+""")
+
+ORACLE["q_residuals"] = f"""
+WITH {FITS}
+SELECT l_orderkey, l_linenumber, region,
+       round(l_extendedprice * {NUDGE}, 2) + 0.0 AS label,
+       round(prediction * {NUDGE}, 2) + 0.0 AS prediction,
+       round((l_extendedprice - prediction) * {NUDGE}, 2) + 0.0 AS residual
+FROM pred
+"""
+
+ORACLE["q_linear_shap"] = f"""
+WITH c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b,
+                  regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS m
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'l_quantity' AS feature,
+       round(l_quantity * {NUDGE}, 2) + 0.0 AS value,
+       round(b * (l_quantity - m) * {NUDGE}, 2) + 0.0 AS shap,
+       round((a + b * m) * {NUDGE}, 2) + 0.0 AS base
+FROM lineitem, c
+"""
+
+ORACLE["q_cooks"] = f"""
+WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx,
+                  regr_sxx(l_extendedprice, l_quantity) AS sxx,
+                  regr_slope(l_extendedprice, l_quantity) AS b,
+                  regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, 1.0 / n + (l_quantity - mx) ^ 2 / sxx AS h,
+             l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, s),
+m AS (SELECT sum(e * e) / (max(s.n) - 2) AS s2 FROM r, s)
+SELECT l_orderkey, l_linenumber,
+       CAST(printf('%.5e', h * {NUDGE}) AS DOUBLE) AS leverage,
+       round(e * {NUDGE}, 2) + 0.0 AS residual,
+       CAST(printf('%.5e', e * e / (2 * s2) * h / ((1 - h) ^ 2) * {NUDGE}) AS DOUBLE) AS cooks
+FROM r, m
+"""

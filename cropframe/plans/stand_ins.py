@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.functions import round_doubles
+from cropframe.functions.numeric import NUDGE
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
-from cropframe.operators import clean, frame, gaps, profile, query, season, soil, upsert
+from cropframe.operators import (clean, explain, frame, gaps, model, profile, query, season,
+                                 select, soil, upsert)
 from cropframe.sources import concat_frames, driver_table, read_catalog
 
 DIGITS = 6
@@ -480,6 +482,166 @@ def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _li(spark, sf_dir).select(*NUM_COLS, "l_linenumber",
                                    F.nullif("l_tax", F.lit(0.0)).alias("tax_or_null"))
     return round_doubles(profile.alerts(li), DIGITS)
+
+
+# --------------------------------------------------------------------------- select / model / explain
+FRAME_KEY = ["state", "county", "year", "crop"]
+FRAME_FEATURES = ["avg_temp", "precipitation", "vp", "srad", "gdd", "ph", "organic_matter",
+                  "sand_pct", "clay_pct"]
+SHAP_FEATURES = ["avg_temp", "precipitation", "gdd", "ph"]
+
+
+def round_fixed(df: DataFrame, digits: int) -> DataFrame:
+    """Fixed-decimal comparison rounding for per-row model outputs."""
+    return df.select(*[
+        (F.round(F.col(f.name) * F.lit(float(NUDGE)), digits) + F.lit(0.0)).alias(f.name)
+        if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+def round_sig(df: DataFrame, cols: list[str], sig: int = 6) -> DataFrame:
+    """Significant-digit comparison rounding for small per-row statistics."""
+    return df.select(*[
+        F.format_string(f"%.{sig - 1}e", F.col(c) * F.lit(float(NUDGE))).cast("double").alias(c)
+        if c in cols else F.col(c) for c in df.columns])
+
+
+def q_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir).select("l_orderkey", "l_linenumber",
+                                   F.nullif("l_discount", F.lit(0.0)).alias("discount"))
+    return round_doubles(select.impute_mean(li, ["discount"]), DIGITS)
+
+
+MI_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def q_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = select.mutual_information(_li(spark, sf_dir), MI_FEATURES, "l_extendedprice")
+    return round_doubles(out, DIGITS)
+
+
+def q_mrmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(select.mrmr(_li(spark, sf_dir), MI_FEATURES, "l_extendedprice"), DIGITS)
+
+
+def lineitem_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
+                                   "l_extendedprice")
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    return (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+              .join(r, n.n_regionkey == r.r_regionkey)
+              .select("l_orderkey", "l_linenumber", F.col("r_name").alias("region"),
+                      "l_quantity", "l_extendedprice"))
+
+
+def q_ols_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 + M5: price on quantity, one least-squares line per region."""
+    d = lineitem_regions(spark, sf_dir)
+    return round_doubles(model.grouped_ols(d, ["region"], ["l_quantity"], "l_extendedprice"),
+                         DIGITS)
+
+
+def _region_predictions(spark, sf_dir):
+    d = lineitem_regions(spark, sf_dir)
+    coefs = model.grouped_ols(d, ["region"], ["l_quantity"], "l_extendedprice")
+    return model.predict_grouped(d, coefs, ["region"], ["l_quantity"]).withColumnRenamed(
+        "l_extendedprice", "label")
+
+
+def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: regression metrics of the per-region fits."""
+    return round_doubles(model.metrics(_region_predictions(spark, sf_dir), ["region"]), DIGITS)
+
+
+def q_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residual table of the per-region fits."""
+    res = model.residuals(_region_predictions(spark, sf_dir), ["l_orderkey", "l_linenumber",
+                                                               "region"])
+    return round_fixed(res, 2)
+
+
+def q_linear_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-form SHAP of one global least-squares line (background = all rows)."""
+    li = _li(spark, sf_dir)
+    c = model.grouped_ols(li.withColumn("_all", F.lit(1)), ["_all"], ["l_quantity"],
+                          "l_extendedprice").first()       # p + 1 numbers
+    mean = li.agg(F.avg("l_quantity")).first()[0]
+    out = explain.linear_shap(li, ["l_orderkey", "l_linenumber"], {"l_quantity": c["l_quantity"]},
+                              c["intercept"], {"l_quantity": mean})
+    return round_fixed(out, 2)
+
+
+def q_cooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = model.cooks_distance(_li(spark, sf_dir), ["l_orderkey", "l_linenumber"],
+                               ["l_quantity"], "l_extendedprice")
+    out = round_sig(out, ["leverage", "cooks"], 6)
+    return out.select("l_orderkey", "l_linenumber", "leverage",
+                      (F.round(F.col("residual") * F.lit(float(NUDGE)), 2) + F.lit(0.0))
+                      .alias("residual"), "cooks")
+
+
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, w, s = stand_in_tables(spark, sf_dir)
+    return frame.build_frame(y, w, s)
+
+
+def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M4, M5-M8: 3-fold comparison leaderboard on the training frame."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    models = {"lr": LinearRegression(labelCol="label", solver="normal"),
+              "rf": RandomForestRegressor(labelCol="label", seed=model.SEED, numTrees=20),
+              "gbr": GBTRegressor(labelCol="label", seed=model.SEED, maxIter=10),
+              "ada": model.AdaBoostRegressor(labelCol="label", n_estimators=5)}
+    board, _ = model.compare_models(frame_table(spark, sf_dir), FRAME_KEY, FRAME_FEATURES,
+                                    "yield", models=models, folds=3)
+    return board
+
+
+def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 + M16 + K7 path: fit a forest, report importances."""
+    from pyspark.ml.regression import RandomForestRegressor
+    m = model.fit(frame_table(spark, sf_dir), FRAME_KEY, FRAME_FEATURES, "yield",
+                  RandomForestRegressor(labelCol="label", seed=model.SEED, numTrees=20))
+    return model.importance(m, FRAME_FEATURES)
+
+
+def q_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.learning_curve(frame_table(spark, sf_dir), FRAME_KEY, FRAME_FEATURES, "yield")
+
+
+def q_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.regression import DecisionTreeRegressor
+    return model.validation_curve(frame_table(spark, sf_dir), FRAME_KEY, FRAME_FEATURES, "yield",
+                                  DecisionTreeRegressor(labelCol="label", seed=model.SEED),
+                                  "maxDepth", [2, 4, 6])
+
+
+def q_ada(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: AdaBoost.R2 fit and in-sample metrics."""
+    f = frame_table(spark, sf_dir)
+    m = model.fit(f, FRAME_KEY, FRAME_FEATURES, "yield",
+                  model.AdaBoostRegressor(labelCol="label", n_estimators=8))
+    pred = m.transform(f.withColumn("label", F.col("yield")))
+    return model.metrics(pred, [])
+
+
+def q_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E3: Shapley values of a forest for every frame row, and global importance."""
+    from pyspark.ml.regression import RandomForestRegressor
+    f = frame_table(spark, sf_dir)
+    m = model.fit(f, FRAME_KEY, SHAP_FEATURES, "yield",
+                  RandomForestRegressor(labelCol="label", seed=model.SEED, numTrees=10))
+    sv = explain.shap_values(m, f, FRAME_KEY, SHAP_FEATURES)
+    return explain.global_importance(sv)
+
+
+def q_lime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIME explanation of the drill-down row."""
+    f = frame_table(spark, sf_dir)
+    m = model.fit(f, FRAME_KEY, FRAME_FEATURES, "yield")
+    row = query.pick_row(f, ["county", "year", "crop"], county="NATION_3", year=1997)
+    return explain.lime(m, f, row, FRAME_KEY, FRAME_FEATURES)
 # --------------------------------------------------------------------------- registry
 QUERIES = {
     "q_season": q_season,
@@ -522,6 +684,21 @@ QUERIES = {
     "q_cramers": q_cramers,
     "q_auto": q_auto,
     "q_alerts": q_alerts,
+    "q_impute": q_impute,
+    "q_mi": q_mi,
+    "q_mrmr": q_mrmr,
+    "q_ols_group": q_ols_group,
+    "q_metrics": q_metrics,
+    "q_residuals": q_residuals,
+    "q_linear_shap": q_linear_shap,
+    "q_cooks": q_cooks,
+    "q_compare": q_compare,
+    "q_importance": q_importance,
+    "q_learning": q_learning,
+    "q_vc": q_vc,
+    "q_ada": q_ada,
+    "q_shap": q_shap,
+    "q_lime": q_lime,
 }
 
 FLAGSHIP = q_frame
