@@ -114,7 +114,8 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
     exists = os.path.exists(path) if "://" not in path else True
     cols = list(keys) + list(overwrite) + list(keep_if_null)
     if exists:
-        target = spark.read.parquet(path)
+        # The batch's types: partition values are not re-inferred as numbers.
+        target = spark.read.schema(batch.select(*cols).schema).parquet(path)
         if partition_by:
             touched = batch.select(*partition_by).distinct()
             target = target.join(touched, partition_by, "left_semi")
