@@ -43,6 +43,8 @@ def clean_yield_csv(df: DataFrame, start_year=None, end_year=None,
     Kept: Data Item contains 'YIELD' (any case; NULL -> dropped) and Year in
     [start, end]. Value is parsed without removing ',' (so '1,234' is NULL)
     and rows without a value are dropped. County and state are trimmed.
+    Rows with a NULL natural-key column are dropped: the stored table's key
+    is NOT NULL.
     """
     year = F.col("Year").try_cast("int")
     item = F.col("`Data Item`")
@@ -52,14 +54,16 @@ def clean_yield_csv(df: DataFrame, start_year=None, end_year=None,
     if end_year is not None:
         keep = keep & (year <= int(end_year))
     rows = _match_requests(df.filter(keep), requests, "County", "State")
-    extra = [c for c in ("src_file", "src_block", "src_row") if c in df.columns]
+    extra = [c for c in ("src_epoch", "src_file", "src_block", "src_row") if c in df.columns]
     out = rows.select(
         year.alias("year"), F.trim("State").alias("state"), F.trim("County").alias("county"),
         parse_number("Value").alias("value"), F.col("Commodity").alias("crop"),
         first_truthy(item, F.lit(None).cast("string")).alias("unit"),
         F.col("`Ag District`").alias("district"),
         plain_code("`County ANSI`").alias("county_ansi"), *extra)
-    return out.filter(F.col("value").isNotNull())
+    return out.filter(F.col("value").isNotNull() & F.col("year").isNotNull()
+                      & F.col("county").isNotNull() & F.col("state").isNotNull()
+                      & F.col("crop").isNotNull())
 
 
 def clean_yield_json(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from cropframe.operators import clean, upsert
 from cropframe.sources import schemas
 from cropframe.session import checkpoint_dir
 
-YIELD_ORDER = ["src_file", "src_block", "src_row"]
+YIELD_ORDER = ["src_epoch", "src_file", "src_block", "src_row"]
 
 
 def landed_yield_stream(spark: SparkSession, landing: str) -> DataFrame:
@@ -24,8 +24,7 @@ def landed_yield_stream(spark: SparkSession, landing: str) -> DataFrame:
     return (spark.readStream.schema(schemas.YIELD_CSV).option("header", True)
             .option("maxFilesPerTrigger", 1000).csv(landing)
             .withColumn("src_file", F.col("_metadata.file_path"))
-            .withColumn("src_block", F.col("_metadata.file_block_start"))
-            .withColumn("src_row", F.monotonically_increasing_id()))
+            .withColumn("src_block", F.col("_metadata.file_block_start")))
 
 
 def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str | None = None,
@@ -39,6 +38,9 @@ def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str
     path = f"{store}/yields"
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
+        # Row order inside a file is only available on the static batch.
+        batch = (batch.withColumn("src_row", F.monotonically_increasing_id())
+                 .withColumn("src_epoch", F.lit(epoch)))
         rows = clean.clean_yield_csv(batch, start_year, end_year)
         upsert.upsert_table(batch.sparkSession, path, rows, schemas.YIELD_KEY, YIELD_ORDER,
                             ["value", "unit"], ["district", "county_ansi"],
