@@ -92,23 +92,31 @@ def overview(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- P2
 def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column; skewness and kurtosis are the sample
-    (bias-adjusted) estimates a pandas frame reports."""
+    (bias-adjusted) estimates a pandas frame reports.
+
+    Moments come from one plain aggregate; the distinct count from a
+    (feature, value) count table, so the moment buffers never ride through
+    the distinct-value shuffle.
+    """
     cols = cols or numeric_columns(df)
     lf = long_form(df, cols, keep_null=True)
     v = F.col("value")
     g = lf.groupBy("feature").agg(
         F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"),
-        F.count_distinct(v).alias("distinct"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
         F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
         F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"))
+    dist = (lf.filter(v.isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy("feature").agg(F.count(F.lit(1)).alias("distinct")))
+    g = g.join(dist, "feature", "left")
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("_g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
-    return g.select("feature", "count", "missing", "distinct", "mean", "std", "variance", "min",
-                    "max", "sum", "zeros", "negatives", skew.alias("skewness"),
-                    kurt.alias("kurtosis"))
+    return g.select("feature", "count", "missing",
+                    F.coalesce(F.col("distinct"), F.lit(0)).alias("distinct"), "mean", "std",
+                    "variance", "min", "max", "sum", "zeros", "negatives",
+                    skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
 # --------------------------------------------------------------------------- P3
@@ -128,10 +136,11 @@ def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_AC
     lo_p = [max(0.0, p - eps) for p in probs]
     hi_p = [min(1.0, p + eps) for p in probs]
     v = F.col(value)
+    k = len(probs)
     st = lf.groupBy(feature).agg(
         F.count(v).alias("n"),
-        F.percentile_approx(v, F.array(*[F.lit(x) for x in lo_p]), accuracy).alias("_lo"),
-        F.percentile_approx(v, F.array(*[F.lit(x) for x in hi_p]), accuracy).alias("_hi"))
+        F.percentile_approx(v, F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_q"))
+    st = st.select(feature, "n", F.slice("_q", 1, k).alias("_lo"), F.slice("_q", k + 1, k).alias("_hi"))
     pt = st.select(feature, "n", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("i", "b"))
     pa = F.array(*[F.lit(float(p)) for p in probs])
     br = pt.select(feature, F.element_at(pa, F.col("i") + 1).alias("p"),
@@ -159,22 +168,40 @@ def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_AC
 
 def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] | None = None,
               accuracy: int = APPROX_ACCURACY) -> DataFrame:
-    """5/25/50/75/95 % quantiles, IQR and MAD per numeric column (one row each)."""
+    """5/25/50/75/95 % quantiles, IQR and MAD per numeric column (one row each).
+
+    Two passes: exact quantiles of the values, then the median of
+    |value - median|. The first result (columns x probabilities numbers) is
+    collected so the second pass uses the medians as literals instead of
+    recomputing the first plan.
+    """
+    spark = df.sparkSession
     cols = cols or numeric_columns(df)
     probs = probs or PROFILE_PROBS
+    allp = sorted(set(probs) | {0.25, 0.5, 0.75})
     lf = long_form(df, cols)
-    q = exact_quantiles(lf, sorted(set(probs) | {0.25, 0.5, 0.75}), accuracy)
-    med = q.filter(F.col("p") == 0.5).select("feature", F.col("q").alias("_med"))
-    # med holds one row per column: bounded, safe to broadcast.
-    dev = lf.join(F.broadcast(med), "feature").select(
-        "feature", F.abs(F.col("value") - F.col("_med")).alias("value"))
-    mad = exact_quantiles(dev, [0.5], accuracy).select("feature", F.col("q").alias("mad"))
-    wide = q.groupBy("feature").agg(*[
-        F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{int(round(p * 100)):02d}")
-        for p in sorted(set(probs) | {0.25, 0.5, 0.75})])
-    wide = wide.withColumn("iqr", F.col("p75") - F.col("p25"))
-    keep = ["feature"] + [f"p{int(round(p * 100)):02d}" for p in probs] + ["iqr", "mad"]
-    return wide.join(mad, "feature").select(*keep)
+    got: dict[str, dict[float, float]] = {}
+    for r in exact_quantiles(lf, allp, accuracy).collect():   # bounded: cols x probs rows
+        got.setdefault(r["feature"], {})[r["p"]] = r["q"]
+    mads = {}
+    if got:
+        pairs = []
+        for c in got:
+            pairs += [F.lit(c), F.lit(got[c][0.5])]
+        med = F.create_map(*pairs)
+        dev = lf.select("feature", F.abs(F.col("value") - F.element_at(med, F.col("feature")))
+                        .alias("value"))
+        mads = {r["feature"]: r["q"] for r in exact_quantiles(dev, [0.5], accuracy).collect()}
+    names = [f"p{int(round(p * 100)):02d}" for p in probs]
+    rows = []
+    for c in cols:
+        if c not in got:
+            continue
+        qd = got[c]
+        rows.append(tuple([c] + [qd[p] for p in probs] + [qd[0.75] - qd[0.25], mads.get(c)]))
+    schema = ", ".join(["feature string"] + [f"{n} double" for n in names]
+                       + ["iqr double", "mad double"])
+    return spark.createDataFrame(rows, schema)
 
 
 # --------------------------------------------------------------------------- P4
