@@ -351,13 +351,15 @@ class AdaBoostRegressor(Estimator):
                                        seed=self.seed + m, predictionCol="_p")
             tree = dt.fit(data)
             scored = tree.transform(data).withColumn("_e", F.abs(y - F.col("_p")))
-            st = scored.agg(F.max("_e").alias("mx"), F.sum("_w").alias("sw")).first()
+            # one pass: sum(w * e) / (max(e) * sum(w)) is the weighted mean linear loss
+            st = scored.agg(F.max("_e").alias("mx"), F.sum("_w").alias("sw"),
+                            F.sum(F.col("_w") * F.col("_e")).alias("swe")).first()
             if not st["mx"]:
                 trees.append(tree)
                 weights.append(1.0)
                 break
             loss = F.col("_e") / F.lit(st["mx"])
-            avg_loss = scored.agg(F.sum(loss * F.col("_w")) / F.lit(st["sw"])).first()[0]
+            avg_loss = st["swe"] / (st["mx"] * st["sw"])
             if avg_loss >= 0.5:
                 if not trees:
                     trees.append(tree)

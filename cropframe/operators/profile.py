@@ -319,13 +319,28 @@ def spearman_pair(df: DataFrame, x: str, y: str, buckets: int = RANK_BUCKETS) ->
 
 
 def spearman(df: DataFrame, cols: list[str] | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Spearman matrix (x, y, r) over all column pairs."""
+    """Spearman matrix (x, y, r) over all column pairs.
+
+    Pairwise-complete like a pandas frame. When no column has a NULL (one
+    cheap count), every pair uses the same rows, so each column is ranked
+    once, the ranks are attached to the rows, and all pairwise correlations
+    come from one aggregate. Otherwise each pair is ranked on its own
+    complete rows.
+    """
     cols = cols or numeric_columns(df)
-    parts = [spearman_pair(df, a, b, buckets) for a, b in combinations(cols, 2)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    if any(nulls[c] for c in cols):
+        parts = [spearman_pair(df, a, b, buckets) for a, b in combinations(cols, 2)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    rows = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols])
+    ranked = rows
+    for i, c in enumerate(cols):
+        r = average_rank(rows, c, buckets, out=f"_r{i}").select(c, f"_r{i}")
+        ranked = ranked.join(r, c)
+    return pearson(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)]), cols)
 
 
 # --------------------------------------------------------------------------- P8

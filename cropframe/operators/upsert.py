@@ -101,6 +101,16 @@ def publish(spark: SparkSession, df: DataFrame, path: str, partition_by: list[st
     return path
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True when a parquet table can be read at ``path`` (any file system)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False
+
+
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str],
                  order: list[str] | str, overwrite: list[str], keep_if_null: list[str] = (),
                  partition_by: list[str] | None = None, mode: str = "merge") -> str:
@@ -110,8 +120,7 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
     semi-joined to the batch's partition values, which prunes the scan.
     An empty batch is a no-op on the data.
     """
-    import os
-    exists = os.path.exists(path) if "://" not in path else True
+    exists = table_exists(spark, path)
     cols = list(keys) + list(overwrite) + list(keep_if_null)
     if exists:
         # The batch's types: partition values are not re-inferred as numbers.
