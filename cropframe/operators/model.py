@@ -56,6 +56,17 @@ def stable_layout(df: DataFrame, keys: list[str], n: int = FIT_PARTITIONS) -> Da
     return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder.
+
+    Used before loops of fits: every fit then reads the checkpoint instead
+    of recomputing the input's lineage, and a lost executor recovers from
+    the checkpoint files.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def pipeline(estimator, numeric: list[str], categorical: list[str] | None = None,
              features_col: str = "features") -> Pipeline:
     """M3: mean imputation, one-hot categories, assembled vector, estimator."""
@@ -133,7 +144,7 @@ def compare_models(df: DataFrame, keys: list[str], numeric: list[str], label: st
     models = models or estimators("label", seed)
     data = with_folds(df.withColumn("label", F.col(label).cast("double"))
                       .filter(F.col("label").isNotNull()), keys, folds, seed)
-    data = stable_layout(data, keys)
+    data = materialize(stable_layout(data, keys))
     preds = None
     for name, est in models.items():
         for k in range(folds):
@@ -188,7 +199,7 @@ def learning_curve(df: DataFrame, keys: list[str], numeric: list[str], label: st
                    estimator=None, shares=(0.2, 0.4, 0.6, 0.8, 1.0), seed: int = SEED):
     """Fits on nested hash fractions of the training split -> (share, train_r2, test_r2)."""
     spark = df.sparkSession
-    train, test = split(df, keys, seed)
+    train, test = split(materialize(df), keys, seed)
     b = hash_bucket(keys, seed + 2)
     rows = []
     for s in shares:
@@ -204,7 +215,7 @@ def validation_curve(df: DataFrame, keys: list[str], numeric: list[str], label:
                      estimator, param: str, values: list, seed: int = SEED):
     """Fits over one hyper-parameter grid -> (value, train_r2, test_r2)."""
     spark = df.sparkSession
-    train, test = split(df, keys, seed)
+    train, test = split(materialize(df), keys, seed)
     rows = []
     for v in values:
         est = estimator.copy({estimator.getParam(param): v})
@@ -341,9 +352,8 @@ class AdaBoostRegressor(Estimator):
         return name
 
     def _fit(self, df: DataFrame):
-        checkpoint_dir(df.sparkSession)
         y = F.col(self.labelCol)
-        data = df.select(self.featuresCol, self.labelCol).withColumn("_w", F.lit(1.0))
+        data = materialize(df.select(self.featuresCol, self.labelCol).withColumn("_w", F.lit(1.0)))
         trees, weights = [], []
         for m in range(self.n_estimators):
             dt = DecisionTreeRegressor(featuresCol=self.featuresCol, labelCol=self.labelCol,

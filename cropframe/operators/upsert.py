@@ -101,6 +101,33 @@ def publish(spark: SparkSession, df: DataFrame, path: str, partition_by: list[st
     return path
 
 
+MAX_LITERAL_PARTITIONS = 10000
+
+
+def _touched_partitions(target: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Restrict the stored table to the partitions the batch touches.
+
+    The distinct partition values of the batch are at most the table's
+    partition count; up to MAX_LITERAL_PARTITIONS they become a literal
+    filter, which prunes directories at planning time. Beyond that a
+    semi-join is used (dynamic partition pruning can still apply).
+    """
+    touched = batch.select(*partition_by).distinct()
+    vals = touched.limit(MAX_LITERAL_PARTITIONS + 1).collect()
+    if len(vals) > MAX_LITERAL_PARTITIONS:
+        return target.join(touched, partition_by, "left_semi")
+    if not vals:
+        return target.limit(0)
+    cond = None
+    for r in vals:
+        c = None
+        for k in partition_by:
+            e = F.col(k).eqNullSafe(F.lit(r[k]))
+            c = e if c is None else c & e
+        cond = c if cond is None else cond | c
+    return target.filter(cond)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """True when a parquet table can be read at ``path`` (any file system)."""
     from pyspark.errors import AnalysisException
@@ -126,8 +153,7 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
         # The batch's types: partition values are not re-inferred as numbers.
         target = spark.read.schema(batch.select(*cols).schema).parquet(path)
         if partition_by:
-            touched = batch.select(*partition_by).distinct()
-            target = target.join(touched, partition_by, "left_semi")
+            target = _touched_partitions(target, batch, partition_by)
     else:
         target = spark.createDataFrame([], batch.select(*cols).schema)
     if mode == "merge":
