@@ -678,3 +678,20 @@ SELECT l_orderkey, l_linenumber,
        CAST(printf('%.5e', e * e / (2 * s2) * h / ((1 - h) ^ 2) * {NUDGE}) AS DOUBLE) AS cooks
 FROM r, m
 """
+
+ORACLE["q_season_windows"] = _stable("""
+SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year,
+       round(coalesce(sum(CASE WHEN month(l_shipdate) BETWEEN 3 AND 5 THEN l_extendedprice END), 0.0), 6) + 0.0 AS spring,
+       round(coalesce(sum(CASE WHEN month(l_shipdate) BETWEEN 6 AND 8 THEN l_extendedprice END), 0.0), 6) + 0.0 AS summer,
+       round(coalesce(sum(CASE WHEN month(l_shipdate) BETWEEN 5 AND 9 THEN l_extendedprice END), 0.0), 6) + 0.0 AS growing,
+       round(coalesce(sum(CASE WHEN month(l_shipdate) BETWEEN 1 AND 2 THEN l_extendedprice END), 0.0), 6) + 0.0 AS winter_start
+FROM lineitem GROUP BY l_suppkey, year(l_shipdate)
+""")
+
+ORACLE["q_error_line"] = _stable(f"""
+WITH {FITS}
+SELECT region, round(regr_slope(prediction, l_extendedprice), 6) + 0.0 AS slope,
+       round(regr_intercept(prediction, l_extendedprice), 6) + 0.0 AS intercept,
+       round(regr_r2(prediction, l_extendedprice), 6) + 0.0 AS r2
+FROM pred GROUP BY region
+""")

@@ -56,6 +56,16 @@ def q_season_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+SEASONS = {"spring": (3, 5), "summer": (6, 8), "growing": (5, 9), "winter_start": (1, 2)}
+
+
+def q_season_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precipitation over several named, overlapping month windows."""
+    out = season.season_table(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_shipdate",
+                              "l_extendedprice", SEASONS)
+    return round_doubles(out, DIGITS)
+
+
 def q_cum_gdd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4 on events: one temperature reading per event, whole-year season."""
     ev = _t(spark, sf_dir, "events")
@@ -561,6 +571,12 @@ def q_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_fixed(res, 2)
 
 
+def q_error_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction-error line (prediction on label) of the per-region fits."""
+    return round_doubles(model.prediction_error_line(_region_predictions(spark, sf_dir),
+                                                     ["region"]), DIGITS)
+
+
 def q_linear_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-form SHAP of one global least-squares line (background = all rows)."""
     li = _li(spark, sf_dir)
@@ -647,6 +663,7 @@ QUERIES = {
     "q_season": q_season,
     "q_season_simple": q_season_simple,
     "q_cum_gdd": q_cum_gdd,
+    "q_season_windows": q_season_windows,
     "q_weighted": q_weighted,
     "q_texture": q_texture,
     "q_frame": q_frame,
@@ -690,6 +707,7 @@ QUERIES = {
     "q_ols_group": q_ols_group,
     "q_metrics": q_metrics,
     "q_residuals": q_residuals,
+    "q_error_line": q_error_line,
     "q_linear_shap": q_linear_shap,
     "q_cooks": q_cooks,
     "q_compare": q_compare,
