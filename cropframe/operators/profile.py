@@ -469,19 +469,6 @@ def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(x, y).agg(F.count(F.lit(1)).alias("count"))
 
 
-def _one_row(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Several one-row, one-value aggregates -> one row with a column each.
-
-    Done by a union and a single aggregate, so no join between them.
-    """
-    u = None
-    for name, d in parts:
-        t = d.select(F.lit(name).alias("_name"),
-                     F.col(f"`{d.columns[0]}`").cast("double").alias("_v"))
-        u = t if u is None else u.unionByName(t)
-    return u.agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n, _ in parts])
-
-
 def chi_square(df: DataFrame, x: str, y: str, correction: bool = True) -> DataFrame:
     """Chi-square statistic, degrees of freedom and bias-corrected Cramer's V.
 
@@ -494,15 +481,17 @@ def chi_square(df: DataFrame, x: str, y: str, correction: bool = True) -> DataFr
     """
     d = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
     cells = contingency(d, "_x", "_y")
-    rx = cells.groupBy("_x").agg(F.sum("count").alias("r_i"))
-    cy = cells.groupBy("_y").agg(F.sum("count").alias("c_j"))
-    j = cells.join(rx, "_x").join(cy, "_y")
+    # Margins by windows over the (small) cell table: each partition holds
+    # the cells of one category, so the cells are computed once.
+    j = (cells.withColumn("r_i", F.sum("count").over(Window.partitionBy("_x")))
+              .withColumn("c_j", F.sum("count").over(Window.partitionBy("_y"))))
     o, ri, cj = (F.col("count").cast("double"), F.col("r_i").cast("double"),
                  F.col("c_j").cast("double"))
-    t = _one_row([
-        ("n", j.agg(F.sum(o))), ("q", j.agg(F.sum(o * o / (ri * cj)))),
-        ("r", rx.agg(F.count(F.lit(1)))), ("k", cy.agg(F.count(F.lit(1)))),
-        ("ir", rx.agg(F.sum(1.0 / F.col("r_i")))), ("ic", cy.agg(F.sum(1.0 / F.col("c_j"))))])
+    # Over the cells of a row, sum(o / r_i) = 1 and sum(o / r_i^2) = 1 / r_i,
+    # so category counts and inverse-margin sums come from the same pass.
+    t = j.agg(F.sum(o).alias("n"), F.sum(o * o / (ri * cj)).alias("q"),
+              F.round(F.sum(o / ri)).alias("r"), F.round(F.sum(o / cj)).alias("k"),
+              F.sum(o / (ri * ri)).alias("ir"), F.sum(o / (cj * cj)).alias("ic"))
     n, r, k = F.col("n"), F.col("r"), F.col("k")
     plain = n * F.col("q") - n
     inv = n * F.col("ir") * F.col("ic")
@@ -596,27 +585,24 @@ def alerts(df: DataFrame, numeric: list[str] | None = None, missing: float = ALE
     constant, unique, missing, zeros, skewed, high correlation."""
     numeric = numeric or numeric_columns(df)
     p = numeric_profile(df, numeric)
-    tot = F.col("count") + F.col("missing")
-    flags = [
-        p.filter(F.col("distinct") == 1).select("feature", F.lit("constant").alias("alert"),
-                                                F.col("distinct").cast("double").alias("value")),
-        p.filter((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).select(
-            "feature", F.lit("unique").alias("alert"), F.col("distinct").cast("double").alias("value")),
-        p.filter(F.col("missing") / tot > missing).select(
-            "feature", F.lit("missing").alias("alert"), (F.col("missing") / tot).alias("value")),
-        p.filter(F.try_divide(F.col("zeros"), F.col("count")) > zeros).select(
-            "feature", F.lit("zeros").alias("alert"),
-            F.try_divide(F.col("zeros"), F.col("count")).alias("value")),
-        p.filter(F.abs(F.col("skewness")) > skewness).select(
-            "feature", F.lit("skewed").alias("alert"), F.col("skewness").alias("value")),
-    ]
+    tot = (F.col("count") + F.col("missing")).cast("double")
+    zshare = F.try_divide(F.col("zeros").cast("double"), F.col("count").cast("double"))
+    def cand(name, value, on):
+        return F.struct(F.lit(name).alias("alert"), value.cast("double").alias("value"),
+                        on.alias("on"))
+
+    cands = F.array(
+        cand("constant", F.col("distinct"), F.col("distinct") == 1),
+        cand("unique", F.col("distinct"), (F.col("distinct") == F.col("count")) & (F.col("count") > 0)),
+        cand("missing", F.col("missing") / tot, F.col("missing") / tot > missing),
+        cand("zeros", zshare, zshare > zeros),
+        cand("skewed", F.col("skewness"), F.abs(F.col("skewness")) > skewness))
+    out = (p.select("feature", F.explode(cands).alias("t"))
+           .filter(F.col("t.on")).select("feature", "t.alert", "t.value"))
     if len(numeric) > 1:
         r = pearson(df, numeric).filter(F.abs(F.col("r")) > correlation)
         both = r.select(F.col("x").alias("feature"), "r").unionByName(
             r.select(F.col("y").alias("feature"), "r"))
-        flags.append(both.groupBy("feature").agg(F.max(F.abs("r")).alias("value")).select(
-            "feature", F.lit("high_correlation").alias("alert"), "value"))
-    out = flags[0]
-    for f in flags[1:]:
-        out = out.unionByName(f)
+        out = out.unionByName(both.groupBy("feature").agg(F.max(F.abs("r")).alias("value"))
+                              .select("feature", F.lit("high_correlation").alias("alert"), "value"))
     return out
