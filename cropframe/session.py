@@ -36,6 +36,32 @@ def get_spark(app: str = "cropframe", cores: str | int | None = None,
     return spark
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors).
+# Start with many shuffle partitions and let AQE coalesce them to ~256 MB;
+# scan splits of 256 MB keep task counts reasonable on wide parquet tables;
+# skewed join partitions (a key with a third of the rows) are split by AQE.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_settings(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
+    """Set the cluster sizing above on a running session (runtime SQL confs only)."""
+    for k, v in {**CLUSTER_SETTINGS, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
