@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 PROFILE_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 APPROX_ACCURACY = 10000
 RANK_BUCKETS = 128
+RANK_BUCKET_VALUES = 1_000_000
+MAX_RANK_BUCKETS = 100_000
 KENDALL_BUCKETS = 32
 KENDALL_POINTS = 1_000_000
 HIST_BINS = 10
@@ -273,17 +275,22 @@ def _edges(vc: DataFrame, col: str, buckets: int) -> list[float]:
     return [-math.inf] + inner + [math.inf]
 
 
-def average_rank(df: DataFrame, col: str, buckets: int = RANK_BUCKETS, out: str = "rank",
+def average_rank(df: DataFrame, col: str, buckets: int | None = None, out: str = "rank",
                  weight: str | None = None) -> DataFrame:
     """Average (tie-mean) rank of each distinct value of ``col`` -> (col, count, rank).
 
     Values are bucketed by approximate quantiles of the distinct values; the
     bucket totals (at most ``buckets`` rows) are prefix-summed, and a running
-    sum inside each bucket gives the exact count of smaller values. Only
-    the edge list (``buckets`` numbers) reaches the driver.
+    sum inside each bucket gives the exact count of smaller values. By
+    default the bucket count grows with the distinct values (about
+    RANK_BUCKET_VALUES per bucket). Only the edge list reaches the driver.
     """
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
     vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(cnt.alias("count"))
+    if buckets is None:
+        # about RANK_BUCKET_VALUES distinct values per window partition
+        buckets = int(min(MAX_RANK_BUCKETS,
+                          max(RANK_BUCKETS, math.ceil(vc.count() / RANK_BUCKET_VALUES))))
     splits = _edges(vc, col, buckets)
     bz = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep")
     vb = bz.transform(vc.withColumn("_v", F.col(col).cast("double"))).drop("_v")
@@ -298,7 +305,7 @@ def average_rank(df: DataFrame, col: str, buckets: int = RANK_BUCKETS, out: str
     return r.select(col, "count", rank.alias(out))
 
 
-def spearman_pair(df: DataFrame, x: str, y: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def spearman_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
     """P7 for one pair: Pearson r of the average ranks over complete rows.
 
     Rows are compressed to distinct (x, y, count); ranks join on the value.
@@ -319,7 +326,7 @@ def spearman_pair(df: DataFrame, x: str, y: str, buckets: int = RANK_BUCKETS) ->
     return g.select(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"))
 
 
-def spearman(df: DataFrame, cols: list[str] | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
+def spearman(df: DataFrame, cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Spearman matrix (x, y, r) over all column pairs.
 
     Pairwise-complete like a pandas frame. When no column has a NULL (one
