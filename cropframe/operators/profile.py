@@ -123,8 +123,41 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- P3
+NARROW_ABOVE = 1_000_000_000
+NARROW_GRID = 1000
+
+
+def _narrow(lf: DataFrame, br: DataFrame, accuracy: int, feature: str, value: str) -> DataFrame:
+    """Second bracketing pass: a sketch over the rows inside each bracket only.
+
+    Percentages of ``percentile_approx`` must be constants, so a fixed grid
+    of NARROW_GRID + 1 percentiles is taken inside each bracket and the two
+    grid points around the wanted positions (plus a margin for the sketch
+    error) become the new bracket: about 1/200 of the old one.
+    """
+    v = F.col(value)
+    grid = [i / NARROW_GRID for i in range(NARROW_GRID + 1)]
+    inside = v.between(F.col("v_lo"), F.col("v_hi"))
+    # br is bounded (#features x #probs): broadcast.
+    st = lf.join(F.broadcast(br), feature).groupBy(feature, "p").agg(
+        F.count_if(v < F.col("v_lo")).alias("_below"), F.count_if(inside).alias("_m"),
+        F.percentile_approx(F.when(inside, v), grid, accuracy).alias("_g"))
+    margin = 2 + math.ceil(3 * NARROW_GRID / accuracy)
+    m = F.greatest(F.col("_m"), F.lit(1)).cast("double")
+    i_lo = F.greatest(F.floor((F.col("k_lo") - F.col("_below")) / m * NARROW_GRID) - margin,
+                      F.lit(0))
+    i_hi = F.least(F.ceil((F.col("k_hi") - F.col("_below") + 1) / m * NARROW_GRID) + margin,
+                   F.lit(NARROW_GRID))
+    out = br.join(st, [feature, "p"]).select(
+        feature, "p", "n", "h", "k_lo", "k_hi",
+        F.coalesce(F.element_at("_g", (i_lo + 1).cast("int")), F.col("v_lo")).alias("v_lo"),
+        F.coalesce(F.element_at("_g", (i_hi + 1).cast("int")), F.col("v_hi")).alias("v_hi"))
+    return out
+
+
 def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_ACCURACY,
-                    feature: str = "feature", value: str = "value") -> DataFrame:
+                    feature: str = "feature", value: str = "value",
+                    narrow_above: int = NARROW_ABOVE) -> DataFrame:
     """Exact linear-interpolation quantiles per feature, without a global sort.
 
     1. ``percentile_approx`` gives, per feature and p, values whose ranks
@@ -133,7 +166,10 @@ def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_AC
     2. distinct values inside the bracket are ranked by a window partitioned
        by (feature, p): each partition holds about 6 n / accuracy rows at most;
     3. the count below the bracket gives the absolute positions.
-    Output: (feature, p, q).
+    The bracket table (#features x #probs rows) is collected once; when a
+    feature has more than ``narrow_above`` values, a second sketch inside
+    the bracket narrows it (``_narrow``), so the window stays bounded at any
+    scale. Output: (feature, p, q).
     """
     eps = 3.0 / accuracy
     lo_p = [max(0.0, p - eps) for p in probs]
@@ -150,7 +186,13 @@ def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_AC
                    F.col("b._lo").alias("v_lo"), F.col("b._hi").alias("v_hi"), "n")
     h = (F.col("n") - 1).cast("double") * F.col("p")
     br = br.withColumn("h", h).withColumn("k_lo", F.floor("h").cast("long")).withColumn(
-        "k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
+        "k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1)).select(
+        feature, "p", "n", "h", "k_lo", "k_hi", "v_lo", "v_hi")
+    rows = br.collect()                       # bounded: #features x #probs
+    br = lf.sparkSession.createDataFrame(rows, br.schema)
+    if rows and max(r["n"] for r in rows) > narrow_above:
+        br = lf.sparkSession.createDataFrame(_narrow(lf, br, accuracy, feature, value).collect(),
+                                             br.schema)
     vc = lf.groupBy(feature, value).agg(F.count(F.lit(1)).alias("c"))
     # br holds (#features x #probs) rows: a proven bound, safe to broadcast.
     j = vc.join(F.broadcast(br), feature)
@@ -170,7 +212,7 @@ def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_AC
 
 
 def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] | None = None,
-              accuracy: int = APPROX_ACCURACY) -> DataFrame:
+              accuracy: int = APPROX_ACCURACY, narrow_above: int = NARROW_ABOVE) -> DataFrame:
     """5/25/50/75/95 % quantiles, IQR and MAD per numeric column (one row each).
 
     Two passes: exact quantiles of the values, then the median of
@@ -184,7 +226,7 @@ def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
     allp = sorted(set(probs) | {0.25, 0.5, 0.75})
     lf = long_form(df, cols)
     got: dict[str, dict[float, float]] = {}
-    for r in exact_quantiles(lf, allp, accuracy).collect():   # bounded: cols x probs rows
+    for r in exact_quantiles(lf, allp, accuracy, narrow_above=narrow_above).collect():
         got.setdefault(r["feature"], {})[r["p"]] = r["q"]
     mads = {}
     if got:
@@ -194,7 +236,8 @@ def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
         med = F.create_map(*pairs)
         dev = lf.select("feature", F.abs(F.col("value") - F.element_at(med, F.col("feature")))
                         .alias("value"))
-        mads = {r["feature"]: r["q"] for r in exact_quantiles(dev, [0.5], accuracy).collect()}
+        mads = {r["feature"]: r["q"] for r in
+                exact_quantiles(dev, [0.5], accuracy, narrow_above=narrow_above).collect()}
     names = [f"p{int(round(p * 100)):02d}" for p in probs]
     rows = []
     for c in cols:

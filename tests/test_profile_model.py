@@ -27,6 +27,15 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(q[c]["mad"], np.median(np.abs(v - med)), rel_tol=1e-12)
 
 
+def test_exact_quantiles_two_stage(spark):
+    li = _li(spark)
+    pdf = li.select("l_extendedprice").toPandas()
+    q = profile.quantiles(li, ["l_extendedprice"], accuracy=20, narrow_above=10).first()
+    v = pdf["l_extendedprice"].to_numpy()
+    for name, p in (("p05", 5), ("p50", 50), ("p95", 95)):
+        assert math.isclose(q[name], np.percentile(v, p), rel_tol=1e-12)
+
+
 def test_average_rank_matches_pandas(spark):
     li = _li(spark)
     got = profile.average_rank(li, "l_extendedprice", buckets=7).toPandas()
