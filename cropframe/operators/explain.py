@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropframe.operators.model import materialize
 from cropframe.operators.query import top_k_per_group
 
 BACKGROUND_ROWS = 100
@@ -194,23 +195,63 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
             (b == _bin(F.col(f), qs[f])).cast("double")).alias(f"_z{j}"))
     drawn = samples.select(*keys, "_iid", "_s", *cols, *zs)
     scored = model.transform(drawn)
-    d2 = None
+    # Binary rows are standardised with the mean and (population) std of the
+    # training bin indices; the regression and the distances use that scale.
+    zc, d2 = [], None
     for j, f in enumerate(features):
-        sd = stats[f"s_{f}"] or 1.0
-        # scaled distance of a binary row from the instance's all-ones row
-        t = ((F.col(f"_z{j}") - F.lit(1.0)) / F.lit(float(sd))) ** 2
+        mu, sd = float(stats[f"m_{f}"]), float(stats[f"s_{f}"] or 1.0)
+        zc.append(((F.col(f"_z{j}") - F.lit(mu)) / F.lit(sd)).alias(f"_z{j}"))
+        t = ((F.col(f"_z{j}") - F.lit(1.0)) / F.lit(sd)) ** 2
         d2 = t if d2 is None else d2 + t
-    weighted = scored.withColumn("_kw", F.sqrt(F.exp(-d2 / F.lit(width * width))))
-    coef = _weighted_ridge(weighted, keys, [f"_z{j}" for j in range(p)], "prediction", "_kw")
-    long = coef.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"_z{j}").alias("weight"))
-        for j, f in enumerate(features)])).alias("t")).select(*keys, "t.*")
-    top = top_k_per_group(long, keys, "weight", k, tie="feature")
-    chosen = top.select(*keys, "feature")
-    refit = _refit_selected(weighted, coef, chosen, keys, features)
+    weighted = scored.select(*keys, "prediction",
+                             F.sqrt(F.exp(-d2 / F.lit(width * width))).alias("_kw"), *zc)
+    # every selection and refit pass must see the same random neighbourhood
+    weighted = materialize(weighted)
+    zcols = [f"_z{j}" for j in range(p)]
+    if k <= 6:
+        chosen = _forward_selection(weighted, keys, features, k)
+    else:
+        # highest weights: a light ridge, features ranked by |coef * instance value|
+        c0 = _weighted_ridge(weighted, keys, zcols, "prediction", "_kw", alpha=0.01)
+        inst_z = {f: (1.0 - float(stats[f"m_{f}"])) / float(stats[f"s_{f}"] or 1.0)
+                  for f in features}
+        long = c0.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(f).alias("feature"),
+                     (F.col(f"_z{j}") * F.lit(inst_z[f])).alias("weight"))
+            for j, f in enumerate(features)])).alias("t")).select(*keys, "t.*")
+        chosen = top_k_per_group(long, keys, "weight", k, tie="feature").select(*keys, "feature")
+    refit = _refit_selected(weighted, chosen, keys, features)
     cond = _condition(spark, inst, keys, features, qs)
-    return refit.join(cond, keys + ["feature"]).join(top.select(*keys, "feature", "rank"),
-                                                      keys + ["feature"])
+    ranked = top_k_per_group(refit.join(chosen.select(*keys, "feature"), keys + ["feature"]),
+                             keys, "weight", k, tie="feature")
+    return ranked.join(cond, keys + ["feature"])
+
+
+def _forward_selection(weighted: DataFrame, keys: list[str], features: list[str], k: int):
+    """Greedy forward selection by weighted R^2 of an unpenalised fit (k <= 6).
+
+    Each step scores every remaining candidate per instance (one grouped
+    Gram-sum fit per candidate) and keeps the best one per instance.
+    """
+    from pyspark.sql import Window
+    inst = weighted.select(*keys).distinct()
+    chosen = None
+    for _ in range(min(k, len(features))):
+        scores = None
+        for f in features:
+            cand = inst.withColumn("feature", F.lit(f))
+            if chosen is not None:
+                cand = cand.join(chosen.groupBy(*keys).agg(F.collect_set("feature").alias("_c")),
+                                 keys).filter(~F.array_contains("_c", F.lit(f))).drop("_c")
+            trial = cand if chosen is None else chosen.join(cand.select(*keys), keys).unionByName(cand)
+            sc = _refit_selected(weighted, trial, keys, features, alpha=0.0, score=True).join(
+                cand, keys).select(*keys, "feature", "_r2")
+            scores = sc if scores is None else scores.unionByName(sc)
+        w = Window.partitionBy(*keys).orderBy(F.col("_r2").desc(), F.col("feature"))
+        pick = scores.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1) \
+            .select(*keys, "feature")
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+    return chosen
 
 
 def _weighted_ridge(df: DataFrame, keys: list[str], xs: list[str], y: str, w: str,
@@ -243,15 +284,30 @@ def _weighted_ridge(df: DataFrame, keys: list[str], xs: list[str], y: str, w: st
     return g.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _refit_selected(weighted: DataFrame, coef: DataFrame, chosen: DataFrame, keys: list[str],
-                    features: list[str]) -> DataFrame:
-    """Refit on the selected features only: unselected z columns are zeroed per instance."""
+def _refit_selected(weighted: DataFrame, chosen: DataFrame, keys: list[str],
+                    features: list[str], alpha: float = LIME_RIDGE,
+                    score: bool = False) -> DataFrame:
+    """Ridge (alpha 1) on the selected features only: other columns are zeroed
+    per instance, which leaves their coefficients at 0 under the penalty."""
     sel = chosen.groupBy(*keys).agg(F.collect_set("feature").alias("_sel"))  # <= k per instance
     w = weighted.join(sel, keys)
     zs = [F.when(F.array_contains("_sel", F.lit(f)), F.col(f"_z{j}")).otherwise(F.lit(0.0))
           .alias(f"_z{j}") for j, f in enumerate(features)]
     w = w.select(*keys, "prediction", "_kw", *zs)
-    c2 = _weighted_ridge(w, keys, [f"_z{j}" for j in range(len(features))], "prediction", "_kw")
+    zcols = [f"_z{j}" for j in range(len(features))]
+    c2 = _weighted_ridge(w, keys, zcols, "prediction", "_kw", alpha=alpha)
+    if score:
+        fitted = w.join(c2.select(*keys, "_icpt", *[F.col(z).alias(f"_c{z}") for z in zcols]), keys)
+        pred = F.col("_icpt")
+        for z in zcols:
+            pred = pred + F.col(f"_c{z}") * F.col(z)
+        ybar = F.sum(F.col("_kw") * F.col("prediction")) / F.sum("_kw")
+        r2 = fitted.groupBy(*keys).agg(
+            F.sum(F.col("_kw") * (F.col("prediction") - pred) ** 2).alias("_sse"),
+            F.sum(F.col("_kw") * F.col("prediction") ** 2).alias("_syy"),
+            ybar.alias("_yb"), F.sum("_kw").alias("_sw"))
+        return r2.select(*keys, (1 - F.col("_sse") / (F.col("_syy") - F.col("_sw") * F.col("_yb") ** 2))
+                         .alias("_r2"))
     return c2.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"_z{j}").alias("weight"))
         for j, f in enumerate(features)])).alias("t")).select(*keys, "t.*")
