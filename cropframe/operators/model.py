@@ -134,14 +134,19 @@ def prediction_error_line(pred: DataFrame, group: list[str], label: str = "label
 # --------------------------------------------------------------------------- M4
 def compare_models(df: DataFrame, keys: list[str], numeric: list[str], label: str,
                    categorical: list[str] | None = None, models: dict | None = None,
-                   folds: int = DEFAULT_FOLDS, seed: int = SEED):
+                   folds: int = DEFAULT_FOLDS, seed: int = SEED,
+                   train_share: float = TRAIN_SHARE):
     """M4: k-fold cross validation of every model -> (leaderboard, predictions).
 
-    The leaderboard averages fold metrics per model and is ordered by R2
-    (the library's default sort). Out-of-fold predictions of all models
-    form one long table (key, model, fold, label, prediction).
+    As in the experiment setup, the folds cover the training split
+    (``train_share`` of the rows by key hash); the rest is held out. The
+    leaderboard averages fold metrics per model and is ordered by R2 (the
+    library's default sort). Out-of-fold predictions of all models form one
+    long table (key, model, fold, label, prediction).
     """
     models = models or estimators("label", seed)
+    if train_share < 1.0:
+        df = split(df, keys, seed, train_share)[0]
     data = with_folds(df.withColumn("label", F.col(label).cast("double"))
                       .filter(F.col("label").isNotNull()), keys, folds, seed)
     data = materialize(stable_layout(data, keys))
