@@ -598,8 +598,9 @@ def q_cooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training frame, checkpointed once: fits and explanations rescan it."""
     y, w, s = stand_in_tables(spark, sf_dir)
-    return frame.build_frame(y, w, s)
+    return model.materialize(frame.build_frame(y, w, s))
 
 
 def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
