@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 from cropframe.functions import area_name, county_name, first_truthy, norm_key, parse_number, plain_code
 
-# CSV column -> stored column (F6, CSV path).
-CSV_COLUMNS = {"Year": "year", "Value": "value", "Commodity": "crop", "Data Item": "unit",
-               "Ag District": "district", "County ANSI": "county_ansi"}
-# Record field -> stored column (F6, records path).
-JSON_COLUMNS = {"year": "year", "Value": "value", "commodity_desc": "crop",
-                "asd_desc": "district", "county_ansi": "county_ansi", "unit_desc": "unit"}
 YIELD_WORD = "YIELD"
 
 

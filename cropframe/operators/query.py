@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cropframe.functions import norm_key
 
 # Crop list offered when the stored yields have none.
 DEFAULT_CROPS = ["SOYBEANS", "CORN", "WHEAT", "COTTON", "PEANUTS"]
@@ -140,8 +139,3 @@ def top_k_per_group(df: DataFrame, group: list[str], score, k: int, tie: str,
 def normalise_params(*values):
     """the client-side upper-casing of parameters."""
     return [v.upper() if isinstance(v, str) else v for v in values]
-
-
-def norm_equal(col: str, value: str):
-    """Predicate upper(trim(col)) == upper(trim(value))."""
-    return norm_key(col) == F.upper(F.trim(F.lit(value)))
