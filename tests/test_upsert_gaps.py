@@ -128,3 +128,21 @@ def test_stream_upsert_available_now(spark, tmp):
     again = sorted(map(tuple, spark.read.parquet(os.path.join(store, "yields")).select(
         "county", "year", "value").collect()))
     assert again == first
+
+
+def test_backfill_end_to_end(spark, tmp):
+    store = os.path.join(tmp, "store")
+    cols = ("year int, state string, district string, county string, county_ansi string, "
+            "crop string, value double, unit string")
+    stored = spark.createDataFrame([(2000, "NC", "C", "Wake", "37", "CORN", 1.0, "u"),
+                                    (2002, "NC", "C", "Wake", "37", "CORN", 3.0, "u")], cols)
+    stored.write.partitionBy("state").parquet(os.path.join(store, "yields"))
+    landed = spark.createDataFrame(
+        [(2000, "NC", None, "Wake", None, "CORN", 9.0, "u", "f", 0, 1),   # year present: ignored
+         (2001, "NC", None, "Wake", None, "CORN", 2.0, "u", "f", 0, 2),   # missing year: filled
+         (2001, "NC", None, "Wake", None, "SOY", 7.0, "u", "f", 0, 3)],   # other crop: ignored
+        cols + ", src_file string, src_block long, src_row long")
+    out = ingest.backfill(spark, store, landed, state="NC", crop="CORN", start_year=2000,
+                          end_year=2002)
+    got = sorted((r["year"], r["value"], r["district"]) for r in out.collect())
+    assert got == [(2000, 1.0, "C"), (2001, 2.0, None), (2002, 3.0, "C")]
