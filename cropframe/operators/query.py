@@ -17,17 +17,22 @@ from pyspark.sql import functions as F
 DEFAULT_CROPS = ["SOYBEANS", "CORN", "WHEAT", "COTTON", "PEANUTS"]
 
 
+# The parameters the client upper-cases before calling the service.
+UPPER_PARAMS = ("state", "crop")
+
+
 def filter_rows(df: DataFrame, equals: dict | None = None, between: dict | None = None,
-                upper_params: bool = False) -> DataFrame:
+                upper_params=()) -> DataFrame:
     """``equals`` {col: value}, ``between`` {col: (lo, hi)}; falsy -> skipped.
 
-    ``upper_params`` upper-cases the parameter (not the stored column): the
-    client normalises its input, the stored values compare case-sensitively.
+    Parameters named in ``upper_params`` are upper-cased (the parameter, not
+    the stored column): the client normalises state and crop, the stored
+    values compare case-sensitively.
     """
     for c, v in (equals or {}).items():
         if not v:
             continue
-        lit = F.upper(F.lit(v)) if upper_params and isinstance(v, str) else F.lit(v)
+        lit = F.upper(F.lit(v)) if c in upper_params and isinstance(v, str) else F.lit(v)
         df = df.filter(F.col(c) == lit)
     for c, (lo, hi) in (between or {}).items():
         if lo:
@@ -40,18 +45,18 @@ def filter_rows(df: DataFrame, equals: dict | None = None, between: dict | None
 def yield_query(yields: DataFrame, state=None, crop=None, start_year=None, end_year=None):
     """the /yields scan."""
     return filter_rows(yields, {"state": state, "crop": crop},
-                       {"year": (start_year, end_year)}, upper_params=True)
+                       {"year": (start_year, end_year)}, upper_params=UPPER_PARAMS)
 
 
 def weather_query(weather: DataFrame, state=None, county=None, year=None):
     """the /weather scan."""
     return filter_rows(weather, {"state": state, "county": county, "year": year},
-                       upper_params=True)
+                       upper_params=UPPER_PARAMS)
 
 
 def soil_query(soil: DataFrame, state=None, county=None):
     """the /soil scan (no district filter: the code wins over the docs)."""
-    return filter_rows(soil, {"state": state, "county": county}, upper_params=True)
+    return filter_rows(soil, {"state": state, "county": county}, upper_params=UPPER_PARAMS)
 
 
 def distinct_keys(df: DataFrame, keys: list[str], equals: dict | None = None) -> DataFrame:
@@ -136,6 +141,7 @@ def top_k_per_group(df: DataFrame, group: list[str], score, k: int, tie: str,
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
-def normalise_params(*values):
-    """the client-side upper-casing of parameters."""
-    return [v.upper() if isinstance(v, str) else v for v in values]
+def normalise_params(**params):
+    """the client-side normalisation of parameters (state and crop upper-cased)."""
+    return {k: v.upper() if k in UPPER_PARAMS and isinstance(v, str) else v
+            for k, v in params.items()}
