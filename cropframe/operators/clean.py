@@ -98,7 +98,11 @@ def box_center(catalog: DataFrame, key: str = "areaname", order: str = "areasymb
     ``min_by`` over a struct is a partial aggregate, so a name with many
     areas never gathers in one task.
     """
-    box = F.struct("mbrminx", "mbrmaxx", "mbrminy", "mbrmaxy")
+    from pyspark.sql import types as T
+    def num(c):  # landed catalog values are text
+        return (parse_number(c) if isinstance(catalog.schema[c].dataType, T.StringType)
+                else F.col(c).cast("double")).alias(c)
+    box = F.struct(*[num(c) for c in ("mbrminx", "mbrmaxx", "mbrminy", "mbrmaxy")])
     first = catalog.groupBy(key).agg(F.min_by(box, F.col(order)).alias("_b"))
     return first.select(key, ((F.col("_b.mbrminx") + F.col("_b.mbrmaxx")) / 2).alias(lon),
                         ((F.col("_b.mbrminy") + F.col("_b.mbrmaxy")) / 2).alias(lat))

@@ -113,6 +113,9 @@ def test_soil_weighted_rules(spark, tmp):
     assert abs(wake["ph"] - (6.0 * 50 + 7.0 * 50 + 5.0 * 300) / 400) < 1e-12
     assert out[("North Carolina", "Lee")]["ph"] is None        # total acres 0
     assert ("North Carolina", "Odd Area, North Carolina") in out  # no ' County,'
+    centres = {r["areaname"]: (r["lon"], r["lat"])
+               for r in clean.box_center(tables["sacatalog"]).collect()}
+    assert centres["Wake County, North Carolina"] == (-78.5, 35.5)
 
 
 def test_decode_response_table(spark):
