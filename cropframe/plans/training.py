@@ -24,19 +24,27 @@ def persist_frame(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def train_and_explain(spark: SparkSession, yields: DataFrame, weather: DataFrame, soil: DataFrame,
                       years=None, districts=None, folds: int = model.DEFAULT_FOLDS,
-                      explain_rows: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Run the whole modelling page set-wise; returns every table it shows."""
+                      explain_rows: DataFrame | None = None, features: list[str] | None = None,
+                      models: dict | None = None) -> dict[str, DataFrame]:
+    """Run the whole modelling page set-wise; returns every table it shows.
+
+    ``features`` defaults to every numeric non-identity column (F13);
+    ``explain_rows`` names the rows for LIME by natural key.
+    """
     f = persist_frame(spark, frame.training_scope(
         frame.build_frame(yields, weather, soil, years), districts))
-    feats = frame.feature_columns(f, numeric_only=True)
+    feats = features or frame.feature_columns(f, numeric_only=True)
     ranking = select.mutual_information(f, feats, "yield")
-    board, preds = model.compare_models(f, KEY, feats, "yield", folds=folds)
+    models = models or model.estimators("label")
+    board, preds = model.compare_models(f, KEY, feats, "yield", models=models, folds=folds)
     best = board.first()["model"]
-    fitted = model.fit(f, KEY, feats, "yield", model.estimators("label")[best])
+    fitted = model.fit(f, KEY, feats, "yield", models[best].copy())
     shap = explain.shap_values(fitted, f, KEY, feats)
     out = {"frame": f, "ranking": ranking, "leaderboard": board, "predictions": preds,
            "importance": model.importance(fitted, feats), "shap": shap,
            "shap_importance": explain.global_importance(shap)}
     if explain_rows is not None:
-        out["lime"] = explain.lime(fitted, f, explain_rows, KEY, feats)
+        # rows to explain are named by natural key and taken from the frame
+        inst = f.join(explain_rows.select(*KEY).distinct(), KEY, "left_semi")
+        out["lime"] = explain.lime(fitted, f, inst, KEY, feats)
     return out

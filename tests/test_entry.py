@@ -30,3 +30,22 @@ def test_explanation_sink_and_model_persistence(spark, tmp):
                                      os.path.join(tmp, "exp"), "lr", "2026-01-01T00")
     back = spark.read.parquet(out)
     assert back.filter(F.col("model") == "lr").count() == 1
+
+
+def test_training_job_end_to_end(spark):
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+    from pyspark.sql import functions as F
+    from cropframe.plans import training
+    sf = "/root/testdata/sf0.001"
+    y, w, s = stand_ins.stand_in_tables(spark, sf)
+    row = y.orderBy("state", "county", "year", "crop").limit(1)
+    models = {"lr": LinearRegression(labelCol="label"),
+              "rf": RandomForestRegressor(labelCol="label", numTrees=5, seed=1)}
+    out = training.train_and_explain(spark, y, w, s, folds=2, features=["avg_temp", "gdd", "ph"],
+                                     models=models, explain_rows=row)
+    assert out["leaderboard"].count() == 2
+    assert out["shap_importance"].count() == 3
+    assert out["lime"].count() == 3
+    sv = out["shap"].groupBy("state", "county", "year", "crop").agg(
+        F.sum("shap").alias("s"), F.first("base").alias("b"), F.first("prediction").alias("p"))
+    assert sv.agg(F.max(F.abs(F.col("s") + F.col("b") - F.col("p")))).first()[0] < 1e-6
