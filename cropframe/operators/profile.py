@@ -295,15 +295,40 @@ def category_profile(df: DataFrame, cols: list[str] | None = None, k: int = TOP_
 
 # --------------------------------------------------------------------------- P6
 def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pairwise Pearson r of every column pair in one aggregate -> (x, y, r)."""
+    """Pairwise Pearson r of every column pair -> (x, y, r), pairwise complete.
+
+    Two cheap passes: the column means (p numbers, collected), then one
+    aggregate of plain sums of mean-centred values per pair under the
+    pair's non-NULL mask. Centring keeps the one-pass formula stable; plain
+    sums keep the whole aggregate inside generated code even for many pairs.
+    A side without variance gives NULL.
+    """
     cols = cols or numeric_columns(df)
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    row = df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = d.agg(*[F.avg(c).alias(c) for c in cols]).first()      # p numbers
+    cen = {c: F.col(c) - F.lit(float(means[c] or 0.0)) for c in cols}
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa, xb = F.when(both, cen[a]), F.when(both, cen[b])
+        aggs += [F.count(xa).alias(f"n{i}"), F.sum(xa).alias(f"a{i}"), F.sum(xb).alias(f"b{i}"),
+                 F.sum(xa * xa).alias(f"aa{i}"), F.sum(xb * xb).alias(f"bb{i}"),
+                 F.sum(xa * xb).alias(f"ab{i}")]
+    row = d.agg(*aggs)
+
+    def r(i):
+        n = F.col(f"n{i}").cast("double")
+        sa, sb = F.col(f"a{i}"), F.col(f"b{i}")
+        cov = F.col(f"ab{i}") - sa * sb / n
+        va = F.col(f"aa{i}") - sa * sa / n
+        vb = F.col(f"bb{i}") - sb * sb / n
+        return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{i}").alias("r"))
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(i).alias("r"))
         for i, (a, b) in enumerate(pairs)])).alias("t")).select("t.*")
 
 
