@@ -686,3 +686,33 @@ def alerts(df: DataFrame, numeric: list[str] | None = None, missing: float = ALE
         out = out.unionByName(both.groupBy("feature").agg(F.max(F.abs("r")).alias("value"))
                               .select("feature", F.lit("high_correlation").alias("alert"), "value"))
     return out
+
+
+# --------------------------------------------------------------------------- report
+def report(df: DataFrame, numeric: list[str] | None = None,
+           categorical: list[str] | None = None) -> dict[str, DataFrame]:
+    """All profile tables of a frame in one call (overview, column profiles,
+    quantiles, histograms, categories, the five correlation kinds, missing
+    patterns, alerts). Each value is a DataFrame; the correlation kinds are
+    auto, pearson, spearman, kendall and cramers, as the profile asks for.
+    """
+    numeric = numeric if numeric is not None else numeric_columns(df)
+    categorical = categorical if categorical is not None else string_columns(df)
+    out = {"overview": overview(df)}
+    if numeric:
+        out["numeric"] = numeric_profile(df, numeric)
+        out["quantiles"] = quantiles(df, numeric)
+        out["histogram"] = histogram(df, numeric)
+    if categorical:
+        out["categories"], out["top_values"] = category_profile(df, categorical)
+    if len(numeric) > 1:
+        out["pearson"] = pearson(df, numeric)
+        out["spearman"] = spearman(df, numeric)
+        out["kendall"] = kendall(df, numeric)
+    if len(categorical) > 1:
+        out["cramers"] = cramers_v(df, categorical)
+    if len(numeric) + len(categorical) > 1:
+        out["auto"] = auto_matrix(df, numeric, categorical)
+    out["missing"], out["missing_pairs"] = nullity(df)
+    out["alerts"] = alerts(df, numeric) if numeric else None
+    return {k: v for k, v in out.items() if v is not None}

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.operators import clean, gaps, query, season, soil, upsert
-from cropframe.sources import read_daily_grid, read_soil_tables, read_yield_csv, schemas
+from cropframe.sources import (read_daily_grid, read_soil_tables, read_yield_csv,
+                               read_yield_json, schemas)
 
 WEATHER_MEASURES = ["avg_temp", "precipitation", "vp", "srad", "gdd"]
 SOIL_MEASURES = ["ph", "organic_matter", "sand_pct", "clay_pct"]
@@ -52,9 +53,12 @@ def soil_for_spans(tables: dict[str, DataFrame], spans: DataFrame) -> DataFrame:
 
 def bulk_ingest(spark: SparkSession, yield_csv_path: str, daily_path: str, soil_base: str,
                 store: str, daily_fmt: str = "parquet", soil_fmt: str = "csv",
-                dry_run: bool = False) -> dict[str, object]:
+                dry_run: bool = False, yield_json_path: str | None = None) -> dict[str, object]:
     """K4: land all three tables for every county named in the yield CSV.
 
+    The CSV names the counties and their year spans. Yield rows come from
+    the landed service records under ``yield_json_path`` when given (the
+    reference's API path), else from the CSV itself (its fallback).
     ``dry_run`` returns the per-county plan (spans) without writing.
     Tables are stored under ``store``/{yields,weather,soil}, partitioned by
     state so later scans and upserts prune to the states they touch.
@@ -71,7 +75,18 @@ def bulk_ingest(spark: SparkSession, yield_csv_path: str, daily_path: str, soil_
         "_o", F.lit(0))
     upsert.upsert_table(spark, f"{store}/weather", w, schemas.WEATHER_KEY, "_o", WEATHER_MEASURES,
                         partition_by=["state"], mode="replace")
-    y = clean.clean_yield_csv(raw, requests=spans.select("county", "state"))
+    if yield_json_path:
+        recs = clean.clean_yield_json(read_yield_json(spark, yield_json_path))
+        # A record answers one (county, state) request of the CSV; rows are
+        # stored under the requested names, as the per-county fetch did.
+        req = spans.select(F.col("county").alias("_rc"), F.col("state").alias("_rs"))
+        y = (recs.join(req, (F.upper(F.trim("county")) == F.upper(F.trim("_rc")))
+                       & (F.upper(F.trim("state")) == F.upper(F.trim("_rs"))))
+             .withColumn("county", F.col("_rc")).withColumn("state", F.col("_rs"))
+             .drop("_rc", "_rs").withColumn("src_block", F.lit(0).cast("long"))
+             .filter(F.col("crop").isNotNull()))
+    else:
+        y = clean.clean_yield_csv(raw, requests=spans.select("county", "state"))
     upsert.upsert_table(spark, f"{store}/yields", y, schemas.YIELD_KEY, YIELD_ORDER,
                         overwrite=["value", "unit"], keep_if_null=["district", "county_ansi"],
                         partition_by=["state"])
@@ -109,3 +124,36 @@ def backfill(spark: SparkSession, store: str, landed_yields: DataFrame, state=No
     upsert.upsert_table(spark, path, fill, schemas.YIELD_KEY, YIELD_ORDER, ["value", "unit"],
                         ["district", "county_ansi"], partition_by=["state"])
     return query.yield_query(spark.read.parquet(path), state, crop, start_year, end_year)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: ``python -m cropframe.plans.ingest --yield-csv ... --store ...``.
+
+    A dry run (``--dry-run`` or a non-empty DRY_RUN other than "0") prints the
+    per-county plan instead of writing.
+    """
+    import argparse
+    import os
+
+    from cropframe.session import get_spark
+    ap = argparse.ArgumentParser(description="Bulk ingest of yield, weather and soil tables")
+    ap.add_argument("--yield-csv", required=True)
+    ap.add_argument("--yield-json")
+    ap.add_argument("--daily", required=True)
+    ap.add_argument("--soil", required=True)
+    ap.add_argument("--store", required=True)
+    ap.add_argument("--daily-format", default="parquet")
+    ap.add_argument("--soil-format", default="csv")
+    ap.add_argument("--dry-run", action="store_true")
+    a = ap.parse_args(argv)
+    env = os.environ.get("DRY_RUN", "")
+    dry = a.dry_run or bool(env and env != "0")
+    spark = get_spark("cropframe-ingest")
+    out = bulk_ingest(spark, a.yield_csv, a.daily, a.soil, a.store, a.daily_format,
+                      a.soil_format, dry_run=dry, yield_json_path=a.yield_json)
+    if dry:
+        out["plan"].orderBy("state", "county").show(1000, truncate=False)
+
+
+if __name__ == "__main__":
+    main()

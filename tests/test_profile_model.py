@@ -144,3 +144,13 @@ def test_lime_top_k(spark):
     one = li.orderBy(*keys).limit(1)
     out = explain.lime(m, li, one, keys, feats, n_samples=500, k=2).collect()
     assert len(out) == 2 and out[0]["feature"] == "l_quantity" or out[1]["feature"] == "l_quantity"
+
+
+def test_profile_report_all_tables(spark):
+    part = driver_table(spark, SF_SMALL, "part").select("p_size", "p_retailprice", "p_brand",
+                                                        "p_type")
+    rep = profile.report(part)
+    assert {"overview", "numeric", "quantiles", "histogram", "categories", "top_values",
+            "pearson", "spearman", "kendall", "cramers", "auto", "missing", "missing_pairs",
+            "alerts"} <= set(rep)
+    assert rep["numeric"].count() == 2 and rep["auto"].count() == 6

@@ -146,3 +146,23 @@ def test_backfill_end_to_end(spark, tmp):
                           end_year=2002)
     got = sorted((r["year"], r["value"], r["district"]) for r in out.collect())
     assert got == [(2000, 1.0, "C"), (2001, 2.0, None), (2002, 3.0, "C")]
+
+
+def test_bulk_ingest_from_records(spark, tmp):
+    import json
+    _land(tmp)
+    rec = {"year": "1990", "Value": "1,234", "commodity_desc": "CORN", "asd_desc": "CENTRAL",
+           "county_ansi": "37", "unit_desc": "BU / ACRE", "county_name": "WAKE",
+           "state_name": "NORTH CAROLINA"}
+    write_text(os.path.join(tmp, "recs", "a.json"), json.dumps({"data": [rec]}))
+    spark.createDataFrame([("Wake", "NORTH CAROLINA", 1990, 150, 30.0, 20.0, 2.0, 1.0, 1.0)],
+                          schemas.DAILY_GRID).write.parquet(os.path.join(tmp, "grid"))
+    store = os.path.join(tmp, "store")
+    ingest.bulk_ingest(spark, os.path.join(tmp, "landing"), os.path.join(tmp, "grid"),
+                       os.path.join(tmp, "soil"), store,
+                       yield_json_path=os.path.join(tmp, "recs"))
+    got = sorted((r["county"], r["state"], r["value"])
+                 for r in spark.read.parquet(os.path.join(store, "yields")).collect())
+    # one record, stored under each raw (county, state) spelling of the CSV that it answers
+    assert got == [("WAKE", "NORTH CAROLINA", 1234.0), ("WAKE", "North Carolina", 1234.0),
+                   ("Wake", "NORTH CAROLINA", 1234.0)]
