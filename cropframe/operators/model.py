@@ -87,13 +87,29 @@ def pipeline(estimator, numeric: list[str], categorical: list[str] | None = None
     return Pipeline(stages=stages)
 
 
+# The compared learners' public default settings.
+FOREST_TREES = 100
+FOREST_DEPTH = 16          # MLlib caps depth at 30; unlimited depth is not available
+BOOST_ROUNDS = 100
+BOOST_DEPTH = 3
+BOOST_STEP = 0.1
+ADA_ROUNDS = 50
+
+
 def estimators(label: str = "label", seed: int = SEED) -> dict:
-    """M5-M8: the compared learners with fixed seeds (``et`` has no MLlib learner)."""
+    """M5-M8: the compared learners with fixed seeds (``et`` has no MLlib learner).
+
+    Settings follow the usual library defaults: forest of 100 trees over
+    all features, boosting of 100 depth-3 trees with step 0.1, AdaBoost.R2
+    of 50 depth-3 trees.
+    """
     return {
         "lr": LinearRegression(labelCol=label, solver="normal"),
-        "rf": RandomForestRegressor(labelCol=label, seed=seed),
-        "gbr": GBTRegressor(labelCol=label, seed=seed),
-        "ada": AdaBoostRegressor(labelCol=label, seed=seed),
+        "rf": RandomForestRegressor(labelCol=label, seed=seed, numTrees=FOREST_TREES,
+                                    maxDepth=FOREST_DEPTH, featureSubsetStrategy="all"),
+        "gbr": GBTRegressor(labelCol=label, seed=seed, maxIter=BOOST_ROUNDS,
+                            maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP),
+        "ada": AdaBoostRegressor(labelCol=label, seed=seed, n_estimators=ADA_ROUNDS),
     }
 
 
@@ -338,7 +354,7 @@ class AdaBoostRegressor(Estimator):
     """
 
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 n_estimators: int = 10, learning_rate: float = 1.0, max_depth: int = 3,
+                 n_estimators: int = 50, learning_rate: float = 1.0, max_depth: int = 3,
                  seed: int = SEED, checkpoint_every: int = 5):
         super().__init__()
         self.featuresCol, self.labelCol, self.predictionCol = featuresCol, labelCol, predictionCol
