@@ -48,18 +48,22 @@ def reduce_batch(df: DataFrame, keys: list[str], order: list[str] | str,
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | str,
-          overwrite: list[str], keep_if_null: list[str] = ()) -> DataFrame:
+          overwrite: list[str], keep_if_null: list[str] = (), null_safe: bool = False) -> DataFrame:
     """Upsert ``batch`` into ``target`` by natural key.
 
     A key only in the target keeps its row; a key in the batch takes the
     batch's ``overwrite`` values and, for ``keep_if_null`` columns, the
-    batch's last non-NULL value or else the target's. Keys match NULL-safely.
+    batch's last non-NULL value or else the target's. Stored natural keys
+    are NOT NULL, so keys match by plain equality: the join then reuses the
+    batch reduction's hash partitioning (a NULL-safe match rewrites the
+    join keys and costs one more shuffle per side; ``null_safe=True``).
     """
     keep_if_null = list(keep_if_null)
     b = reduce_batch(batch, keys, order, overwrite, keep_if_null).withColumn("_in_b", F.lit(True))
     t = target.select(*keys, *overwrite, *keep_if_null)
     ta, ba = t.alias("t"), b.alias("b")
-    cond = reduce(lambda a, c: a & c, [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
+    cond = reduce(lambda a, c: a & c, [eq(F.col(f"t.{k}"), F.col(f"b.{k}")) for k in keys])
     j = ta.join(ba, cond, "full_outer")
     in_b = F.col("b._in_b").isNotNull()
     cols = [F.when(in_b, F.col(f"b.{k}")).otherwise(F.col(f"t.{k}")).alias(k) for k in keys]
