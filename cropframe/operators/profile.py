@@ -603,13 +603,13 @@ def cramers_v(df: DataFrame, cols: list[str], correction: bool = True) -> DataFr
 def equal_width_bins(df: DataFrame, col: str, bins: int = HIST_BINS, out: str | None = None):
     """Numeric column -> equal-width bin index 0..bins-1 (min/max from one aggregate)."""
     out = out or col
-    rng = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx")).withColumn("_k", F.lit(1))
-    width = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
-    b = F.when(F.col(col).isNull(), F.lit(None)).when(F.col("_mx") == F.col("_mn"), F.lit(0)) \
-        .otherwise(F.least(F.floor((F.col(col) - F.col("_mn")) / width), F.lit(bins - 1)))
-    # rng is one row (equi-joined on a constant key): bounded, safe to broadcast.
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")
-            .withColumn(out, b.cast("int").cast("string")).drop("_mn", "_mx", "_k"))
+    # two numbers, collected once and used as literals: no join, no re-scan
+    r = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")).first()
+    mn, mx = F.lit(r["mn"]).cast("double"), F.lit(r["mx"]).cast("double")
+    width = (mx - mn) / F.lit(float(bins))
+    b = F.when(F.col(col).isNull(), F.lit(None)).when(mx == mn, F.lit(0)) \
+        .otherwise(F.least(F.floor((F.col(col) - mn) / width), F.lit(bins - 1)))
+    return df.withColumn(out, b.cast("int").cast("string"))
 
 
 def auto_matrix(df: DataFrame, numeric: list[str], categorical: list[str],

@@ -85,12 +85,11 @@ def crop_list(spark: SparkSession, yields: DataFrame, crop: str = "crop") -> Dat
 def or_else(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Rows of ``primary``, or those of ``fallback`` when ``primary`` is empty.
 
-    Decided inside the plan: the fallback is anti-joined on a constant key
-    with a one-row probe of ``primary``, no count on the driver.
+    Decided inside the plan by an uncorrelated scalar subquery (a one-row
+    probe of ``primary``, evaluated once): no join, no count on the driver.
     """
-    probe = primary.select(F.lit(1).alias("_k")).limit(1)
-    rest = fallback.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")
-    return primary.unionByName(rest)
+    found_any = primary.limit(1).agg(F.count(F.lit(1))).scalar()
+    return primary.unionByName(fallback.filter(found_any == 0))
 
 
 def head_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:

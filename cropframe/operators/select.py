@@ -21,31 +21,30 @@ def impute_mean(df: DataFrame, cols: list[str], drop_all_null: bool = True) -> D
     """NULL/NaN -> the column mean over the whole frame.
 
     A column with no value at all has no mean; it is dropped first. The
-    means come from one aggregate (one row, joined on a constant key).
+    means come from one aggregate (one number per column).
     """
+    # one mean per column, collected once and used as literals: no join, no re-scan
     means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")))
-                     .alias(c) for c in cols]).withColumn("_k", F.lit(1))
-    m = means.select(*[F.col(c).alias(f"_m_{c}") for c in cols], "_k")
-    # One row: bounded, safe to broadcast.
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(m), "_k")
-    out = j.select(*[
+                     .alias(c) for c in cols]).first()
+    out = df.select(*[
         F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                   F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c)
+                   F.lit(means[c]).cast("double")).alias(c) if c in cols else F.col(c)
         for c in df.columns])
     if drop_all_null:
-        empty = [c for c, v in zip(cols, means.select(*cols).first()) if v is None]
-        out = out.drop(*empty)
+        out = out.drop(*[c for c in cols if means[c] is None])
     return out
 
 
 def _bins_wide(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     """Equal-width bin index of each column, kept in wide form (one row per row)."""
-    rng = df.agg(*[F.min(c).alias(f"_mn_{c}") for c in cols],
-                 *[F.max(c).alias(f"_mx_{c}") for c in cols]).withColumn("_k", F.lit(1))
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")
+    # 2 x p numbers, collected once and used as literals: no join, no re-scan
+    rng = df.agg(*[F.min(c).cast("double").alias(f"mn_{c}") for c in cols],
+                 *[F.max(c).cast("double").alias(f"mx_{c}") for c in cols]).first()
+    j = df
     out = []
     for c in cols:
-        mn, mx = F.col(f"_mn_{c}"), F.col(f"_mx_{c}")
+        mn = F.lit(rng[f"mn_{c}"]).cast("double")
+        mx = F.lit(rng[f"mx_{c}"]).cast("double")
         w = (mx - mn) / F.lit(float(bins))
         out.append(F.when(F.col(c).isNull(), F.lit(None)).when(mx == mn, F.lit(0)).otherwise(
             F.least(F.floor((F.col(c) - mn) / w), F.lit(bins - 1))).cast("int").alias(c))
