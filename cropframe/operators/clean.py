@@ -81,14 +81,14 @@ def clean_yield_json(df: DataFrame) -> DataFrame:
     def only_full(c):
         return F.when(has, c)
 
+    extra = [c for c in ("src_epoch", "src_file", "src_block", "src_row") if c in df.columns]
     return df.filter(keep).select(
         year.alias("year"), F.col("state_name").alias("state"),
         F.col("county_name").alias("county"), value.alias("value"),
         only_full(F.col("commodity_desc")).alias("crop"),
         only_full(F.col("unit_desc")).alias("unit"),
         only_full(F.col("asd_desc")).alias("district"),
-        only_full(plain_code("county_ansi")).alias("county_ansi"),
-        "src_file", "src_row")
+        only_full(plain_code("county_ansi")).alias("county_ansi"), *extra)
 
 
 def box_center(catalog: DataFrame, key: str = "areaname", order: str = "areasymbol",

@@ -19,16 +19,35 @@ from cropframe.session import checkpoint_dir
 YIELD_ORDER = ["src_epoch", "src_file", "src_block", "src_row"]
 
 
-def landed_yield_stream(spark: SparkSession, landing: str) -> DataFrame:
-    """Streaming read of the yield CSV landing folder (explicit schema)."""
-    return (spark.readStream.schema(schemas.YIELD_CSV).option("header", True)
-            .option("maxFilesPerTrigger", 1000).csv(landing)
-            .withColumn("src_file", F.col("_metadata.file_path"))
-            .withColumn("src_block", F.col("_metadata.file_block_start")))
+def landed_yield_stream(spark: SparkSession, landing: str, kind: str = "csv") -> DataFrame:
+    """Streaming read of the yield landing folder (explicit schema).
+
+    ``kind`` "csv" reads the survey CSV; "json" reads service response
+    objects (one per file, rows under ``data``).
+    """
+    r = spark.readStream.option("maxFilesPerTrigger", 1000)
+    if kind == "json":
+        df = r.schema(schemas.YIELD_JSON).option("multiLine", True).json(landing)
+    else:
+        df = r.schema(schemas.YIELD_CSV).option("header", True).csv(landing)
+    return (df.withColumn("src_file", F.col("_metadata.file_path"))
+              .withColumn("src_block", F.col("_metadata.file_block_start")))
+
+
+def _clean_json_batch(batch: DataFrame) -> DataFrame:
+    """Response objects of one micro-batch -> cleaned yield rows (S2 rules)."""
+    from pyspark.sql import Window
+    recs = batch.select("src_file", "src_block", "src_epoch",
+                        F.posexplode("data").alias("src_row", "rec")).select(
+        "src_file", "src_block", "src_epoch", "src_row", "rec.*")
+    recs = recs.withColumn("has_commodity", F.max(F.col("commodity_desc").isNotNull())
+                           .over(Window.partitionBy("src_file")))
+    return clean.clean_yield_json(recs).filter(F.col("crop").isNotNull())
 
 
 def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str | None = None,
-                  start_year=None, end_year=None, available_now: bool = True):
+                  start_year=None, end_year=None, available_now: bool = True,
+                  kind: str = "csv"):
     """Start the incremental upsert; returns the StreamingQuery.
 
     ``available_now`` processes what has landed and stops (a scheduled
@@ -38,15 +57,22 @@ def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str
     path = f"{store}/yields"
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
-        # Row order inside a file is only available on the static batch.
-        batch = (batch.withColumn("src_row", F.monotonically_increasing_id())
-                 .withColumn("src_epoch", F.lit(epoch)))
-        rows = clean.clean_yield_csv(batch, start_year, end_year)
+        batch = batch.withColumn("src_epoch", F.lit(epoch))
+        if kind == "json":
+            rows = _clean_json_batch(batch)
+            if start_year is not None:
+                rows = rows.filter(F.col("year") >= int(start_year))
+            if end_year is not None:
+                rows = rows.filter(F.col("year") <= int(end_year))
+        else:
+            # Row order inside a file is only available on the static batch.
+            batch = batch.withColumn("src_row", F.monotonically_increasing_id())
+            rows = clean.clean_yield_csv(batch, start_year, end_year)
         upsert.upsert_table(batch.sparkSession, path, rows, schemas.YIELD_KEY, YIELD_ORDER,
                             ["value", "unit"], ["district", "county_ansi"],
                             partition_by=["state"])
 
-    w = (landed_yield_stream(spark, landing).writeStream.foreachBatch(merge_batch)
+    w = (landed_yield_stream(spark, landing, kind).writeStream.foreachBatch(merge_batch)
          .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

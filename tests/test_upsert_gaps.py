@@ -128,6 +128,34 @@ def test_stream_upsert_available_now(spark, tmp):
     again = sorted(map(tuple, spark.read.parquet(os.path.join(store, "yields")).select(
         "county", "year", "value").collect()))
     assert again == first
+    # a new file lands: only its rows are merged (one update, one insert)
+    write_text(os.path.join(tmp, "landing", "y2.csv"),
+               "State,County,Year,Commodity,Data Item,Value,Ag District,County ANSI\n"
+               "NORTH CAROLINA,Wake,1990,CORN,CORN - YIELD,99,,\n"
+               "NORTH CAROLINA,Wake,1995,CORN,CORN - YIELD,7,,\n")
+    q = stream_upsert(spark, os.path.join(tmp, "landing"), store,
+                      checkpoint=os.path.join(tmp, "ckpt"))
+    q.awaitTermination(120)
+    third = {(r["county"], r["year"]): (r["value"], r["district"]) for r in
+             spark.read.parquet(os.path.join(store, "yields")).collect()}
+    assert len(third) == 4
+    assert third[("Wake", 1990)] == (99.0, "CENTRAL")   # value replaced, district kept
+    assert third[("Wake", 1995)] == (7.0, None)
+
+
+def test_stream_upsert_json_records(spark, tmp):
+    import json
+    rec = {"year": "2020", "Value": "1,234", "commodity_desc": "CORN", "asd_desc": "CENTRAL",
+           "county_ansi": "37", "unit_desc": "BU / ACRE", "county_name": "WAKE",
+           "state_name": "NORTH CAROLINA"}
+    write_text(os.path.join(tmp, "landing_j", "a.json"), json.dumps({"data": [rec]}))
+    store = os.path.join(tmp, "store_j")
+    q = stream_upsert(spark, os.path.join(tmp, "landing_j"), store,
+                      checkpoint=os.path.join(tmp, "ckpt_j"), kind="json")
+    q.awaitTermination(120)
+    got = [(r["county"], r["year"], r["value"]) for r in
+           spark.read.parquet(os.path.join(store, "yields")).collect()]
+    assert got == [("WAKE", 2020, 1234.0)]
 
 
 def test_backfill_end_to_end(spark, tmp):
