@@ -43,6 +43,14 @@ ALERT_SKEWNESS = 20.0
 ALERT_ZEROS = 0.1
 
 
+def _reuse(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a compressed table that several passes reread,
+    so the raw input is scanned once (and a lost executor recovers from it)."""
+    from cropframe.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def safe_corr(a, b):
     """Pearson r that is NULL (not an error) when a side has no variance."""
     a = F.col(a) if isinstance(a, str) else a
@@ -354,7 +362,7 @@ def average_rank(df: DataFrame, col: str, buckets: int | None = None, out: str =
     RANK_BUCKET_VALUES per bucket). Only the edge list reaches the driver.
     """
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
-    vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(cnt.alias("count"))
+    vc = _reuse(df.filter(F.col(col).isNotNull()).groupBy(col).agg(cnt.alias("count")))
     if buckets is None:
         # about RANK_BUCKET_VALUES distinct values per window partition
         buckets = int(min(MAX_RANK_BUCKETS,
@@ -482,9 +490,9 @@ def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> D
     cell were counted twice and are subtracted once.
     """
     spark = df.sparkSession
-    pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-           .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
+    pts = _reuse(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+                 .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+                 .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
     if buckets is None:
         # about KENDALL_POINTS distinct points per bucket, grid at most 1024^2 cells
         d = pts.count()
