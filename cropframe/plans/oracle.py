@@ -695,3 +695,54 @@ SELECT region, round(regr_slope(prediction, l_extendedprice), 6) + 0.0 AS slope,
        round(regr_r2(prediction, l_extendedprice), 6) + 0.0 AS r2
 FROM pred GROUP BY region
 """)
+
+
+def _mrmr_sql() -> str:
+    f = MI_F
+    idx = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS idx" for i, c in enumerate(f))
+    pairs = [(a, b) for i, a in enumerate(f) for b in f[i + 1:]]
+    pair_rows = " UNION ALL ".join(
+        f"SELECT '{a}' AS fa, '{b}' AS fb, {a} AS xa, {b} AS xb FROM b" for a, b in pairs)
+    return f"""
+WITH d AS (SELECT {', '.join(f'{c} + 0.0 AS {c}' for c in f)}, l_extendedprice + 0.0 AS y
+           FROM lineitem WHERE l_extendedprice IS NOT NULL),
+r AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in f + ['y'])} FROM d),
+b AS (SELECT {', '.join(f'{_bin_sql(c)} AS {c}' for c in f + ['y'])} FROM d, r),
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS xb, y AS yb FROM b" for c in f)}),
+joint AS (SELECT feature, xb, yb, count(*) AS nxy FROM long GROUP BY feature, xb, yb),
+px AS (SELECT feature, xb, sum(nxy) AS nx FROM joint GROUP BY feature, xb),
+py AS (SELECT feature, yb, sum(nxy) AS ny FROM joint GROUP BY feature, yb),
+n AS (SELECT feature, sum(nxy) AS n FROM joint GROUP BY feature),
+rel AS (SELECT j.feature, sum(nxy / n * ln(nxy * n / (nx * ny))) AS relevance
+        FROM joint j JOIN px USING (feature, xb) JOIN py USING (feature, yb) JOIN n USING (feature)
+        GROUP BY j.feature),
+ix AS ({idx}),
+pr AS ({pair_rows}),
+pj AS (SELECT fa, fb, xa, xb, count(*) AS nxy FROM pr GROUP BY fa, fb, xa, xb),
+pa AS (SELECT fa, fb, xa, sum(nxy) AS na FROM pj GROUP BY fa, fb, xa),
+pb AS (SELECT fa, fb, xb, sum(nxy) AS nb FROM pj GROUP BY fa, fb, xb),
+pn AS (SELECT fa, fb, sum(nxy) AS n FROM pj GROUP BY fa, fb),
+red AS (SELECT fa, fb, sum(nxy / n * ln(nxy * n / (na * nb))) AS mi
+        FROM pj JOIN pa USING (fa, fb, xa) JOIN pb USING (fa, fb, xb) JOIN pn USING (fa, fb)
+        GROUP BY fa, fb),
+red2 AS (SELECT fa AS f1, fb AS f2, mi FROM red UNION ALL SELECT fb, fa, mi FROM red),
+s1 AS (SELECT rel.feature, rel.relevance, 0.0 AS redundancy, rel.relevance AS score
+       FROM rel JOIN ix ON ix.feature = rel.feature ORDER BY rel.relevance DESC, ix.idx LIMIT 1),
+c2 AS (SELECT rel.feature, rel.relevance, red2.mi AS redundancy, rel.relevance - red2.mi AS score,
+              ix.idx
+       FROM rel JOIN ix ON ix.feature = rel.feature JOIN red2 ON red2.f1 = rel.feature
+       JOIN s1 ON red2.f2 = s1.feature),
+s2 AS (SELECT feature, relevance, redundancy, score FROM c2 ORDER BY score DESC, idx LIMIT 1),
+c3 AS (SELECT rel.feature, rel.relevance, (ra.mi + rb.mi) / 2 AS redundancy,
+              rel.relevance - (ra.mi + rb.mi) / 2 AS score
+       FROM rel JOIN red2 ra ON ra.f1 = rel.feature JOIN s1 ON ra.f2 = s1.feature
+       JOIN red2 rb ON rb.f1 = rel.feature JOIN s2 ON rb.f2 = s2.feature
+       WHERE rel.feature NOT IN (SELECT feature FROM s1) AND rel.feature NOT IN (SELECT feature FROM s2))
+SELECT 1 AS rank, feature, round(relevance, 6) + 0.0 AS relevance, round(redundancy, 6) + 0.0 AS redundancy,
+       round(score, 6) + 0.0 AS score FROM s1
+UNION ALL SELECT 2, feature, round(relevance, 6) + 0.0, round(redundancy, 6) + 0.0, round(score, 6) + 0.0 FROM s2
+UNION ALL SELECT 3, feature, round(relevance, 6) + 0.0, round(redundancy, 6) + 0.0, round(score, 6) + 0.0 FROM c3
+"""
+
+
+ORACLE["q_mrmr"] = _stable(_mrmr_sql())
