@@ -746,3 +746,12 @@ UNION ALL SELECT 3, feature, round(relevance, 6) + 0.0, round(redundancy, 6) + 0
 
 
 ORACLE["q_mrmr"] = _stable(_mrmr_sql())
+
+ORACLE["q_shap_linear"] = f"""{WITH_ALL},
+f AS (SELECT y.state, y.county, y.year, y.crop, y.value AS yield, w.gdd {FRAME_FROM}
+      WHERE {NOT_SENTINEL}),
+s AS (SELECT regr_slope(yield, gdd) AS b, avg(gdd) AS m, avg(yield) AS ybar FROM f)
+SELECT state, county, year, crop, 'gdd' AS feature,
+       round(b * (gdd - m) * {NUDGE}, 2) + 0.0 AS shap, round(ybar * {NUDGE}, 2) + 0.0 AS base
+FROM f, s
+"""

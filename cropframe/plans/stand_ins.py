@@ -653,6 +653,18 @@ def q_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.global_importance(sv)
 
 
+def q_shap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 machinery checked in closed form: Shapley values of a one-feature
+    least-squares model with the whole frame as background equal
+    slope * (x - mean) and their base equals the mean label."""
+    from pyspark.ml.regression import LinearRegression
+    f = frame_table(spark, sf_dir)
+    m = model.fit(f, FRAME_KEY, ["gdd"], "yield", LinearRegression(labelCol="label",
+                                                                 solver="normal"))
+    sv = explain.shap_values(m, f, FRAME_KEY, ["gdd"], background=f.select("gdd"))
+    return round_fixed(sv.select(*FRAME_KEY, "feature", "shap", "base"), 2)
+
+
 def q_lime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIME explanation of the drill-down row."""
     f = frame_table(spark, sf_dir)
@@ -717,6 +729,7 @@ QUERIES = {
     "q_vc": q_vc,
     "q_ada": q_ada,
     "q_shap": q_shap,
+    "q_shap_linear": q_shap_linear,
     "q_lime": q_lime,
 }
 
