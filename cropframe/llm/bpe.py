@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,19 +145,21 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 
 def _encode(path: str, pattern: str, with_ids: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in ENCODED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for f in frames:
-            for lo in range(0, len(f), 512):
-                part = f.iloc[lo:lo + 512]
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 out = []
-                for text in part["text"]:
+                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     ids = c.encode(text) if text else b""
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                    out.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                                 hashlib.sha256(c.decode(ids)).hexdigest(), ids if with_ids else None))
-                got = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-                got.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield got
+                columns = zip(zip(*out, strict=True), types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names)
     return run
 
 
@@ -164,7 +167,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                      text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per document: token count, digests of the ids and of the decoded bytes, and the ids themselves."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_encode(ranks_path, pattern, with_ids), ENCODED)
+    return rows.mapInArrow(_encode(ranks_path, pattern, with_ids), ENCODED)
 
 
 def decode_ids(ids: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

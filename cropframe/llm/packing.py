@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,8 +200,10 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _pack_texts(path: str, end_id: int, limits: Limits, with_ids: bool):
     end = int(end_id).to_bytes(4, "little")
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    types = [pa.binary() if c.endswith("binary") else pa.int64() for c in PIECES.split(", ")]
 
-    def block(ids: list, tokens: list[bytes], first: int) -> tuple[pd.DataFrame, int]:
+    def block(ids: list, tokens: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
         lengths = [len(t) // 4 for t in tokens]
         out, number = [], first
         for seq in pack(lengths, None, limits):
@@ -211,19 +214,19 @@ def _pack_texts(path: str, end_id: int, limits: Limits, with_ids: bool):
                             part if with_ids else None))
                 at += n
             number += 1
-        f = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-        return f.astype({"doc_id": "Int64"}), number
+        columns = zip(zip(*out, strict=True), types, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names), number
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(path)
         number = TaskContext.get().partitionId() << 40
         ids, tokens, held = [], [], 0
-        for f in frames:
-            for lo in range(0, len(f), 256):
-                part = f.iloc[lo:lo + 256]
-                texts = [t if t is not None else "" for t in part["text"]]
-                for doc, t in zip(part["doc_id"], coder.ids(texts), strict=True):
-                    ids.append(None if pd.isna(doc) else int(doc))
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                texts = [t or "" for t in part["text"].to_pylist()]
+                for doc, t in zip(part["doc_id"].to_pylist(), coder.ids(texts), strict=True):
+                    ids.append(doc)
                     tokens.append(t + end)
                     held += len(tokens[-1]) // 4
                 if held >= BLOCK_TOKENS or len(ids) >= BLOCK_ROWS:
@@ -239,7 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    end_id: int = 1, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
     """Pieces of all documents with their place: every token of plain text bears loss."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_pack_texts(tokenizer_path, end_id, limits, with_ids), PIECES)
+    return rows.mapInArrow(_pack_texts(tokenizer_path, end_id, limits, with_ids), PIECES)
 
 
 def _pack_examples(limits: Limits):

@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +62,10 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 
 
 def _fingerprints(words_per_shingle: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fps = np.array([fingerprint(t, words_per_shingle) for t in f["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fps.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, words_per_shingle) for t in b["text"].to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
     return run
 
 
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp (signed 64-bit), component_id of every document."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = staged(texts.mapInPandas(_fingerprints(words_per_shingle), "doc_id long, fp long"), "fingerprints")
+    prints = staged(texts.mapInArrow(_fingerprints(words_per_shingle), "doc_id long, fp long"), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     links = fingerprint_links(classes.where("rep is not null"), radius)
     comp = connected_components(links, "simhash").withColumnRenamed("id", "rep")

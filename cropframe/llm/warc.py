@@ -27,7 +27,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,7 +208,7 @@ def read_archive(archive: bytes, max_record: int = 1 << 30) -> Iterator[dict]:
 
 
 def _write(date: str, level: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, coder = [], 0, None
 
         def start():
@@ -217,12 +217,11 @@ def _write(date: str, level: int):
                 else zstandard.ZstdCompressor(level=level, write_checksum=True)
             return c, [frame] + [c.compress(r) for r in held]
 
-        for f in frames:
+        for b in batches:
             out = []
-            for page_id, url, html, digest, refers_to in zip(
-                    f["page_id"], f["url"], f["html"], f["digest"], f["refers_to"], strict=True):
-                whole = lambda x: None if pd.isna(x) else int(x)
-                raw = record_bytes(whole(page_id), url, html.encode(), digest, whole(refers_to), date)
+            for page_id, url, html, digest, refers_to in zip(*(b[c].to_pylist() for c in (
+                    "page_id", "url", "html", "digest", "refers_to")), strict=True):
+                raw = record_bytes(page_id, url, html.encode(), digest, refers_to, date)
                 if coder is None:
                     held.append(raw)
                     size += len(raw)
@@ -232,18 +231,18 @@ def _write(date: str, level: int):
                 else:
                     out.append(coder.compress(raw))
             if out:
-                yield pd.DataFrame({"frame": out})
+                yield pa.RecordBatch.from_pydict({"frame": pa.array(out, pa.binary())})
         if coder is None and held:
-            yield pd.DataFrame({"frame": start()[1]})
+            yield pa.RecordBatch.from_pydict({"frame": pa.array(start()[1], pa.binary())})
     return run
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-    for f in frames:
-        for archive in f["content"]:
+    for b in batches:
+        for archive in b["content"]:
             rows, size = [], 0
-            for r in read_archive(archive):
+            for r in read_archive(archive.as_py()):
                 rows.append(r)
                 size += r["payload_bytes"]
                 if size > 1 << 23:
@@ -252,9 +251,11 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _typed(rows, names)
 
 
-def _typed(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=names)
-    return f.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+def _typed(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in RECORD_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
@@ -270,7 +271,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
               .where("n > 1").select("digest", "first"))
     marked = rows.join(firsts, "digest", "left").withColumn(
         "refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
-    frames = marked.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(
+    frames = marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(
         _write(date, level), "frame binary")
     # bytes as a string column: the text writer puts them out as they are
     frames.select(F.col("frame").cast("string").alias("value")).write.option(
@@ -281,4 +282,4 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records under ``path``, checked: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_read, RECORD_SCHEMA)
+    return files.mapInArrow(_read, RECORD_SCHEMA)
