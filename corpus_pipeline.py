@@ -1,4 +1,13 @@
-"""The corpus pipeline: stages that each take all that the stage before kept."""
+"""The corpus pipeline: stages that each take all that the stage before kept.
+
+Rejected documents go (quality, toxicity), repeated lines go (line dedup), one
+document of each group of near copies stays (SimHash), and what is left is
+packed into sequences. Every stage but the last returns the columns of
+``documents``; its result is written and read again as the next one's input.
+
+Null texts pass every stage (the quality stage judges them like any other) and
+end as the end token alone; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +16,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cropframe.llm import packing, simhash
+from cropframe.llm import line_dedup, packing, quality, simhash, toxicity
 from cropframe.llm.common import staged
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; n_chars follows the text."""
+    return line_dedup.remove_lines(docs, chars_col="n_chars")
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
+    """Pieces of all documents with their ids, placed in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
     ("simhash", simhash_stage),
     ("packing", packing_stage),
 ]
