@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 MEMO_PIECES = 400_000
 MEMO_PAIRS = 1_000_000
@@ -172,10 +172,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 def decode_ids(ids: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns plus ``decoded`` (binary): the bytes of an id column as ``encode_documents`` writes it."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for f in frames:
-            yield f.assign(decoded=[None if x is None else c.decode(x) for x in f[ids_col]])
+        for b in batches:
+            out = [None if x is None else c.decode(x) for x in b[ids_col].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    schema = ids.schema.add("decoded", "binary")
-    return ids.mapInPandas(run, schema)
+    return ids.mapInArrow(run, StructType([*ids.schema.fields, StructField("decoded", BinaryType())]))

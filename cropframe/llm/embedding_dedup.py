@@ -14,7 +14,8 @@ Defined results
 * null vectors, vectors with null or non-finite components, empty vectors and
   zero vectors link with nothing and keep their own row;
 * vectors of different length never link;
-* identical rows (same id and vector) give one row;
+* one row per id: identical rows count once, and of several different vectors
+  under one id the smallest (in array order) counts;
 * a null id keeps its row, with component null and kept true;
 * empty table: empty result; extra columns are ignored.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cropframe.llm.common import connected_components, lookup, shuffle_parts, staged
+from cropframe.llm.simhash import spanning_links
 
 PASSES = 48
 WINDOW = 64
@@ -82,17 +84,24 @@ def _neighbours(window: int, threshold: float):
                 hit = np.flatnonzero((cos >= threshold) & (rank[step:] - rank[:-step] == step))
                 out_u.append(ids[hit])
                 out_v.append(ids[hit + step])
-        if not out_u:
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        u, v = np.concatenate(out_u), np.concatenate(out_v)
+        none = np.zeros(0, np.int64)
+        u, v = np.concatenate([none, *out_u]), np.concatenate([none, *out_v])
         pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+        ids, index = np.unique(pairs, return_inverse=True)
+        index = index.reshape(-1, 2)
+        tree = spanning_links(len(ids), iter([(index[:, 0], index[:, 1])]))
+        found = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+        spans = pd.DataFrame(np.sort(ids[tree.reshape(-1, 2)], axis=1), columns=["u", "v"]).assign(tree=True)
+        return found.merge(spans, "left", ["u", "v"]).fillna({"tree": False}).astype({"tree": bool})
     return run
 
 
 def links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD,
           seed: int = 11, block: int = BLOCK) -> DataFrame:
-    """Verified pairs (u < v) between the distinct vectors of ``classes`` (rep, vec)."""
+    """Verified pairs (u < v) between the distinct vectors of ``classes`` (rep, vec).
+
+    ``tree`` marks pairs that are enough to connect what all pairs connect.
+    """
     n = shuffle_parts(classes.sparkSession)
     keys = classes.mapInPandas(_keys(passes, seed), "pass int, dim int, key long, rep long")
     order = ["pass", "dim", "key", "rep"]
@@ -112,8 +121,8 @@ def links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, thresh
     ranked = ranked.withColumn("block", F.explode(
         F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))))
     placed = ranked.join(classes, "rep")
-    pairs = placed.groupBy("block").applyInPandas(_neighbours(window, threshold), "u long, v long")
-    return pairs.distinct()
+    pairs = placed.groupBy("block").applyInPandas(_neighbours(window, threshold), "u long, v long, tree boolean")
+    return pairs.groupBy("u", "v").agg(F.max("tree").alias("tree"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -121,13 +130,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    rows = rows.dropDuplicates(["id", "vec"])
+    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     good = staged(rows.where(usable() & F.col("id").isNotNull()), "vectors")
     rest = rows.where(~(usable() & F.col("id").isNotNull()))
     classes = staged(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    # one class per row of a different vector under the same smallest id stays apart by its own rep
     pairs = staged(links(classes.select("rep", "vec"), passes, window, threshold, seed), "links")
-    comp = connected_components(pairs, "vec")
+    comp = connected_components(pairs.where("tree"), "vec")
+    pairs = pairs.select("u", "v")
     size = classes.select(F.col("rep").alias("v"), "size")
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.join(size, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("size").alias("others"))

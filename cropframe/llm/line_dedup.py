@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import staged
+from cropframe.llm.common import fresh, staged
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
@@ -449,12 +449,12 @@ def document_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("places", F.array().cast("array<int>")).alias("places"))
 
 
-def _without(text_col: str, chars_col: str | None, names: list[str]):
+def _without(text_col: str, chars_col: str | None, names: list[str], lines: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, chars = [], []
             old = b[chars_col].to_pylist() if chars_col else [None] * b.num_rows
-            for text, gone, n in zip(b[text_col].to_pylist(), b["_gone"].to_pylist(), old, strict=True):
+            for text, gone, n in zip(b[text_col].to_pylist(), b[lines].to_pylist(), old, strict=True):
                 if text is not None and gone:
                     drop = {(g["place"], g["line"]) for g in gone}
                     places = {p for p, _ in drop}
@@ -475,5 +475,6 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All documents and columns, the texts without repeated lines; ``chars_col`` follows the text's length."""
     gone = repeated_lines(docs, id_col, text_col, threshold, min_words).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct("place", "line")).alias("_gone"))
-    both = docs.join(gone, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    return both.mapInArrow(_without(text_col, chars_col, docs.columns), docs.schema)
+    key, lines = fresh(docs, "gone_id", "gone_lines")
+    both = docs.join(gone.toDF(key, lines), F.col(id_col) == F.col(key), "left").drop(key)
+    return both.mapInArrow(_without(text_col, chars_col, docs.columns, lines), docs.schema)

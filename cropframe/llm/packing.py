@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -245,15 +244,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return rows.mapInArrow(_pack_texts(tokenizer_path, end_id, limits, with_ids), PIECES)
 
 
+PLACED = "example_id string, start long, length long, sequence_id long, offset long, loss_tokens long"
+
+
 def _pack_examples(limits: Limits):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PLACED.split(", ")]
+    types = [pa.string(), *[pa.int64()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        for f in frames:
-            for lo in range(0, len(f), BLOCK_ROWS):
-                part = f.iloc[lo:lo + BLOCK_ROWS]
-                lengths = [int(n) for n in part["tokens"].fillna(0)]
-                marks = [None if m is None else np.asarray(m, dtype=np.int64) for m in part["loss_mask"]]
-                ids, out = part["example_id"].tolist(), []
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(lo, BLOCK_ROWS)
+                lengths = [n or 0 for n in part["tokens"].to_pylist()]
+                marks = [None if m is None else np.array(m, dtype=np.int64) for m in part["loss_mask"].to_pylist()]
+                ids, out = part["example_id"].to_pylist(), []
                 for seq in pack(lengths, marks, limits):
                     at = 0
                     for i, start, n in seq.pieces:
@@ -261,8 +266,8 @@ def _pack_examples(limits: Limits):
                         out.append((ids[i], start, n, number, at, bearing))
                         at += n
                     number += 1
-                yield pd.DataFrame(out, columns=["example_id", "start", "length", "sequence_id", "offset",
-                                                 "loss_tokens"])
+                columns = zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names)
     return run
 
 
@@ -271,5 +276,4 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_mask_c
     """Pieces of instruction examples: token counts and a 0/1 mask per token (null: all bear loss)."""
     rows = examples.select(F.col(id_col).cast("string").alias("example_id"), F.col(tokens_col).alias("tokens"),
                            F.col(loss_mask_col).alias("loss_mask"))
-    return rows.mapInPandas(_pack_examples(limits), "example_id string, start long, length long, "
-                                                    "sequence_id long, offset long, loss_tokens long")
+    return rows.mapInArrow(_pack_examples(limits), PLACED)

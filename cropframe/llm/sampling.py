@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cropframe.llm.common import fresh
+
 
 def held_out(id_col: str | Column) -> Column:
     """Rows that never train: CRC-32 of the id as text leaves 1 when divided by 3."""
@@ -25,9 +27,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     The sample's ids are bounded by ``limit``, so they are broadcast to the scan.
     """
     ok = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
-    one = ok.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    picked = sample_ids(one, "_id", limit, salt)
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).drop("_id")
+    key = fresh(docs, "sampled_id")[0]
+    one = ok.groupBy(F.col(id_col).alias(key)).agg(F.max(label).cast("int").alias("label"))
+    picked = sample_ids(one, key, limit, salt)
+    return docs.join(F.broadcast(picked), F.col(id_col) == F.col(key)).drop(key)
 
 
 def sigmoid(z):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import connected_components, staged
+from cropframe.llm.common import connected_components, fresh, staged
 
 SEED = 42
 TREE_ROWS = 4096
@@ -221,7 +221,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat an id one stays.
     """
     found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    key = fresh(docs, "first_id")[0]
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

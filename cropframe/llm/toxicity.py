@@ -33,7 +33,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,21 +230,20 @@ def within(spans: list[tuple[int, int]], at: int) -> bool:
     return k >= 0 and spans[k][0] < at < spans[k][1]
 
 
-def _count_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, stem) with the toxic and clean documents that hold it, summed per batch."""
-    for f in frames:
+    for b in batches:
         counts = (Counter(), Counter())
-        for text, label in zip(f["text"], f["label"], strict=True):
+        for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
             words = set(WORD.findall((text or "").lower()))
             terms = {(w, False) for w in words if 3 <= len(w) <= 40}
             terms |= {(w[:n], True) for n in PREFIXES for w in words if len(w) >= n}
             counts[int(label)].update(terms)
-        keys = list(counts[1])  # terms without a toxic document are never entries
-        yield pd.DataFrame({"term": [k[0] for k in keys], "stem": [k[1] for k in keys],
-                            "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
-        rest = [k for k in counts[0] if k not in counts[1]]
-        yield pd.DataFrame({"term": [k[0] for k in rest], "stem": [k[1] for k in rest],
-                            "toxic": np.zeros(len(rest), np.int64), "clean": [counts[0][k] for k in rest]})
+        keys = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
+             pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())],
+            ["term", "stem", "toxic", "clean"])
 
 
 def mine_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
@@ -254,7 +252,7 @@ def mine_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
     toxic_docs, clean_docs = n.get(1, 0), n.get(0, 0)
     if not toxic_docs or not clean_docs:
         return []
-    counts = train.select("text", "label").mapInPandas(
+    counts = train.select("text", "label").mapInArrow(
         _count_terms, "term string, stem boolean, toxic long, clean long")
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (toxic_docs + 1.0)) - F.log(b / (clean_docs + 1.0)) - 2 * F.sqrt(1 / a + 1 / b)
@@ -293,22 +291,25 @@ def _matcher(model: bytes) -> Matcher:
 
 
 def _near_words(model: bytes):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(model)
-        for f in frames:
+        for b in batches:
             seen = Counter()
-            for text, label in zip(f["text"], f["label"], strict=True):
+            for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 seen.update((w, int(label)) for w, h in m.hits(text or "")[1].items() if h[0])
-            yield pd.DataFrame({"word": [w for w, _ in seen], "toxic": [n * k[1] for k, n in seen.items()],
-                                "clean": [n * (1 - k[1]) for k, n in seen.items()]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in seen], pa.string()),
+                 pa.array([n * k[1] for k, n in seen.items()], pa.int64()),
+                 pa.array([n * (1 - k[1]) for k, n in seen.items()], pa.int64())], ["word", "toxic", "clean"])
     return run
 
 
 def _features(model: bytes):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(model)
-        for f in frames:
-            yield pd.DataFrame({"x": [m.features(t) for t in f["text"]], "label": f["label"]})
+        for b in batches:
+            x = [m.features(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b["label"]], ["x", "label"])
     return run
 
 
@@ -320,11 +321,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = staged(labelled_sample(rows, lab, "toxic", max_train).select("text", "label"), "toxic-train")
     entries = mine_lexicon(train)
     bare = pickle.dumps((entries, frozenset()))
-    near = (train.mapInPandas(_near_words(bare), "word string, toxic long, clean long").groupBy("word")
+    near = (train.mapInArrow(_near_words(bare), "word string, toxic long, clean long").groupBy("word")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where("clean > 0 and clean * 2 >= toxic").orderBy(F.desc("clean"), "word").limit(MAX_EXCEPTIONS))
     model = pickle.dumps((entries, frozenset(r["word"] for r in near.collect())))
-    got = train.mapInPandas(_features(model), "x array<double>, label int").collect()
+    got = train.mapInArrow(_features(model), "x array<double>, label int").collect()
     x = np.array([r["x"] for r in got], dtype=np.float64).reshape(len(got), 5)
     return model, Logistic(x, np.array([r["label"] for r in got], dtype=np.float64), l2=1.0)
 

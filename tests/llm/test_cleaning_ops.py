@@ -47,7 +47,7 @@ def near_lines(words):
                 lines.append("A common line, that stands in very many documents.")
             else:
                 lines.append(" ".join(rng.choices(words, k=rng.randint(1, 30))))
-        rows.append((doc * 3 % 150, "\n".join(lines)))
+        rows.append((doc * 7 % 150, "\n".join(lines)))
     return rows
 
 

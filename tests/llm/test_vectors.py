@@ -61,7 +61,7 @@ def test_links_do_not_depend_on_the_layout(spark):
 def test_blocks_lose_no_neighbours(spark):
     df = vectors(spark, 300).where("embedding is not null and vec_id < 200")
     classes = df.groupBy(F.col("embedding").alias("vec")).agg(F.min("vec_id").alias("rep"))
-    pairs = lambda block: {tuple(r) for r in embedding_dedup.links(classes, 5, 6, block=block).collect()}
+    pairs = lambda block: {(r["u"], r["v"]) for r in embedding_dedup.links(classes, 5, 6, block=block).collect()}
     assert pairs(16) == pairs(100_000)
 
 
