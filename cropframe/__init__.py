@@ -5,6 +5,6 @@ measures, ...) and returns a DataFrame, so the same code runs on the crop
 tables and on any other keyed, dated table.
 """
 
-from cropframe.session import checkpoint_dir, get_spark
+from cropframe.session import checkpoint_dir, get_spark, job_session, ship
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "job_session", "checkpoint_dir", "ship"]

@@ -63,18 +63,21 @@ def clean_yield_csv(df: DataFrame, start_year=None, end_year=None,
 def clean_yield_json(df: DataFrame) -> DataFrame:
     """S2 records -> stored yield rows.
 
-    Files with commodity names keep year, value, crop, district, county_ansi,
-    unit and drop a row with any NULL among them; files without keep only
-    year and value. ',' is removed before parsing on this path.
+    Files with commodity names keep year, value, crop and those of district,
+    county_ansi and unit that the file has (``has_<column>``; all of them when
+    the flags are missing), and drop a row with any NULL among them; files
+    without keep only year and value. ',' is removed before parsing on this path.
     """
     has = F.col("has_commodity")
     value = parse_number("Value", strip_thousands=True)
     year = F.col("year").try_cast("int")
-    full = [year, value, F.col("commodity_desc"), F.col("asd_desc"), F.col("county_ansi"),
-            F.col("unit_desc")]
+    full = [year, value, F.col("commodity_desc")]
     complete_full = full[0].isNotNull()
     for c in full[1:]:
         complete_full = complete_full & c.isNotNull()
+    for c in ("asd_desc", "county_ansi", "unit_desc"):
+        there = F.col(f"has_{c}") if f"has_{c}" in df.columns else F.lit(True)
+        complete_full = complete_full & (~there | F.col(c).isNotNull())
     complete_min = year.isNotNull() & value.isNotNull()
     keep = F.when(has, complete_full).otherwise(complete_min)
 

@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cropframe.session import scratch_path
+from cropframe.session import drop_path, scratch_path
 
 
 def _order(order: list[str] | str):
@@ -81,7 +82,7 @@ def replace(target: DataFrame, batch: DataFrame, keys: list[str], order: list[st
                      keys, order, keep_order=True)
     b = b.select(*[(F.col(c) if c in b.columns else F.lit(None)).cast(target.schema[c].dataType)
                    .alias(c) for c in cols])
-    kept = target.join(b.select(*keys), keys, "left_anti")
+    kept = target.join(b.select(*keys), keys, "left_anti").select(*cols)
     return kept.unionByName(b)
 
 
@@ -93,43 +94,34 @@ def publish(spark: SparkSession, df: DataFrame, path: str, partition_by: list[st
     fresh folder under the checkpoint directory (never read and overwrite one
     path in one plan), then the staged copy replaces the touched partitions.
     """
-    out = df
+    out, tmp = df, None
     if stage:
         tmp = scratch_path(spark, "stage")
         df.write.mode("overwrite").parquet(tmp)
-        out = spark.read.parquet(tmp)
+        out = spark.read.schema(df.schema).parquet(tmp)
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    if tmp:
+        drop_path(spark, tmp)
     return path
 
 
-MAX_LITERAL_PARTITIONS = 10000
-
-
 def _touched_partitions(target: DataFrame, batch: DataFrame, partition_by: list[str]) -> DataFrame:
-    """Restrict the stored table to the partitions the batch touches.
+    """Restrict the stored table to the partitions the (staged) batch touches.
 
-    The distinct partition values of the batch are at most the table's
-    partition count; up to MAX_LITERAL_PARTITIONS they become a literal
-    filter, which prunes directories at planning time. Beyond that a
-    semi-join is used (dynamic partition pruning can still apply).
+    The range of the first partition column prunes directories at planning
+    time; the semi-join on all of them prunes the rest when it runs (dynamic
+    partition pruning needs the range filter on the batch's side).
     """
-    touched = batch.select(*partition_by).distinct()
-    vals = touched.limit(MAX_LITERAL_PARTITIONS + 1).collect()
-    if len(vals) > MAX_LITERAL_PARTITIONS:
-        return target.join(touched, partition_by, "left_semi")
-    if not vals:
+    first = partition_by[0]
+    lo, hi = batch.agg(F.min(first), F.max(first)).first()
+    if lo is None:
         return target.limit(0)
-    cond = None
-    for r in vals:
-        c = None
-        for k in partition_by:
-            e = F.col(k).eqNullSafe(F.lit(r[k]))
-            c = e if c is None else c & e
-        cond = c if cond is None else cond | c
-    return target.filter(cond)
+    inside = F.col(first).between(F.lit(lo), F.lit(hi))
+    touched = batch.filter(inside).select(*partition_by).distinct()
+    return target.filter(inside).join(touched, partition_by, "left_semi")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -142,26 +134,75 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _stored_schema(spark: SparkSession, path: str, batch: DataFrame,
+                   declared: T.StructType | None) -> T.StructType:
+    """Columns of the stored table: the declared schema, or what is stored plus what the batch adds.
+
+    Types of columns in the batch are the batch's (partition values are not
+    re-inferred as numbers).
+    """
+    known = {f.name: f.dataType for f in batch.schema.fields}
+    if declared is not None:
+        return T.StructType([T.StructField(f.name, known.get(f.name, f.dataType)) for f in declared.fields])
+    stored = spark.read.parquet(path).schema.fields
+    fields = [T.StructField(f.name, known.get(f.name, f.dataType)) for f in stored]
+    names = {f.name for f in stored}
+    return T.StructType(fields + [T.StructField(n, t) for n, t in known.items() if n not in names])
+
+
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str],
                  order: list[str] | str, overwrite: list[str], keep_if_null: list[str] = (),
-                 partition_by: list[str] | None = None, mode: str = "merge") -> str:
+                 partition_by: list[str] | None = None, mode: str = "merge",
+                 schema: T.StructType | None = None) -> str:
     """Upsert a batch into the stored table at ``path`` (K1-K3 + sink).
 
-    Only partitions the batch touches are read and rewritten: the target is
-    semi-joined to the batch's partition values, which prunes the scan.
-    An empty batch is a no-op on the data.
+    The reduced batch is staged once; partition pruning and the merge both
+    read that copy, which is removed afterwards. Only partitions the batch
+    touches are read and rewritten, with every stored column (``schema``, or
+    the columns found): a measure the batch lacks is NULL for its own keys in
+    ``replace`` mode, stays as stored in ``merge`` mode, and never changes for
+    other keys. An empty batch is a no-op on the data.
     """
     exists = table_exists(spark, path)
-    cols = list(keys) + list(overwrite) + list(keep_if_null)
+    have = set(batch.columns)
+    overwrite = [c for c in overwrite if c in have]
+    keep_if_null = [c for c in keep_if_null if c in have]
+    tmp = scratch_path(spark, "batch")
+    if mode == "merge":
+        reduced = reduce_batch(batch, keys, order, overwrite, keep_if_null)
+    else:
+        order_cols = [order] if isinstance(order, str) else list(order)
+        reduced = last_per_key(batch.select(*keys, *overwrite, *keep_if_null, *[
+            c for c in order_cols if c not in keys + overwrite + keep_if_null]), keys, order)
+    reduced.write.parquet(tmp)
+    reduced = spark.read.schema(reduced.schema).parquet(tmp)
     if exists:
-        # The batch's types: partition values are not re-inferred as numbers.
-        target = spark.read.schema(batch.select(*cols).schema).parquet(path)
+        stored = _stored_schema(spark, path, reduced, schema)
+        target = spark.read.schema(stored).parquet(path)
         if partition_by:
-            target = _touched_partitions(target, batch, partition_by)
+            target = _touched_partitions(target, reduced, partition_by)
     else:
-        target = spark.createDataFrame([], batch.select(*cols).schema)
+        known = {f.name for f in (schema.fields if schema else [])}
+        stored = T.StructType((list(schema.fields) if schema else []) + [
+            f for f in reduced.schema.fields if f.name not in known])
+        target = spark.createDataFrame([], stored)
     if mode == "merge":
-        merged = merge(target, batch, keys, order, overwrite, keep_if_null)
+        merged = _merge_reduced(target, reduced, keys, overwrite, keep_if_null)
     else:
-        merged = replace(target.select(*cols), batch, keys, order)
-    return publish(spark, merged, path, partition_by, stage=exists)
+        merged = replace(target, reduced, keys, keys[0])
+    publish(spark, merged, path, partition_by, stage=exists)
+    drop_path(spark, tmp)
+    return path
+
+
+def _merge_reduced(target: DataFrame, reduced: DataFrame, keys: list[str], overwrite: list[str],
+                   keep_if_null: list[str]) -> DataFrame:
+    """``merge`` for a batch that is already one row per key; other target columns stay."""
+    rest = [c for c in target.columns if c not in keys + overwrite + keep_if_null]
+    b = reduced.withColumn("_in_b", F.lit(True)).alias("b")
+    t = target.alias("t")
+    j = t.join(b, reduce(lambda a, c: a & c, [F.col(f"t.{k}") == F.col(f"b.{k}") for k in keys]), "full_outer")
+    in_b = F.col("b._in_b").isNotNull()
+    cols = [F.when(in_b, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in keys + overwrite]
+    cols += [F.coalesce(F.col(f"b.{c}"), F.col(f"t.{c}")).alias(c) for c in keep_if_null]
+    return j.select(*cols, *[F.col(f"t.{c}").alias(c) for c in rest]).select(*target.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cropframe.operators import clean, gaps, query, season, soil, upsert
 from cropframe.sources import (read_daily_grid, read_soil_tables, read_yield_csv,
                                read_yield_json, schemas)
+from cropframe.sources.tables import read_table
 
 WEATHER_MEASURES = ["avg_temp", "precipitation", "vp", "srad", "gdd"]
 SOIL_MEASURES = ["ph", "organic_matter", "sand_pct", "clay_pct"]
@@ -70,26 +71,27 @@ def bulk_ingest(spark: SparkSession, yield_csv_path: str, daily_path: str, soil_
     tables = read_soil_tables(spark, soil_base, soil_fmt)
     s = soil_for_spans(tables, spans).withColumn("_o", F.lit(0))
     upsert.upsert_table(spark, f"{store}/soil", s, schemas.SOIL_KEY, "_o", SOIL_MEASURES,
-                        partition_by=["state"], mode="replace")
+                        partition_by=["state"], mode="replace", schema=schemas.SOIL)
     w = weather_for_spans(read_daily_grid(spark, daily_path, daily_fmt), spans).withColumn(
         "_o", F.lit(0))
     upsert.upsert_table(spark, f"{store}/weather", w, schemas.WEATHER_KEY, "_o", WEATHER_MEASURES,
-                        partition_by=["state"], mode="replace")
+                        partition_by=["state"], mode="replace", schema=schemas.WEATHER)
     if yield_json_path:
         recs = clean.clean_yield_json(read_yield_json(spark, yield_json_path))
         # A record answers one (county, state) request of the CSV; rows are
         # stored under the requested names, as the per-county fetch did.
-        req = spans.select(F.col("county").alias("_rc"), F.col("state").alias("_rs"))
+        req = spans.select(F.col("county").alias("_rc"), F.col("state").alias("_rs"), "start_year", "end_year")
         y = (recs.join(req, (F.upper(F.trim("county")) == F.upper(F.trim("_rc")))
                        & (F.upper(F.trim("state")) == F.upper(F.trim("_rs"))))
+             .filter(F.col("year").between(F.col("start_year"), F.col("end_year")))
              .withColumn("county", F.col("_rc")).withColumn("state", F.col("_rs"))
-             .drop("_rc", "_rs").withColumn("src_block", F.lit(0).cast("long"))
+             .drop("_rc", "_rs", "start_year", "end_year").withColumn("src_block", F.lit(0).cast("long"))
              .filter(F.col("crop").isNotNull()))
     else:
         y = clean.clean_yield_csv(raw, requests=spans.select("county", "state"))
     upsert.upsert_table(spark, f"{store}/yields", y, schemas.YIELD_KEY, YIELD_ORDER,
                         overwrite=["value", "unit"], keep_if_null=["district", "county_ansi"],
-                        partition_by=["state"])
+                        partition_by=["state"], schema=schemas.YIELDS)
     return {"plan": spans, "store": store}
 
 
@@ -110,32 +112,45 @@ def backfill_plan(stored_yields: DataFrame, state: str | None, crop: str | None,
 
 
 def backfill(spark: SparkSession, store: str, landed_yields: DataFrame, state=None, crop=None,
-             start_year=None, end_year=None) -> DataFrame:
+             start_year=None, end_year=None, catalog: DataFrame | None = None) -> DataFrame:
     """E-2: upsert the landed rows that fill missing years, then the filtered scan (F1).
 
     ``landed_yields`` are cleaned yield rows (from S1 or S2); only rows of
     missing (county, state, year) are kept (J7), and only the asked crop
-    when one is given.
+    when one is given. State and crop are normalised first, as for the scan.
+    A state without stored rows is filled for every county of ``catalog``
+    (areaname), as the reference asks the service for each (Q2).
     """
     path = f"{store}/yields"
-    stored = spark.read.parquet(path)
-    plan = backfill_plan(stored, state, crop, start_year, end_year)
+    if upsert.table_exists(spark, path):
+        stored = read_table(spark, path, "yields")
+    else:
+        stored = spark.createDataFrame([], schemas.YIELDS)
+    asked = query.normalise_params(state=state, crop=crop)
+    state, crop = asked["state"], asked["crop"]
+    # counties are named as the landed rows name them
+    counties = None
+    if catalog is not None and state is not None:
+        known = clean.counties_of_state(catalog, state).select(F.upper(F.trim("county")).alias("_c"))
+        counties = landed_yields.filter(F.col("state") == state).select("county").distinct().join(
+            known, F.upper(F.trim("county")) == F.col("_c"), "left_semi")
+    plan = backfill_plan(stored, state, crop, start_year, end_year, counties)
     fill = gaps.keep_missing(landed_yields, plan, ["county", "state"], crop=crop)
     upsert.upsert_table(spark, path, fill, schemas.YIELD_KEY, YIELD_ORDER, ["value", "unit"],
-                        ["district", "county_ansi"], partition_by=["state"])
-    return query.yield_query(spark.read.parquet(path), state, crop, start_year, end_year)
+                        ["district", "county_ansi"], partition_by=["state"], schema=schemas.YIELDS)
+    return query.yield_query(read_table(spark, path, "yields"), state, crop, start_year, end_year)
 
 
 def main(argv: list[str] | None = None) -> None:
     """Command line: ``python -m cropframe.plans.ingest --yield-csv ... --store ...``.
 
-    A dry run (``--dry-run`` or a non-empty DRY_RUN other than "0") prints the
-    per-county plan instead of writing.
+    A dry run (``--dry-run`` or a non-empty DRY_RUN other than "0") writes the
+    whole per-county plan as a table under ``<store>/plan`` and nothing else.
     """
     import argparse
     import os
 
-    from cropframe.session import get_spark
+    from cropframe.session import job_session
     ap = argparse.ArgumentParser(description="Bulk ingest of yield, weather and soil tables")
     ap.add_argument("--yield-csv", required=True)
     ap.add_argument("--yield-json")
@@ -148,11 +163,11 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     env = os.environ.get("DRY_RUN", "")
     dry = a.dry_run or bool(env and env != "0")
-    spark = get_spark("cropframe-ingest")
+    spark = job_session("cropframe-ingest")
     out = bulk_ingest(spark, a.yield_csv, a.daily, a.soil, a.store, a.daily_format,
                       a.soil_format, dry_run=dry, yield_json_path=a.yield_json)
     if dry:
-        out["plan"].orderBy("state", "county").show(1000, truncate=False)
+        out["plan"].orderBy("state", "county").write.mode("overwrite").option("header", True).csv(f"{a.store}/plan")
 
 
 if __name__ == "__main__":

@@ -347,6 +347,34 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
 FROM u
 """
 
+ORACLE["q_upsert_narrow"] = f"""
+WITH t AS (SELECT {LI_COLS} FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'
+           QUALIFY row_number() {LI_PART} = 1),
+b AS (SELECT {LI_COLS} FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'
+      QUALIFY row_number() {LI_PART} = 1)
+SELECT l_orderkey, l_linenumber, round(l_quantity, 6) + 0.0 AS l_quantity,
+       round(l_extendedprice, 6) + 0.0 AS l_extendedprice, round(l_discount, 6) + 0.0 AS l_discount,
+       round(l_tax, 6) + 0.0 AS l_tax
+FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = t.l_orderkey AND b.l_linenumber = t.l_linenumber)
+UNION ALL
+SELECT l_orderkey, l_linenumber, round(l_quantity, 6) + 0.0, round(l_extendedprice, 6) + 0.0, NULL, NULL FROM b
+"""
+
+ORACLE["q_records_filter"] = """
+WITH f AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN 'AD' END AS d1,
+                  CASE WHEN o_orderkey % 2 = 1 THEN 'AD' END AS d2 FROM orders)
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 'S' AS state, 'C' || CAST(o_custkey % 10 AS VARCHAR) AS county,
+       round(o_totalprice, 2) + 0.0 AS value, o_orderpriority AS crop, 'BU / ACRE' AS unit, d1 AS district,
+       CAST(o_custkey % 100 AS VARCHAR) AS county_ansi, CAST(o_orderkey AS VARCHAR) AS src_file,
+       CAST(0 AS INTEGER) AS src_row
+FROM f WHERE o_orderkey % 3 <> 0 AND (d1 IS NOT NULL OR d2 IS NULL)
+"""
+
+ORACLE["q_backfill"] = f"""WITH {YIELDS_CTE}
+SELECT year, state, district, county, county_ansi, crop, {r6('value')}, unit FROM yields
+WHERE state IN ('AMERICA', 'EUROPE') AND crop = '1-URGENT' AND year BETWEEN 1992 AND 1998
+"""
+
 ORACLE["q_upsert_merge"] = f"""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag AS flag,
                   l_linestatus AS status

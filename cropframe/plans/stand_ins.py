@@ -16,7 +16,10 @@ from cropframe.functions.numeric import NUDGE
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
 from cropframe.operators import (clean, explain, frame, gaps, model, profile, query, season,
                                  select, soil, upsert)
+from cropframe.plans import ingest
+from cropframe.session import scratch_path
 from cropframe.sources import concat_frames, driver_table, read_catalog
+from cropframe.sources.files import explode_records
 
 DIGITS = 6
 
@@ -406,6 +409,55 @@ def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+def q_upsert_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 sink: a batch without two measures nulls them for its own keys only."""
+    before, after = lineitem_batches(spark, sf_dir)
+    path = scratch_path(spark, "narrow")
+    measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    upsert.upsert_table(spark, path, before, LI_KEY, LI_ORDER, measures,
+                        partition_by=["l_linenumber"], mode="replace")
+    upsert.upsert_table(spark, path, after.drop("l_discount", "l_tax"), LI_KEY, LI_ORDER, measures,
+                        partition_by=["l_linenumber"], mode="replace")
+    out = spark.read.schema(before.select(*LI_KEY, *measures).schema).parquet(path)
+    return round_doubles(out, DIGITS)
+
+
+def q_records_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two service records per order; other statistics and units go, columns are judged per file."""
+    o = _t(spark, sf_dir, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+
+    def record(unit: str, district):
+        return F.struct(
+            F.year("o_orderdate").cast("string").alias("year"), F.format_number("o_totalprice", 2).alias("Value"),
+            F.col("o_orderpriority").alias("commodity_desc"), district.alias("asd_desc"),
+            (F.col("o_custkey") % 100).cast("string").alias("county_ansi"), F.lit(unit).alias("unit_desc"),
+            F.concat(F.lit("C"), F.col("o_custkey") % 10).alias("county_name"), F.lit("S").alias("state_name"),
+            F.lit("SURVEY").alias("source_desc"), F.lit("CROPS").alias("sector_desc"),
+            F.lit("FIELD CROPS").alias("group_desc"),
+            F.when(F.col("o_orderkey") % 3 == 0, "PRODUCTION").otherwise("YIELD").alias("statisticcat_desc"),
+            F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise("COUNTY").alias("agg_level_desc"))
+
+    raw = o.select(F.col("o_orderkey").cast("string").alias("src_file"), F.array(
+        record("BU / ACRE", F.when(F.col("o_orderstatus") != "P", "AD")),
+        record("BU", F.when(odd, "AD"))).alias("data"))
+    return round_doubles(clean.clean_yield_json(explode_records(raw, ["src_file"])), DIGITS)
+
+
+def q_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-2, Q2: a state with half its years stored, and one with nothing stored, filled from the landed rows."""
+    landed = model.materialize(yields_stand_in(spark, sf_dir))
+    store = scratch_path(spark, "backfill")
+    half = (F.col("year") + F.length("county")) % 2 == 0
+    upsert.publish(spark, landed.filter(half & (F.col("state") != "EUROPE")), f"{store}/yields", ["state"], stage=False)
+    rows = landed.withColumns({"src_file": F.lit("f"), "src_block": F.lit(0).cast("long"), "src_row": F.lit(0).cast("long")})
+    catalog = catalog_stand_in(spark, sf_dir)
+    a = ingest.backfill(spark, store, rows, "america", "1-urgent", 1992, 1998, catalog)
+    a = model.materialize(a)
+    b = ingest.backfill(spark, store, rows, "europe", "1-urgent", 1992, 1998, catalog)
+    return round_doubles(a.unionByName(b), DIGITS)
+
+
 # --------------------------------------------------------------------------- profile
 NUM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 RANK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -671,6 +723,8 @@ def q_lime(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model.fit(f, FRAME_KEY, FRAME_FEATURES, "yield")
     row = query.pick_row(f, ["county", "year", "crop"], county="NATION_3", year=1997)
     return explain.lime(m, f, row, FRAME_KEY, FRAME_FEATURES)
+
+
 # --------------------------------------------------------------------------- registry
 QUERIES = {
     "q_season": q_season,
@@ -701,6 +755,9 @@ QUERIES = {
     "q_keep_missing": q_keep_missing,
     "q_upsert_batch": q_upsert_batch,
     "q_upsert_merge": q_upsert_merge,
+    "q_upsert_narrow": q_upsert_narrow,
+    "q_records_filter": q_records_filter,
+    "q_backfill": q_backfill,
     "q_overview": q_overview,
     "q_profile_num": q_profile_num,
     "q_profile_cat": q_profile_cat,

@@ -12,11 +12,7 @@ from pyspark.sql import SparkSession
 def get_spark(app: str = "cropframe", cores: str | int | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Local session with the settings the library is tuned for.
-
-    On a cluster, build the session with the cluster's own launcher; the
-    operators only rely on AQE being on and the session time zone being UTC.
-    """
+    """Local session for tests and benchmarks, with the settings the library is tuned for."""
     cores = cores or os.environ.get("BENCH_CPUS") or "*"
     parts = shuffle_partitions or (int(cores) if str(cores).isdigit() else 8)
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -36,6 +32,40 @@ def get_spark(app: str = "cropframe", cores: str | int | None = None,
     return spark
 
 
+def job_session(app: str) -> SparkSession:
+    """Session of a job: master, resources and shared folders are the launcher's."""
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        apply_cluster_settings(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a session that does not have it installed."""
+    import zipfile
+
+    sc, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_cropframe_sent", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="cropframe-zip-"), "cropframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("cropframe", os.path.relpath(full, root)))
+    sc.addPyFile(path)  # the driver serves it; executors fetch their own copy
+    sc._cropframe_sent = True
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged copy, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # Settings for a large cluster (about 100 TB of input, ~1000 executors).
 # Start with many shuffle partitions and let AQE coalesce them to ~256 MB;
 # scan splits of 256 MB keep task counts reasonable on wide parquet tables;

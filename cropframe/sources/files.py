@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +25,32 @@ def read_yield_json(spark: SparkSession, path: str) -> DataFrame:
     """Landed response objects -> one row per record under ``data``.
 
     ``has_commodity`` tells whether the file carries commodity names at all;
-    files without them keep only year and value (F6).
+    files without them keep only year and value (F6). ``has_<column>`` tells
+    the same of the other optional columns.
     """
-    raw = (spark.read.schema(schemas.YIELD_JSON).option("multiLine", True).json(path)
-           .select(F.col("_metadata.file_path").alias("src_file"),
-                   F.posexplode("data").alias("src_row", "rec")))
-    df = raw.select("src_file", "src_row", "rec.*")
-    per_file = Window.partitionBy("src_file")
-    return df.withColumn("has_commodity",
-                         F.max(F.col("commodity_desc").isNotNull()).over(per_file))
+    raw = spark.read.schema(schemas.YIELD_JSON).option("multiLine", True).json(path)
+    return explode_records(raw.select(F.col("_metadata.file_path").alias("src_file"), "data"), ["src_file"])
+
+
+def explode_records(raw: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per record of response objects; which columns a response carries is
+    read off its array before the explode, so nothing is shuffled.
+
+    Records that the service request would not return (another statistic,
+    unit, level, ...) are dropped; a field that a record lacks does not judge.
+    """
+    def carries(c: str):
+        return F.exists("data", lambda r: r[c].isNotNull())
+
+    has = [carries(c).alias("has_commodity" if c == "commodity_desc" else f"has_{c}")
+           for c in schemas.OPTIONAL_RECORD]
+    df = raw.select(*keep, *has, F.posexplode("data").alias("src_row", "rec"))
+    for c, value in schemas.SERVICE_FILTER.items():
+        df = df.filter(F.coalesce(F.col(f"rec.{c}") == value, F.lit(True)))
+    names = [f.name for f in schemas.YIELD_RECORD.fields
+             if f.name not in schemas.SERVICE_FILTER or f.name in schemas.OPTIONAL_RECORD]
+    return df.select(*keep, "src_row", *[F.col(f"rec.{n}").alias(n) for n in names],
+                     "has_commodity", *[f"has_{c}" for c in schemas.OPTIONAL_RECORD[1:]])
 
 
 def read_daily_grid(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -32,7 +32,15 @@ YIELD_CSV = _struct(("State", S), ("County", S), ("Year", S), ("Commodity", S),
 # Landed yield records: one response object per file, rows under `data`.
 YIELD_RECORD = _struct(("year", S), ("Value", S), ("commodity_desc", S), ("asd_desc", S),
                        ("county_ansi", S), ("unit_desc", S), ("county_name", S),
-                       ("state_name", S))
+                       ("state_name", S), ("source_desc", S), ("sector_desc", S),
+                       ("group_desc", S), ("statisticcat_desc", S), ("agg_level_desc", S))
+# What the yield request asks the service for.
+SERVICE_FILTER = {
+    "source_desc": "SURVEY", "sector_desc": "CROPS", "group_desc": "FIELD CROPS",
+    "statisticcat_desc": "YIELD", "unit_desc": "BU / ACRE", "agg_level_desc": "COUNTY",
+}
+# Record columns that a file may lack as a whole.
+OPTIONAL_RECORD = ["commodity_desc", "asd_desc", "county_ansi", "unit_desc"]
 YIELD_JSON = T.StructType([T.StructField("data", T.ArrayType(YIELD_RECORD), True)])
 
 # Daily climate, grid-service frame (one row per county-day).

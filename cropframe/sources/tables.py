@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cropframe.functions import nan_to_null
 from cropframe.sources import schemas
 
 
@@ -16,7 +18,8 @@ def read_table(spark: SparkSession, path: str, table: str | None = None) -> Data
     come back NULL.
     """
     if table is None:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        return df.select(*[_clean(df, f) for f in df.schema.fields])
     return _project(spark.read.parquet(path), table)
 
 
@@ -42,10 +45,17 @@ def _project(df: DataFrame, table: str) -> DataFrame:
     schema = schemas.STORED[table]
     present = set(df.columns)
     return df.select(*[
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+        _clean(df, f) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema.fields])
 
 
+def _clean(df: DataFrame, field: T.StructField):
+    """The column in its stored type, NaN as NULL."""
+    c = nan_to_null(field.name) if isinstance(df.schema[field.name].dataType, (T.DoubleType, T.FloatType)) \
+        else F.col(field.name)
+    return c.cast(field.dataType).alias(field.name)
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cropframe.operators import clean, upsert
 from cropframe.sources import schemas
-from cropframe.session import checkpoint_dir
+from cropframe.sources.files import explode_records
 
 YIELD_ORDER = ["src_epoch", "src_file", "src_block", "src_row"]
 
@@ -36,12 +36,7 @@ def landed_yield_stream(spark: SparkSession, landing: str, kind: str = "csv") ->
 
 def _clean_json_batch(batch: DataFrame) -> DataFrame:
     """Response objects of one micro-batch -> cleaned yield rows (S2 rules)."""
-    from pyspark.sql import Window
-    recs = batch.select("src_file", "src_block", "src_epoch",
-                        F.posexplode("data").alias("src_row", "rec")).select(
-        "src_file", "src_block", "src_epoch", "src_row", "rec.*")
-    recs = recs.withColumn("has_commodity", F.max(F.col("commodity_desc").isNotNull())
-                           .over(Window.partitionBy("src_file")))
+    recs = explode_records(batch, ["src_file", "src_block", "src_epoch"])
     return clean.clean_yield_json(recs).filter(F.col("crop").isNotNull())
 
 
@@ -53,7 +48,8 @@ def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str
     ``available_now`` processes what has landed and stops (a scheduled
     incremental job); otherwise it keeps running with a 1-minute trigger.
     """
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/yield-stream"
+    # progress lives beside the table it describes, unless a shared folder is named
+    ckpt = checkpoint or f"{store.rstrip('/')}/_progress/yield-stream"
     path = f"{store}/yields"
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
@@ -70,7 +66,7 @@ def stream_upsert(spark: SparkSession, landing: str, store: str, checkpoint: str
             rows = clean.clean_yield_csv(batch, start_year, end_year)
         upsert.upsert_table(batch.sparkSession, path, rows, schemas.YIELD_KEY, YIELD_ORDER,
                             ["value", "unit"], ["district", "county_ansi"],
-                            partition_by=["state"])
+                            partition_by=["state"], schema=schemas.YIELDS)
 
     w = (landed_yield_stream(spark, landing, kind).writeStream.foreachBatch(merge_batch)
          .option("checkpointLocation", ckpt))

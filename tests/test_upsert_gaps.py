@@ -191,6 +191,58 @@ def test_bulk_ingest_from_records(spark, tmp):
                        yield_json_path=os.path.join(tmp, "recs"))
     got = sorted((r["county"], r["state"], r["value"])
                  for r in spark.read.parquet(os.path.join(store, "yields")).collect())
-    # one record, stored under each raw (county, state) spelling of the CSV that it answers
-    assert got == [("WAKE", "NORTH CAROLINA", 1234.0), ("WAKE", "North Carolina", 1234.0),
-                   ("Wake", "NORTH CAROLINA", 1234.0)]
+    # one record, stored under each raw (county, state) spelling whose year span holds its year
+    assert got == [("WAKE", "North Carolina", 1234.0), ("Wake", "NORTH CAROLINA", 1234.0)]
+
+
+def test_replace_with_a_narrow_batch_keeps_other_keys(spark, tmp):
+    path = os.path.join(tmp, "weather")
+    cols = schemas.WEATHER
+    spark.createDataFrame([("A", "NC", 2000, 1.0, 2.0, 3.0, 4.0, 5.0), ("B", "NC", 2000, 1.5, 2.5, 3.5, 4.5, 5.5),
+                           ("C", "SC", 2000, 9.0, 9.0, 9.0, 9.0, 9.0)], cols).write.partitionBy("state").parquet(path)
+    batch = spark.createDataFrame([("A", "NC", 2000, 7.0, 8.0, 6.0, 0)],
+                                  "county string, state string, year int, avg_temp double, precipitation double, "
+                                  "gdd double, _o int")
+    upsert.upsert_table(spark, path, batch, schemas.WEATHER_KEY, "_o", ingest.WEATHER_MEASURES,
+                        partition_by=["state"], mode="replace", schema=schemas.WEATHER)
+    got = sorted((r["county"], r["avg_temp"], r["vp"], r["srad"], r["gdd"])
+                 for r in spark.read.schema(cols).parquet(path).collect())
+    assert got == [("A", 7.0, None, None, 6.0), ("B", 1.5, 3.5, 4.5, 5.5), ("C", 9.0, 9.0, 9.0, 9.0)]
+
+
+def test_merge_keeps_columns_it_does_not_know(spark, tmp):
+    path = os.path.join(tmp, "t")
+    spark.createDataFrame([("k1", 1, "x"), ("k2", 2, "y")], "k string, v int, extra string").write.parquet(path)
+    batch = spark.createDataFrame([("k1", 5, 0), ("k3", 6, 0)], "k string, v int, o int")
+    upsert.upsert_table(spark, path, batch, ["k"], "o", ["v"])
+    got = sorted((r["k"], r["v"], r["extra"]) for r in spark.read.parquet(path).collect())
+    assert got == [("k1", 5, "x"), ("k2", 2, "y"), ("k3", 6, None)]
+
+
+def test_records_are_filtered_and_judged_by_the_columns_their_file_has(spark, tmp):
+    import json
+    from cropframe.operators import clean
+    from cropframe.sources import read_yield_json
+    base = {"year": "2000", "Value": "10", "commodity_desc": "CORN", "county_ansi": "37", "unit_desc": "BU / ACRE",
+            "county_name": "WAKE", "state_name": "NC"}
+    write_text(os.path.join(tmp, "r", "a.json"), json.dumps({"data": [
+        base, base | {"unit_desc": "BU", "Value": "11"}, base | {"statisticcat_desc": "PRODUCTION", "Value": "12"},
+        base | {"agg_level_desc": "STATE", "Value": "13"}, base | {"county_ansi": None, "Value": "14"},
+        base | {"source_desc": "SURVEY", "Value": "15"}]}))
+    got = clean.clean_yield_json(read_yield_json(spark, os.path.join(tmp, "r"))).collect()
+    # no record of the file has a district, so none is dropped for lacking it
+    assert sorted(r["value"] for r in got) == [10.0, 15.0]
+    assert {r["district"] for r in got} == {None}
+
+
+def test_backfill_normalises_and_falls_back_to_the_catalog(spark, tmp):
+    cols = "year int, state string, district string, county string, county_ansi string, crop string, value double, unit string"
+    store = os.path.join(tmp, "store")
+    spark.createDataFrame([(2000, "SC", "C", "Lee", "1", "CORN", 1.0, "u")], cols).write.partitionBy("state").parquet(
+        os.path.join(store, "yields"))
+    landed = spark.createDataFrame([(y, "NC", None, c, None, "CORN", float(y), "u", "f", 0, y)
+                                    for y in (2000, 2001) for c in ("WAKE", "LEE")],
+                                   cols + ", src_file string, src_block long, src_row long")
+    catalog = spark.createDataFrame([("Wake County, NC",), ("Durham County, NC",), ("Lee County, SC",)], "areaname string")
+    out = ingest.backfill(spark, store, landed, "nc", "corn", 2000, 2002, catalog)
+    assert sorted((r["county"], r["year"]) for r in out.collect()) == [("WAKE", 2000), ("WAKE", 2001)]
