@@ -4,11 +4,10 @@ categories, correlation matrices, missing-data patterns and alerts.
 Scale rules followed throughout:
 * all columns at once in long form (``unpivot``) or one wide aggregate,
   never a job per column;
-* no global sort: exact quantiles use a ``percentile_approx`` bracket whose
-  rows are few, average ranks use approximate-quantile buckets so each
-  window partition holds a bounded slice of the distinct values;
 * values are compressed to (value, count) first, so a value holding a
-  third of the rows is one row;
+  third of the rows is one row, and the input is not scanned again;
+* no sort in one task: quantiles and ranks are running counts over the range
+  partitions of the distinct values;
 * small per-feature tables (bounded by the number of columns x a fixed
   count) are the only things broadcast or collected.
 """
@@ -16,6 +15,7 @@ Scale rules followed throughout:
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cropframe.functions import nan_to_null
+
 # Default quantiles of a numeric profile.
 PROFILE_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 APPROX_ACCURACY = 10000
-RANK_BUCKETS = 128
-RANK_BUCKET_VALUES = 1_000_000
-MAX_RANK_BUCKETS = 100_000
+SORT_VALUES = 1_000_000      # distinct values per sorted partition
 KENDALL_BUCKETS = 32
-KENDALL_POINTS = 1_000_000
+KENDALL_POINTS = 1_000_000   # distinct points per bucket
+KENDALL_CELLS = 1_000_000    # grid cells settled in one array
 HIST_BINS = 10
 TOP_VALUES = 5
 
@@ -70,57 +71,114 @@ def string_columns(df: DataFrame) -> list[str]:
 def long_form(df: DataFrame, cols: list[str], dtype: str = "double", keep_null: bool = False,
               feature: str = "feature", value: str = "value") -> DataFrame:
     """Wide -> (feature, value), all columns cast to one type."""
-    # "+ 0.0" folds -0.0 into 0.0, so both count as the same value.
-    w = df.select(*[(F.col(c).cast(dtype) + F.lit(0.0) if dtype == "double"
+    # "+ 0.0" folds -0.0 into 0.0, so both count as the same value; NaN is missing.
+    w = df.select(*[(nan_to_null(F.col(c).cast(dtype)) + F.lit(0.0) if dtype == "double"
                      else F.col(c).cast(dtype)).alias(c) for c in cols])
     out = w.unpivot([], cols, feature, value)
     return out if keep_null else out.filter(F.col(value).isNotNull())
 
 
+def missing(df: DataFrame, c: str):
+    """NULL or NaN."""
+    test = F.col(c).isNull()
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        test = test | F.isnan(c)
+    return test
+
+
+def value_counts(df: DataFrame, cols: list[str], by: str = "native") -> DataFrame:
+    """(feature, value, c): how often each numeric value occurs, from one scan.
+
+    ``key`` tells values apart in the column's own type (large integers and
+    decimals that share a double stay distinct); ``value`` is the double that
+    positions and ranks use. The table is checkpointed: distinct counts,
+    quantiles, deviations and ranks all read it instead of the input.
+    """
+    parts = []
+    for c in cols:
+        v = nan_to_null(F.col(c).cast("double")) + F.lit(0.0)
+        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        parts.append(F.struct(F.lit(c).alias("feature"), (v if floating else F.col(c)).cast("string").alias("key"),
+                              v.alias("value")))
+    long = df.select(F.explode(F.array(*parts)).alias("t")).select("t.*").filter(F.col("value").isNotNull())
+    return _reuse(long.groupBy("feature", "key").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("c")))
+
+
+def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c: str = "c") -> DataFrame:
+    """``vc`` with ``start``, the number of smaller values of the feature, for each distinct value.
+
+    One range partitioning by (feature, value): a running sum inside each
+    sorted partition plus the totals of the partitions before it. No value
+    count, however large, gathers in one task; only one total per partition
+    and feature reaches the driver.
+    """
+    spark = vc.sparkSession
+    flat = _reuse(vc.groupBy(feature, value).agg(F.sum(c).alias(c)))
+    n = max(1, -(-flat.count() // SORT_VALUES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = _reuse(flat.repartitionByRange(n, feature, value).withColumn("_pid", F.spark_partition_id()))
+    totals = sorted(parts.groupBy(feature, "_pid").agg(F.sum(c), F.min(value)).collect(),
+                    key=lambda r: (r[0], r[1]))
+    offsets, before = [], {}
+    for f, pid, total, _ in totals:
+        offsets.append((f, pid, before.get(f, 0)))
+        before[f] = before.get(f, 0) + total
+    off = spark.createDataFrame(offsets, f"{feature} string, _pid int, _off long")
+    w = Window.partitionBy(feature, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = parts.withColumn("_run", F.coalesce(F.sum(c).over(w), F.lit(0)))
+    # one row per partition and feature: bounded by the partition count
+    return run.join(F.broadcast(off), [feature, "_pid"]).select(
+        feature, value, c, (F.col("_off") + F.col("_run")).alias("start"))
+
+
 # --------------------------------------------------------------------------- P1
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells (count and share) and duplicate rows,
     as (metric, value). Duplicates = rows - distinct rows (one aggregation)."""
     cols = df.columns
-    miss = sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0))
-    a = df.agg(F.count(F.lit(1)).alias("rows"), miss.alias("missing"))
-    distinct = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).agg(
-        F.count(F.lit(1)).alias("distinct_rows"), F.sum("k").alias("rows2"))
+    # one scan: rows are counted and judged after they are grouped with their copies
+    nulls = sum((missing(df, c).cast("long") for c in cols), F.lit(0))
+    copies = "_copies"
+    a = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(copies)).agg(
+        F.coalesce(F.sum(copies), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
+        F.coalesce(F.sum(nulls * F.col(copies)), F.lit(0)).alias("missing"))
     ncol = float(len(cols))
-    def m(name, val):
-        return a.select(F.lit(name).alias("metric"), val.cast("double").alias("value"))
-
-    stats = m("rows", F.col("rows")).unionByName(m("columns", F.lit(ncol))).unionByName(
-        m("missing_cells", F.col("missing"))).unionByName(
-        m("missing_share", F.try_divide(F.col("missing").cast("double"),
-                                        F.col("rows") * F.lit(ncol))))
-    dup = distinct.select(F.lit("duplicate_rows").alias("metric"),
-                          (F.coalesce(F.col("rows2"), F.lit(0)) - F.col("distinct_rows"))
-                          .cast("double").alias("value"))
-    return stats.unionByName(dup)
+    values = {"rows": F.col("rows"), "columns": F.lit(ncol), "missing_cells": F.col("missing"),
+              "missing_share": F.try_divide(F.col("missing").cast("double"), F.col("rows") * F.lit(ncol)),
+              "duplicate_rows": F.col("rows") - F.col("distinct_rows")}
+    return a.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("t")
+    ).select("t.*")
 
 
 # --------------------------------------------------------------------------- P2
-def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+PROFILE_SCHEMA = ("feature string, count long, missing long, distinct long, mean double, std double, variance double, "
+                  "min double, max double, sum double, zeros long, negatives long, skewness double, kurtosis double")
+
+
+def numeric_profile(df: DataFrame, cols: list[str] | None = None, vc: DataFrame | None = None) -> DataFrame:
     """One row per numeric column; skewness and kurtosis are the sample
     (bias-adjusted) estimates a pandas frame reports.
 
-    Moments come from one plain aggregate; the distinct count from a
-    (feature, value) count table, so the moment buffers never ride through
-    the distinct-value shuffle.
+    Moments of all columns come from one wide aggregate (one scan, one row);
+    the distinct count from the value counts (``vc``, computed if not given),
+    which tell values apart in the column's own type. NaN counts as missing.
     """
     cols = cols or numeric_columns(df)
-    lf = long_form(df, cols, keep_null=True)
-    v = F.col("value")
-    g = lf.groupBy("feature").agg(
-        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
-        F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"))
-    dist = (lf.filter(v.isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy("feature").agg(F.count(F.lit(1)).alias("distinct")))
-    g = g.join(dist, "feature", "left")
+    if not cols:
+        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
+    vc = value_counts(df, cols) if vc is None else vc
+    names = ["count", "missing", "mean", "std", "variance", "min", "max", "sum", "zeros", "negatives", "_g1", "_g2"]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = nan_to_null(F.col(c).cast("double"))
+        found = [F.count(v), F.count_if(v.isNull()), F.avg(v), F.stddev_samp(v), F.var_samp(v), F.min(v), F.max(v),
+                 F.sum(v), F.count_if(v == 0), F.count_if(v < 0), F.skewness(v), F.kurtosis(v)]
+        aggs += [x.alias(f"{n}{i}") for n, x in zip(names, found)]
+    g = df.agg(*aggs).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}{i}").alias(n) for n in names])
+        for i, c in enumerate(cols)])).alias("t")).select("t.*")
+    dist = vc.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct"))
+    g = g.join(F.broadcast(dist), "feature", "left")     # a row per column
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("_g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
@@ -131,110 +189,45 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- P3
-NARROW_ABOVE = 1_000_000_000
-NARROW_GRID = 1000
-
+def exact_quantiles(vc: DataFrame, probs: list[float], feature: str = "feature", value: str = "value",
+                    c: str = "c") -> DataFrame:
+    """Exact linear-interpolation quantiles per feature of a value-count table -> (feature, p, q).
 
-def _narrow(lf: DataFrame, br: DataFrame, accuracy: int, feature: str, value: str) -> DataFrame:
-    """Second bracketing pass: a sketch over the rows inside each bracket only.
-
-    Percentages of ``percentile_approx`` must be constants, so a fixed grid
-    of NARROW_GRID + 1 percentiles is taken inside each bracket and the two
-    grid points around the wanted positions (plus a margin for the sketch
-    error) become the new bracket: about 1/200 of the old one.
-    """
-    v = F.col(value)
-    grid = [i / NARROW_GRID for i in range(NARROW_GRID + 1)]
-    inside = v.between(F.col("v_lo"), F.col("v_hi"))
-    # br is bounded (#features x #probs): broadcast.
-    st = lf.join(F.broadcast(br), feature).groupBy(feature, "p").agg(
-        F.count_if(v < F.col("v_lo")).alias("_below"), F.count_if(inside).alias("_m"),
-        F.percentile_approx(F.when(inside, v), grid, accuracy).alias("_g"))
-    margin = 2 + math.ceil(3 * NARROW_GRID / accuracy)
-    m = F.greatest(F.col("_m"), F.lit(1)).cast("double")
-    i_lo = F.greatest(F.floor((F.col("k_lo") - F.col("_below")) / m * NARROW_GRID) - margin,
-                      F.lit(0))
-    i_hi = F.least(F.ceil((F.col("k_hi") - F.col("_below") + 1) / m * NARROW_GRID) + margin,
-                   F.lit(NARROW_GRID))
-    out = br.join(st, [feature, "p"]).select(
-        feature, "p", "n", "h", "k_lo", "k_hi",
-        F.coalesce(F.element_at("_g", (i_lo + 1).cast("int")), F.col("v_lo")).alias("v_lo"),
-        F.coalesce(F.element_at("_g", (i_hi + 1).cast("int")), F.col("v_hi")).alias("v_hi"))
-    return out
-
-
-def exact_quantiles(lf: DataFrame, probs: list[float], accuracy: int = APPROX_ACCURACY,
-                    feature: str = "feature", value: str = "value",
-                    narrow_above: int = NARROW_ABOVE) -> DataFrame:
-    """Exact linear-interpolation quantiles per feature, without a global sort.
-
-    1. ``percentile_approx`` gives, per feature and p, values whose ranks
-       bracket the two positions the interpolation needs (its rank error is
-       at most n / accuracy; a margin of three times that is used);
-    2. distinct values inside the bracket are ranked by a window partitioned
-       by (feature, p): each partition holds about 6 n / accuracy rows at most;
-    3. the count below the bracket gives the absolute positions.
-    The bracket table (#features x #probs rows) is collected once; when a
-    feature has more than ``narrow_above`` values, a second sketch inside
-    the bracket narrows it (``_narrow``), so the window stays bounded at any
-    scale. Output: (feature, p, q).
+    The two order statistics of each p are read off the cumulated counts:
+    exact at any size, with no sketch and no global sort.
     """
-    eps = 3.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    v = F.col(value)
-    k = len(probs)
-    st = lf.groupBy(feature).agg(
-        F.count(v).alias("n"),
-        F.percentile_approx(v, F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_q"))
-    st = st.select(feature, "n", F.slice("_q", 1, k).alias("_lo"), F.slice("_q", k + 1, k).alias("_hi"))
-    pt = st.select(feature, "n", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("i", "b"))
-    pa = F.array(*[F.lit(float(p)) for p in probs])
-    br = pt.select(feature, F.element_at(pa, F.col("i") + 1).alias("p"),
-                   F.col("b._lo").alias("v_lo"), F.col("b._hi").alias("v_hi"), "n")
-    h = (F.col("n") - 1).cast("double") * F.col("p")
-    br = br.withColumn("h", h).withColumn("k_lo", F.floor("h").cast("long")).withColumn(
-        "k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1)).select(
-        feature, "p", "n", "h", "k_lo", "k_hi", "v_lo", "v_hi")
-    rows = br.collect()                       # bounded: #features x #probs
-    br = lf.sparkSession.createDataFrame(rows, br.schema)
-    if rows and max(r["n"] for r in rows) > narrow_above:
-        br = lf.sparkSession.createDataFrame(_narrow(lf, br, accuracy, feature, value).collect(),
-                                             br.schema)
-    vc = lf.groupBy(feature, value).agg(F.count(F.lit(1)).alias("c"))
-    # br holds (#features x #probs) rows: a proven bound, safe to broadcast.
-    j = vc.join(F.broadcast(br), feature)
-    below = j.filter(v < F.col("v_lo")).groupBy(feature, "p").agg(F.sum("c").alias("below"))
-    inb = j.filter(v.between(F.col("v_lo"), F.col("v_hi")))
-    w = Window.partitionBy(feature, "p").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    inb = inb.withColumn("cum", F.sum("c").over(w)).join(below, [feature, "p"], "left")
-    start = F.coalesce(F.col("below"), F.lit(0)) + F.col("cum") - F.col("c")
-    end = start + F.col("c") - 1
-    pick = inb.groupBy(feature, "p").agg(
-        F.max(F.when((start <= F.col("k_lo")) & (F.col("k_lo") <= end), v)).alias("x_lo"),
-        F.max(F.when((start <= F.col("k_hi")) & (F.col("k_hi") <= end), v)).alias("x_hi"),
+    cum = _reuse(cumulated(vc, feature, value, c))
+    n = cum.groupBy(feature).agg(F.sum(c).alias("n"))
+    at = n.select(feature, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n")
+    at = at.withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")).withColumn(
+        "k_lo", F.floor("h").cast("long")).withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
+    end = F.col("start") + F.col(c) - 1
+    # a row per feature and probability: bounded
+    j = cum.join(F.broadcast(at), feature).filter(
+        (F.col("start") <= F.col("k_hi")) & (F.col("k_lo") <= end))
+    hit = j.groupBy(feature, "p").agg(
+        F.max(F.when((F.col("start") <= F.col("k_lo")) & (F.col("k_lo") <= end), F.col(value))).alias("x_lo"),
+        F.max(F.when((F.col("start") <= F.col("k_hi")) & (F.col("k_hi") <= end), F.col(value))).alias("x_hi"),
         F.first("h").alias("h"), F.first("k_lo").alias("k_lo"))
     q = F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * (F.col("h") - F.col("k_lo"))
-    return pick.select(feature, "p", q.alias("q"))
+    return hit.select(feature, "p", q.alias("q"))
 
 
 def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] | None = None,
-              accuracy: int = APPROX_ACCURACY, narrow_above: int = NARROW_ABOVE) -> DataFrame:
+              vc: DataFrame | None = None) -> DataFrame:
     """5/25/50/75/95 % quantiles, IQR and MAD per numeric column (one row each).
 
-    Two passes: exact quantiles of the values, then the median of
-    |value - median|. The first result (columns x probabilities numbers) is
-    collected so the second pass uses the medians as literals instead of
-    recomputing the first plan.
+    One scan for the value counts; the quantiles, and the median of
+    |value - median|, are both read off them. The medians (a number per
+    column) are collected to be literals of the second table.
     """
     spark = df.sparkSession
     cols = cols or numeric_columns(df)
     probs = probs or PROFILE_PROBS
     allp = sorted(set(probs) | {0.25, 0.5, 0.75})
-    lf = long_form(df, cols)
+    vc = value_counts(df, cols) if vc is None else vc
     got: dict[str, dict[float, float]] = {}
-    for r in exact_quantiles(lf, allp, accuracy, narrow_above=narrow_above).collect():
+    for r in exact_quantiles(vc, allp).collect():
         got.setdefault(r["feature"], {})[r["p"]] = r["q"]
     mads = {}
     if got:
@@ -242,10 +235,8 @@ def quantiles(df: DataFrame, cols: list[str] | None = None, probs: list[float] |
         for c in got:
             pairs += [F.lit(c), F.lit(got[c][0.5])]
         med = F.create_map(*pairs)
-        dev = lf.select("feature", F.abs(F.col("value") - F.element_at(med, F.col("feature")))
-                        .alias("value"))
-        mads = {r["feature"]: r["q"] for r in
-                exact_quantiles(dev, [0.5], accuracy, narrow_above=narrow_above).collect()}
+        dev = vc.select("feature", F.abs(F.col("value") - F.element_at(med, F.col("feature"))).alias("value"), "c")
+        mads = {r["feature"]: r["q"] for r in exact_quantiles(dev, [0.5]).collect()}
     names = [f"p{int(round(p * 100)):02d}" for p in probs]
     rows = []
     for c in cols:
@@ -341,47 +332,27 @@ def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- P7
-def _edges(vc: DataFrame, col: str, buckets: int) -> list[float]:
-    """Bucket edges: approximate quantiles of the *distinct* values (bounded list)."""
+def _edges(points: DataFrame, col: str, buckets: int) -> list[float]:
+    """Bucket edges with about equally many points; a value that fills a bucket alone gets one for itself."""
     if buckets <= 1:
         return [-math.inf, math.inf]
     ps = [i / buckets for i in range(1, buckets)]
-    row = vc.agg(F.percentile_approx(F.col(col).cast("double"), ps, APPROX_ACCURACY)).first()
-    inner = sorted({float(e) for e in (row[0] or []) if e is not None})
-    return [-math.inf] + inner + [math.inf]
+    row = points.agg(F.percentile_approx(F.col(col), ps, max(APPROX_ACCURACY, 10 * buckets))).first()
+    found = Counter(float(e) for e in (row[0] or []) if e is not None)
+    inner = set(found) | {float(np.nextafter(v, math.inf)) for v, k in found.items() if k > 1}
+    return [-math.inf] + sorted(inner) + [math.inf]
 
 
-def average_rank(df: DataFrame, col: str, buckets: int | None = None, out: str = "rank",
-                 weight: str | None = None) -> DataFrame:
-    """Average (tie-mean) rank of each distinct value of ``col`` -> (col, count, rank).
-
-    Values are bucketed by approximate quantiles of the distinct values; the
-    bucket totals (at most ``buckets`` rows) are prefix-summed, and a running
-    sum inside each bucket gives the exact count of smaller values. By
-    default the bucket count grows with the distinct values (about
-    RANK_BUCKET_VALUES per bucket). Only the edge list reaches the driver.
-    """
+def average_rank(df: DataFrame, col: str, out: str = "rank", weight: str | None = None) -> DataFrame:
+    """Average (tie-mean) rank of each distinct value of ``col`` -> (col, count, rank)."""
     cnt = F.sum(weight) if weight else F.count(F.lit(1))
-    vc = _reuse(df.filter(F.col(col).isNotNull()).groupBy(col).agg(cnt.alias("count")))
-    if buckets is None:
-        # about RANK_BUCKET_VALUES distinct values per window partition
-        buckets = int(min(MAX_RANK_BUCKETS,
-                          max(RANK_BUCKETS, math.ceil(vc.count() / RANK_BUCKET_VALUES))))
-    splits = _edges(vc, col, buckets)
-    bz = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep")
-    vb = bz.transform(vc.withColumn("_v", F.col(col).cast("double"))).drop("_v")
-    tot = vb.groupBy("_b").agg(F.sum("count").alias("_tot"))
-    off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wb = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    vb = vb.withColumn("_before", F.coalesce(F.sum("count").over(wb), F.lit(0)))
-    # off holds one row per bucket (at most ``buckets``): safe to broadcast.
-    r = vb.join(F.broadcast(off.select("_b", "_off")), "_b")
-    rank = (F.col("_off") + F.col("_before")).cast("double") + (F.col("count") + 1) / 2.0
-    return r.select(col, "count", rank.alias(out))
-
-
-def spearman_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
+    vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(cnt.alias("c")).withColumn("feature", F.lit(col))
+    r = cumulated(vc, "feature", col, "c")
+    return r.select(col, F.col("c").alias("count"),
+                    (F.col("start").cast("double") + (F.col("c") + 1) / 2.0).alias(out))
+
+
+def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """P7 for one pair: Pearson r of the average ranks over complete rows.
 
     Rows are compressed to distinct (x, y, count); ranks join on the value.
@@ -390,8 +361,8 @@ def spearman_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) ->
     pairs = (df.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
              .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
              .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("c")))
-    rx = average_rank(pairs, "_x", buckets, "rx", weight="c").select("_x", "rx")
-    ry = average_rank(pairs, "_y", buckets, "ry", weight="c").select("_y", "ry")
+    rx = average_rank(pairs, "_x", "rx", weight="c").select("_x", "rx")
+    ry = average_rank(pairs, "_y", "ry", weight="c").select("_y", "ry")
     j = pairs.join(rx, "_x").join(ry, "_y")
     c, a, b = F.col("c"), F.col("rx"), F.col("ry")
     g = j.agg(F.sum(c).alias("n"), F.sum(c * a * b).alias("sxy"), F.sum(c * a * a).alias("sxx"),
@@ -402,7 +373,7 @@ def spearman_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) ->
     return g.select(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"))
 
 
-def spearman(df: DataFrame, cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman matrix (x, y, r) over all column pairs.
 
     Pairwise-complete like a pandas frame. When no column has a NULL (one
@@ -414,17 +385,34 @@ def spearman(df: DataFrame, cols: list[str] | None = None, buckets: int | None =
     cols = cols or numeric_columns(df)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     if any(nulls[c] for c in cols):
-        parts = [spearman_pair(df, a, b, buckets) for a, b in combinations(cols, 2)]
+        parts = [spearman_pair(df, a, b) for a, b in combinations(cols, 2)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
+    # rows are compressed to their distinct value tuples before ranks are attached
     rows = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols])
+    rows = _reuse(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col("_n").alias("c"))
+                                           for c in cols])).alias("t")).select("t.*")
+    cum = _reuse(cumulated(long.groupBy("feature", "value").agg(F.sum("c").alias("c"))))
+    rank = F.col("start").cast("double") + (F.col("c") + 1) / 2.0
     ranked = rows
     for i, c in enumerate(cols):
-        r = average_rank(rows, c, buckets, out=f"_r{i}").select(c, f"_r{i}")
+        r = cum.filter(F.col("feature") == c).select(F.col("value").alias(c), rank.alias(f"_r{i}"))
         ranked = ranked.join(r, c)
-    return pearson(ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)]), cols)
+    n = F.col("_n").cast("double")
+    total = ranked.agg(F.sum("_n")).first()[0] or 0
+    mid = F.lit((total + 1) / 2.0)          # the mean of average ranks, exactly
+    cen = [F.col(f"_r{i}") - mid for i in range(len(cols))]
+    pairs = list(combinations(range(len(cols)), 2))
+    sums = ranked.agg(*[F.sum(n * cen[i] * cen[i]).alias(f"v{i}") for i in range(len(cols))],
+                      *[F.sum(n * cen[i] * cen[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    return sums.select(F.explode(F.array(*[F.struct(
+        F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
+        F.when((F.col(f"v{i}") > 0) & (F.col(f"v{j}") > 0),
+               F.col(f"c{i}_{j}") / F.sqrt(F.col(f"v{i}") * F.col(f"v{j}"))).alias("r")) for i, j in pairs])).alias("t")
+    ).select("t.*")
 
 
 # --------------------------------------------------------------------------- P8
@@ -477,58 +465,56 @@ def _local_terms(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s": [float(pdf["sign"].iloc[0]) * s]})
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Kendall tau-b of one pair, exact, with no pair enumeration.
-
-    Points are compressed to distinct (x, y, count) and placed on a
-    buckets x buckets grid by approximate quantiles of x and of y (by
-    default about KENDALL_POINTS distinct points per bucket). Pairs in
-    different x- and y-buckets are settled from the grid counts alone
-    (2-D prefix sums over at most buckets^2 cells, on the driver). Pairs
-    sharing an x-bucket, or a y-bucket, are counted exactly inside that
-    bucket (grouped pandas, vectorised O(m log^2 m)); pairs sharing a whole
-    cell were counted twice and are subtracted once.
+def concordance(pts: DataFrame, buckets: int | None = None) -> float:
+    """Sum over pairs of distinct points (x, y, c) of c c' sign(dx) sign(dy), exactly.
+
+    Points are placed on a grid with about equally many points per x- and per
+    y-bucket; a value with more than its share has a bucket for itself. Pairs
+    that share neither bucket are the same sum over the grid's cells (in one
+    array while these are few, else by the same method). Pairs sharing an
+    x-bucket, or a y-bucket, are counted inside it (grouped pandas, vectorised
+    O(m log^2 m)); pairs sharing a cell were counted twice and are taken off
+    once. A bucket of a single x (or y) holds ties only and is skipped, so no
+    hot value gathers in one task.
     """
-    spark = df.sparkSession
-    pts = _reuse(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-                 .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-                 .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
     if buckets is None:
-        # about KENDALL_POINTS distinct points per bucket, grid at most 1024^2 cells
-        d = pts.count()
-        buckets = int(min(1024, max(KENDALL_BUCKETS, math.ceil(d / KENDALL_POINTS))))
-    sx = _edges(pts.select("x").distinct(), "x", buckets)
-    sy = _edges(pts.select("y").distinct(), "y", buckets)
+        buckets = max(KENDALL_BUCKETS, math.ceil(pts.count() / KENDALL_POINTS))
+    sx, sy = _edges(pts, "x", buckets), _edges(pts, "y", buckets)
     bz = Bucketizer(splitsArray=[sx, sy], inputCols=["x", "y"], outputCols=["bx", "by"])
-    pb = bz.transform(pts).withColumn("bx", F.col("bx").cast("int")).withColumn(
-        "by", F.col("by").cast("int"))
-    # Grid of at most buckets^2 cells: bounded, collected.
-    grid_rows = pb.groupBy("bx", "by").agg(F.sum("c").alias("n")).collect()
-    kx, ky = len(sx) - 1, len(sy) - 1
-    g = np.zeros((kx, ky))
-    for r in grid_rows:
-        g[r["bx"], r["by"]] = float(r["n"])
-    cum = np.cumsum(np.cumsum(g, axis=0), axis=1)       # cum[a, b] = sum over a'<=a, b'<=b
-
-    def box(a_hi, b_lo, b_hi):                            # sum over a' < a_hi, b_lo <= b' < b_hi
-        if a_hi <= 0 or b_hi <= b_lo:
-            return 0.0
-        tot = cum[a_hi - 1, b_hi - 1]
-        return tot - (cum[a_hi - 1, b_lo - 1] if b_lo > 0 else 0.0)
-
-    s_cross = 0.0
-    for a in range(kx):
-        for b in range(ky):
-            if g[a, b]:
-                s_cross += g[a, b] * (box(a, 0, b) - box(a, b + 1, ky))
-    groups = (pb.select("x", "y", "c", F.explode(F.array(
-        F.struct(F.lit("x").alias("kind"), F.col("bx").alias("gid"), F.lit(1).alias("sign")),
-        F.struct(F.lit("y").alias("kind"), F.col("by").alias("gid"), F.lit(1).alias("sign")),
-        F.struct(F.lit("c").alias("kind"), (F.col("bx") * F.lit(ky) + F.col("by")).alias("gid"),
-                 F.lit(-1).alias("sign")))).alias("g"))
-        .select("x", "y", "c", "g.*"))
+    pb = bz.transform(pts).withColumn("bx", F.col("bx").cast("int")).withColumn("by", F.col("by").cast("int"))
+    pb = _reuse(pb)
+    cells = pb.groupBy("bx", "by").agg(F.sum("c").alias("c")).select(
+        F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "c")
+    if len(sx) * len(sy) <= KENDALL_CELLS:
+        rows = cells.collect()               # bounded by KENDALL_CELLS
+        a = np.array([[r["x"], r["y"], r["c"]] for r in rows], dtype=np.float64).reshape(-1, 3)
+        cross = _pair_concordance(a[:, 0], a[:, 1], a[:, 2])
+    else:
+        cross = concordance(_reuse(cells), KENDALL_BUCKETS)
+    # buckets that hold more than one value of their axis
+    live_x = [r[0] for r in pb.groupBy("bx").agg(F.min("x") != F.max("x")).collect() if r[1]]
+    live_y = [r[0] for r in pb.groupBy("by").agg(F.min("y") != F.max("y")).collect() if r[1]]
+    in_x, in_y = F.col("bx").isin(live_x), F.col("by").isin(live_y)
+
+    def part(keep, kind, gid, sign):
+        return F.when(keep, F.struct(F.lit(kind).alias("kind"), gid.alias("gid"), F.lit(sign).alias("sign")))
+
+    cell = F.col("bx").cast("long") * len(sy) + F.col("by")
+    groups = (pb.select("x", "y", "c", F.explode(F.array_compact(F.array(
+        part(in_x, "x", F.col("bx").cast("long"), 1), part(in_y, "y", F.col("by").cast("long"), 1),
+        part(in_x & in_y, "c", cell, -1)))).alias("g")).select("x", "y", "c", "g.*"))
     local = groups.groupBy("kind", "gid").applyInPandas(_local_terms, "s double")
-    s_local = local.agg(F.sum("s")).first()[0] or 0.0
+    return cross + (local.agg(F.sum("s")).first()[0] or 0.0)
+
+
+def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
+    """Kendall tau-b of one pair, exact, with no pair enumeration (see ``concordance``)."""
+    spark = df.sparkSession
+    pts = _reuse(df.select(nan_to_null(F.col(x).cast("double")).alias("x"),
+                           nan_to_null(F.col(y).cast("double")).alias("y"))
+                 .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+                 .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
+    s = concordance(pts, buckets)
     ties = pts.agg(F.sum("c").alias("n")).first()["n"] or 0
     tx = pts.groupBy("x").agg(F.sum("c").alias("t")).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v")).first()["v"] or 0.0
@@ -536,7 +522,7 @@ def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> D
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v")).first()["v"] or 0.0
     n0 = ties * (ties - 1) / 2.0
     den = math.sqrt((n0 - tx) * (n0 - ty)) if (n0 - tx) > 0 and (n0 - ty) > 0 else 0.0
-    tau = (s_cross + s_local) / den if den else None
+    tau = s / den if den else None
     return spark.createDataFrame([(x, y, None if tau is None else float(tau))],
                                  "x string, y string, tau double")
 
@@ -708,8 +694,9 @@ def report(df: DataFrame, numeric: list[str] | None = None,
     categorical = categorical if categorical is not None else string_columns(df)
     out = {"overview": overview(df)}
     if numeric:
-        out["numeric"] = numeric_profile(df, numeric)
-        out["quantiles"] = quantiles(df, numeric)
+        vc = value_counts(df, numeric)
+        out["numeric"] = numeric_profile(df, numeric, vc)
+        out["quantiles"] = quantiles(df, numeric, vc=vc)
         out["histogram"] = histogram(df, numeric)
     if categorical:
         out["categories"], out["top_values"] = category_profile(df, categorical)

@@ -474,7 +474,8 @@ def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_profile_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _li(spark, sf_dir)
-    out = profile.numeric_profile(li, NUM_COLS).join(profile.quantiles(li, NUM_COLS), "feature")
+    vc = profile.value_counts(li, NUM_COLS)
+    out = profile.numeric_profile(li, NUM_COLS, vc).join(profile.quantiles(li, NUM_COLS, vc=vc), "feature")
     return round_doubles(out, DIGITS)
 
 

@@ -17,8 +17,7 @@ def _li(spark):
 def test_exact_quantiles_match_numpy(spark):
     li = _li(spark)
     pdf = li.select("l_quantity", "l_extendedprice").toPandas()
-    q = {r["feature"]: r for r in profile.quantiles(li, ["l_quantity", "l_extendedprice"],
-                                                     accuracy=50).collect()}
+    q = {r["feature"]: r for r in profile.quantiles(li, ["l_quantity", "l_extendedprice"]).collect()}
     for c in ("l_quantity", "l_extendedprice"):
         v = pdf[c].to_numpy()
         for name, p in (("p05", 5), ("p25", 25), ("p50", 50), ("p75", 75), ("p95", 95)):
@@ -27,18 +26,30 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(q[c]["mad"], np.median(np.abs(v - med)), rel_tol=1e-12)
 
 
-def test_exact_quantiles_two_stage(spark):
+def test_exact_quantiles_over_many_sorted_partitions(spark, monkeypatch):
+    monkeypatch.setattr(profile, "SORT_VALUES", 300)
     li = _li(spark)
     pdf = li.select("l_extendedprice").toPandas()
-    q = profile.quantiles(li, ["l_extendedprice"], accuracy=20, narrow_above=10).first()
+    q = profile.quantiles(li, ["l_extendedprice"]).first()
     v = pdf["l_extendedprice"].to_numpy()
     for name, p in (("p05", 5), ("p50", 50), ("p95", 95)):
         assert math.isclose(q[name], np.percentile(v, p), rel_tol=1e-12)
 
 
-def test_average_rank_matches_pandas(spark):
+def test_profile_tells_large_integers_apart_and_takes_nan_as_missing(spark):
+    df = spark.createDataFrame([(2 ** 53, 1.0), (2 ** 53 + 1, float("nan")), (5, None), (5, 3.0)], "k long, v double")
+    got = {r["feature"]: r for r in profile.numeric_profile(df).collect()}
+    assert got["k"]["distinct"] == 3 and got["k"]["missing"] == 0
+    assert got["v"]["mean"] == 2.0 and got["v"]["missing"] == 2 and got["v"]["distinct"] == 2
+    over = {r["metric"]: r["value"] for r in profile.overview(df).collect()}
+    assert over["rows"] == 4 and over["missing_cells"] == 2 and over["duplicate_rows"] == 0
+    assert profile.quantiles(df, ["v"]).first()["p50"] == 2.0
+
+
+def test_average_rank_matches_pandas(spark, monkeypatch):
+    monkeypatch.setattr(profile, "SORT_VALUES", 500)
     li = _li(spark)
-    got = profile.average_rank(li, "l_extendedprice", buckets=7).toPandas()
+    got = profile.average_rank(li, "l_extendedprice").toPandas()
     pdf = li.select("l_extendedprice").toPandas()
     want = pdf.assign(r=pdf["l_extendedprice"].rank(method="average")).drop_duplicates(
         "l_extendedprice").set_index("l_extendedprice")["r"]
@@ -48,7 +59,7 @@ def test_average_rank_matches_pandas(spark):
 
 def test_spearman_matches_pandas(spark):
     li = _li(spark)
-    r = profile.spearman_pair(li, "l_quantity", "l_extendedprice", buckets=5).first()["r"]
+    r = profile.spearman_pair(li, "l_quantity", "l_extendedprice").first()["r"]
     pdf = li.select("l_quantity", "l_extendedprice").toPandas()
     assert math.isclose(r, pdf.corr(method="spearman").iloc[0, 1], rel_tol=1e-9)
 
@@ -73,6 +84,23 @@ def test_kendall_exact_with_grid(spark):
     assert math.isclose(got, want, rel_tol=1e-9)
 
 
+def test_kendall_bounds_its_groups_under_a_few_hot_values(spark, monkeypatch):
+    sdf = _li(spark).select("l_linenumber", "l_extendedprice")
+    pdf = sdf.toPandas()
+    pts = sdf.select(F.col("l_linenumber").cast("double").alias("x"), F.col("l_extendedprice").alias("y")).groupBy(
+        "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    m = pts.count()
+    sx, sy = profile._edges(pts, "x", 32), profile._edges(pts, "y", 32)
+    # seven values: each has a bucket of its own, so all x groups are ties and are skipped
+    assert {float(v) for v in pdf["l_linenumber"].unique()} <= set(sx)
+    per_bucket = np.histogram(pts.toPandas()["y"], bins=[-1e18] + sy[1:-1] + [1e18])[0]
+    assert per_bucket.max() <= 3 * m / 32
+    monkeypatch.setattr(profile, "KENDALL_CELLS", 600)      # cells settled by the same method again
+    got = profile.kendall_pair(sdf, "l_linenumber", "l_extendedprice", buckets=128).first()["tau"]
+    want = _kendall_brute(pdf["l_linenumber"].to_numpy(), pdf["l_extendedprice"].to_numpy())
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
 def test_chi_square_yates_2x2(spark):
     # 2 x 2 table [[10, 20], [30, 5]]: Yates-corrected chi2 computed by hand
     data = [("a", "x")] * 10 + [("a", "y")] * 20 + [("b", "x")] * 30 + [("b", "y")] * 5
