@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ImputerModel
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cropframe.operators.model import materialize
+from cropframe.operators.model import materialize, stacked_solve
 from cropframe.operators.query import top_k_per_group
 
 BACKGROUND_ROWS = 100
@@ -87,15 +90,21 @@ def _shapley_plan(p: int, seed: int, permutations: int) -> list[tuple[int, int,
 
 def shap_values(model: PipelineModel, df: DataFrame, keys: list[str], features: list[str],
                 background: DataFrame | None = None, seed: int = SEED,
-                permutations: int = PERMUTATIONS) -> DataFrame:
+                permutations: int = PERMUTATIONS, background_rows: int = BACKGROUND_ROWS) -> DataFrame:
     """E1 (serves E3): Shapley value of every feature for every row of ``df``.
 
     -> (keys, feature, shap, base, prediction); sum(shap) + base = prediction.
+    A linear model has a closed form over any background, however large (only
+    its means are needed). Other models are scored on coalitions mixed with
+    ``background_rows`` background rows, the masker's sample size.
     """
     spark = df.sparkSession
     p = len(features)
-    bg = background if background is not None else background_sample(df, keys, features,
-                                                                      seed=seed)
+    last = model.stages[-1]
+    if isinstance(last, LinearRegressionModel) and len(last.coefficients) == p:
+        return _linear_path(model, df, keys, features, background if background is not None else df)
+    bg = background_sample(background if background is not None else df,
+                           keys if background is None else features, features, background_rows, seed)
     bg_rows = [tuple(None if v is None else float(v) for v in r) for r in
                bg.select(*features).collect()]          # bounded: the sample size
     plan = _shapley_plan(p, seed, permutations)
@@ -128,6 +137,23 @@ def shap_values(model: PipelineModel, df: DataFrame, keys: list[str], features:
     return phi.join(ends, keys)
 
 
+def _linear_path(model: PipelineModel, df: DataFrame, keys: list[str], features: list[str],
+                 background: DataFrame) -> DataFrame:
+    """Shapley values of a linear model: coef * (x - mean), NULLs imputed as the model imputes them."""
+    last = model.stages[-1]
+    fill = next((s.surrogateDF.first().asDict() for s in model.stages if isinstance(s, ImputerModel)), {})
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(fill[f]))) if f in fill else F.col(f).cast("double")
+         for f in features}
+    means = background.agg(*[F.avg(x[f]).alias(f) for f in features]).first()      # p numbers
+    coef = {f: float(c) for f, c in zip(features, last.coefficients.toArray(), strict=True)}
+    base = float(last.intercept) + sum(coef[f] * means[f] for f in features)
+    shap = {f: F.lit(coef[f]) * (x[f] - F.lit(float(means[f]))) for f in features}
+    total = sum(shap.values(), F.lit(base))
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), shap[f].alias("shap")) for f in features])
+    return df.select(*keys, F.explode(parts).alias("t"), total.alias("prediction")).select(
+        *keys, "t.feature", "t.shap", F.lit(base).alias("base"), "prediction")
+
+
 def global_importance(shap: DataFrame) -> DataFrame:
     """E1 bar chart data: mean |shap| per feature, descending."""
     return shap.groupBy("feature").agg(F.avg(F.abs("shap")).alias("importance")).orderBy(
@@ -147,9 +173,14 @@ def _bin(col, qs):
 
 def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: list[str],
          features: list[str], n_samples: int = LIME_SAMPLES, k: int = LIME_TOP,
-         seed: int = SEED) -> DataFrame:
+         seed: int = SEED, selection: str = "highest_weights") -> DataFrame:
     """E4 + D6 + E5: local linear explanation of each instance.
 
+    NULLs are replaced by the training means first. Draws are hashes of the
+    instance's key, the sample's number and the feature, so they do not depend
+    on the partition layout. ``selection`` names how the k features are chosen:
+    "highest_weights" of a light ridge, or "forward" selection.
+
     Quartile bins of the training data define the interpretable features
     (1 = same bin as the instance). For each instance, ``n_samples`` points
     are drawn (bins by their training frequency, values uniform inside the
@@ -161,26 +192,35 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
     """
     spark = train.sparkSession
     p = len(features)
+    means = train.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(means[f] or 0.0))).alias(f) for f in features}
+    train = train.select(*filled.values())
     qs = _quartiles(train, features)
-    binned = train.select(*[_bin(F.col(f).cast("double"), qs[f]).alias(f) for f in features])
-    stats = binned.agg(*[F.avg(f).alias(f"m_{f}") for f in features],
-                       *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    freq = {}
-    box = {}
+    # one pass for all features: rows, least and largest value of each bin
+    long = train.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), _bin(F.col(f), qs[f]).alias("b"), F.col(f).alias("v"))
+        for f in features])).alias("t")).select("t.*")
+    cells = long.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                             F.max("v").alias("hi")).collect()    # at most 4 rows a feature
+    freq, box, stats = {}, {}, {}
     for f in features:
-        rows = (train.select(_bin(F.col(f).cast("double"), qs[f]).alias("b"), F.col(f).cast("double").alias("v"))
-                .groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                  F.max("v").alias("hi")).collect())   # at most 4 rows
-        tot = sum(r["n"] for r in rows)
-        freq[f] = {r["b"]: r["n"] / tot for r in rows}
-        box[f] = {r["b"]: (r["lo"], r["hi"]) for r in rows}
+        own = {r["b"]: r for r in cells if r["feature"] == f}
+        tot = sum(r["n"] for r in own.values())
+        freq[f] = {b: r["n"] / tot for b, r in own.items()}
+        box[f] = {b: (r["lo"], r["hi"]) for b, r in own.items()}
+        stats[f"m_{f}"] = sum(b * q for b, q in freq[f].items())
+        stats[f"s_{f}"] = math.sqrt(sum(q * (b - stats[f"m_{f}"]) ** 2 for b, q in freq[f].items()))
     width = 0.75 * math.sqrt(p)
-    inst = instances.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]) \
-        .withColumn("_iid", F.xxhash64(*[F.col(c) for c in keys]))
+    inst = instances.select(*keys, *filled.values()).withColumn("_iid", F.xxhash64(*[F.col(c) for c in keys]))
+
+    def draw(number: int):
+        """Uniform on [0, 1) from the instance, the sample and ``number``."""
+        return F.pmod(F.xxhash64("_iid", "_s", F.lit(number), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
     samples = inst.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     cols, zs = [], []
     for j, f in enumerate(features):
-        u = F.rand(seed + 7 * j)
+        u = draw(2 * j)
         cum, b = 0.0, None
         for bb in sorted(freq[f]):
             cum += freq[f][bb]
@@ -188,7 +228,7 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
         b = b.otherwise(F.lit(max(freq[f])))
         lo = F.element_at(F.create_map(*sum(([F.lit(x), F.lit(box[f][x][0])] for x in box[f]), [])), b)
         hi = F.element_at(F.create_map(*sum(([F.lit(x), F.lit(box[f][x][1])] for x in box[f]), [])), b)
-        val = lo + F.rand(seed + 7 * j + 3) * (hi - lo)
+        val = lo + draw(2 * j + 1) * (hi - lo)
         first = F.col("_s") == 0
         cols.append(F.when(first, F.col(f)).otherwise(val).alias(f))
         zs.append(F.when(first, F.lit(1.0)).otherwise(
@@ -208,7 +248,7 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
     # every selection and refit pass must see the same random neighbourhood
     weighted = materialize(weighted)
     zcols = [f"_z{j}" for j in range(p)]
-    if k <= 6:
+    if selection == "forward":
         chosen = _forward_selection(weighted, keys, features, k)
     else:
         # highest weights: a light ridge, features ranked by |coef * instance value|
@@ -228,7 +268,7 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
 
 
 def _forward_selection(weighted: DataFrame, keys: list[str], features: list[str], k: int):
-    """Greedy forward selection by weighted R^2 of an unpenalised fit (k <= 6).
+    """Greedy forward selection by weighted R^2 of an unpenalised fit.
 
     Each step scores every remaining candidate per instance (one grouped
     Gram-sum fit per candidate) and keeps the best one per instance.
@@ -266,22 +306,22 @@ def _weighted_ridge(df: DataFrame, keys: list[str], xs: list[str], y: str, w: st
     g = df.groupBy(*keys).agg(*aggs)
     m = len(cols)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            a = np.zeros((m, m))
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a = np.zeros((len(f), m, m))
             for i in range(m):
                 for j in range(i, m):
-                    a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
-            a[1:, 1:] += alpha * np.eye(m - 1)
-            b = np.array([r[f"b_{i}"] for i in range(m)])
-            sol = np.linalg.lstsq(a, b, rcond=None)[0]
-            out.append([r[c] for c in keys] + [float(s) for s in sol])
-        return pd.DataFrame(out, columns=keys + ["_icpt"] + xs)
+                    a[:, i, j] = a[:, j, i] = f[f"a_{i}_{j}"].to_numpy(float)
+            a[:, range(1, m), range(1, m)] += alpha
+            sol = stacked_solve(a, np.stack([f[f"b_{i}"].to_numpy(float) for i in range(m)], axis=1))
+            out = f[keys].copy()
+            for i, name in enumerate(["_icpt"] + xs):
+                out[name] = sol[:, i]
+            yield out
 
     schema = T.StructType([g.schema[c] for c in keys] + [T.StructField("_icpt", T.DoubleType())]
                           + [T.StructField(x, T.DoubleType()) for x in xs])
-    return g.groupBy(*keys).applyInPandas(solve, schema)
+    return g.mapInPandas(solve, schema)
 
 
 def _refit_selected(weighted: DataFrame, chosen: DataFrame, keys: list[str],

@@ -3,23 +3,27 @@
 * Splits and folds are hashes of the natural key (``xxhash64``), so they do
   not depend on partitioning or row order, and repeat for the same seed.
 * Every fit sees its input as ``repartition(n, key).sortWithinPartitions(key)``
-  with a fixed n: tree learners then repeat exactly (their result depends on
-  the partition layout).
+  with n from the number of rows: tree learners then repeat exactly (their
+  result depends on the partition layout), and tasks grow with the input.
 * Evaluation is one aggregate over a (model, fold, label, prediction) table.
-* Linear fits per group (M15) and leverage (M11) use Gram sums computed by
-  Spark; only p x p matrices (p = number of features) reach the driver.
+* Linear fits per group (M15) and leverage (M11) use means and centred
+  co-moments computed by Spark's one-pass merging aggregates, so large offsets
+  do not cancel; only p x p matrices (p = number of features) reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor,
+                                   LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 from cropframe.session import checkpoint_dir
 
 SEED = 42
-FIT_PARTITIONS = 8
+ROWS_PER_TASK = 250_000
 # The library's default experiment settings.
 TRAIN_SHARE = 0.7
 DEFAULT_FOLDS = 10
@@ -51,8 +55,14 @@ def with_folds(df: DataFrame, keys: list[str], folds: int = DEFAULT_FOLDS, seed:
     return df.withColumn(out, hash_bucket(keys, seed + 1, folds).cast("int"))
 
 
-def stable_layout(df: DataFrame, keys: list[str], n: int = FIT_PARTITIONS) -> DataFrame:
-    """Fixed partition count and order, so tree fits repeat exactly."""
+def fit_partitions(rows: int) -> int:
+    """Tasks of a fit: one per ROWS_PER_TASK rows."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def stable_layout(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """Partition count from the input's rows and a fixed order, so tree fits repeat exactly."""
+    n = n or fit_partitions(df.count())
     return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
@@ -89,7 +99,7 @@ def pipeline(estimator, numeric: list[str], categorical: list[str] | None = None
 
 # The compared learners' public default settings.
 FOREST_TREES = 100
-FOREST_DEPTH = 16          # MLlib caps depth at 30; unlimited depth is not available
+FOREST_DEPTH = 30          # the deepest that MLlib grows
 BOOST_ROUNDS = 100
 BOOST_DEPTH = 3
 BOOST_STEP = 0.1
@@ -97,11 +107,11 @@ ADA_ROUNDS = 50
 
 
 def estimators(label: str = "label", seed: int = SEED) -> dict:
-    """M5-M8: the compared learners with fixed seeds (``et`` has no MLlib learner).
+    """M5-M8: the compared learners with fixed seeds.
 
-    Settings follow the usual library defaults: forest of 100 trees over
-    all features, boosting of 100 depth-3 trees with step 0.1, AdaBoost.R2
-    of 50 depth-3 trees.
+    Settings follow the usual library defaults: forest and extra trees of 100
+    trees over all features, boosting of 100 depth-3 trees with step 0.1,
+    AdaBoost.R2 of 50 depth-3 trees.
     """
     return {
         "lr": LinearRegression(labelCol=label, solver="normal"),
@@ -110,6 +120,7 @@ def estimators(label: str = "label", seed: int = SEED) -> dict:
         "gbr": GBTRegressor(labelCol=label, seed=seed, maxIter=BOOST_ROUNDS,
                             maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP),
         "ada": AdaBoostRegressor(labelCol=label, seed=seed, n_estimators=ADA_ROUNDS),
+        "et": ExtraTreesRegressor(labelCol=label, seed=seed, n_estimators=FOREST_TREES, max_depth=FOREST_DEPTH),
     }
 
 
@@ -165,15 +176,17 @@ def compare_models(df: DataFrame, keys: list[str], numeric: list[str], label: st
         df = split(df, keys, seed, train_share)[0]
     data = with_folds(df.withColumn("label", F.col(label).cast("double"))
                       .filter(F.col("label").isNotNull()), keys, folds, seed)
-    data = materialize(stable_layout(data, keys))
+    # laid out once; a fold's filter keeps the layout, so no fit shuffles its rows again
+    data = materialize(stable_layout(materialize(data), keys))
     preds = None
     for name, est in models.items():
         for k in range(folds):
-            train = stable_layout(data.filter(F.col("fold") != k), keys)
+            train = data.filter(F.col("fold") != k)
             fitted = pipeline(est.copy(), numeric, categorical).fit(train)
             p = fitted.transform(data.filter(F.col("fold") == k)).select(
                 *keys, F.lit(name).alias("model"), "fold", "label", "prediction")
             preds = p if preds is None else preds.unionByName(p)
+    preds = materialize(preds)     # scored once, read by the leaderboard and the caller
     per_fold = metrics(preds, ["model", "fold"])
     board = per_fold.groupBy("model").agg(*[F.avg(c).alias(c) for c in
                                            ("mae", "mse", "rmse", "r2", "rmsle", "mape")])
@@ -200,8 +213,31 @@ def save(model: PipelineModel, path: str) -> str:
     return path
 
 
+def slot_names(model: PipelineModel, features: list[str], slots: int) -> list[str]:
+    """Name of every slot of the assembled vector: a numeric feature, or feature=category."""
+    labels: dict[str, list[str]] = {}
+    inputs = None
+    for stage in model.stages[:-1]:
+        if hasattr(stage, "labelsArray"):
+            for col, names in zip(stage.getInputCols(), stage.labelsArray, strict=True):
+                labels[col] = list(names)
+        elif type(stage).__name__ == "VectorAssembler":
+            inputs = stage.getInputCols()
+    out: list[str] = []
+    for col in inputs or features:
+        base = col.removesuffix("__imp").removesuffix("__ohe")
+        if col.endswith("__ohe"):
+            # the categories and the slot of unseen ones; the encoder drops the last of all
+            out += [f"{base}={v}" for v in labels.get(base, [])] + [f"{base}=(other)"]
+        else:
+            out.append(base)
+    if len(out) != slots:
+        raise ValueError(f"{slots} slots, {len(out)} names")
+    return out
+
+
 def importance(model: PipelineModel, features: list[str]) -> DataFrame:
-    """Tree importances, or |coefficient| for a linear model -> (feature, importance)."""
+    """Tree importances, or |coefficient| for a linear model -> (feature, importance), a row per slot."""
     spark = SparkSession.getActiveSession()
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
@@ -209,8 +245,8 @@ def importance(model: PipelineModel, features: list[str]) -> DataFrame:
     elif hasattr(last, "coefficients"):
         vals = np.abs(last.coefficients.toArray())
     else:
-        vals = np.asarray(getattr(last, "importances", np.zeros(len(features))))
-    rows = [(f, float(v)) for f, v in zip(features, vals)]
+        raise TypeError(f"{type(last).__name__} has no importances")
+    rows = [(f, float(v)) for f, v in zip(slot_names(model, features, len(vals)), vals, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature")
 
@@ -248,53 +284,60 @@ def validation_curve(df: DataFrame, keys: list[str], numeric: list[str], label:
 
 
 # --------------------------------------------------------------------------- M15
-def gram(df: DataFrame, group: list[str], features: list[str], label: str) -> DataFrame:
-    """Per group: n, sums of x_i, y, x_i x_j, x_i y, y^2 (one partial aggregate)."""
-    xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
-    names = ["1"] + features
-    y = F.col(label).cast("double")
-    ok = y.isNotNull()
-    for f in features:
-        ok = ok & F.col(f).isNotNull()
-    aggs = []
-    for i in range(len(xs)):
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}"))
-        aggs.append(F.sum(xs[i] * y).alias(f"xy_{i}"))
-    aggs.append(F.sum(y * y).alias("yy"))
-    del names
+def co_moments(df: DataFrame, group: list[str], features: list[str], label: str) -> DataFrame:
+    """Per group: n, means and centred co-moments of features and label (one merging aggregate)."""
+    cols = [F.col(f).cast("double") for f in features] + [F.col(label).cast("double")]
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & c.isNotNull()
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}")
+             for i in range(len(cols)) for j in range(i, len(cols))]
     return df.filter(ok).groupBy(*group).agg(*aggs)
 
 
-def _solve(pdf: pd.DataFrame, group: list[str], p: int, ridge: float = 0.0) -> pd.DataFrame:
-    out = []
-    for _, r in pdf.iterrows():
-        a = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
-        b = np.array([r[f"xy_{i}"] for i in range(p)])
-        if ridge:
-            a[1:, 1:] += ridge * np.eye(p - 1)
-        coef = np.linalg.lstsq(a, b, rcond=None)[0]
-        out.append([r[g] for g in group] + [float(c) for c in coef])
-    return pd.DataFrame(out, columns=group + ["intercept"] + [f"b{i}" for i in range(1, p)])
+def moment_arrays(f: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, covariances, covariances with the label) of all rows of a co-moment table."""
+    means = np.stack([f[f"m_{i}"].to_numpy(float) for i in range(p + 1)], axis=1)
+    c = np.zeros((len(f), p + 1, p + 1))
+    for i in range(p + 1):
+        for j in range(i, p + 1):
+            c[:, i, j] = c[:, j, i] = f[f"c_{i}_{j}"].to_numpy(float)
+    return means, c[:, :p, :p], c[:, :p, p]
+
+
+def stacked_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least-norm solutions of many symmetric systems at once, on unit diagonals."""
+    d = np.sqrt(np.einsum("nii->ni", a))
+    d = np.where(d > 0, d, 1.0)
+    inverse = np.linalg.pinv(a / (d[:, :, None] * d[:, None, :]), rcond=1e-12, hermitian=True)
+    return np.einsum("nij,nj->ni", inverse, b / d) / d
 
 
 def grouped_ols(df: DataFrame, group: list[str], features: list[str], label: str) -> DataFrame:
     """One least-squares fit per group -> (group..., intercept, coefficient per feature).
 
-    Spark computes the Gram sums per group; each group's (p+1) x (p+1)
-    system is solved in pandas on that one-row-per-group table.
+    Spark computes the co-moments per group; the small systems are solved in
+    stacks, a batch of groups at a time, where the aggregate left them.
     """
-    g = gram(df, group, features, label)
-    p = len(features) + 1
-    schema = T.StructType([g.schema[c] for c in group] +
-                          [T.StructField("intercept", T.DoubleType())] +
-                          [T.StructField(f"b{i}", T.DoubleType()) for i in range(1, p)])
-    solved = g.groupBy(*group).applyInPandas(lambda pdf: _solve(pdf, group, p), schema)
-    return solved.select(*group, "intercept",
-                         *[F.col(f"b{i}").alias(f) for i, f in enumerate(features, 1)])
+    g = co_moments(df, group, features, label)
+    p = len(features)
+    schema = T.StructType([g.schema[c] for c in group] + [T.StructField("intercept", T.DoubleType())]
+                          + [T.StructField(f"b{i}", T.DoubleType()) for i in range(1, p + 1)])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            means, a, b = moment_arrays(f, p)
+            coef = stacked_solve(a, b)
+            out = f[group].copy()
+            out["intercept"] = means[:, p] - np.einsum("ni,ni->n", coef, means[:, :p])
+            for i in range(p):
+                out[f"b{i + 1}"] = coef[:, i]
+            yield out
+
+    return g.mapInPandas(solve, schema).select(
+        *group, "intercept", *[F.col(f"b{i}").alias(f) for i, f in enumerate(features, 1)])
 
 
 def predict_grouped(df: DataFrame, coefs: DataFrame, group: list[str], features: list[str],
@@ -313,32 +356,28 @@ def predict_grouped(df: DataFrame, coefs: DataFrame, group: list[str], features:
 def cooks_distance(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
     """Cook's distance of an OLS fit -> (keys, leverage, residual, cooks).
 
-    X'X comes from one Spark aggregate; its inverse (p x p) is applied as a
-    row expression: h_i = x_i' (X'X)^-1 x_i, D_i = e_i^2 / (p s^2) * h_i / (1 - h_i)^2.
+    With centred features z = x - mean and their covariance C,
+    h = 1/n + z' C^-1 z / n and D = e^2 / (p s^2) * h / (1 - h)^2; C comes from
+    one aggregate, the residual sum of squares from a second one over the
+    residuals themselves, so nothing is found by subtracting large sums.
     """
-    g = gram(df, [], features, label).first()
-    p = len(features) + 1
-    a = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            a[i, j] = a[j, i] = g[f"xx_{i}_{j}"]
-    b = np.array([g[f"xy_{i}"] for i in range(p)])
-    inv = np.linalg.inv(a)
-    beta = inv @ b
-    n = a[0, 0]
-    sse = g["yy"] - 2 * beta @ b + beta @ a @ beta
-    s2 = sse / (n - p)
-    xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
-    h = None
-    for i in range(p):
-        for j in range(p):
-            t = F.lit(float(inv[i, j])) * xs[i] * xs[j]
-            h = t if h is None else h + t
-    pred = sum((F.lit(float(beta[i])) * xs[i] for i in range(p)), F.lit(0.0))
-    e = F.col(label).cast("double") - pred
-    return df.select(*keys, h.alias("leverage"), e.alias("residual")).withColumn(
-        "cooks", F.col("residual") ** 2 / (F.lit(p * s2)) * F.col("leverage")
-        / (1 - F.col("leverage")) ** 2)
+    f = co_moments(df, [], features, label).toPandas()      # one row
+    k, n = len(features), int(f["n"][0])
+    means, a, b = moment_arrays(f, k)
+    coef = stacked_solve(a, b)[0]
+    inv = np.linalg.pinv(a[0], hermitian=True)
+    z = [F.col(c).cast("double") - F.lit(float(means[0, i])) for i, c in enumerate(features)]
+    h = F.lit(1.0 / n)
+    for i in range(k):
+        for j in range(k):
+            h = h + F.lit(float(inv[i, j]) / n) * z[i] * z[j]
+    e = F.col(label).cast("double") - F.lit(float(means[0, k]))
+    for i in range(k):
+        e = e - F.lit(float(coef[i])) * z[i]
+    rows = df.select(*keys, h.alias("leverage"), e.alias("residual"))
+    s2 = rows.agg(F.sum(F.col("residual") ** 2)).first()[0] / (n - k - 1)
+    return rows.withColumn("cooks", F.col("residual") ** 2 / F.lit((k + 1) * s2) * F.col("leverage")
+                           / (1 - F.col("leverage")) ** 2)
 
 
 # --------------------------------------------------------------------------- M8
@@ -407,7 +446,47 @@ class AdaBoostRegressor(Estimator):
         return AdaBoostModel(trees, weights, self.featuresCol, self.predictionCol)
 
 
-class AdaBoostModel(Model):
+class _TreesWriter(MLWriter):
+    """Saves a tree ensemble: its settings as metadata, each tree beside them."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        m = self.instance
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={"ensemble": m.settings()})
+        for i, tree in enumerate(m.trees):
+            tree.write().overwrite().save(f"{path}/trees/{i}")
+
+
+class _TreesReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)["ensemble"]
+        trees = [DecisionTreeRegressionModel.load(f"{path}/trees/{i}") for i in range(found.pop("n"))]
+        return self.cls(trees, **found)
+
+
+class _TreeEnsemble(Model, MLWritable, MLReadable):
+    """A saved and read ensemble of trees."""
+
+    def write(self) -> MLWriter:
+        return _TreesWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TreesReader(cls)
+
+
+class AdaBoostModel(_TreeEnsemble):
+    def settings(self) -> dict:
+        return {"n": len(self.trees), "weights": [float(w) for w in self.weights],
+                "featuresCol": self.featuresCol, "predictionCol": self.predictionCol}
+
     def __init__(self, trees, weights, featuresCol, predictionCol):
         super().__init__()
         self.trees, self.weights = trees, weights
@@ -440,3 +519,82 @@ class AdaBoostModel(Model):
                               F.when(acc["m"].isNull() & (acc["s"] + x["w"] >= F.lit(half)),
                                      x["p"]).otherwise(acc["m"]).alias("m")))
         return out.withColumn(self.predictionCol, cum["m"]).drop(*cols)
+
+
+class ExtraTreesRegressor(Estimator):
+    """M4 ``et``: extremely randomised trees on MLlib's tree learner.
+
+    Each tree sees all rows with every feature coded by its own ``cuts`` random
+    thresholds, drawn evenly between the feature's least and largest value; the
+    learner then picks splits among these random thresholds only. The ensemble
+    predicts the mean of its trees.
+    """
+
+    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
+                 n_estimators: int = 100, max_depth: int = 30, cuts: int = 31, seed: int = SEED):
+        super().__init__()
+        self.featuresCol, self.labelCol, self.predictionCol = featuresCol, labelCol, predictionCol
+        self.n_estimators, self.max_depth, self.cuts, self.seed = n_estimators, max_depth, cuts, seed
+
+    def copy(self, extra=None):
+        c = ExtraTreesRegressor(self.featuresCol, self.labelCol, self.predictionCol, self.n_estimators,
+                                self.max_depth, self.cuts, self.seed)
+        for k, v in (extra or {}).items():
+            setattr(c, k.name if hasattr(k, "name") else k, v)
+        return c
+
+    def getParam(self, name):
+        return name
+
+    def _fit(self, df: DataFrame):
+        data = materialize(df.select(vector_to_array(self.featuresCol).alias("_x"), F.col(self.labelCol)))
+        width = F.size("_x")
+        p = data.select(width.alias("p")).first()
+        p = p["p"] if p else 0
+        ends = data.agg(*[F.min(F.col("_x")[j]).alias(f"a{j}") for j in range(p)],
+                        *[F.max(F.col("_x")[j]).alias(f"b{j}") for j in range(p)]).first()
+        trees, cuts = [], []
+        for t in range(self.n_estimators):
+            rng = np.random.default_rng([self.seed, t])
+            cut = [sorted(set(float(v) for v in rng.uniform(ends[f"a{j}"], ends[f"b{j}"], self.cuts))) for j in range(p)]
+            coded = data.select(_coded("_x", cut).alias(self.featuresCol), self.labelCol)
+            tree = DecisionTreeRegressor(featuresCol=self.featuresCol, labelCol=self.labelCol, maxDepth=self.max_depth,
+                                         maxBins=self.cuts + 1, seed=self.seed + t)
+            trees.append(tree.fit(coded))
+            cuts.append(cut)
+        return ExtraTreesModel(trees, cuts, self.featuresCol, self.predictionCol)
+
+
+def _coded(array_col: str, cuts: list[list[float]]):
+    """Vector of how many of its feature's thresholds each value exceeds."""
+    def exceeded(j: int, cut: list[float]):
+        return F.size(F.filter(F.lit(cut), lambda t: t < F.col(array_col)[j])).cast("double")
+
+    return array_to_vector(F.array(*[exceeded(j, c) if c else F.lit(0.0) for j, c in enumerate(cuts)]))
+
+
+class ExtraTreesModel(_TreeEnsemble):
+    def __init__(self, trees, cuts, featuresCol, predictionCol):
+        super().__init__()
+        self.trees, self.cuts = trees, cuts
+        self.featuresCol, self.predictionCol = featuresCol, predictionCol
+
+    def settings(self) -> dict:
+        return {"n": len(self.trees), "cuts": self.cuts, "featuresCol": self.featuresCol,
+                "predictionCol": self.predictionCol}
+
+    @property
+    def featureImportances(self):
+        from pyspark.ml.linalg import Vectors
+        return Vectors.dense(np.mean([t.featureImportances.toArray() for t in self.trees], axis=0))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_et_x", vector_to_array(self.featuresCol))
+        cols = []
+        for i, (tree, cut) in enumerate(zip(self.trees, self.cuts, strict=True)):
+            c = f"_et_{i}"
+            coded = out.withColumn("_et_v", _coded("_et_x", cut))
+            out = tree.copy().setFeaturesCol("_et_v").setPredictionCol(c).transform(coded).drop("_et_v")
+            cols.append(c)
+        mean = sum((F.col(c) for c in cols), F.lit(0.0)) / F.lit(float(len(cols)))
+        return out.withColumn(self.predictionCol, mean).drop("_et_x", *cols)

@@ -25,7 +25,8 @@ def persist_frame(spark: SparkSession, df: DataFrame) -> DataFrame:
 def train_and_explain(spark: SparkSession, yields: DataFrame, weather: DataFrame, soil: DataFrame,
                       years=None, districts=None, folds: int = model.DEFAULT_FOLDS,
                       explain_rows: DataFrame | None = None, features: list[str] | None = None,
-                      models: dict | None = None) -> dict[str, DataFrame]:
+                      models: dict | None = None,
+                      background_rows: int = explain.BACKGROUND_ROWS) -> dict[str, DataFrame]:
     """Run the whole modelling page set-wise; returns every table it shows.
 
     ``features`` defaults to every numeric non-identity column (F13);
@@ -38,9 +39,16 @@ def train_and_explain(spark: SparkSession, yields: DataFrame, weather: DataFrame
     models = models or model.estimators("label")
     board, preds = model.compare_models(f, KEY, feats, "yield", models=models, folds=folds)
     best = board.first()["model"]
-    fitted = model.fit(f, KEY, feats, "yield", models[best].copy())
-    shap = explain.shap_values(fitted, f, KEY, feats)
+    # the winner learns from the training split only; the held-out rows stay unseen
+    train = model.split(f, KEY)[0]
+    fitted = model.fit(train, KEY, feats, "yield", models[best].copy())
+    shap = persist_frame(spark, explain.shap_values(fitted, f, KEY, feats, background_rows=background_rows))
+    settings = {"target": "yield", "seed": model.SEED, "folds": folds, "train_share": model.TRAIN_SHARE,
+                "numeric_features": len(feats), "imputation": "mean", "models": ",".join(models),
+                "rows": f.count(), "train_rows": train.count()}
     out = {"frame": f, "ranking": ranking, "leaderboard": board, "predictions": preds,
+           "settings": spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "setting string, value string"),
+           "learning": model.learning_curve(f, KEY, feats, "yield", models[best].copy()),
            "importance": model.importance(fitted, feats), "shap": shap,
            "shap_importance": explain.global_importance(shap)}
     if explain_rows is not None:

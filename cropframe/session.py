@@ -47,7 +47,8 @@ def ship(spark: SparkSession) -> None:
     import zipfile
 
     sc, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
-    if getattr(sc, "_cropframe_sent", False):
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(sc, "_cropframe_sent", False) or os.path.dirname(root) in known:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="cropframe-zip-"), "cropframe.zip")
     with zipfile.ZipFile(path, "w") as z:

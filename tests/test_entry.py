@@ -49,3 +49,17 @@ def test_training_job_end_to_end(spark):
     sv = out["shap"].groupBy("state", "county", "year", "crop").agg(
         F.sum("shap").alias("s"), F.first("base").alias("b"), F.first("prediction").alias("p"))
     assert sv.agg(F.max(F.abs(F.col("s") + F.col("b") - F.col("p")))).first()[0] < 1e-6
+
+
+def test_workers_find_the_package_from_any_folder(tmp):
+    """A session started elsewhere, without PYTHONPATH, still runs grouped-pandas operators."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "import __spark_entry__ as E\nfrom cropframe import get_spark\n"
+            f"s = get_spark('elsewhere', cores=2, shuffle_partitions=2, extra={{'spark.checkpoint.dir': {tmp!r}}})\n"
+            "print('ROWS', E.queries()['q_kendall'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in out.stdout, out.stderr[-2000:]

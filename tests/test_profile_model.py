@@ -182,3 +182,74 @@ def test_profile_report_all_tables(spark):
             "pearson", "spearman", "kendall", "cramers", "auto", "missing", "missing_pairs",
             "alerts"} <= set(rep)
     assert rep["numeric"].count() == 2 and rep["auto"].count() == 6
+
+
+def test_fit_tasks_grow_with_the_input(spark):
+    assert [model.fit_partitions(n) for n in (0, 10, 250_000, 250_001, 10 ** 9)] == [1, 1, 1, 2, 4000]
+    df = spark.range(1000).withColumn("label", F.rand(1))
+    assert model.stable_layout(df, ["id"], 3).rdd.getNumPartitions() == 3
+
+
+def test_ols_and_cooks_survive_large_offsets(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=300) + 1e9
+    y = 3 * (x - 1e9) + 5 + rng.normal(size=300) * 0.1
+    df = spark.createDataFrame([(i, float(a), float(b), i % 2) for i, (a, b) in enumerate(zip(x, y))],
+                               "id long, x double, y double, g int")
+    got = {r["g"]: r["x"] for r in model.grouped_ols(df, ["g"], ["x"], "y").collect()}
+    for g in (0, 1):
+        z = x[g::2] - 1e9
+        want = np.polyfit(z, y[g::2], 1)[0]
+        assert math.isclose(got[g], want, rel_tol=1e-6)
+    cd = model.cooks_distance(df, ["id"], ["x"], "y").toPandas().set_index("id").sort_index()
+    X = np.column_stack([np.ones(300), x - 1e9])
+    h = np.einsum("ij,jk,ik->i", X, np.linalg.inv(X.T @ X), X)
+    e = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
+    d = e ** 2 / (2 * (e @ e) / 298) * h / (1 - h) ** 2
+    assert np.allclose(cd["cooks"], d, rtol=1e-4)
+
+
+def test_every_ensemble_can_be_saved_and_read(spark, tmp):
+    import os
+    from pyspark.ml import PipelineModel
+    li = _li(spark).select("l_orderkey", "l_linenumber", "l_quantity", "l_tax",
+                           (10 * F.col("l_quantity") + F.col("l_tax")).alias("l_extendedprice"))
+    keys, feats = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"]
+    for name, est in (("ada", model.AdaBoostRegressor(n_estimators=3)),
+                      ("et", model.ExtraTreesRegressor(n_estimators=3, max_depth=6))):
+        m = model.fit(li, keys, feats, "l_extendedprice", est)
+        again = PipelineModel.load(model.save(m, os.path.join(tmp, name)))
+        a = model.score(m, li).agg(F.sum("prediction")).first()[0]
+        assert a == model.score(again, li).agg(F.sum("prediction")).first()[0]
+        r2 = model.metrics(model.score(again, li).withColumn("label", F.col("l_extendedprice")), []).first()["r2"]
+        assert r2 > 0.8
+
+
+def test_importance_names_every_slot(spark):
+    li = _li(spark).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice")
+    m = model.fit(li, ["l_orderkey", "l_linenumber"], ["l_quantity"], "l_extendedprice", categorical=["l_returnflag"])
+    names = {r["feature"] for r in model.importance(m, ["l_quantity"]).collect()}
+    flags = {f"l_returnflag={r[0]}" for r in li.select("l_returnflag").distinct().collect()}
+    assert "l_quantity" in names and flags <= names
+    assert len(names) == len(m.stages[-1].coefficients)
+
+
+def test_lime_does_not_depend_on_the_layout_and_imputes(spark):
+    li = _li(spark).select("l_orderkey", "l_linenumber", "l_quantity",
+                           F.when(F.col("l_linenumber") < 6, F.col("l_tax")).alias("l_tax"), "l_extendedprice")
+    keys, feats = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"]
+    m = model.fit(li, keys, feats, "l_extendedprice")
+    inst = li.orderBy(F.col("l_linenumber").desc(), "l_orderkey").limit(3)
+    run = lambda n: sorted(map(tuple, explain.lime(m, li, inst.repartition(n), keys, feats, n_samples=300)
+                               .select(*keys, "feature", "condition", F.round("weight", 6)).collect()))
+    assert run(1) == run(3)
+
+
+def test_linear_shapley_values_add_up(spark):
+    li = _li(spark).select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_extendedprice").dropDuplicates(
+        ["l_orderkey", "l_linenumber"])
+    keys, feats = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"]
+    m = model.fit(li, keys, feats, "l_extendedprice")
+    sv = explain.shap_values(m, li, keys, feats)
+    got = sv.groupBy(*keys).agg((F.sum("shap") + F.first("base")).alias("s")).join(model.score(m, li), keys)
+    assert got.agg(F.max(F.abs(F.col("s") - F.col("prediction")))).first()[0] < 1e-6
