@@ -1,8 +1,8 @@
 """Mean imputation and feature ranking.
 
 Relevance is binned mutual information: each feature and the target are
-cut into equal-width bins, all features go to long form together and one
-``groupBy(feature, xb, yb)`` produces every joint table in a single pass.
+cut at their own quantiles, the rows are counted by their tuple of bins, and
+every joint table is summed up from these counts.
 It is a different estimator from a nearest-neighbour one, so values differ
 from such a library while the ranking is comparable.
 """
@@ -35,20 +35,31 @@ def impute_mean(df: DataFrame, cols: list[str], drop_all_null: bool = True) -> D
     return out
 
 
-def _bins_wide(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
-    """Equal-width bin index of each column, kept in wide form (one row per row)."""
-    # 2 x p numbers, collected once and used as literals: no join, no re-scan
-    rng = df.agg(*[F.min(c).cast("double").alias(f"mn_{c}") for c in cols],
-                 *[F.max(c).cast("double").alias(f"mx_{c}") for c in cols]).first()
-    j = df
+def _binned(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
+    """Rows counted by the tuple of their columns' quantile bins (column ``_n``).
+
+    A value's bin is the number of inner quantiles below it. The edges (bins -
+    1 numbers a column) come from exact running counts and are literals here.
+    The counts are checkpointed: all joint tables are read off them.
+    """
+    from cropframe.operators.model import materialize
+    from cropframe.operators.profile import exact_quantiles, value_counts
+    edges: dict[str, list[float]] = {c: [] for c in cols}
+    found = exact_quantiles(value_counts(df, cols), [i / bins for i in range(1, bins)]).collect()
+    for r in found:
+        edges[r["feature"]].append(float(r["q"]))
     out = []
     for c in cols:
-        mn = F.lit(rng[f"mn_{c}"]).cast("double")
-        mx = F.lit(rng[f"mx_{c}"]).cast("double")
-        w = (mx - mn) / F.lit(float(bins))
-        out.append(F.when(F.col(c).isNull(), F.lit(None)).when(mx == mn, F.lit(0)).otherwise(
-            F.least(F.floor((F.col(c) - mn) / w), F.lit(bins - 1))).cast("int").alias(c))
-    return j.select(*out)
+        above = sum((F.col(c) > F.lit(e)).cast("int") for e in sorted(edges[c]))
+        out.append((F.when(F.col(c).isNotNull(), above) if edges[c] else F.lit(None).cast("int")).alias(c))
+    return materialize(df.select(*out).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _filled(df: DataFrame, features: list[str], target: str, impute: bool) -> DataFrame:
+    d = df.filter(F.col(target).isNotNull())
+    if impute:
+        d = impute_mean(d, features, drop_all_null=False)
+    return d.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str,
@@ -58,20 +69,19 @@ def mutual_information(df: DataFrame, features: list[str], target: str,
     Features are mean-imputed first (the reference fills with the mean);
     rows without a target are left out.
     """
-    d = df.filter(F.col(target).isNotNull())
-    if impute:
-        d = impute_mean(d, features, drop_all_null=False)
-    b = _bins_wide(d.select(*features, F.col(target).cast("double").alias("_y")),
-                   features + ["_y"], bins)
-    long = b.unpivot(["_y"], features, "feature", "xb").filter(F.col("xb").isNotNull())
+    return _relevance(_binned(_filled(df, features, target, impute), features + ["_y"], bins), features)
+
+
+def _relevance(counts: DataFrame, features: list[str]) -> DataFrame:
+    long = counts.unpivot(["_y", "_n"], features, "feature", "xb").filter(F.col("xb").isNotNull())
     return _mi_from_long(long, "feature", "xb", "_y").withColumnRenamed("mi", "relevance") \
         .orderBy(F.col("relevance").desc(), F.col("feature"))
 
 
 def _mi_from_long(long: DataFrame, key, xb: str, yb: str) -> DataFrame:
-    """MI per key from rows (key..., xb, yb): sum p log(p / (px py))."""
+    """MI per key from counted rows (key..., xb, yb, _n): sum p log(p / (px py))."""
     keys = [key] if isinstance(key, str) else list(key)
-    joint = long.groupBy(*keys, xb, yb).agg(F.count(F.lit(1)).alias("nxy"))
+    joint = long.groupBy(*keys, xb, yb).agg(F.sum("_n").alias("nxy"))
     px = joint.groupBy(*keys, xb).agg(F.sum("nxy").alias("nx"))
     py = joint.groupBy(*keys, yb).agg(F.sum("nxy").alias("ny"))
     n = joint.groupBy(*keys).agg(F.sum("nxy").alias("n"))
@@ -85,21 +95,19 @@ def mrmr(df: DataFrame, features: list[str], target: str, k: int | None = None,
          bins: int = MI_BINS) -> DataFrame:
     """M2: greedy minimum-redundancy maximum-relevance order.
 
-    Relevance and the pairwise feature MI table come from two grouped
-    passes; the greedy pick runs on the p x p table (bounded by the number
-    of features). Score = relevance - mean MI with the already chosen.
+    Relevance and the pairwise feature MI table are read off one table of
+    counted bin tuples; the greedy pick runs on the p x p table (bounded by the
+    number of features). Score = relevance - mean MI with the already chosen.
     """
     spark = df.sparkSession
-    rel = {r["feature"]: r["relevance"] for r in
-           mutual_information(df, features, target, bins).collect()}
-    d = impute_mean(df.filter(F.col(target).isNotNull()), features, drop_all_null=False)
-    b = _bins_wide(d.select(*features), features, bins)
+    b = _binned(_filled(df, features, target, True), features + ["_y"], bins)
+    rel = {r["feature"]: r["relevance"] for r in _relevance(b, features).collect()}
     pairs = list(combinations(features, 2))
     red = {}
     if pairs:
         long = b.select(F.explode(F.array(*[
             F.struct(F.lit(a).alias("fa"), F.lit(c).alias("fb"), F.col(a).alias("xa"),
-                     F.col(c).alias("xc")) for a, c in pairs])).alias("t")).select("t.*")
+                     F.col(c).alias("xc"), F.col("_n")) for a, c in pairs])).alias("t")).select("t.*")
         for r in _mi_from_long(long.dropna(), ["fa", "fb"], "xa", "xc").collect():
             red[(r["fa"], r["fb"])] = red[(r["fb"], r["fa"])] = r["mi"]
     chosen, rows = [], []

@@ -627,15 +627,17 @@ FROM d
 MI_F = ["l_quantity", "l_discount", "l_tax"]
 
 
+MI_EDGES = "[" + ", ".join(f"{i / 10}" for i in range(1, 10)) + "]"
+
+
 def _bin_sql(c: str) -> str:
-    return (f"CAST(CASE WHEN mx_{c} = mn_{c} THEN 0 ELSE least(floor(({c} - mn_{c}) / "
-            f"((mx_{c} - mn_{c}) / 10.0)), 9) END AS INTEGER)")
+    return f"len(list_filter(e_{c}, lambda z: z < {c}))"
 
 
 ORACLE["q_mi"] = _stable(f"""
 WITH d AS (SELECT {', '.join(f'{c} + 0.0 AS {c}' for c in MI_F)}, l_extendedprice + 0.0 AS y
            FROM lineitem WHERE l_extendedprice IS NOT NULL),
-r AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in MI_F + ['y'])} FROM d),
+r AS (SELECT {', '.join(f'quantile_cont({c}, {MI_EDGES}) AS e_{c}' for c in MI_F + ['y'])} FROM d),
 b AS (SELECT {', '.join(f'{_bin_sql(c)} AS {c}' for c in MI_F + ['y'])} FROM d, r),
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS xb, y AS yb FROM b" for c in MI_F)}),
 joint AS (SELECT feature, xb, yb, count(*) AS nxy FROM long GROUP BY feature, xb, yb),
@@ -734,7 +736,7 @@ def _mrmr_sql() -> str:
     return f"""
 WITH d AS (SELECT {', '.join(f'{c} + 0.0 AS {c}' for c in f)}, l_extendedprice + 0.0 AS y
            FROM lineitem WHERE l_extendedprice IS NOT NULL),
-r AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in f + ['y'])} FROM d),
+r AS (SELECT {', '.join(f'quantile_cont({c}, {MI_EDGES}) AS e_{c}' for c in f + ['y'])} FROM d),
 b AS (SELECT {', '.join(f'{_bin_sql(c)} AS {c}' for c in f + ['y'])} FROM d, r),
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS xb, y AS yb FROM b" for c in f)}),
 joint AS (SELECT feature, xb, yb, count(*) AS nxy FROM long GROUP BY feature, xb, yb),
