@@ -1,6 +1,6 @@
 """Regression modelling with MLlib.
 
-* Splits and folds are hashes of the natural key (``xxhash64``), so they do
+* Splits and folds are hashes of the natural key, so they do
   not depend on partitioning or row order, and repeat for the same seed.
 * Every fit sees its input as ``repartition(n, key).sortWithinPartitions(key)``
   with n from the number of rows: tree learners then repeat exactly (their
@@ -39,8 +39,13 @@ DEFAULT_FOLDS = 10
 
 # --------------------------------------------------------------------------- M3
 def hash_bucket(keys: list[str], seed: int, buckets: int = 100):
-    """Deterministic bucket 0..buckets-1 of a row from its natural key."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(buckets))
+    """Deterministic bucket 0..buckets-1 of a row from its natural key.
+
+    The leading 32 bits of an MD5 of the key's text: any engine can repeat the
+    split, so its results can be checked outside Spark.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(buckets))
 
 
 def split(df: DataFrame, keys: list[str], seed: int = SEED, train_share: float = TRAIN_SHARE):

@@ -777,6 +777,40 @@ UNION ALL SELECT 3, feature, round(relevance, 6) + 0.0, round(redundancy, 6) + 0
 
 ORACLE["q_mrmr"] = _stable(_mrmr_sql())
 
+_BUCKET = "CAST('0x' || substr(md5(concat_ws('|', state, county, year, crop, '{seed}')), 1, 8) AS UBIGINT) % 100"
+_LINE_FRAME = f"""{WITH_ALL},
+f AS (SELECT y.state, y.county, y.year, y.crop, y.value AS yield, w.gdd {FRAME_FROM} WHERE {NOT_SENTINEL}),
+rows AS (SELECT yield AS y, gdd, {_BUCKET.format(seed=42)} AS b, {_BUCKET.format(seed=44)} AS c FROM f)"""
+
+
+def _line_r2(fits: str, name: str, key: str) -> str:
+    """R2 on training part and test split of the lines in ``fits`` (key, cut, fill, slope, icpt)."""
+    return f"""
+res AS (SELECT {key}, b < 70 AS train, y, y - icpt - slope * coalesce(gdd, fill) AS e
+        FROM rows, fits WHERE b >= 70 OR c < cut),
+r AS (SELECT {key}, train, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM res GROUP BY {key}, train)
+SELECT {key} AS {name}, round(max(CASE WHEN train THEN r2 END), 6) + 0.0 AS train_r2,
+       round(max(CASE WHEN NOT train THEN r2 END), 6) + 0.0 AS test_r2
+FROM r GROUP BY {key}"""
+
+
+ORACLE["q_learning_gdd"] = f"""{_LINE_FRAME},
+shares AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]::DOUBLE[]) AS share, unnest([20, 40, 60, 80, 100]) AS cut),
+means AS (SELECT share, cut, avg(gdd) AS fill FROM rows, shares WHERE b < 70 AND c < cut GROUP BY share, cut),
+fits AS (SELECT share, cut, fill, regr_slope(y, coalesce(gdd, fill)) AS slope,
+                regr_intercept(y, coalesce(gdd, fill)) AS icpt
+         FROM rows, means WHERE b < 70 AND c < cut GROUP BY share, cut, fill),
+{_line_r2('fits', 'share', 'share')}"""
+
+ORACLE["q_vc_ridge"] = f"""{_LINE_FRAME},
+grid AS (SELECT unnest(['0.0', '1000.0', '10000.0', '100000.0']) AS value, unnest([0.0, 1e3, 1e4, 1e5]::DOUBLE[]) AS penalty),
+means AS (SELECT avg(gdd) AS fill FROM rows WHERE b < 70),
+line AS (SELECT fill, regr_slope(y, coalesce(gdd, fill)) AS s, avg(coalesce(gdd, fill)) AS mx, avg(y) AS my,
+                stddev_pop(y) AS sy FROM rows, means WHERE b < 70 GROUP BY fill),
+fits AS (SELECT value, 100 AS cut, fill, s / (1 + penalty / sy) AS slope, my - s / (1 + penalty / sy) * mx AS icpt
+         FROM line, grid),
+{_line_r2('fits', 'value', 'value')}"""
+
 ORACLE["q_shap_linear"] = f"""{WITH_ALL},
 f AS (SELECT y.state, y.county, y.year, y.crop, y.value AS yield, w.gdd {FRAME_FROM}
       WHERE {NOT_SENTINEL}),

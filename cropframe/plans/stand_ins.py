@@ -687,6 +687,20 @@ def q_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "maxDepth", [2, 4, 6])
 
 
+def q_learning_gdd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 on one feature: a least-squares line per share of the training split."""
+    return round_doubles(model.learning_curve(frame_table(spark, sf_dir), FRAME_KEY, ["gdd"], "yield"), DIGITS)
+
+
+def q_vc_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 on one feature: the penalty of a ridge line over a grid."""
+    from pyspark.ml.regression import LinearRegression
+    out = model.validation_curve(frame_table(spark, sf_dir), FRAME_KEY, ["gdd"], "yield",
+                                 LinearRegression(labelCol="label", solver="normal"), "regParam",
+                                 [0.0, 1000.0, 10000.0, 100000.0])
+    return round_doubles(out, DIGITS)
+
+
 def q_ada(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: AdaBoost.R2 fit and in-sample metrics."""
     f = frame_table(spark, sf_dir)
@@ -785,6 +799,8 @@ QUERIES = {
     "q_importance": q_importance,
     "q_learning": q_learning,
     "q_vc": q_vc,
+    "q_learning_gdd": q_learning_gdd,
+    "q_vc_ridge": q_vc_ridge,
     "q_ada": q_ada,
     "q_shap": q_shap,
     "q_shap_linear": q_shap_linear,
