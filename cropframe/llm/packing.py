@@ -24,7 +24,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +38,6 @@ BLOCK_TOKENS = 1 << 20
 BLOCK_ROWS = 4096
 MEMO_WORDS = 400_000
 MEMO_LENGTH = 48
-#: Space that ends a word for the tokenizer, whatever stands around it.
-SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 @dataclass(frozen=True)
@@ -152,35 +149,56 @@ def pack(lengths: list[int], loss: list[np.ndarray | None] | None = None,
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer never joins anything across white space.
 
-    Words between ASCII white space are encoded once and remembered (a bounded
-    number of short ones); the rest of a text's work is dictionary look-ups.
+    Words between ASCII white space are encoded once and remembered, in two
+    generations of bounded size, so that words in use outlive the others; the
+    rest of a text's work is dictionary look-ups. New words are encoded
+    together, with a special token between them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [SPACE.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list(set().union(*split).difference(memo)) if split else []
-        extra: dict[str, bytes] = {}
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
+        self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; a word that holds a special token's text is encoded alone."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark_id is None or any("<|" in t for t in texts):
+            return [self._one(t) for t in texts]
+        joined = f" {self.mark} ".join(texts)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark_id)
+        starts, ends = [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)]
+        return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]  # bytes split at ASCII white space only
+        recent, older = self.recent, self.older
+        if len(recent) > MEMO_WORDS:
+            recent, older = self.recent, self.older = {}, recent
+        new = set().union(*split).difference(recent)
+        extra: dict[bytes, bytes] = {}
+        missing = []
+        for w in new:
+            ids = older.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                recent[w] = ids
+        for lo in range(0, len(missing), 4096):
+            part = missing[lo:lo + 4096]
             for w, ids in zip(part, self._encode(part), strict=True):
-                (memo if len(w) <= MEMO_LENGTH and len(memo) <= 2 * MEMO_WORDS else extra)[w] = ids
+                (recent if len(w) <= MEMO_LENGTH and len(recent) <= 2 * MEMO_WORDS else extra)[w] = ids
         if extra:
-            return [b"".join(memo[w] if w in memo else extra[w] for w in words) for words in split]
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+            return [b"".join([recent[w] if w in recent else extra[w] for w in words]) for words in split]
+        return [b"".join(map(recent.__getitem__, words)) for words in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -223,7 +241,7 @@ def _pack_texts(path: str, end_id: int, limits: Limits, with_ids: bool):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = [t or "" for t in part["text"].to_pylist()]
+                texts = [t or b"" for t in part["text"].cast(pa.binary()).to_pylist()]
                 for doc, t in zip(part["doc_id"].to_pylist(), coder.ids(texts), strict=True):
                     ids.append(doc)
                     tokens.append(t + end)
