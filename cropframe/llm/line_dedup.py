@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words; a line with at least ``min_words``
+A line is the set of its lower-cased words (runs of letters, digits and
+underscores, where every character beyond ASCII counts as a letter); a line with at least ``min_words``
 of them goes if an earlier line (in the order of document id, then place) has a
 Jaccard similarity of ``threshold`` or more. The join is exact:
 
@@ -37,7 +38,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,30 +56,39 @@ COUNTERS = 1 << 18
 COUNT_BLOCK = 1 << 14
 #: Words of a larger count are common: their postings go by pairs of words.
 HOT = 4_096
-TRIES = 4
+TRIES = 16
+#: Earlier lines of a word that are looked at one by one before the search turns to lines of fitting size.
+NEAREST = 32
 GROUP_POSTINGS = 200_000
+CHUNK_BYTES = 1 << 20
 MEMO = 500_000
 BLOOM_BITS = 1 << 25
 
-WORD = re.compile(r"\w+")
-
-
-class Hashes:
-    """64-bit hashes of words, remembered for a bounded number of them."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-_HASHES = Hashes()
+# Words are hashed as polynomials over a random 64-bit value per byte; any fixed draw will do.
+_DRAW = np.random.default_rng(20240229)
+_BYTE = _DRAW.integers(1, 1 << 64, 256, dtype=np.uint64)
+_STEP = np.uint64(_DRAW.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1))
+_IN_WORD = np.array([chr(b).isalnum() or b == 95 if b < 128 else True for b in range(256)])
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its first byte, 64-bit hash) of every word of a lower-cased UTF-8 text, in whole-array steps."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    inside = _IN_WORD[raw]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return start, np.zeros(0, dtype=np.uint64)
+    size = end - start
+    power = np.ones(int(size.max()), dtype=np.uint64)
+    power[1:] = _STEP
+    power = np.multiply.accumulate(power)
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(first, size)
+    h = np.add.reduceat(_BYTE[raw[inside]] * power[at], first)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    return start, h ^ (h >> np.uint64(29))
 
 
 def line_key(line: str) -> bytes:
@@ -87,33 +96,59 @@ def line_key(line: str) -> bytes:
 
 
 class Lines:
-    """The comparable lines of some documents, and all their words in order."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], min_words: int):
-        self.lines: list[str] = []
-        self.doc: list[int] = []
-        self.place: list[int] = []
-        words: list[str] = []
-        counts = []
+    """The comparable lines of some documents, and their words: each once a line, sorted by line."""
+
+    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None):
+        lines, docs, places = [], [], []
         for doc, text in zip(ids, texts, strict=True):
-            for place, line in enumerate((text or "").split("\n")):
-                found = WORD.findall(line.lower())
-                if len(found) >= min_words and len(set(found)) >= min_words:
-                    self.lines.append(line)
-                    self.doc.append(doc)
-                    self.place.append(place)
-                    words += found
-                    counts.append(len(found))
-        self.words = _HASHES.of(words)
-        self.owner = np.repeat(np.arange(len(counts)), counts)
-
-
-def _chunks(b: pa.RecordBatch, min_words: int) -> Iterator[Lines]:
-    for lo in range(0, b.num_rows, 256):
-        part = b.slice(lo, 256)
-        lines = Lines(part["doc_id"].to_pylist(), part["text"].to_pylist(), min_words)
-        if lines.lines:
-            yield lines
+            if text:
+                own = text.split("\n")
+                lines += own
+                docs += [doc] * len(own)
+                places += range(len(own))
+        low = "\n".join(lines).lower().encode("utf-8", "surrogatepass")
+        start, h = word_hashes(low)
+        ends = np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 10)
+        owner = np.searchsorted(ends, start)
+        self.total = h                         # every word, as often as it stands there
+        count = np.zeros(len(h), dtype=np.int64)
+        if rarity is not None:
+            count = rarity[(h % np.uint64(len(rarity))).astype(np.int64)].astype(np.int64)
+        # one sort key: line, magnitude of the count, leading bits of the hash
+        rank = np.frexp(count.astype(np.float64))[1].astype(np.uint64)
+        key = owner.astype(np.uint64) << np.uint64(44) | rank << np.uint64(38) | h >> np.uint64(26)
+        order = np.argsort(key, kind="stable")
+        key, sorted_h = key[order], h[order]
+        if (len(lines) >> 20) or ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            order = np.lexsort((h, rank, owner))
+            sorted_h = h[order]
+        owner, count = owner[order], count[order]
+        one = np.ones(len(order), dtype=bool)
+        one[1:] = (owner[1:] != owner[:-1]) | (sorted_h[1:] != sorted_h[:-1])
+        owner, words, count = owner[one], sorted_h[one], count[one]
+        size = np.bincount(owner, minlength=len(lines))
+        used = np.flatnonzero(size >= min_words)
+        local = np.full(len(lines), -1)
+        local[used] = np.arange(len(used))
+        pick = local[owner] >= 0
+        self.owner, self.words, self.count = local[owner[pick]], words[pick], count[pick]
+        self.lines = [lines[i] for i in used]
+        self.doc = np.array(docs, dtype=np.int64)[used] if docs else np.zeros(0, dtype=np.int64)
+        self.place = np.array(places, dtype=np.int32)[used] if docs else np.zeros(0, dtype=np.int32)
+
+
+def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None) -> Iterator[Lines]:
+    """Lines of a batch in chunks of bounded text (a single text may be longer)."""
+    ids, texts, held = [], [], 0
+    for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        ids.append(doc)
+        texts.append(text)
+        held += len(text or "")
+        if held >= CHUNK_BYTES:
+            yield Lines(ids, texts, min_words, rarity)
+            ids, texts, held = [], [], 0
+    if ids:
+        yield Lines(ids, texts, min_words, rarity)
 
 
 SURVEY = "block int, counts binary, line binary, doc_id long, place int"
@@ -127,8 +162,8 @@ def _survey(counters: int, min_words: int):
         total = np.zeros(counters, dtype=np.uint32)
         for b in batches:
             for x in _chunks(b, min_words):
-                total += np.bincount((x.words % np.uint64(counters)).astype(np.int64),
-                                     minlength=counters).astype(np.uint32)
+                slots, n = np.unique((x.total % np.uint64(counters)).astype(np.int64), return_counts=True)
+                total[slots] += n.astype(np.uint32)
                 n = len(x.lines)
                 cols = [[None] * n, [None] * n, [line_key(t) for t in x.lines], x.doc, x.place]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -208,14 +243,9 @@ POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("size",
                     ("asks", "<i4"), ("sig0", "<u8"), ("sig1", "<u8")])
 
 
-def postings(x: Lines, rarity: np.ndarray, threshold: float, hot: int) -> np.ndarray:
+def postings(x: Lines, threshold: float, hot: int) -> np.ndarray:
     """Prefix postings of all lines of ``x``."""
-    count = rarity[(x.words % np.uint64(len(rarity))).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((x.words, x.owner << 32 | count))
-    own, w, count = x.owner[order], x.words[order], count[order]
-    one = np.ones(len(own), dtype=bool)
-    one[1:] = (own[1:] != own[:-1]) | (w[1:] != w[:-1])
-    own, w, count = own[one], w[one], count[one]
+    own, w, count = x.owner, x.words, x.count
     start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     size = np.diff(np.r_[start, len(own)])
     pos = np.arange(len(own)) - np.repeat(start, size)
@@ -238,7 +268,7 @@ def postings(x: Lines, rarity: np.ndarray, threshold: float, hot: int) -> np.nda
     line = own[at]
     out = np.zeros(len(at), dtype=POSTING)
     out["token"], out["pos"] = np.concatenate(token), np.concatenate(place)
-    out["doc"], out["place"] = np.array(x.doc, dtype=np.int64)[line], np.array(x.place, dtype=np.int32)[line]
+    out["doc"], out["place"] = x.doc[line], x.place[line]
     out["size"], out["sig0"], out["sig1"] = size[line], sig0[line], sig1[line]
     return out
 
@@ -254,19 +284,19 @@ def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: in
         posted: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             held = []
-            for x in _chunks(b, min_words):
+            for x in _chunks(b, min_words, rarity):
                 if len(posted) > MEMO:
                     posted.clear()
                 new = np.zeros(len(x.lines), dtype=bool)
-                for i, t in enumerate(x.lines):
-                    k, here = line_key(t), (x.doc[i], x.place[i])
+                for i, (t, here) in enumerate(zip(x.lines, zip(x.doc.tolist(), x.place.tolist(), strict=True), strict=True)):
+                    k = line_key(t)
                     if k not in posted or here < posted[k]:
                         posted[k], new[i] = here, True
                 pick = new[x.owner]
-                x.owner, x.words = np.cumsum(new)[x.owner[pick]] - 1, x.words[pick]
-                x.doc, x.place = np.array(x.doc)[new], np.array(x.place)[new]
+                x.owner, x.words, x.count = np.cumsum(new)[x.owner[pick]] - 1, x.words[pick], x.count[pick]
+                x.doc, x.place = x.doc[new], x.place[new]
                 if len(x.words):
-                    held.append(postings(x, rarity, threshold, hot))
+                    held.append(postings(x, threshold, hot))
             if not held:
                 continue
             p = np.concatenate(held)
@@ -297,54 +327,93 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
-def may_match(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Length, positional and signature filters of two postings of one word."""
-    sa, sb = a["size"].astype(np.int64), b["size"].astype(np.int64)
-    need = overlap_needed(sa, sb, threshold)
-    # at most as many matches before the shared word as the shorter way to it, and after it as the shorter rest
-    most = np.minimum(a["pos"], b["pos"]) + 1 + np.minimum(sa - a["pos"], sb - b["pos"]) - 1
-    differ = np.bitwise_count(a["sig0"] ^ b["sig0"]).astype(np.int64) + np.bitwise_count(a["sig1"] ^ b["sig1"])
-    return (np.minimum(sa, sb) >= needed(np.maximum(sa, sb), threshold)) & (most >= need) & (
-        differ <= sa + sb - 2 * need)
+class Columns:
+    """Fields of postings that the filters read, side by side."""
+
+    def __init__(self, p: np.ndarray):
+        self.size, self.pos = p["size"].astype(np.int64), p["pos"].astype(np.int64)
+        self.sig0, self.sig1 = np.ascontiguousarray(p["sig0"]), np.ascontiguousarray(p["sig1"])
+
+    def may_match(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Length, positional and signature filters of postings a and b of one word.
+
+        A pair is looked for at its first shared word, so nothing before it counts.
+        """
+        sa, sb = self.size[a], self.size[b]
+        need = overlap_needed(sa, sb, threshold)
+        ok = np.minimum(sa - self.pos[a], sb - self.pos[b]) >= need
+        ok &= np.minimum(sa, sb) >= needed(np.maximum(sa, sb), threshold)
+        at = np.flatnonzero(ok)
+        a, b = a[at], b[at]
+        differ = np.bitwise_count(self.sig0[a] ^ self.sig0[b]).astype(np.int64)
+        differ += np.bitwise_count(self.sig1[a] ^ self.sig1[b])
+        ok[at] = differ <= (sa + sb - 2 * need)[at]
+        return ok
 
 
 PAIRS = "xdoc long, xplace int, ydoc long, yplace int, more boolean"
 
 
-def candidates(p: np.ndarray, threshold: float, first: int, last: int | None) -> pd.DataFrame:
-    """Of each asking posting, the candidates ``first`` to ``last`` - 1 among the earlier lines of its word, nearest first."""
+def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFrame:
+    """Of each asking posting, up to ``last`` candidates among the earlier lines of its word (None: all).
+
+    First the nearest earlier lines in turn, where copies and near copies find
+    a match at once; then, for lines still short of candidates, the rest of the
+    earlier lines, as far as their size fits.
+    """
     p = p[np.lexsort((p["place"], p["doc"], p["token"]))]
     same = (p["token"][1:] == p["token"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["place"][1:] == p["place"][:-1])
     p = p[np.r_[True, ~same]]
+    cols = Columns(p)
     token = np.ascontiguousarray(p["token"])
     begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    earlier = np.arange(len(p)) - np.repeat(begin, np.diff(np.r_[begin, len(p)]))
+    run = np.diff(np.r_[begin, len(p)])
+    group = np.repeat(np.arange(len(begin)), run)
+    earlier = np.arange(len(p)) - np.repeat(begin, run)
     found = np.zeros(len(p), dtype=np.int64)
-    left, right, more = [], [], []
-    live, step = np.flatnonzero((p["asks"] > 0) & (earlier > 0)), 0
+    full = np.iinfo(np.int64).max if last is None else last
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def put(x: np.ndarray, y: np.ndarray) -> None:
+        hit = cols.may_match(x, y, threshold)
+        found[x[hit]] += 1
+        left.append(x[hit])
+        right.append(y[hit])
+
+    live = np.flatnonzero((p["asks"] > 0) & (earlier > 0))
+    for step in range(1, NEAREST + 1):
+        put(live, live - step)
+        live = live[(earlier[live] > step) & (found[live] < full)]
+        if not len(live):
+            break
+    # the rest by size: a posting's place leaves room for lines up to a size only
+    by_size = np.lexsort((np.arange(len(p)), cols.size, group))
+    key = (group << 32 | cols.size)[by_size]
+    low = needed(cols.size[live], threshold)
+    most = np.floor((cols.size[live] - cols.pos[live]) * (1 + threshold) / threshold + 1e-9).astype(np.int64) - cols.size[live]
+    at = np.searchsorted(key, group[live] << 32 | low, "left")
+    end = np.searchsorted(key, group[live] << 32 | np.maximum(most, 0), "right")
     while len(live):
-        step += 1
-        hit = live[may_match(p[live], p[live - step], threshold)]
-        found[hit] += 1
-        use = hit[found[hit] > first]
-        left.append(use)
-        right.append(use - step)
-        more.append((found[use] == last) & (earlier[use] > step) if last else np.zeros(len(use), dtype=bool))
-        live = live[earlier[live] > step]
-        if last:
-            live = live[found[live] < last]
-    if not left:
-        return pd.DataFrame({c.split()[0]: [] for c in PAIRS.split(", ")})
-    a, b = p[np.concatenate(left)], p[np.concatenate(right)]
+        go = at < end
+        live, at, end = live[go], at[go], end[go]
+        y = by_size[at]
+        ok = y < live - NEAREST
+        put(live[ok], y[ok])
+        at = at + 1
+        go = found[live] < full
+        live, at, end = live[go], at[go], end[go]
+    x, y = np.concatenate(left), np.concatenate(right)
+    more = np.zeros(len(x), dtype=bool) if last is None else found[x] >= last
+    a, b = p[x], p[y]
     return pd.DataFrame({"xdoc": a["doc"], "xplace": a["place"], "ydoc": b["doc"], "yplace": b["place"],
-                         "more": np.concatenate(more)}).drop_duplicates()
+                         "more": more}).drop_duplicates()
 
 
-def _join(threshold: float, first: int, last: int | None):
+def _join(threshold: float, last: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [_unpacked(raw) for f in frames for raw in f["packed"]]
         if parts:
-            yield candidates(np.concatenate(parts), threshold, first, last)
+            yield candidates(np.concatenate(parts), threshold, last)
     return run
 
 
@@ -355,10 +424,13 @@ def _sets(asked, min_words: int):
         for b in batches:
             doc, place, sets = [], [], []
             for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                hits = np.flatnonzero(in_bloom(table, np.full(len(lines), i), np.arange(len(lines))))
-                for at in hits:
-                    words = np.unique(_HASHES.of(WORD.findall(lines[at].lower())))
+                if not text:
+                    continue
+                n = text.count("\n") + 1
+                hits = np.flatnonzero(in_bloom(table, np.full(n, i), np.arange(n)))
+                lines = text.split("\n") if len(hits) else []
+                for at in hits.tolist():
+                    words = np.unique(word_hashes(lines[at].lower().encode("utf-8", "surrogatepass"))[1])
                     if len(words) >= min_words:
                         doc.append(i)
                         place.append(at)
@@ -404,19 +476,19 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
     # some nine words of a line are posted
     groups = max(1, -(-9 * survey.where("line is not null").count() // GROUP_POSTINGS))
 
-    def round_(asking, first: int, last: int | None) -> tuple[DataFrame, DataFrame]:
+    def round_(asking, last: int | None) -> tuple[DataFrame, DataFrame]:
         packed = docs.mapInArrow(_post(counts, asking, threshold, min_words, hot, groups), "g long, packed binary")
-        found = packed.groupBy("g").applyInPandas(_join(threshold, first, last), PAIRS)
+        found = packed.groupBy("g").applyInPandas(_join(threshold, last), PAIRS)
         keys = ["xdoc", "xplace", "ydoc", "yplace"]
         found = staged(found.groupBy(*keys).agg(F.max("more").alias("more")), "line-candidates")
         return found, staged(verified(docs, found.select(*keys), threshold, min_words), "line-matches")
 
-    found, good = round_(None, 0, tries)
+    found, good = round_(None, tries)
     lines = found.where("more").select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place")).distinct()
     unsettled = staged(lines.join(good, ["doc_id", "place"], "left_anti"), "lines-open")
     if unsettled.isEmpty():
         return good
-    rest = round_(spark.sparkContext.broadcast(bloom_filter(unsettled)), tries, None)[1]
+    rest = round_(spark.sparkContext.broadcast(bloom_filter(unsettled)), None)[1]
     return good.union(rest).distinct()
 
 

@@ -16,7 +16,7 @@ def brute_lines(rows, threshold=0.8, min_words=5):
     seen, out = [], {}
     for doc, text in sorted({(d, t) for d, t in rows if d is not None}, key=lambda r: (r[0], r[1] or "")):
         for place, line in enumerate((text or "").split("\n")):
-            words = frozenset(re.findall(r"\w+", line.lower()))
+            words = frozenset(re.findall("[0-9a-z_\u0080-\U0010ffff]+", line.lower()))
             if len(words) < min_words:
                 continue
             if any(len(words & s) >= threshold * len(words | s) - 1e-9 for s in seen):
@@ -53,6 +53,7 @@ def near_lines(words):
 
 @pytest.mark.parametrize("hot, tries", [(4096, 4), (3, 1), (0, 2)])
 def test_lines_match_brute_force(spark, near_lines, hot, tries, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAREST", tries)
     df = spark.createDataFrame(near_lines, "doc_id long, text string").repartition(5)
     real = line_dedup.similar_lines
     monkeypatch.setattr(line_dedup, "similar_lines",
