@@ -56,7 +56,9 @@ COUNTERS = 1 << 18
 COUNT_BLOCK = 1 << 14
 #: Words of a larger count are common: their postings go by pairs of words.
 HOT = 4_096
-TRIES = 16
+TRIES = 64
+#: Candidates whose signatures hardly differ are nearly always matches: so many of them are enough to try.
+STRONG = 2
 #: Earlier lines of a word that are looked at one by one before the search turns to lines of fitting size.
 NEAREST = 32
 GROUP_POSTINGS = 200_000
@@ -334,8 +336,8 @@ class Columns:
         self.size, self.pos = p["size"].astype(np.int64), p["pos"].astype(np.int64)
         self.sig0, self.sig1 = np.ascontiguousarray(p["sig0"]), np.ascontiguousarray(p["sig1"])
 
-    def may_match(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-        """Length, positional and signature filters of postings a and b of one word.
+    def may_match(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Length, positional and signature filters of postings a and b of one word; which passed with ease.
 
         A pair is looked for at its first shared word, so nothing before it counts.
         """
@@ -347,8 +349,11 @@ class Columns:
         a, b = a[at], b[at]
         differ = np.bitwise_count(self.sig0[a] ^ self.sig0[b]).astype(np.int64)
         differ += np.bitwise_count(self.sig1[a] ^ self.sig1[b])
-        ok[at] = differ <= (sa + sb - 2 * need)[at]
-        return ok
+        most = (sa + sb - 2 * need)[at]
+        ok[at] = differ <= most
+        strong = np.zeros(len(ok), dtype=bool)
+        strong[at] = (differ <= 32) & (3 * differ <= 2 * most)  # signatures of far lines fill up near 64
+        return ok, strong
 
 
 PAIRS = "xdoc long, xplace int, ydoc long, yplace int, more boolean"
@@ -370,20 +375,23 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
     run = np.diff(np.r_[begin, len(p)])
     group = np.repeat(np.arange(len(begin)), run)
     earlier = np.arange(len(p)) - np.repeat(begin, run)
-    found = np.zeros(len(p), dtype=np.int64)
-    full = np.iinfo(np.int64).max if last is None else last
+    found, sure = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def put(x: np.ndarray, y: np.ndarray) -> None:
-        hit = cols.may_match(x, y, threshold)
+        hit, strong = cols.may_match(x, y, threshold)
         found[x[hit]] += 1
+        sure[x[strong]] += 1
         left.append(x[hit])
         right.append(y[hit])
 
+    def open_(x: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), dtype=bool) if last is None else (found[x] < last) & (sure[x] < STRONG)
+
     live = np.flatnonzero((p["asks"] > 0) & (earlier > 0))
     for step in range(1, NEAREST + 1):
         put(live, live - step)
-        live = live[(earlier[live] > step) & (found[live] < full)]
+        live = live[(earlier[live] > step) & open_(live)]
         if not len(live):
             break
     # the rest by size: a posting's place leaves room for lines up to a size only
@@ -400,10 +408,10 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
         ok = y < live - NEAREST
         put(live[ok], y[ok])
         at = at + 1
-        go = found[live] < full
+        go = open_(live)
         live, at, end = live[go], at[go], end[go]
     x, y = np.concatenate(left), np.concatenate(right)
-    more = np.zeros(len(x), dtype=bool) if last is None else found[x] >= last
+    more = ~open_(x)
     a, b = p[x], p[y]
     return pd.DataFrame({"xdoc": a["doc"], "xplace": a["place"], "ydoc": b["doc"], "yplace": b["place"],
                          "more": more}).drop_duplicates()
