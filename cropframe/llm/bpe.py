@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from cropframe.llm.common import held
+
 MEMO_PIECES = 400_000
 MEMO_PAIRS = 1_000_000
 MEMO_LENGTH = 48
@@ -131,14 +133,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec for all tasks of a Python worker."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    return held(("bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"

@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 from cropframe.session import scratch_path
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """One object per Python worker, kept between tasks until another operator takes its place.
+
+    Workers outlive stages; with one place, the caches of a pipeline's earlier
+    stages do not add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back."""
     spark = df.sparkSession

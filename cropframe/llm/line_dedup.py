@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import fresh, staged
+from cropframe.llm.common import fresh, held, staged
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
@@ -61,9 +61,9 @@ TRIES = 64
 STRONG = 2
 #: Earlier lines of a word that are looked at one by one before the search turns to lines of fitting size.
 NEAREST = 32
-GROUP_POSTINGS = 200_000
+GROUP_POSTINGS = 100_000
 CHUNK_BYTES = 1 << 20
-MEMO = 500_000
+MEMO = 200_000
 BLOOM_BITS = 1 << 25
 
 # Words are hashed as polynomials over a random 64-bit value per byte; any fixed draw will do.
@@ -141,14 +141,14 @@ class Lines:
 
 def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None) -> Iterator[Lines]:
     """Lines of a batch in chunks of bounded text (a single text may be longer)."""
-    ids, texts, held = [], [], 0
+    ids, texts, size = [], [], 0
     for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
         ids.append(doc)
         texts.append(text)
-        held += len(text or "")
-        if held >= CHUNK_BYTES:
+        size += len(text or "")
+        if size >= CHUNK_BYTES:
             yield Lines(ids, texts, min_words, rarity)
-            ids, texts, held = [], [], 0
+            ids, texts, size = [], [], 0
     if ids:
         yield Lines(ids, texts, min_words, rarity)
 
@@ -159,6 +159,7 @@ SURVEY = "block int, counts binary, line binary, doc_id long, place int"
 def _survey(counters: int, min_words: int):
     """First pass: a row per comparable line, and the task's hashed word counts in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines", dict)     # lets go of what an earlier operator kept
         names = [c.split()[0] for c in SURVEY.split(", ")]
         types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
         total = np.zeros(counters, dtype=np.uint32)
@@ -283,9 +284,10 @@ def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: in
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
-        posted: dict[bytes, tuple[int, int]] = {}
+        posted: dict[bytes, tuple[int, int]] = held("lines", dict)
+        posted.clear()
         for b in batches:
-            held = []
+            parts = []
             for x in _chunks(b, min_words, rarity):
                 if len(posted) > MEMO:
                     posted.clear()
@@ -298,10 +300,10 @@ def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: in
                 x.owner, x.words, x.count = np.cumsum(new)[x.owner[pick]] - 1, x.words[pick], x.count[pick]
                 x.doc, x.place = x.doc[new], x.place[new]
                 if len(x.words):
-                    held.append(postings(x, threshold, hot))
-            if not held:
+                    parts.append(postings(x, threshold, hot))
+            if not parts:
                 continue
-            p = np.concatenate(held)
+            p = np.concatenate(parts)
             p["asks"] = 1 if asking is None else in_bloom(asking.value, p["doc"], p["place"].astype(np.int64))
             g = ((p["token"] >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(g, kind="stable")

@@ -34,9 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cropframe.llm.common import held
+
 BLOCK_TOKENS = 1 << 20
 BLOCK_ROWS = 4096
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 MEMO_LENGTH = 48
 
 
@@ -201,14 +203,9 @@ class WordTokenizer:
         return [b"".join(map(recent.__getitem__, words)) for words in split]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for all tasks of a Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return held(("words", path), lambda: WordTokenizer(path))
 
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -237,7 +234,7 @@ def _pack_texts(path: str, end_id: int, limits: Limits, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(path)
         number = TaskContext.get().partitionId() << 40
-        ids, tokens, held = [], [], 0
+        ids, tokens, size = [], [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -245,11 +242,11 @@ def _pack_texts(path: str, end_id: int, limits: Limits, with_ids: bool):
                 for doc, t in zip(part["doc_id"].to_pylist(), coder.ids(texts), strict=True):
                     ids.append(doc)
                     tokens.append(t + end)
-                    held += len(tokens[-1]) // 4
-                if held >= BLOCK_TOKENS or len(ids) >= BLOCK_ROWS:
+                    size += len(tokens[-1]) // 4
+                if size >= BLOCK_TOKENS or len(ids) >= BLOCK_ROWS:
                     out, number = block(ids, tokens, number)
                     yield out
-                    ids, tokens, held = [], [], 0
+                    ids, tokens, size = [], [], 0
         if ids:
             yield block(ids, tokens, number)[0]
     return run

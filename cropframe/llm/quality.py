@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import staged
+from cropframe.llm.common import held, staged
 from cropframe.llm.sampling import Logistic, held_out, labelled_sample, sample_ids, sigmoid
 
 MAX_TRAIN = 8_000
@@ -141,7 +141,13 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, calibrate: np.nd
     return CoTrained(models[0], models[1], scales[0], scales[1], Logistic(z, y[held]))
 
 
+def _let_go() -> None:
+    """Makes room for this operator's tasks in workers that served another one."""
+    held("quality", dict)
+
+
 def _vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    _let_go()
     texts = [t or "" for t in b["text"].to_pylist()]
     page = [page_features(t, a, s, n) for t, a, s, n in zip(
         texts, b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist(), strict=True)]

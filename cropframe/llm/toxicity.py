@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropframe.llm.common import staged
+from cropframe.llm.common import held, staged
 from cropframe.llm.sampling import Logistic, held_out, labelled_sample, sigmoid
 
 MAX_TRAIN = 10_000
@@ -48,7 +48,7 @@ MIN_DOCS = 4
 MIN_WEIGHT = 1.5
 WINDOW = 8
 DISCOUNT = 0.6
-MEMO = 500_000
+MEMO = 200_000
 
 WORD = re.compile(r"[^\W_](?:[\w@$!*'’]*\w)?")
 # Words of reporting and of direct address, by language.
@@ -279,15 +279,9 @@ def select_entries(found: list[tuple[str, bool, int, float]]) -> list[tuple[str,
     return [(t, s, w) for (t, s), w in kept.items()]
 
 
-_MATCHERS: dict[bytes, Matcher] = {}
-
-
 def _matcher(model: bytes) -> Matcher:
     """One matcher for all tasks of a Python worker."""
-    if model not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[model] = Matcher(*pickle.loads(model))
-    return _MATCHERS[model]
+    return held(("toxicity", model), lambda: Matcher(*pickle.loads(model)))
 
 
 def _near_words(model: bytes):
