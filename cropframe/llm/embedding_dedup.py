@@ -4,10 +4,15 @@ Each pass draws 64 random hyperplanes, writes a vector's side of each as one
 64-bit word and sorts all vectors by it. Near vectors agree on long prefixes,
 so they stand close in most orders; every vector is compared with the next
 ``window`` vectors of each pass. Pairs whose cosine (double precision) reaches
-the threshold are links; the links of all passes together give the components.
+the threshold are links; where a vector's links still reach the edge of its
+window, the window grows fourfold, in bounded tiles, until they stop. The links
+of all passes together give the components, and the number of passes follows
+from the number of vectors.
 
-Work per pass is rows x window, whatever the data look like: no bucket can grow
-hot. Exact copies are one class before the passes (a group of copies costs one
+A link never leaves its component, so links are counted there over all pairs,
+not over the pairs that some pass met: a component is cut into blocks of bounded
+size, and every pair of blocks is one piece of work, so no group can grow hot.
+Exact copies are one class before the passes (a group of copies costs one
 row), and their links are counted from class sizes.
 
 Defined results
@@ -22,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +38,25 @@ from pyspark.sql import functions as F
 from cropframe.llm.common import connected_components, lookup, shuffle_parts, staged
 from cropframe.llm.simhash import spanning_links
 
+#: At least so many passes; ``passes_for`` asks for more where the table is large.
 PASSES = 48
 WINDOW = 64
 BLOCK = 4096
 THRESHOLD = 0.9
+#: Largest chance, over all passes, that a scattered pair right at the threshold never meets.
+MISS = 1e-4
+#: Rows of a cosine matrix computed at a time.
+STRIP = 512
+
+
+def passes_for(rows: int, window: int = WINDOW, threshold: float = THRESHOLD) -> int:
+    """Passes after which a scattered pair at the threshold has met, but for the chance ``MISS``.
+
+    To stand within a window of evenly spread keys, a pair has to agree on the
+    leading log2(rows / window) bits.
+    """
+    agree = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(rows, 1) / window))
+    return PASSES if agree >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-agree)))
 
 
 def usable(col: str = "vec"):
@@ -72,35 +93,88 @@ def _keys(passes: int, seed: int):
     return run
 
 
-def _neighbours(window: int, threshold: float):
+FOUND = "u long, v long, tree boolean, edge long"
+
+
+def _found(reps: list, hits: Iterator[tuple[np.ndarray, np.ndarray]], edge: list, spans: bool) -> pd.DataFrame:
+    """Links (or only a spanning forest of them), and the ranks whose links reach the edge of the window.
+
+    ``hits`` are pairs of places in ``reps``; ``edge`` is filled while they are drawn.
+    """
+    none = np.zeros(0, np.int64)
+    ids, index = np.unique(np.concatenate([none, *reps]), return_inverse=True)
+    hits = ((index[a], index[b]) for a, b in hits)
+    if not spans:
+        keys = [np.minimum(a, b) * len(ids) + np.maximum(a, b) for a, b in hits]
+        keys = np.unique(np.concatenate([none, *keys]))
+        u, v = np.divmod(keys, max(len(ids), 1))
+        hits = iter([(u, v)])
+    tree = spanning_links(len(ids), hits)
+    found = pd.DataFrame(np.sort(ids[tree.reshape(-1, 2)], axis=1), columns=["u", "v"]).assign(tree=True)
+    if not spans:
+        found = pd.DataFrame({"u": ids[u], "v": ids[v]}).merge(found, "left", ["u", "v"])
+        found = found.fillna({"tree": False}).astype({"tree": bool})
+    edge = pd.DataFrame({"edge": np.unique(np.concatenate([none, *edge]))})
+    return pd.concat([found.astype({"u": "Int64", "v": "Int64", "tree": "boolean"}), edge.astype("Int64")])[
+        ["u", "v", "tree", "edge"]]
+
+
+def _neighbours(window: int, threshold: float, spans: bool):
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank", kind="stable")
-        out_u, out_v = [], []
-        for _, part in f.groupby(["pass", "dim"], sort=False):
-            x = unit_rows(part["vec"])
-            ids, rank = part["rep"].to_numpy(), part["rank"].to_numpy()
-            for step in range(1, min(window, len(part) - 1) + 1):
-                cos = np.einsum("ij,ij->i", x[:-step], x[step:])
-                hit = np.flatnonzero((cos >= threshold) & (rank[step:] - rank[:-step] == step))
-                out_u.append(ids[hit])
-                out_v.append(ids[hit + step])
-        none = np.zeros(0, np.int64)
-        u, v = np.concatenate([none, *out_u]), np.concatenate([none, *out_v])
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        ids, index = np.unique(pairs, return_inverse=True)
-        index = index.reshape(-1, 2)
-        tree = spanning_links(len(ids), iter([(index[:, 0], index[:, 1])]))
-        found = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-        spans = pd.DataFrame(np.sort(ids[tree.reshape(-1, 2)], axis=1), columns=["u", "v"]).assign(tree=True)
-        return found.merge(spans, "left", ["u", "v"]).fillna({"tree": False}).astype({"tree": bool})
+        f = f.sort_values(["pass", "dim", "rank"], kind="stable")
+        edge = []
+
+        def hits() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at = 0
+            for _, part in f.groupby(["pass", "dim"], sort=False):
+                x, rank = unit_rows(part["vec"]), part["rank"].to_numpy()
+                for step in range(1, min(window, len(part) - 1) + 1):
+                    cos = np.einsum("ij,ij->i", x[:-step], x[step:])
+                    hit = np.flatnonzero((cos >= threshold) & (rank[step:] - rank[:-step] == step))
+                    if step > window - max(1, window // 4):
+                        edge.append(rank[hit])
+                    yield at + hit, at + hit + step
+                at += len(part)
+        return _found([f["rep"].to_numpy()], hits(), edge, spans)
+    return run
+
+
+def _further(low: int, high: int, threshold: float, spans: bool):
+    """One tile's rows at the edge against a tile that their ranks + (low, high] reach."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["pass", "dim", "asks", "rank"], kind="stable")
+        edge = []
+
+        def hits() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at = 0
+            for _, part in f.groupby(["pass", "dim"], sort=False):
+                x, rank, first = unit_rows(part["vec"]), part["rank"].to_numpy(), int((~part["asks"]).sum())
+                y, ry = x[:first], rank[:first]
+                for lo in range(first, len(x), STRIP):
+                    rx = rank[lo:lo + STRIP]
+                    far = ry[None, :] - rx[:, None]
+                    hit = (far > low) & (far <= high)
+                    if not hit.any():
+                        continue
+                    hit &= x[lo:lo + STRIP] @ y.T >= threshold
+                    edge.append(rx[(hit & (far > high - (high - low) // 4)).any(axis=1)])
+                    # one hit of each row and column connects nearly all that the others connect
+                    rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                    yield at + lo + rows, at + hit[rows].argmax(axis=1)
+                    yield at + lo + hit[:, cols].argmax(axis=0), at + cols
+                    i, j = np.nonzero(hit)
+                    yield at + lo + i, at + j
+                at += len(part)
+        return _found([f["rep"].to_numpy()], hits(), edge, spans)
     return run
 
 
 def links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD,
-          seed: int = 11, block: int = BLOCK) -> DataFrame:
+          seed: int = 11, block: int = BLOCK, spans: bool = False) -> DataFrame:
     """Verified pairs (u < v) between the distinct vectors of ``classes`` (rep, vec).
 
-    ``tree`` marks pairs that are enough to connect what all pairs connect.
+    ``tree`` marks pairs that are enough to connect what all pairs connect;
+    with ``spans`` the others are left out.
     """
     n = shuffle_parts(classes.sparkSession)
     keys = classes.mapInPandas(_keys(passes, seed), "pass int, dim int, key long, rep long")
@@ -118,28 +192,89 @@ def links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, thresh
     ranked = ranked.select("pass", "dim", "rep", rank.alias("rank"))
     own = (F.col("rank") / block).cast("long")
     halo = F.col("rank") % block >= block - window
-    ranked = ranked.withColumn("block", F.explode(
-        F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))))
-    placed = ranked.join(classes, "rep")
-    pairs = placed.groupBy("block").applyInPandas(_neighbours(window, threshold), "u long, v long, tree boolean")
+    placed = ranked.withColumn("block", F.explode(
+        F.when(halo, F.array(own, own + 1)).otherwise(F.array(own)))).join(classes, "rep")
+    found = staged(placed.groupBy("block").applyInPandas(_neighbours(window, threshold, spans), FOUND), "near")
+    pairs, low = found.where("u is not null"), window
+    while True:
+        edge = staged(found.where("edge is not null").select(F.col("edge").alias("rank")).distinct(), "edge")
+        if edge.isEmpty():
+            break
+        high = 4 * low
+        tile = (F.col("rank") / BLOCK).cast("long")
+        reach = [((F.col("rank") + d) / BLOCK).cast("long") for d in (low + 1, high)]
+        asks = edge.withColumns({"tile": tile, "block": F.explode(F.sequence(*reach))})
+        tiles = asks.select("tile", "block").distinct()
+        there = ranked.withColumn("block", tile).join(tiles, "block").withColumn("asks", F.lit(False))
+        asks = asks.join(ranked, "rank").withColumn("asks", F.lit(True))
+        both = asks.unionByName(there).join(classes, "rep")
+        found = staged(both.groupBy("tile", "block").applyInPandas(
+            _further(low, high, threshold, spans), FOUND), "further")
+        pairs, low = pairs.union(found.where("u is not null")), high
     return pairs.groupBy("u", "v").agg(F.max("tree").alias("tree"))
 
 
+COUNTED = "rep long, others long"
+
+
+def _count(threshold: float):
+    """Sizes of all classes that a class links with: inside each component, or between two blocks of one."""
+    def weights(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x[i:i + STRIP] @ y.T >= threshold) @ size for i in range(0, len(x), STRIP)])
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        reps, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, part in f.groupby(f["vec"].map(len), sort=False):
+            part = part.sort_values(["component", "block", "rep"])
+            x, rep = unit_rows(part["vec"]), part["rep"].to_numpy()
+            size = part["size"].to_numpy().astype(np.int64)
+            own = part[["component", "block"]].to_numpy()
+            cut = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1), len(part)]
+            if part["lo"].iloc[0] < part["hi"].iloc[0]:
+                if len(cut) == 3:
+                    a, b = slice(0, cut[1]), slice(cut[1], None)
+                    reps += [rep[a], rep[b]]
+                    others += [weights(x[a], x[b], size[b]), weights(x[b], x[a], size[a])]
+            else:
+                for lo, hi in zip(cut, cut[1:], strict=False):
+                    reps.append(rep[lo:hi])
+                    others.append(weights(x[lo:hi], x[lo:hi], size[lo:hi]) - size[lo:hi])
+        return pd.DataFrame({"rep": np.concatenate(reps), "others": np.concatenate(others)})
+    return run
+
+
+def count_links(classes: DataFrame, comp: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """rep, others: over all pairs of each component, the rows of the other classes that a class links with."""
+    members = staged(classes.join(comp.withColumnRenamed("id", "rep"), "rep").select(
+        "component", "rep", "size", "vec"), "members")
+    sizes = staged(members.groupBy("component").agg(F.count("*").alias("n")), "component-sizes")
+    bins = -(-members.count() // block) or 1
+    # components beyond a block: one row per ``block`` vectors at most
+    large = sizes.where(F.col("n") > block).select("component", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = members.join(F.broadcast(large), "component", "left").withColumn(
+        "block", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")), F.lit(-1)))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    dealt = dealt.select("component", "rep", "size", "vec", "block", F.least("block", "other").alias("lo"),
+                         F.greatest("block", "other").alias("hi"), F.when(F.col("block") < 0, F.pmod(
+                             F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("deal"))
+    counted = dealt.groupBy("deal", "lo", "hi").applyInPandas(_count(threshold), COUNTED)
+    return counted.groupBy("rep").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                    passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD,
+                    passes: int | None = None, window: int = WINDOW, threshold: float = THRESHOLD,
                     seed: int = 11) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector."""
+    """vec_id, n_links, component_id, kept for every vector; ``passes`` follows from their number unless given."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     good = staged(rows.where(usable() & F.col("id").isNotNull()), "vectors")
     rest = rows.where(~(usable() & F.col("id").isNotNull()))
     classes = staged(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    pairs = staged(links(classes.select("rep", "vec"), passes, window, threshold, seed), "links")
-    comp = connected_components(pairs.where("tree"), "vec")
-    pairs = pairs.select("u", "v")
-    size = classes.select(F.col("rep").alias("v"), "size")
-    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.join(size, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("size").alias("others"))
+    passes = passes or passes_for(classes.count(), window, threshold)
+    pairs = staged(links(classes.select("rep", "vec"), passes, window, threshold, seed, spans=True), "links")
+    comp = staged(connected_components(pairs, "vec"), "components")
+    linked = count_links(classes, comp, threshold)
     info = staged(classes.join(linked, "rep", "left").join(
         comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "vec", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"),

@@ -97,3 +97,44 @@ def test_ball_tree_bounds_hold():
     bound = tree.bounds(q.astype(float))
     for node, (lo, hi) in enumerate(tree.spans):
         assert ((tree.x[lo:hi] @ q.T).max(axis=0) <= bound[:, node]).all()
+
+
+def test_every_link_of_a_dense_group_counts(spark):
+    """One group whose vectors all link, far wider than passes x 2 x window, beside scattered vectors."""
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(16)
+    dense = centre / np.linalg.norm(centre) + rng.normal(0, 0.02, (300, 16))
+    x = np.concatenate([dense, rng.standard_normal((300, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert want[:300].min() >= 299
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, passes=6, window=4).collect()}
+    assert [got[i] for i in range(600)] == want.tolist()
+
+
+def test_windows_grow_until_links_stop(spark):
+    """One pass, equal keys: a link at the far end of a long run of links is found all the same."""
+    rows = [(i, [1.0, 1e-6 * i]) for i in range(60)]
+    classes = spark.createDataFrame(rows, "rep long, vec array<float>")
+    assert embedding_dedup.links(classes, 1, 4).count() == 60 * 59 // 2
+
+
+def test_blocks_of_a_component_count_like_one(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(8) + rng.normal(0, 0.25, (200, 8))).astype(np.float32).astype(np.float64)
+    classes = spark.createDataFrame([(i, [float(c) for c in v], 1 + i % 3) for i, v in enumerate(x)],
+                                    "rep long, vec array<float>, size long")
+    comp = classes.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("component"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    size = np.array([1 + i % 3 for i in range(200)])
+    want = (unit @ unit.T >= 0.9) @ size - size
+    for block in (7, 64, 4096):
+        got = dict(map(tuple, embedding_dedup.count_links(classes, comp, block=block).collect()))
+        assert [got[i] for i in range(200)] == want.tolist()
+
+
+def test_passes_follow_from_the_rows():
+    assert embedding_dedup.passes_for(0) == embedding_dedup.passes_for(6_000) == embedding_dedup.PASSES
+    assert embedding_dedup.passes_for(10**6) > embedding_dedup.PASSES
+    assert embedding_dedup.passes_for(10**8) > embedding_dedup.passes_for(10**6)
