@@ -1,9 +1,12 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-cased words (runs of letters, digits and
-underscores, where every character beyond ASCII counts as a letter); a line with at least ``min_words``
-of them goes if an earlier line (in the order of document id, then place) has a
-Jaccard similarity of ``threshold`` or more. The join is exact:
+underscores, where every character beyond ASCII counts as a letter). A line with
+any word goes if it repeats an earlier line exactly (in the order of document
+id, then place). A line of at least ``min_words`` words, repeated ones counted
+as often as they stand and characters of scripts without spaces counted like
+words, goes as well if an earlier such line has a Jaccard similarity of
+``threshold`` or more. The join is exact:
 
 * words are ordered by rarity over all lines (a bounded table of hashed counts
   gives the order; any fixed order keeps the join exact, rarity makes it cheap);
@@ -26,8 +29,7 @@ candidate lines, found through a bloom filter of fixed size. Texts are never
 shuffled.
 
 Defined results
-* null or empty texts: unchanged, null stays null; lines without words, or with
-  fewer than ``min_words``, stay;
+* null or empty texts: unchanged, null stays null; lines without words stay;
 * words are compared by 64-bit hashes;
 * null ids: their documents stay as they are, and take no part;
 * rows that repeat an id are one document: what goes from one goes from all
@@ -38,6 +40,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,12 +96,17 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, h ^ (h >> np.uint64(29))
 
 
+#: Characters of scripts that write no spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                       "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.strip().encode("utf-8", "surrogatepass"))
 
 
 class Lines:
-    """The comparable lines of some documents, and their words: each once a line, sorted by line."""
+    """The lines of ``min_words`` words or more of some documents, and their words: each once a line, sorted by line."""
 
     def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None):
         lines, docs, places = [], [], []
@@ -113,6 +121,10 @@ class Lines:
         ends = np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 10)
         owner = np.searchsorted(ends, start)
         self.total = h                         # every word, as often as it stands there
+        length = np.bincount(owner, minlength=len(lines))
+        for i in np.flatnonzero((length > 0) & (length < min_words)).tolist():
+            if not lines[i].isascii():
+                length[i] = max(length[i], len(_UNSPACED.findall(lines[i])))
         count = np.zeros(len(h), dtype=np.int64)
         if rarity is not None:
             count = rarity[(h % np.uint64(len(rarity))).astype(np.int64)].astype(np.int64)
@@ -128,8 +140,7 @@ class Lines:
         one = np.ones(len(order), dtype=bool)
         one[1:] = (owner[1:] != owner[:-1]) | (sorted_h[1:] != sorted_h[:-1])
         owner, words, count = owner[one], sorted_h[one], count[one]
-        size = np.bincount(owner, minlength=len(lines))
-        used = np.flatnonzero(size >= min_words)
+        used = np.flatnonzero(length >= min_words)
         local = np.full(len(lines), -1)
         local[used] = np.arange(len(used))
         pick = local[owner] >= 0
@@ -156,15 +167,15 @@ def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None)
 SURVEY = "block int, counts binary, line binary, doc_id long, place int"
 
 
-def _survey(counters: int, min_words: int):
-    """First pass: a row per comparable line, and the task's hashed word counts in blocks."""
+def _survey(counters: int):
+    """First pass: a row per line with any word, and the task's hashed word counts in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("lines", dict)     # lets go of what an earlier operator kept
         names = [c.split()[0] for c in SURVEY.split(", ")]
         types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
         total = np.zeros(counters, dtype=np.uint32)
         for b in batches:
-            for x in _chunks(b, min_words):
+            for x in _chunks(b, 1):
                 slots, n = np.unique((x.total % np.uint64(counters)).astype(np.int64), return_counts=True)
                 total[slots] += n.astype(np.uint32)
                 n = len(x.lines)
@@ -427,7 +438,7 @@ def _join(threshold: float, last: int | None):
     return run
 
 
-def _sets(asked, min_words: int):
+def _sets(asked):
     """Third pass: word sets of the lines that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = asked.value
@@ -441,10 +452,9 @@ def _sets(asked, min_words: int):
                 lines = text.split("\n") if len(hits) else []
                 for at in hits.tolist():
                     words = np.unique(word_hashes(lines[at].lower().encode("utf-8", "surrogatepass"))[1])
-                    if len(words) >= min_words:
-                        doc.append(i)
-                        place.append(at)
-                        sets.append(words.tobytes())
+                    doc.append(i)
+                    place.append(at)
+                    sets.append(words.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()),
                                               pa.array(sets, pa.binary())], ["doc_id", "place", "words"])
     return run
@@ -463,14 +473,14 @@ def _verify(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, place of the later lines of the pairs whose full word sets reach the threshold."""
     spark = docs.sparkSession
     ends = F.array(F.struct(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place")),
                    F.struct(F.col("ydoc").alias("doc_id"), F.col("yplace").alias("place")))
     wanted = staged(pairs.select(F.explode(ends).alias("e")).select("e.doc_id", "e.place").distinct(), "lines-wanted")
     asked = spark.sparkContext.broadcast(bloom_filter(wanted))
-    sets = docs.mapInArrow(_sets(asked, min_words), "doc_id long, place int, words binary")
+    sets = docs.mapInArrow(_sets(asked), "doc_id long, place int, words binary")
     sets = staged(sets.join(wanted, ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"]), "line-words")
     x = sets.select(F.col("doc_id").alias("xdoc"), F.col("place").alias("xplace"), F.col("words").alias("wx"))
     y = sets.select(F.col("doc_id").alias("ydoc"), F.col("place").alias("yplace"), F.col("words").alias("wy"))
@@ -491,7 +501,7 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
         found = packed.groupBy("g").applyInPandas(_join(threshold, last), PAIRS)
         keys = ["xdoc", "xplace", "ydoc", "yplace"]
         found = staged(found.groupBy(*keys).agg(F.max("more").alias("more")), "line-candidates")
-        return found, staged(verified(docs, found.select(*keys), threshold, min_words), "line-matches")
+        return found, staged(verified(docs, found.select(*keys), threshold), "line-matches")
 
     found, good = round_(None, tries)
     lines = found.where("more").select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place")).distinct()
@@ -507,7 +517,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, place, line (16-byte key), how of every line that goes: a copy of an earlier line, or similar to one."""
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = staged(rows.mapInArrow(_survey(counters, min_words), SURVEY), "line-survey")
+    survey = staged(rows.mapInArrow(_survey(counters), SURVEY), "line-survey")
     lines = survey.where("line is not null").select("line", "doc_id", "place")
     similar = similar_lines(rows, survey, threshold, min_words, counters=counters)
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))

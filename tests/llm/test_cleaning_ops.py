@@ -78,6 +78,19 @@ def test_odd_documents(odd_docs):
             assert r["n_chars"] == len(r["text"])
 
 
+def test_short_copies_go(spark):
+    """Exact copies of lines under five words go; a floor of words counts repeats and unspaced characters."""
+    rows = [(1, "Read more\n---\n\nok"), (2, "Read more\nread more\n---\n\nok"), (3, "ha " * 200),
+            (4, "Ha " * 300), (5, "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed"),
+            (6, "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed."), (7, "Read more"), (8, "ha"), (9, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["copies"], r["similar"], r["places"]) for r in line_dedup.document_digest(df).collect()
+           if r["places"]}
+    assert got == {2: (2, 0, [0, 4]), 4: (0, 1, [0]), 6: (0, 1, [0]), 7: (1, 0, [0])}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(df).collect()}
+    assert texts[2] == "read more\n---\n" and texts[7] == "" and texts[8] == "ha"
+
+
 def test_automaton_matches_edit_distance():
     terms = [("idiot", False, 2.0), ("worthless", False, 3.0), ("lowei", True, 2.0), ("pathetisch", True, 1.5),
              ("bad", False, 1.0)]
