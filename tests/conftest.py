@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -8,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cropframe import checkpoint_dir, get_spark  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,18 +18,3 @@ def spark():
 @pytest.fixture()
 def tmp(tmp_path_factory):
     return str(tmp_path_factory.mktemp("cf"))
-
-
-def write_text(path: str, text: str) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
-        f.write(text)
-    return path
-
-
-def rows(df, order=None):
-    d = df.orderBy(*order) if order else df
-    return [r.asDict() for r in d.collect()]
-
-
-tempfile.tempdir = tempfile.gettempdir()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cropframe.operators import explain, model, profile, select
 from cropframe.sources import driver_table
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def _li(spark):

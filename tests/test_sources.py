@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cropframe.operators import clean, season, soil
 from cropframe.sources import (decode_response_table, read_daily_csv, read_daily_grid,
                                read_soil_tables, read_yield_csv, read_yield_json)
-from conftest import rows, write_text
+from helpers import rows, write_text
 
 YIELD_CSV = """State,County,Year,Commodity,Data Item,Value,Ag District,County ANSI
 NORTH CAROLINA , Wake ,1990,CORN,"CORN, GRAIN - YIELD, MEASURED IN BU / ACRE",45.2,CENTRAL,37

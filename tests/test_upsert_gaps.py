@@ -6,7 +6,7 @@ from cropframe.operators import gaps, upsert
 from cropframe.plans import ingest
 from cropframe.sources import schemas
 from cropframe.streaming.upsert_stream import stream_upsert
-from conftest import rows, write_text
+from helpers import rows, write_text
 from test_sources import SOIL, YIELD_CSV
 
 KEY = ["k"]
