@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropframe.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, topk, toxicity, warc
+from cropframe.llm import (bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, topk, toxicity, warc,
+                           whitening)
 from cropframe.session import scratch_path
 
 
@@ -66,6 +67,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+                        "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_warc": op2_warc,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE: dict[str, str] = {
