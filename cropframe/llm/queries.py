@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropframe.llm import (bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, topk, toxicity, warc,
-                           whitening)
+from cropframe.llm import (bpe, embedding_dedup, line_dedup, main_text, packing, quality, runs, sharding, simhash,
+                           topk, toxicity, warc, whitening)
 from cropframe.session import scratch_path
 
 
@@ -73,6 +73,33 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "whitened", "explained", "identity_error")
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text whose words from the a-th on repeat with period p, where the id's CRC-32 ends in 0."""
+    words = F.array_remove(F.split(text, r"[\x09-\x0D\x20]+"), "")
+    n, h = F.size(words), F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    joined = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), tail), F.lit(1), n), " ")
+    return F.when((h % 10 == 0) & (n > 0), joined).otherwise(text)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.find_runs(docs, text_col=repeated_tail(F.col("doc_id"), F.col("text")))
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                       F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_warc": op2_warc,
@@ -85,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
     "op11_whitening": op11_whitening,
+    "op12_main_text": op12_main_text,
+    "op13_runs": op13_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -113,6 +142,15 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM r""",
+    # the main text of these pages is what their one article element holds
+    "op12_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(
+  t, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text
+  FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op10_topk": """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
