@@ -3,8 +3,9 @@
 Shapley values use the interventional value function
 v(S) = mean over background rows b of f(x_S, b_rest). The background is a
 fixed-size sample (a sampling operator: the masker's definition, 100 rows
-by default); every explained row is kept. Rows x coalitions x background
-are produced by ``explode`` of bounded arrays (coalition masks, the
+by default); every explained row is kept. Linear models and sums of trees have
+closed forms without a fan-out. For any other model, rows x coalitions x
+background are produced by ``explode`` of bounded arrays (coalition masks, the
 background embedded as a literal), scored by the model's own ``transform``
 and reduced by ``groupBy``, so the fan-out is distributed and never joins
 two unbounded sides.
@@ -28,10 +29,10 @@ from pyspark.sql import types as T
 
 from cropframe.operators.model import materialize, stacked_solve
 from cropframe.operators.query import top_k_per_group
+from cropframe.operators.tree_shap import tree_shap
 
 BACKGROUND_ROWS = 100
-MAX_EXACT_FEATURES = 10
-PERMUTATIONS = 64
+MOST_COALITIONS = 1 << 16
 LIME_SAMPLES = 5000
 LIME_TOP = 8
 LIME_RIDGE = 1.0
@@ -61,14 +62,17 @@ def background_sample(df: DataFrame, keys: list[str], features: list[str],
     return df.select(*features, h.alias("_h")).orderBy("_h").limit(n).drop("_h")
 
 
-def _shapley_plan(p: int, seed: int, permutations: int) -> list[tuple[int, int, float]]:
+def _shapley_plan(p: int, seed: int, permutations: int | None) -> list[tuple[int, int, float]]:
     """(feature index, coalition mask without it, weight) terms of the Shapley sum.
 
-    Exact up to MAX_EXACT_FEATURES (all coalitions, weight |S|!(p-|S|-1)!/p!);
-    above, ``permutations`` seeded random orders, weight 1/permutations each.
+    All coalitions, weight |S|!(p-|S|-1)!/p!, so the values are exact; only where
+    the caller names a number of ``permutations``, that many seeded random
+    orders, weight 1/permutations each.
     """
     plan = []
-    if p <= MAX_EXACT_FEATURES:
+    if permutations is None:
+        if 1 << p > MOST_COALITIONS:
+            raise ValueError(f"{p} features have 2^{p} coalitions; give a number of permutations to estimate instead")
         for i in range(p):
             others = [j for j in range(p) if j != i]
             for s in range(p):
@@ -90,23 +94,38 @@ def _shapley_plan(p: int, seed: int, permutations: int) -> list[tuple[int, int,
 
 def shap_values(model: PipelineModel, df: DataFrame, keys: list[str], features: list[str],
                 background: DataFrame | None = None, seed: int = SEED,
-                permutations: int = PERMUTATIONS, background_rows: int = BACKGROUND_ROWS) -> DataFrame:
-    """E1 (serves E3): Shapley value of every feature for every row of ``df``.
+                permutations: int | None = None, background_rows: int = BACKGROUND_ROWS,
+                engine: str = "auto") -> DataFrame:
+    """Shapley value of every feature for every row of ``df``.
 
     -> (keys, feature, shap, base, prediction); sum(shap) + base = prediction.
-    A linear model has a closed form over any background, however large (only
-    its means are needed). Other models are scored on coalitions mixed with
+    ``engine``: "linear" (a linear model's closed form over any background,
+    however large: only its means are needed), "tree" (exact values of a sum of
+    numeric trees) or "coalition" (any model, scored on coalitions mixed with
+    background rows); "auto" takes the first that fits the model. The last two use
     ``background_rows`` background rows, the masker's sample size.
     """
     spark = df.sparkSession
     p = len(features)
     last = model.stages[-1]
-    if isinstance(last, LinearRegressionModel) and len(last.coefficients) == p:
+    if engine not in ("auto", "linear", "tree", "coalition"):
+        raise ValueError(f"no engine {engine!r}")
+    linear = isinstance(last, LinearRegressionModel) and len(last.coefficients) == p
+    if engine == "linear" or engine == "auto" and linear:
+        if not linear:
+            raise ValueError("the model is not linear in these features")
         return _linear_path(model, df, keys, features, background if background is not None else df)
     bg = background_sample(background if background is not None else df,
                            keys if background is None else features, features, background_rows, seed)
     bg_rows = [tuple(None if v is None else float(v) for v in r) for r in
                bg.select(*features).collect()]          # bounded: the sample size
+    if engine in ("auto", "tree") and bg_rows:
+        found = tree_shap(model, df, keys, features, np.array(
+            [[math.nan if v is None else v for v in r] for r in bg_rows], dtype=float))
+        if found is not None:
+            return found
+        if engine == "tree":
+            raise ValueError("the model is no sum of numeric trees over these features")
     plan = _shapley_plan(p, seed, permutations)
     masks = sorted({m for _, m, _ in plan} | {m | (1 << i) for i, m, _ in plan} | {0, (1 << p) - 1})
     bg_struct = T.StructType([T.StructField(f"_b{j}", T.DoubleType()) for j in range(p)])

@@ -306,7 +306,7 @@ def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    d = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     means = d.agg(*[F.avg(c).alias(c) for c in cols]).first()      # p numbers
     cen = {c: F.col(c) - F.lit(float(means[c] or 0.0)) for c in cols}
     aggs = []
@@ -353,65 +353,69 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", weight: str | None
 
 
 def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
-    """P7 for one pair: Pearson r of the average ranks over complete rows.
-
-    Rows are compressed to distinct (x, y, count); ranks join on the value.
-    Ranks are centred on their known mean (n + 1) / 2 before the sums.
-    """
-    pairs = (df.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-             .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-             .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("c")))
-    rx = average_rank(pairs, "_x", "rx", weight="c").select("_x", "rx")
-    ry = average_rank(pairs, "_y", "ry", weight="c").select("_y", "ry")
-    j = pairs.join(rx, "_x").join(ry, "_y")
-    c, a, b = F.col("c"), F.col("rx"), F.col("ry")
-    g = j.agg(F.sum(c).alias("n"), F.sum(c * a * b).alias("sxy"), F.sum(c * a * a).alias("sxx"),
-              F.sum(c * b * b).alias("syy"))
-    # Average ranks have mean (n + 1) / 2 exactly, so one pass is enough.
-    nm2 = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
-    r = (F.col("sxy") - nm2) / F.sqrt((F.col("sxx") - nm2) * (F.col("syy") - nm2))
-    return g.select(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"))
+    """P7 for one pair (see ``spearman``)."""
+    return spearman(df, [x, y])
 
 
 def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Spearman matrix (x, y, r) over all column pairs.
-
-    Pairwise-complete like a pandas frame. When no column has a NULL (one
-    cheap count), every pair uses the same rows, so each column is ranked
-    once, the ranks are attached to the rows, and all pairwise correlations
-    come from one aggregate. Otherwise each pair is ranked on its own
-    complete rows.
+    """Spearman matrix (x, y, r) over all column pairs, pairwise complete; NaN is missing.
+
+    One scan compresses the rows to distinct value tuples and their null
+    pattern (which columns are missing). Each column's values are counted by
+    pattern, and running counts give, for every value and pattern, how many
+    smaller values the pattern's rows hold. A pair's ranks are sums of these
+    over the patterns that miss neither column, so each column's table joins
+    the rows once, all pairs come from one aggregate, and the plan is the
+    same with and without NULLs. Only the list of patterns that occur reaches
+    the driver.
     """
     cols = cols or numeric_columns(df)
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    if any(nulls[c] for c in cols):
-        parts = [spearman_pair(df, a, b) for a, b in combinations(cols, 2)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    # rows are compressed to their distinct value tuples before ranks are attached
-    rows = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols])
-    rows = _reuse(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col("_n").alias("c"))
-                                           for c in cols])).alias("t")).select("t.*")
-    cum = _reuse(cumulated(long.groupBy("feature", "value").agg(F.sum("c").alias("c"))))
-    rank = F.col("start").cast("double") + (F.col("c") + 1) / 2.0
-    ranked = rows
-    for i, c in enumerate(cols):
-        r = cum.filter(F.col("feature") == c).select(F.col("value").alias(c), rank.alias(f"_r{i}"))
-        ranked = ranked.join(r, c)
-    n = F.col("_n").cast("double")
-    total = ranked.agg(F.sum("_n")).first()[0] or 0
-    mid = F.lit((total + 1) / 2.0)          # the mean of average ranks, exactly
-    cen = [F.col(f"_r{i}") - mid for i in range(len(cols))]
+    schema = "x string, y string, r double"
     pairs = list(combinations(range(len(cols)), 2))
-    sums = ranked.agg(*[F.sum(n * cen[i] * cen[i]).alias(f"v{i}") for i in range(len(cols))],
-                      *[F.sum(n * cen[i] * cen[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    v = [f"_v{i}" for i in range(len(cols))]
+    rows = df.select(*[(nan_to_null(F.col(c).cast("double")) + F.lit(0.0)).alias(v[i]) for i, c in enumerate(cols)])
+    rows = rows.groupBy(*v).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _reuse(rows.withColumn("_pattern", F.concat(*[F.when(F.col(a).isNull(), "1").otherwise("0") for a in v])))
+    totals = {r["_pattern"]: r["n"] for r in rows.groupBy("_pattern").agg(F.sum("_n").alias("n")).collect()}
+    patterns = sorted(totals)
+    if not patterns:
+        return df.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], schema)
+    long = rows.select("_pattern", "_n", F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.col(a).alias("value"))
+                                                             for a in v])).alias("t")).select("_pattern", "_n", "t.*")
+    vc = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").pivot("_pattern", patterns).agg(F.sum("_n"))
+    # every value meets every pattern, with no rows where the pattern lacks it
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.coalesce(F.col(f"`{q}`"), F.lit(0)).alias("c"))
+                               for i, q in enumerate(patterns)])).alias("t")
+    each = vc.select("feature", "value", each).select("feature", "value", "t.*")
+    cum = cumulated(each.withColumn("key", F.concat_ws("|", "feature", "at")), "key", "value", "c")
+    part = F.split("key", "\\|")
+    cum = cum.select(part[0].alias("feature"), part[1].cast("int").alias("at"), "value", "c", "start")
+    cum = _reuse(cum.groupBy("feature", "value").agg(F.array_sort(F.collect_list(F.struct("at", "start", "c"))).alias("ranks")))
+    ranked = rows
+    for i, a in enumerate(v):
+        r = cum.filter(F.col("feature") == a).select(F.col("value").alias(a), F.col("ranks").alias(f"_r{i}"))
+        ranked = ranked.join(r, a, "left")
+    aggs = []
+    for i, j in pairs:
+        own = [k for k, q in enumerate(patterns) if q[i] == "0" and q[j] == "0"]
+        both = F.col("_pattern").isin([patterns[k] for k in own]) if own else F.lit(False)
+
+        def centred(k: int, total):
+            start = sum((F.col(f"_r{k}")[q]["start"] for q in own), F.lit(0))
+            c = sum((F.col(f"_r{k}")[q]["c"] for q in own), F.lit(0))
+            return F.when(both, start.cast("double") + (c + 1) / 2.0 - total)
+
+        # average ranks have the mean (n + 1) / 2, exactly
+        mid = F.lit((sum(totals[patterns[q]] for q in own) + 1) / 2.0)
+        n, a, b = F.col("_n").cast("double"), centred(i, mid), centred(j, mid)
+        aggs += [F.sum(n * a * a).alias(f"a{i}_{j}"), F.sum(n * b * b).alias(f"b{i}_{j}"), F.sum(n * a * b).alias(f"c{i}_{j}")]
+    sums = ranked.agg(*aggs)
     return sums.select(F.explode(F.array(*[F.struct(
         F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-        F.when((F.col(f"v{i}") > 0) & (F.col(f"v{j}") > 0),
-               F.col(f"c{i}_{j}") / F.sqrt(F.col(f"v{i}") * F.col(f"v{j}"))).alias("r")) for i, j in pairs])).alias("t")
+        F.when((F.col(f"a{i}_{j}") > 0) & (F.col(f"b{i}_{j}") > 0),
+               F.col(f"c{i}_{j}") / F.sqrt(F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}"))).alias("r")) for i, j in pairs])).alias("t")
     ).select("t.*")
 
 
@@ -543,29 +547,63 @@ def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.groupBy(x, y).agg(F.count(F.lit(1)).alias("count"))
 
 
-def chi_square(df: DataFrame, x: str, y: str, correction: bool = True) -> DataFrame:
-    """Chi-square statistic, degrees of freedom and bias-corrected Cramer's V.
+def pair_cells(df: DataFrame, pairs: list[tuple[str, str]], codes: dict | None = None) -> DataFrame:
+    """(pair, xv, yv, count): the contingency tables of all column pairs, from one scan.
+
+    ``codes`` gives the column expression to tabulate instead of the value. Rows
+    with a missing side are left out of a pair, like in a cross-tabulation. Cells
+    are counted before the shuffle, so a hot category is one row a task.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    codes = codes or {}
+    kinds = {c: df.schema[c].dataType for c in names}
+
+    def code(c: str):
+        v = codes.get(c)
+        if v is None:
+            v = nan_to_null(F.col(c).cast("double")) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else F.col(c)
+        return v.cast("string")
+
+    coded = df.select(*[code(c).alias(f"_v{i}") for i, c in enumerate(names)])
+    at = {c: F.col(f"_v{i}") for i, c in enumerate(names)}
+    long = coded.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("pair"), at[a].alias("xv"), at[b].alias("yv")) for k, (a, b) in enumerate(pairs)])).alias("t"))
+    return long.select("t.*").filter(F.col("xv").isNotNull() & F.col("yv").isNotNull()).groupBy("pair", "xv", "yv").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+def with_margins(cells: DataFrame) -> DataFrame:
+    """Cells with their row sum ``r_i`` and column sum ``c_j``, by plain aggregates."""
+    cells = _reuse(cells)
+    rows = cells.groupBy("pair", "xv").agg(F.sum("count").alias("r_i"))
+    columns = cells.groupBy("pair", "yv").agg(F.sum("count").alias("c_j"))
+    return cells.join(rows, ["pair", "xv"]).join(columns, ["pair", "yv"])
+
+
+def _pair_names(spark, pairs: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, x string, y string")
+
+
+def chi_square_pairs(df: DataFrame, pairs: list[tuple[str, str]], correction: bool = True,
+                     codes: dict | None = None) -> DataFrame:
+    """Chi-square statistic, degrees of freedom and bias-corrected Cramer's V of every pair.
 
     chi2 = n * sum(o^2 / (r_i c_j)) - n over observed cells only (absent
     cells contribute exactly their expectation). In a 2 x 2 table every
     cell deviates by the same d = |o - e| and sum(1/e) = n * sum(1/r_i) *
     sum(1/c_j), so d follows from the plain statistic and Yates' correction
     is chi2 = max(d - 0.5, 0)^2 * n * sum(1/r_i) * sum(1/c_j).
-    NULL categories are left out, like a cross-tabulation.
     """
-    d = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
-    cells = contingency(d, "_x", "_y")
-    # Margins by windows over the (small) cell table: each partition holds
-    # the cells of one category, so the cells are computed once.
-    j = (cells.withColumn("r_i", F.sum("count").over(Window.partitionBy("_x")))
-              .withColumn("c_j", F.sum("count").over(Window.partitionBy("_y"))))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, chi2 double, dof long, cramers_v double")
+    j = with_margins(pair_cells(df, pairs, codes))
     o, ri, cj = (F.col("count").cast("double"), F.col("r_i").cast("double"),
                  F.col("c_j").cast("double"))
     # Over the cells of a row, sum(o / r_i) = 1 and sum(o / r_i^2) = 1 / r_i,
     # so category counts and inverse-margin sums come from the same pass.
-    t = j.agg(F.sum(o).alias("n"), F.sum(o * o / (ri * cj)).alias("q"),
-              F.round(F.sum(o / ri)).alias("r"), F.round(F.sum(o / cj)).alias("k"),
-              F.sum(o / (ri * ri)).alias("ir"), F.sum(o / (cj * cj)).alias("ic"))
+    t = j.groupBy("pair").agg(F.sum(o).alias("n"), F.sum(o * o / (ri * cj)).alias("q"),
+                              F.round(F.sum(o / ri)).alias("r"), F.round(F.sum(o / cj)).alias("k"),
+                              F.sum(o / (ri * ri)).alias("ir"), F.sum(o / (cj * cj)).alias("ic"))
     n, r, k = F.col("n"), F.col("r"), F.col("k")
     plain = n * F.col("q") - n
     inv = n * F.col("ir") * F.col("ic")
@@ -573,70 +611,86 @@ def chi_square(df: DataFrame, x: str, y: str, correction: bool = True) -> DataFr
     yates = F.pow(F.greatest(dev - 0.5, F.lit(0.0)), 2) * inv
     dof = (r - 1) * (k - 1)
     chi2 = F.when(F.lit(correction) & (dof == 1), yates).otherwise(plain)
-    t = t.select(chi2.alias("chi2"), dof.cast("long").alias("dof"), "n", "r", "k")
+    t = t.select("pair", chi2.alias("chi2"), dof.cast("long").alias("dof"), "n", "r", "k")
     phi2 = F.col("chi2") / n
-    phi2c = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / (n - 1))
-    rc = r - (r - 1) * (r - 1) / (n - 1)
-    kc = k - (k - 1) * (k - 1) / (n - 1)
+    phi2c = F.greatest(F.lit(0.0), phi2 - F.try_divide((k - 1) * (r - 1), n - 1))
+    rc = r - F.try_divide((r - 1) * (r - 1), n - 1)
+    kc = k - F.try_divide((k - 1) * (k - 1), n - 1)
     rk = F.least(kc - 1, rc - 1)
-    v = F.when(rk == 0, F.lit(1.0)).otherwise(F.sqrt(phi2c / rk))
-    return t.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "chi2", "dof",
-                    v.alias("cramers_v"))
+    v = F.when(rk == 0, F.lit(1.0)).otherwise(F.sqrt(F.try_divide(phi2c, rk)))
+    t = t.select("pair", "chi2", "dof", v.alias("cramers_v"))
+    # a row per pair on both sides
+    return _pair_names(df.sparkSession, pairs).join(F.broadcast(t), "pair", "left").select(
+        "x", "y", "chi2", "dof", "cramers_v")
+
+
+def chi_square(df: DataFrame, x: str, y: str, correction: bool = True) -> DataFrame:
+    """P9 for one pair (see ``chi_square_pairs``)."""
+    return chi_square_pairs(df, [(x, y)], correction)
 
 
 def cramers_v(df: DataFrame, cols: list[str], correction: bool = True) -> DataFrame:
-    """Cramer's V matrix (x, y, chi2, dof, cramers_v) over column pairs."""
-    parts = [chi_square(df, a, b, correction) for a, b in combinations(cols, 2)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Cramer's V matrix (x, y, chi2, dof, cramers_v) over column pairs, from one scan."""
+    return chi_square_pairs(df, list(combinations(cols, 2)), correction)
 
 
 # --------------------------------------------------------------------------- P10
+def equal_width_codes(df: DataFrame, cols: list[str], bins: int = HIST_BINS) -> dict:
+    """The equal-width bin 0..bins-1 of every numeric column, as column expressions.
+
+    The ends of all columns come from one aggregate (two numbers a column) and
+    are literals: no join, no further scan. NaN is missing.
+    """
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in cols}
+    if not cols:
+        return {}
+    ends = df.agg(*[F.min(value[c]).alias(f"a{i}") for i, c in enumerate(cols)],
+                  *[F.max(value[c]).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        mn, mx = ends[f"a{i}"], ends[f"b{i}"]
+        if mn is None:
+            out[c] = F.lit(None).cast("int")
+        elif mn == mx:
+            out[c] = F.when(value[c].isNotNull(), F.lit(0))
+        else:
+            width = F.lit((mx - mn) / float(bins))
+            out[c] = F.least(F.floor((value[c] - F.lit(mn)) / width), F.lit(bins - 1)).cast("int")
+    return out
+
+
 def equal_width_bins(df: DataFrame, col: str, bins: int = HIST_BINS, out: str | None = None):
-    """Numeric column -> equal-width bin index 0..bins-1 (min/max from one aggregate)."""
-    out = out or col
-    # two numbers, collected once and used as literals: no join, no re-scan
-    r = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")).first()
-    mn, mx = F.lit(r["mn"]).cast("double"), F.lit(r["mx"]).cast("double")
-    width = (mx - mn) / F.lit(float(bins))
-    b = F.when(F.col(col).isNull(), F.lit(None)).when(mx == mn, F.lit(0)) \
-        .otherwise(F.least(F.floor((F.col(col) - mn) / width), F.lit(bins - 1)))
-    return df.withColumn(out, b.cast("int").cast("string"))
+    """Numeric column -> equal-width bin index 0..bins-1, as text."""
+    return df.withColumn(out or col, equal_width_codes(df, [col], bins)[col].cast("string"))
 
 
 def auto_matrix(df: DataFrame, numeric: list[str], categorical: list[str],
                 bins: int = HIST_BINS) -> DataFrame:
     """P10: Spearman for numeric pairs, Cramer's V when a category is involved
-    (the numeric side binned into equal-width bins). -> (x, y, method, value)."""
+    (the numeric side binned into equal-width bins). -> (x, y, method, value).
+
+    One scan codes all columns and counts the cells of all mixed pairs; one more
+    ranks the numeric columns."""
+    mixed = [(a, b) for a, b in combinations(numeric + categorical, 2) if b in categorical]
     parts = []
-    for a, b in combinations(numeric, 2):
-        parts.append(spearman_pair(df, a, b).select("x", "y", F.lit("spearman").alias("method"),
-                                                   F.col("r").alias("value")))
-    for a, b in combinations(numeric + categorical, 2):
-        if a in numeric and b in numeric:
-            continue
-        d = df
-        if a in numeric:
-            d = equal_width_bins(d, a, bins)
-        if b in numeric:
-            d = equal_width_bins(d, b, bins)
-        parts.append(chi_square(d, a, b).select("x", "y", F.lit("cramers").alias("method"),
-                                                F.col("cramers_v").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if len(numeric) > 1:
+        parts.append(spearman(df, numeric).select("x", "y", F.lit("spearman").alias("method"), F.col("r").alias("value")))
+    if mixed:
+        codes = equal_width_codes(df, [c for c in numeric if any(c == a for a, _ in mixed)], bins)
+        parts.append(chi_square_pairs(df, mixed, codes=codes).select(
+            "x", "y", F.lit("cramers").alias("method"), F.col("cramers_v").alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "x string, y string, method string, value double")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # --------------------------------------------------------------------------- P11
 def nullity(df: DataFrame, cols: list[str] | None = None):
     """Missing count and share per column, and the correlation of the
-    missing indicators of every column pair, from one aggregate each.
+    missing indicators of every column pair, from one aggregate each (NaN is missing).
     Returns (per_column, pairs)."""
     cols = cols or df.columns
-    ind = {c: F.col(c).isNull().cast("double") for c in cols}
+    ind = {c: missing(df, c).cast("double") for c in cols}
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.sum(ind[c]).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[safe_corr(ind[a], ind[b]).alias(f"r{i}_{j}")
@@ -686,9 +740,9 @@ def alerts(df: DataFrame, numeric: list[str] | None = None, missing: float = ALE
 def report(df: DataFrame, numeric: list[str] | None = None,
            categorical: list[str] | None = None) -> dict[str, DataFrame]:
     """All profile tables of a frame in one call (overview, column profiles,
-    quantiles, histograms, categories, the five correlation kinds, missing
+    quantiles, histograms, categories, the six correlation kinds, missing
     patterns, alerts). Each value is a DataFrame; the correlation kinds are
-    auto, pearson, spearman, kendall and cramers, as the profile asks for.
+    auto, pearson, spearman, kendall, cramers and phik, as the profile asks for.
     """
     numeric = numeric if numeric is not None else numeric_columns(df)
     categorical = categorical if categorical is not None else string_columns(df)
@@ -707,7 +761,9 @@ def report(df: DataFrame, numeric: list[str] | None = None,
     if len(categorical) > 1:
         out["cramers"] = cramers_v(df, categorical)
     if len(numeric) + len(categorical) > 1:
+        from cropframe.operators.phik import phik_matrix
         out["auto"] = auto_matrix(df, numeric, categorical)
+        out["phik"] = phik_matrix(df, numeric, categorical)
     out["missing"], out["missing_pairs"] = nullity(df)
     out["alerts"] = alerts(df, numeric) if numeric else None
     return {k: v for k, v in out.items() if v is not None}

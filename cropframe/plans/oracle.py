@@ -124,28 +124,38 @@ FROM lineitem
 
 ORACLE["q_frame"] = f"{WITH_ALL} SELECT {FRAME_SELECT} {FRAME_FROM} WHERE {NOT_SENTINEL}"
 
-ORACLE["q_unmatched"] = f"""{WITH_ALL},
-w2 AS (SELECT * FROM weather WHERE year <= 1999),
-s2 AS (SELECT * FROM soil WHERE state <> 'ASIA'),
-j AS (SELECT y.*, w2.year IS NOT NULL AS has_w, s2.state IS NOT NULL AS has_s
-      FROM yields y
-      LEFT JOIN w2 ON y.state = w2.state AND y.county = w2.county AND y.year = w2.year
-      LEFT JOIN s2 ON y.state = s2.state AND y.county = s2.county)
+KEYED_CTE = f"""
+yields AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 'ALL' AS state, 'AD' || (o_custkey % 10) AS district,
+         'C' || o_custkey AS county, CAST(o_custkey AS VARCHAR) AS county_ansi, o_orderpriority AS crop,
+         avg(o_totalprice) AS value, 'BU / ACRE' AS unit
+  FROM orders GROUP BY year(o_orderdate), o_custkey, o_orderpriority),
+weather AS (
+  SELECT 'C' || l_suppkey AS county, 'ALL' AS state, CAST(year(l_shipdate) AS INTEGER) AS year,
+         avg(CASE WHEN {SEASON} THEN (l_quantity + l_tax) / 2 END) AS avg_temp,
+         coalesce(sum(CASE WHEN {SEASON} THEN l_extendedprice END), 0.0) AS precipitation,
+         avg(CASE WHEN {SEASON} THEN l_discount END) AS vp, avg(CASE WHEN {SEASON} THEN l_tax END) AS srad,
+         coalesce(sum(CASE WHEN {SEASON} THEN greatest((l_quantity + l_tax) / 2 - 10.0, 0.0) END), 0.0) AS gdd
+  FROM lineitem GROUP BY l_suppkey, year(l_shipdate)),
+soil AS (
+  SELECT 'ALL' AS state, 'C' || l_partkey AS county, sum(l_discount * w) / nullif(sum(w), 0) AS ph,
+         sum(l_tax * w) / nullif(sum(w), 0) AS organic_matter, sum(l_quantity * w) / nullif(sum(w), 0) AS sand_pct,
+         sum(CAST(p_size AS DOUBLE) * w) / nullif(sum(w), 0) AS clay_pct
+  FROM (SELECT *, l_quantity / 100.0 * p_retailprice AS w FROM lineitem JOIN part ON l_partkey = p_partkey
+        WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))
+  GROUP BY l_partkey)
+"""
+
+ORACLE["q_unmatched"] = f"""WITH {KEYED_CTE},
+j AS (SELECT y.*, w.year IS NOT NULL AS has_w, s.state IS NOT NULL AS has_s {FRAME_FROM})
 SELECT 'yield_rows' AS metric, CAST(count(*) AS BIGINT) AS n FROM j
 UNION ALL SELECT 'no_weather', CAST(count(*) FILTER (WHERE NOT has_w) AS BIGINT) FROM j
 UNION ALL SELECT 'no_soil', CAST(count(*) FILTER (WHERE NOT has_s) AS BIGINT) FROM j
-UNION ALL SELECT 'weather_rows', CAST(count(*) AS BIGINT) FROM w2
-UNION ALL SELECT 'soil_rows', CAST(count(*) AS BIGINT) FROM s2
+UNION ALL SELECT 'weather_rows', CAST(count(*) AS BIGINT) FROM weather
+UNION ALL SELECT 'soil_rows', CAST(count(*) AS BIGINT) FROM soil
 """
 
-ORACLE["q_unmatched_rows"] = f"""{WITH_ALL}
-SELECT {FRAME_SELECT.replace('w.', 'w2.')}
-FROM yields y
-LEFT JOIN (SELECT * FROM weather WHERE year <= 1999) w2
-  ON y.state = w2.state AND y.county = w2.county AND y.year = w2.year
-LEFT JOIN soil s ON y.state = s.state AND y.county = s.county
-WHERE w2.year IS NULL
-"""
+ORACLE["q_unmatched_rows"] = f"WITH {KEYED_CTE} SELECT {FRAME_SELECT} {FRAME_FROM} WHERE w.year IS NULL"
 
 ORACLE["q_scope"] = f"""{WITH_ALL}
 SELECT y.year, y.state, y.county, y.crop, {r6('y.value', 'yield')}, {r6('w.avg_temp')},
@@ -304,9 +314,9 @@ FROM k JOIN cat_s ON lower(k.county || ' County, ' || k.state) = lower(cat_s.are
 
 GAPS_SQL = """
 keys AS (SELECT DISTINCT o_custkey FROM {src}),
-wanted AS (SELECT o_custkey, CAST(y AS INTEGER) AS year FROM keys, range(1995, 2002) t(y)),
+wanted AS (SELECT o_custkey, CAST(y AS INTEGER) AS year FROM keys, range({first}, 2002) t(y)),
 present AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM {src}
-            WHERE year(o_orderdate) BETWEEN 1995 AND 2001),
+            WHERE year(o_orderdate) BETWEEN {first} AND 2001),
 missing AS (SELECT * FROM wanted w WHERE NOT EXISTS
             (SELECT 1 FROM present p WHERE p.o_custkey = w.o_custkey AND p.year = w.year)),
 g AS (SELECT o_custkey, year, year - row_number() OVER (PARTITION BY o_custkey ORDER BY year) AS grp
@@ -315,14 +325,15 @@ ranges AS (SELECT o_custkey, CAST(min(year) AS INTEGER) AS range_start,
                   CAST(max(year) AS INTEGER) AS range_end FROM g GROUP BY o_custkey, grp)
 """
 
-ORACLE["q_gaps"] = "WITH " + GAPS_SQL.format(src="orders") + " SELECT * FROM ranges"
+ORACLE["q_gaps"] = "WITH " + GAPS_SQL.format(src="orders", first=1995) + " SELECT * FROM ranges"
 
-ORACLE["q_keep_missing"] = """WITH tgt AS (SELECT * FROM orders WHERE year(o_orderdate) >= 1998),
-""" + GAPS_SQL.format(src="tgt") + """
+ORACLE["q_keep_missing"] = """WITH tgt AS (SELECT o_custkey, l_shipdate AS o_orderdate
+             FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+""" + GAPS_SQL.format(src="tgt", first=1992) + """
 SELECT o.o_orderkey, o.o_custkey, CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_orderpriority,
        round(o.o_totalprice, 6) + 0.0 AS o_totalprice
 FROM orders o
-WHERE year(o.o_orderdate) <= 1997 AND o.o_orderpriority = '1-URGENT'
+WHERE o.o_orderpriority = '1-URGENT'
   AND EXISTS (SELECT 1 FROM ranges r WHERE r.o_custkey = o.o_custkey
               AND year(o.o_orderdate) BETWEEN r.range_start AND r.range_end)
 """
@@ -819,3 +830,116 @@ SELECT state, county, year, crop, 'gdd' AS feature,
        round(b * (gdd - m) * {NUDGE}, 2) + 0.0 AS shap, round(ybar * {NUDGE}, 2) + 0.0 AS base
 FROM f, s
 """
+
+
+RANKED = """(SELECT CASE WHEN l_linenumber <> 3 THEN l_quantity END AS l_quantity, l_extendedprice,
+                    nullif(l_discount, 0.0) AS l_discount, nullif(l_tax, 0.02) AS l_tax FROM lineitem)"""
+RANKED_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ORACLE["q_spearman_null"] = " UNION ALL ".join(
+    spearman_sql(RANKED, a, b) for i, a in enumerate(RANKED_COLS) for b in RANKED_COLS[i + 1:])
+
+NAN_COLS = ["l_quantity", "l_discount", "l_extendedprice"]
+NAN_PAIRS = [(a, b) for i, a in enumerate(NAN_COLS) for b in NAN_COLS[i + 1:]]
+ORACLE["q_profile_nan"] = " UNION ALL ".join(
+    [f"SELECT 'pearson' AS kind, '{a}' AS x, '{b}' AS y, {r6(f'corr({a}, {b})', 'value')} FROM {RANKED}" for a, b in NAN_PAIRS]
+    + [f"SELECT 'spearman' AS kind, x, y, r AS value FROM ({spearman_sql(RANKED, a, b)})" for a, b in NAN_PAIRS]
+    + [f"SELECT 'missing' AS kind, '{a}' AS x, '{b}' AS y, round(CASE WHEN count({a}) = count(*) OR count({b}) = count(*) "
+       f"THEN NULL ELSE corr(CAST({a} IS NULL AS DOUBLE), CAST({b} IS NULL AS DOUBLE)) END, 6) + 0.0 AS value FROM {RANKED}"
+       for a, b in NAN_PAIRS]
+    + [f"SELECT 'missing' AS kind, '{a}' AS x, '{a}' AS y, CAST(count(*) - count({a}) AS DOUBLE) AS value FROM {RANKED}"
+       for a in NAN_COLS])
+
+
+FLAGGED = """(SELECT l_linestatus, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class,
+                     year(l_shipdate) >= 1996 AS late, l_extendedprice > 30000 AS dear FROM lineitem)"""
+
+
+def phik_sql(a: str, b: str) -> str:
+    """Two by two: a quadrant of the bivariate normal holds 1/4 + asin(rho) / (2 pi)."""
+    return f"""(WITH c AS (SELECT {a} AS u, {b} AS v, CAST(count(*) AS DOUBLE) AS o FROM {FLAGGED}
+  WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT u, v, o, sum(o) OVER (PARTITION BY u) AS r, sum(o) OVER (PARTITION BY v) AS k, sum(o) OVER () AS n FROM c),
+t AS (SELECT max(n) AS n, max(n) * sum(o * o / (r * k)) - max(n) AS chi2,
+             count(DISTINCT u) AS nu, count(DISTINCT v) AS nv FROM m)
+SELECT '{a}' AS x, '{b}' AS y, round(CASE WHEN nu < 2 OR nv < 2 THEN NULL WHEN chi2 <= 1 THEN 0.0
+  ELSE sin(pi() / 2 * sqrt(least(1.0, (chi2 - 1) / (n - 1)))) END, 6) + 0.0 AS phik FROM t)"""
+
+
+FLAG_COLS = ["l_linestatus", "size_class", "late", "dear"]
+ORACLE["q_phik"] = " UNION ALL ".join(
+    f"SELECT * FROM {phik_sql(a, b)}" for i, a in enumerate(FLAG_COLS) for b in FLAG_COLS[i + 1:])
+
+ORACLE["q_shap_product"] = """
+WITH d AS (SELECT l_orderkey, sum(l_quantity) AS q, max(l_discount) AS d, count(*) AS lines FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT round(avg(q), 1) AS q, round(avg(d), 3) AS d FROM d GROUP BY lines),
+m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(q * d) AS mqd FROM b),
+v AS (SELECT l_orderkey, q * d AS whole, q * md AS qonly, mq * d AS donly, mqd AS none FROM d, m),
+s AS (SELECT l_orderkey, 'quantity' AS feature, ((qonly - none) + (whole - donly)) / 2 AS shap, none, whole FROM v
+      UNION ALL SELECT l_orderkey, 'discount', ((donly - none) + (whole - qonly)) / 2, none, whole FROM v)
+SELECT l_orderkey, feature, round(shap * (1 + 3e-13), 4) + 0.0 AS shap, round(none * (1 + 3e-13), 4) + 0.0 AS base,
+       round(whole * (1 + 3e-13), 4) + 0.0 AS prediction FROM s
+"""
+
+
+def knn_sql(f: str) -> str:
+    """The nearest-neighbour estimate by comparing all pairs of customers."""
+    return f"""(WITH d AS (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS dearest, round(sum(o_totalprice), 2) AS spent,
+                  any_value(c_acctbal) AS c_acctbal
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey),
+e AS (SELECT min({f}) AS mx, CAST(format('{{:.9e}}', stddev_pop({f})) AS DOUBLE) AS sx,
+             min(spent) AS my, CAST(format('{{:.9e}}', stddev_pop(spent)) AS DOUBLE) AS sy FROM d),
+z AS (SELECT o_custkey AS i, CAST(floor(({f} - mx) / sx * 1073741824.0) AS BIGINT) AS x,
+             CAST(floor((spent - my) / sy * 1073741824.0) AS BIGINT) AS y FROM d, e),
+k AS (SELECT a.i, any_value(a.x) AS x, any_value(a.y) AS y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS r
+      FROM z a JOIN z b ON a.i <> b.i GROUP BY a.i),
+c AS (SELECT k.i, count(*) FILTER (WHERE abs(k.x - b.x) < greatest(r, 1)) AS nx,
+             count(*) FILTER (WHERE abs(k.y - b.y) < greatest(r, 1)) AS ny FROM k, z b GROUP BY k.i),
+h AS (SELECT n, -0.57721566490153286 + coalesce(sum(1.0 / (n - 1)) FILTER (WHERE n > 1) OVER (ORDER BY n), 0) AS psi
+      FROM range(1, (SELECT count(*) + 2 FROM z)) t(n))
+SELECT '{f}' AS feature, round(greatest(0.0, (SELECT psi FROM h WHERE n = (SELECT count(*) FROM z))
+  + (SELECT psi FROM h WHERE n = 3) - avg(p.psi + q.psi)), 6) + 0.0 AS relevance
+FROM c JOIN h p ON p.n = c.nx JOIN h q ON q.n = c.ny)"""
+
+
+ORACLE["q_mi_knn"] = " UNION ALL ".join(f"SELECT * FROM {knn_sql(f)}" for f in ("orders", "dearest", "c_acctbal"))
+
+
+def regional_trees_sql(depth: int, bins: int = 8) -> str:
+    """Trees of all regions, level by level."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    probs = "[" + ", ".join(str(i / bins) for i in range(1, bins)) + "]"
+    parts = [f"""d AS (SELECT r_name AS region, l_quantity, l_discount, l_tax, l_extendedprice AS y
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey)""",
+             "e AS (SELECT " + ", ".join(f"quantile_cont({c}, {probs}) AS e{i}" for i, c in enumerate(cols)) + " FROM d)",
+             "rows0 AS (SELECT region, y, 1 AS node, " + ", ".join(
+                 f"len(list_filter(e{i}, lambda t: {c} > t)) AS b{i}" for i, c in enumerate(cols)) + " FROM d, e)"]
+    out = []
+    for k in range(depth):
+        parts.append(f"""cells{k} AS (SELECT region, node, at, bin, count(*) AS n, sum(y) AS s
+  FROM (SELECT region, node, y, unnest([0, 1, 2]) AS at, unnest([b0, b1, b2]) AS bin FROM rows{k}) GROUP BY ALL)""")
+        parts.append(f"""side{k} AS (SELECT region, node, at, bin, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
+  sum(n) OVER (PARTITION BY region, node, at) AS n, sum(s) OVER (PARTITION BY region, node, at) AS s
+  FROM cells{k} WINDOW w AS (PARTITION BY region, node, at ORDER BY bin ROWS UNBOUNDED PRECEDING))""")
+        parts.append(f"""best{k} AS (SELECT *, ln * (n - ln) / n * power(ls / ln - (s - ls) / (n - ln), 2) AS gain
+  FROM side{k} WHERE n > ln QUALIFY row_number() OVER (PARTITION BY region, node ORDER BY gain DESC, at, bin) = 1)""")
+        parts.append(f"""nodes{k} AS (SELECT t.region, t.node, t.n, t.p, at, bin, gain FROM
+  (SELECT region, node, count(*) AS n, avg(y) AS p FROM rows{k} GROUP BY region, node) t
+  LEFT JOIN (SELECT * FROM best{k} WHERE gain > 1e-12) b ON b.region = t.region AND b.node = t.node)""")
+        parts.append(f"""rows{k + 1} AS (SELECT r.region, y, 2 * r.node + CAST(CASE b.at WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END
+  > b.bin AS INTEGER) AS node, b0, b1, b2 FROM rows{k} r JOIN nodes{k} b ON b.region = r.region AND b.node = r.node
+  WHERE b.at IS NOT NULL)""")
+        out.append(f"SELECT region, node, n, p, at, bin, gain FROM nodes{k}")
+    out.append(f"SELECT region, node, count(*), avg(y), NULL, NULL, NULL FROM rows{depth} GROUP BY region, node")
+    return f"""WITH {', '.join(parts)}, every AS ({' UNION ALL '.join(out)})
+SELECT region, CAST(node AS INTEGER) AS node, CAST(n AS BIGINT) AS n, {r6('p', 'prediction')},
+       CASE at WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS feature,
+       {r6('CASE at WHEN 0 THEN e0[bin + 1] WHEN 1 THEN e1[bin + 1] WHEN 2 THEN e2[bin + 1] END', 'threshold')},
+       {r6('gain')}
+FROM every, e"""
+
+
+ORACLE["q_regional_trees"] = regional_trees_sql(2)
+
+for _name in ("q_spearman_null", "q_profile_nan", "q_phik", "q_mi_knn", "q_regional_trees"):
+    ORACLE[_name] = _stable(ORACLE[_name])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cropframe.functions import round_doubles
 from cropframe.functions.numeric import NUDGE
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
-from cropframe.operators import (clean, explain, frame, gaps, model, profile, query, season,
-                                 select, soil, upsert)
+from cropframe.operators import (clean, explain, frame, gaps, knn_mi, model, phik, profile, query, regional,
+                                 season, select, soil, upsert)
 from cropframe.plans import ingest
 from cropframe.session import scratch_path
 from cropframe.sources import concat_frames, driver_table, read_catalog
@@ -165,16 +165,35 @@ def q_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(frame.build_frame(y, w, s), DIGITS)
 
 
+def keyed_tables(spark: SparkSession, sf_dir: str):
+    """Yields by customer number, weather by supplier number, soil by part number: sides that differ by themselves."""
+    number = lambda c: F.concat(F.lit("C"), F.col(c))
+    o = _t(spark, sf_dir, "orders")
+    y = o.groupBy(F.year("o_orderdate").alias("year"), "o_custkey", F.col("o_orderpriority").alias("crop")).agg(
+        F.avg("o_totalprice").alias("value"))
+    y = y.select("year", F.lit("ALL").alias("state"), F.concat(F.lit("AD"), F.col("o_custkey") % 10).alias("district"),
+                 number("o_custkey").alias("county"), F.col("o_custkey").cast("string").alias("county_ansi"), "crop",
+                 "value", F.lit("BU / ACRE").alias("unit"))
+    li = _t(spark, sf_dir, "lineitem").withColumns({"state": F.lit("ALL"), "county": number("l_suppkey")})
+    w = season.annual_features(li, keys=["state", "county"], date="l_shipdate", tmax="l_quantity", tmin="l_tax",
+                               sums={"precipitation": "l_extendedprice"}, means={"vp": "l_discount", "srad": "l_tax"})
+    w = w.select("county", "state", "year", "avg_temp", "precipitation", "vp", "srad", "gdd")
+    part = _t(spark, sf_dir, "part").filter(F.col("p_brand").isin(SOIL_BRANDS)).select("p_partkey", "p_retailprice", "p_size")
+    rows = li.withColumn("county", number("l_partkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    s = soil.weighted_mean(rows, ["state", "county"], {"ph": "l_discount", "organic_matter": "l_tax",
+                                                       "sand_pct": "l_quantity", "clay_pct": "p_size"},
+                           soil.component_acres("l_quantity", "p_retailprice"))
+    return y, w, s
+
+
 def q_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G6 + J3 with weather only up to 1999 and no soil for ASIA."""
-    y, w, s = stand_in_tables(spark, sf_dir)
-    return frame.diagnostics(y, w.filter(F.col("year") <= 1999), s.filter(F.col("state") != "ASIA"))
+    """G6 + J3: customers without a supplier of that number and year, or without a surveyed part of it."""
+    return frame.diagnostics(*keyed_tables(spark, sf_dir))
 
 
 def q_unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The yield rows without a weather match (weather only up to 1999)."""
-    y, w, s = stand_in_tables(spark, sf_dir)
-    return round_doubles(frame.unmatched(y, w.filter(F.col("year") <= 1999), s), DIGITS)
+    """The yield rows without a weather match."""
+    return round_doubles(frame.unmatched(*keyed_tables(spark, sf_dir)), DIGITS)
 
 
 def q_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,13 +383,12 @@ def q_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keep_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of 1995-1997 landed against a target holding 1998 onwards."""
+    """Orders of the years in which their customer had nothing shipped."""
     o = orders_years(spark, sf_dir)
-    target = o.filter(F.col("year") >= 1998)
-    landed = o.filter(F.col("year") <= 1997)
-    ranges = gaps.fetch_plan(target, ["o_custkey"], 1995, 2001)
-    kept = gaps.keep_missing(landed, ranges, ["o_custkey"], crop="1-URGENT",
-                             crop_col="o_orderpriority")
+    shipped = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.year("l_shipdate").alias("year"))
+    target = shipped.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ranges = gaps.fetch_plan(target, ["o_custkey"], 1992, 2001)
+    kept = gaps.keep_missing(o, ranges, ["o_custkey"], crop="1-URGENT", crop_col="o_orderpriority")
     return round_doubles(kept.select("o_orderkey", "o_custkey", "year", "o_orderpriority",
                                      "o_totalprice"), DIGITS)
 
@@ -530,8 +548,41 @@ def _size_class(li: DataFrame) -> DataFrame:
 
 def q_cramers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _size_class(_li(spark, sf_dir))
-    out = profile.chi_square(li, "l_returnflag", "l_linestatus").unionByName(
-        profile.chi_square(li, "l_linestatus", "size_class"))
+    return round_doubles(profile.chi_square_pairs(li, [("l_returnflag", "l_linestatus"), ("l_linestatus", "size_class")]),
+                         DIGITS)
+
+
+def q_phik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phi_k of two-valued columns, where the normal's correlation has a closed form."""
+    li = _size_class(_li(spark, sf_dir)).withColumns({
+        "late": F.year("l_shipdate") >= 1996, "dear": F.col("l_extendedprice") > 30000})
+    return round_doubles(phik.phik_matrix(li, [], ["l_linestatus", "size_class", "late", "dear"]), DIGITS)
+
+
+def ranks_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _li(spark, sf_dir).select(
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity"), "l_extendedprice",
+        F.nullif("l_discount", F.lit(0.0)).alias("l_discount"), F.nullif("l_tax", F.lit(0.02)).alias("l_tax"))
+
+
+def q_spearman_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 where each pair has complete rows of its own."""
+    return round_doubles(profile.spearman(ranks_with_nulls(spark, sf_dir)), DIGITS)
+
+
+def q_profile_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6, P7, P11 with NaN in two columns: NaN is missing in all of them."""
+    d = ranks_with_nulls(spark, sf_dir).select(
+        *[F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in ("l_quantity", "l_discount")], "l_extendedprice")
+    per_col, pairs = profile.nullity(d)
+    found = [profile.pearson(d).select(F.lit("pearson").alias("kind"), "x", "y", F.col("r").alias("value")),
+             profile.spearman(d).select(F.lit("spearman").alias("kind"), "x", "y", F.col("r").alias("value")),
+             pairs.select(F.lit("missing").alias("kind"), "x", "y", F.col("r").alias("value")),
+             per_col.select(F.lit("missing").alias("kind"), F.col("feature").alias("x"), F.col("feature").alias("y"),
+                            F.col("missing").cast("double").alias("value"))]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return round_doubles(out, DIGITS)
 
 
@@ -582,12 +633,25 @@ def q_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+KNN_FEATURES = ["orders", "dearest", "c_acctbal"]
+
+
+def q_mi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 by nearest neighbours: what a customer's numbers say about the sum of the orders."""
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("dearest"),
+        F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    d = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return round_doubles(knn_mi.knn_mutual_information(d, KNN_FEATURES, "spent"), DIGITS)
+
+
 def q_mrmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(select.mrmr(_li(spark, sf_dir), MI_FEATURES, "l_extendedprice"), DIGITS)
 
 
 def lineitem_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
+    li = _li(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount", "l_tax",
                                    "l_extendedprice")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = _t(spark, sf_dir, "nation")
@@ -595,7 +659,7 @@ def lineitem_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
               .join(r, n.n_regionkey == r.r_regionkey)
               .select("l_orderkey", "l_linenumber", F.col("r_name").alias("region"),
-                      "l_quantity", "l_extendedprice"))
+                      "l_quantity", "l_discount", "l_tax", "l_extendedprice"))
 
 
 def q_ols_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -605,6 +669,12 @@ def q_ols_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                          DIGITS)
 
 
+def q_regional_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 with trees: price on three features, a tree of depth 2 per region, all grown together."""
+    d = lineitem_regions(spark, sf_dir)
+    return round_doubles(regional.grouped_trees(d, ["region"], MI_FEATURES, "l_extendedprice", max_depth=2, bins=8), DIGITS)
+
+
 def _region_predictions(spark, sf_dir):
     d = lineitem_regions(spark, sf_dir)
     coefs = model.grouped_ols(d, ["region"], ["l_quantity"], "l_extendedprice")
@@ -711,13 +781,23 @@ def q_ada(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 + E3: Shapley values of a forest for every frame row, and global importance."""
-    from pyspark.ml.regression import RandomForestRegressor
+    """Shapley values of a full forest for every frame row and feature, and global importance."""
     f = frame_table(spark, sf_dir)
-    m = model.fit(f, FRAME_KEY, SHAP_FEATURES, "yield",
-                  RandomForestRegressor(labelCol="label", seed=model.SEED, numTrees=10))
-    sv = explain.shap_values(m, f, FRAME_KEY, SHAP_FEATURES)
-    return explain.global_importance(sv)
+    m = model.fit(f, FRAME_KEY, FRAME_FEATURES, "yield", model.estimators()["rf"])
+    return explain.global_importance(explain.shap_values(m, f, FRAME_KEY, FRAME_FEATURES, engine="tree"))
+
+
+def q_shap_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1, the general engine on a model that is not linear: quantity times discount of every order."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    d = _li(spark, sf_dir).groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"), F.count(F.lit(1)).alias("lines"))
+    background = d.groupBy("lines").agg(F.round(F.avg("quantity"), 1).alias("quantity"),
+                                        F.round(F.avg("discount"), 3).alias("discount"))     # a row per line count
+    m = PipelineModel([SQLTransformer(statement="SELECT *, quantity * discount AS prediction FROM __THIS__")])
+    out = explain.shap_values(m, d, ["l_orderkey"], ["quantity", "discount"], background=background, engine="coalition")
+    return round_fixed(out, 4)
 
 
 def q_shap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -782,14 +862,19 @@ QUERIES = {
     "q_nullity_corr": q_nullity_corr,
     "q_pearson": q_pearson,
     "q_spearman": q_spearman,
+    "q_spearman_null": q_spearman_null,
+    "q_profile_nan": q_profile_nan,
     "q_kendall": q_kendall,
     "q_cramers": q_cramers,
+    "q_phik": q_phik,
     "q_auto": q_auto,
     "q_alerts": q_alerts,
     "q_impute": q_impute,
     "q_mi": q_mi,
+    "q_mi_knn": q_mi_knn,
     "q_mrmr": q_mrmr,
     "q_ols_group": q_ols_group,
+    "q_regional_trees": q_regional_trees,
     "q_metrics": q_metrics,
     "q_residuals": q_residuals,
     "q_error_line": q_error_line,
@@ -803,6 +888,7 @@ QUERIES = {
     "q_vc_ridge": q_vc_ridge,
     "q_ada": q_ada,
     "q_shap": q_shap,
+    "q_shap_product": q_shap_product,
     "q_shap_linear": q_shap_linear,
     "q_lime": q_lime,
 }
