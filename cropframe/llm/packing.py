@@ -24,12 +24,16 @@ Defined results
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,36 +152,77 @@ def pack(lengths: list[int], loss: list[np.ndarray | None] | None = None,
         yield from closed(seq, limits.tokens)
 
 
+#: Characters that no normal form changes, that lower-case alike everywhere and whose class is settled: visible
+#: ASCII and the precomposed Latin letters up to U+017F, without the two whose small form has two characters.
+_SETTLED = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself if visible, else the next from U+0100."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in seen)}
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer never joins anything across white space.
 
     Words between ASCII white space are encoded once and remembered, in two
     generations of bounded size, so that words in use outlive the others; the
-    rest of a text's work is dictionary look-ups. New words are encoded
-    together, with a special token between them.
+    rest of a text's work is dictionary look-ups. A new word of settled
+    characters is split where the tokenizer's own pre-tokenizer splits it, and
+    only pieces not seen before go through the tokenizer's merges; other words
+    go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.split = self._splitter(made)
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    @staticmethod
+    def _splitter(made: dict):
+        """The pre-tokenizer's pattern, if the file lower-cases, splits by it and merges bytes; else None."""
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if (steps != ["NFC", "Replace", "Lowercase"] or first.get("type") != "Split" or not first.get("invert")
+                or first.get("behavior") != "Removed" or [r["type"] for r in rest] != ["ByteLevel"]
+                or rest[0]["add_prefix_space"] or rest[0]["use_regex"] or made["model"]["type"] != "BPE"):
+            return None
+        return regex.compile(first["pattern"]["Regex"]).findall
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= MEMO_LENGTH:
+                if len(self.pieces) >= MEMO_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = known
+        return known
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; a word that holds a special token's text is encoded alone."""
+        """Ids of each word."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        if self.mark_id is None or any("<|" in t for t in texts):
-            return [self._one(t) for t in texts]
-        joined = f" {self.mark} ".join(texts)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark_id)
-        starts, ends = [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)]
-        return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
+        out: list[bytes | None] = [None] * len(texts)
+        if self.split:
+            for i, t in enumerate(texts):
+                if _SETTLED.fullmatch(t) and not ("<" in t and any(s in t for s in self.special)):
+                    out[i] = b"".join(map(self._piece, self.split(t.lower())))
+        whole = [i for i, x in enumerate(out) if x is None]
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        for i, e in zip(whole, found, strict=True):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
