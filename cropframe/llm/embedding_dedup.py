@@ -6,8 +6,11 @@ so they stand close in most orders; every vector is compared with the next
 ``window`` vectors of each pass. Pairs whose cosine (double precision) reaches
 the threshold are links; where a vector's links still reach the edge of its
 window, the window grows fourfold, in bounded tiles, until they stop. The links
-of all passes together give the components, and the number of passes follows
-from the number of vectors.
+of all passes together give the components. The number of passes starts from the
+number of vectors and goes by measured recall: a bounded sample of vectors is
+compared with all others, and while their links lie in different components too
+often (vectors that crowd in one direction share long prefixes without being
+near), as many passes again are run with new hyperplanes.
 
 A link never leaves its component, so links are counted there over all pairs,
 not over the pairs that some pass met: a component is cut into blocks of bounded
@@ -19,9 +22,10 @@ Defined results
 * null vectors, vectors with null or non-finite components, empty vectors and
   zero vectors link with nothing and keep their own row;
 * vectors of different length never link;
-* one row per id: identical rows count once, and of several different vectors
-  under one id the smallest (in array order) counts;
-* a null id keeps its row, with component null and kept true;
+* identical rows count once; several different vectors under one id are a row
+  each, and link like any others;
+* a row with a null id links with nothing and stays, with component null and kept
+  true;
 * empty table: empty result; extra columns are ignored.
 """
 
@@ -47,6 +51,9 @@ THRESHOLD = 0.9
 MISS = 1e-4
 #: Rows of a cosine matrix computed at a time.
 STRIP = 512
+#: Vectors that are compared with all others to measure the passes, and the share of their links that must be met.
+PROBES = 2_048
+RECALL = 0.998
 
 
 def passes_for(rows: int, window: int = WINDOW, threshold: float = THRESHOLD) -> int:
@@ -262,25 +269,76 @@ def count_links(classes: DataFrame, comp: DataFrame, threshold: float = THRESHOL
     return counted.groupBy("rep").agg(F.sum("others").alias("others"))
 
 
+def _probe(probes, threshold: float):
+    """Links of the probes with a batch's vectors, by the component of these: probe, label, links."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for dim, part in f.groupby(f["vec"].map(len)):
+                if dim not in probes.value:
+                    continue
+                reps, x = probes.value[dim]
+                labels, at = np.unique(part["label"].to_numpy(), return_inverse=True)
+                y, rep = unit_rows(part["vec"]), part["rep"].to_numpy()
+                for lo in range(0, len(reps), STRIP):
+                    i, j = np.nonzero((x[lo:lo + STRIP] @ y.T >= threshold) & (reps[lo:lo + STRIP, None] != rep))
+                    pairs, count = np.unique(i * len(labels) + at[j], return_counts=True)
+                    yield pd.DataFrame({"probe": reps[lo + pairs // len(labels)], "label": labels[pairs % len(labels)],
+                                        "links": count})
+    return run
+
+
+def recall_of(classes: DataFrame, comp: DataFrame, probes, threshold: float) -> float:
+    """Share of the probes' links, of all and of each probe's on average, whose ends lie in one component."""
+    labelled = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", "vec", F.coalesce("component", "rep").alias("label"))
+    found = labelled.mapInPandas(_probe(probes, threshold), "probe long, label long, links long")
+    own = comp.select(F.col("id").alias("probe"), F.col("component").alias("own"))
+    each = found.groupBy("probe", "label").agg(F.sum("links").alias("links")).join(own, "probe", "left").groupBy("probe").agg(
+        F.sum("links").alias("links"), F.sum(F.when(F.col("label") == F.col("own"), F.col("links")).otherwise(0)).alias("met"))
+    r = each.agg(F.sum("links"), F.sum("met"), F.avg(F.col("met") / F.col("links"))).first()
+    return min(r[1] / r[0], r[2]) if r[0] else 1.0
+
+
+def linked_components(classes: DataFrame, passes: int | None, window: int, threshold: float, seed: int,
+                      target: float = RECALL) -> DataFrame:
+    """(id, component) of the linked ``classes`` (rep, vec); passes are added until ``target`` of the probes' links are met.
+
+    Adding stops where the passes have cost as many comparisons as all pairs would.
+    """
+    spark, rows = classes.sparkSession, classes.count()
+    sample = classes.orderBy(F.xxhash64("vec"), "rep").limit(PROBES).toPandas()      # bounded by PROBES
+    probes = spark.sparkContext.broadcast({dim: (part["rep"].to_numpy(), unit_rows(part["vec"]))
+                                           for dim, part in sample.groupby(sample["vec"].map(len))})
+    done, more, pairs = 0, passes or passes_for(rows, window, threshold), None
+    while True:
+        new = links(classes, more, window, threshold, seed + done, spans=True)
+        pairs = staged(new if pairs is None else pairs.unionByName(new), "links")
+        comp = staged(connected_components(pairs, "vec"), "components")
+        done += more
+        if done * window >= rows or recall_of(classes, comp, probes, threshold) >= target:
+            return comp
+        more = done
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     passes: int | None = None, window: int = WINDOW, threshold: float = THRESHOLD,
                     seed: int = 11) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector; ``passes`` follows from their number unless given."""
+    """vec_id, n_links, component_id, kept for every vector; ``passes`` (the first ones) follows from their number."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
-    good = staged(rows.where(usable() & F.col("id").isNotNull()), "vectors")
-    rest = rows.where(~(usable() & F.col("id").isNotNull()))
-    classes = staged(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    passes = passes or passes_for(classes.count(), window, threshold)
-    pairs = staged(links(classes.select("rep", "vec"), passes, window, threshold, seed, spans=True), "links")
-    comp = staged(connected_components(pairs, "vec"), "components")
+    nameless, rows = rows.where("id is null"), rows.where("id is not null").dropDuplicates(["id", "vec"])
+    good = staged(rows.where(usable()), "vectors")
+    rest = rows.where(~usable()).unionByName(nameless)
+    classes = good.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    # a number of its own for each class: an id may stand for several vectors
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    comp = linked_components(classes.select("rep", "vec"), passes, window, threshold, seed)
     linked = count_links(classes, comp, threshold)
-    info = staged(classes.join(linked, "rep", "left").join(
-        comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "vec", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id")), "class-info")
-    out = good.join(info, "vec").select(F.col("id").alias("vec_id"), "n_links", "component_id",
-                                        (F.col("id") == F.col("component_id")).alias("kept"))
+    info = staged(classes.join(linked, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "vec", "first", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("label")), "class-info")
+    names = info.groupBy("label").agg(F.min("first").alias("component_id"))
+    out = good.join(info.join(names, "label"), "vec").select(F.col("id").alias("vec_id"), "n_links", "component_id",
+                                                            (F.col("id") == F.col("component_id")).alias("kept"))
     alone = rest.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"),
                         F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)

@@ -218,10 +218,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents whose id is the smallest of their component, all columns kept.
 
     Rows with a null id are kept (they can be nobody's copy by id); of rows
-    that repeat an id one stays.
+    that repeat both an id and a text one stays.
     """
     found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius)
     key = fresh(docs, "first_id")[0]
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(first, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col, text_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -13,7 +13,10 @@ holds one shard and one batch, however many queries there are.
 
 Defined results
 * vectors that are null or hold null or non-finite components take no part, nor
-  do vectors so long that a score could leave 64 bits (length 2^31 or more);
+  do those with a component that is no 64-bit integer once scaled;
+* scores are exact; where two vectors are so long that their score could leave
+  64 bits it is computed in big integers, and one that does leave them reads as
+  the largest or smallest 64-bit integer;
 * vectors of another length than the query's are no candidates of it;
 * empty vectors score 0 with each other;
 * rows with a null id take no part; identical rows count once, and of several
@@ -49,6 +52,7 @@ class BallTree:
         if len(ids):
             self._grow(0, len(ids))
         self.ids, self.x = ids[self.order], x[self.order]
+        self.longest = float(np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1).max())) if len(ids) else 0.0
         self.centres = np.array(self.centres).reshape(len(self.radii), x.shape[1])
         self.radii = np.array(self.radii)
         del self._x
@@ -78,6 +82,7 @@ class BallTree:
     def search(self, query: np.ndarray, own: int, k: int, floor: float, bound: np.ndarray) -> list[tuple[int, int]]:
         """Up to k best (score, -id) of the tree with a score of at least ``floor``."""
         best: list[tuple[int, int]] = []
+        length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
         todo = [(-bound[0], 0)] if len(self.ids) else []
         while todo:
             top, node = heapq.heappop(todo)
@@ -89,7 +94,11 @@ class BallTree:
                         heapq.heappush(todo, (-bound[kid], kid))
                 continue
             lo, hi = self.spans[node]
-            scores = self.x[lo:hi] @ query
+            if length * self.longest < 2.0 ** 62:
+                scores = self.x[lo:hi] @ query
+            else:
+                exact = self.x[lo:hi].astype(object) @ query.astype(object)
+                scores = np.array([min(max(int(s), -2 ** 63), 2 ** 63 - 1) for s in exact], dtype=np.int64)
             least = best[0][0] if len(best) == k else floor
             for i in np.flatnonzero(scores >= least):
                 item = (int(scores[i]), -int(self.ids[lo + i]))
@@ -108,10 +117,9 @@ def quantised(vec: Column, scale: int = 1024) -> Column:
 
 
 def searchable(vec: Column, scale: int = 1024) -> Column:
-    """All components finite, and so short that every score fits 64 bits."""
-    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    square = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double") * float(scale) ** 2)
-    return vec.isNotNull() & F.coalesce(finite & (square < 2.0 ** 61), F.lit(False))
+    """All components finite, and 64-bit integers once scaled."""
+    fits = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < 2.0 ** 63))
+    return vec.isNotNull() & F.coalesce(fits, F.lit(False))
 
 
 def _run(k: int, leaf: int):

@@ -138,3 +138,49 @@ def test_passes_follow_from_the_rows():
     assert embedding_dedup.passes_for(0) == embedding_dedup.passes_for(6_000) == embedding_dedup.PASSES
     assert embedding_dedup.passes_for(10**6) > embedding_dedup.PASSES
     assert embedding_dedup.passes_for(10**8) > embedding_dedup.passes_for(10**6)
+
+
+def test_crowded_vectors_are_met(spark):
+    """Vectors that all point one way (mean cosine 0.8), with pairs at 0.905 among them: passes go on until they are met."""
+    rng = np.random.default_rng(6)
+    n, dim, planted = 4000, 128, 400
+    common = rng.standard_normal(dim)
+    common /= np.linalg.norm(common)
+
+    def around(centre, cosine, k):
+        y = rng.standard_normal((k, dim))
+        y -= (y @ centre.T if centre.ndim == 1 else np.einsum("ij,ij->i", y, centre))[:, None] * centre
+        return cosine * centre + np.sqrt(1 - cosine ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    x = around(common, np.sqrt(0.8), n)
+    x[n - planted:] = around(x[:planted], 0.905, planted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    y = x.astype(np.float32).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = (y @ y.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, passes=8, window=8).collect()}
+    met = sum(got[i]["n_links"] for i in range(n)) / links.sum()
+    assert links.sum() >= 2 * 0.9 * planted and met >= 0.99
+    few = embedding_dedup.links(df.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("vec")), 8, 8)
+    assert few.count() < 0.7 * links.sum() / 2      # the first passes alone would not do
+
+
+def test_rows_of_one_id_and_without_id_stay(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0]),
+            (None, None), (4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(embedding_dedup.near_duplicates(df).collect(), key=str)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None) == [
+        (1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True)]
+    assert sum(r["vec_id"] is None and r["n_links"] == 0 and r["kept"] for r in got) == 3
+
+
+def test_long_vectors_are_searched(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2e6, 0.0]), (2, [0.5, 0.5]), (3, [-2e9, 1e9]), (4, [3e15, 3e15]), (5, [1e30, 0.0]), (6, [-3e15, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") < 5, k=3).collect()}
+    x = {i: [int(np.floor(1024 * v)) for v in e] for i, e in rows if i != 5}
+    for q in range(5):
+        score = {i: sum(a * b for a, b in zip(x[q], c, strict=True)) for i, c in x.items() if i != q}
+        best = sorted((-max(-2 ** 63, min(2 ** 63 - 1, s)), i) for i, s in score.items())[:3]
+        assert [got[(q, k + 1)] for k in range(3)] == [(i, -s) for s, i in best]
