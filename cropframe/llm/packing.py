@@ -33,7 +33,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +42,7 @@ from cropframe.llm.common import held
 BLOCK_TOKENS = 1 << 20
 BLOCK_ROWS = 4096
 MEMO_WORDS = 250_000
+MEMO_PIECES = 400_000
 MEMO_LENGTH = 48
 
 
@@ -154,7 +154,10 @@ def pack(lengths: list[int], loss: list[np.ndarray | None] | None = None,
 
 #: Characters that no normal form changes, that lower-case alike everywhere and whose class is settled: visible
 #: ASCII and the precomposed Latin letters up to U+017F, without the two whose small form has two characters.
-_SETTLED = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]*")
+_VISIBLE = "\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+_SETTLED = re.compile(f"[\t-\r {_VISIBLE}]*")
+#: The small letters and the digits among them, in place of the classes of a pattern.
+_SMALL, _DIGITS = "a-z\u00df-\u00f6\u00f8-\u017f", "0-9"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -163,15 +166,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in seen)}
 
 
+class Pieces(dict):
+    """Ids of each piece of text that the merges have seen, in two generations of bounded size."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters, self.older = model, _byte_letters(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is None:
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = known
+        return known
+
+
 class WordTokenizer:
-    """Ids of whole texts, word by word: the tokenizer never joins anything across white space.
-
-    Words between ASCII white space are encoded once and remembered, in two
-    generations of bounded size, so that words in use outlive the others; the
-    rest of a text's work is dictionary look-ups. A new word of settled
-    characters is split where the tokenizer's own pre-tokenizer splits it, and
-    only pieces not seen before go through the tokenizer's merges; other words
-    go through the whole tokenizer.
+    """Ids of whole texts: the tokenizer never joins anything across white space.
+
+    A text of settled characters is lower-cased and split where the tokenizer's
+    own pre-tokenizer splits it, and only pieces not seen before go through the
+    tokenizer's merges; the rest of its work is dictionary look-ups. Any other
+    text goes word by word: words between ASCII white space are encoded once,
+    by the whole tokenizer where they are not settled, and remembered, in two
+    generations of bounded size, so that words in use outlive the others.
     """
 
     def __init__(self, path: str):
@@ -182,8 +206,7 @@ class WordTokenizer:
             made = json.load(f)
         self.special = [t["content"] for t in made["added_tokens"]]
         self.split = self._splitter(made)
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.tokenizer.model)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -196,28 +219,21 @@ class WordTokenizer:
                 or first.get("behavior") != "Removed" or [r["type"] for r in rest] != ["ByteLevel"]
                 or rest[0]["add_prefix_space"] or rest[0]["use_regex"] or made["model"]["type"] != "BPE"):
             return None
-        return regex.compile(first["pattern"]["Regex"]).findall
+        pattern = first["pattern"]["Regex"]
+        if set(re.findall(r"\\p\{\w+\}", pattern)) - {r"\p{L}", r"\p{N}"}:
+            return None
+        return re.compile(pattern.replace(r"\p{L}", _SMALL).replace(r"\p{N}", _DIGITS)).findall
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= MEMO_LENGTH:
-                if len(self.pieces) >= MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
+    def _settled(self, text: str) -> bytes | None:
+        """Ids of a text by its pieces, or None if it needs the whole tokenizer."""
+        if self.split is None or not _SETTLED.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        out: list[bytes | None] = [None] * len(texts)
-        if self.split:
-            for i, t in enumerate(texts):
-                if _SETTLED.fullmatch(t) and not ("<" in t and any(s in t for s in self.special)):
-                    out[i] = b"".join(map(self._piece, self.split(t.lower())))
+        out = [self._settled(t) for t in texts]
         whole = [i for i, x in enumerate(out) if x is None]
         found = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         for i, e in zip(whole, found, strict=True):
@@ -226,6 +242,13 @@ class WordTokenizer:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        out = [self._settled(t.decode("utf-8", "replace")) for t in texts]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(other, self._by_words([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # bytes split at ASCII white space only
         recent, older = self.recent, self.older
         if len(recent) > MEMO_WORDS:
