@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cropframe.session import checkpoint_dir
+from cropframe.session import checkpoint_dir, scratch_path
 
 SEED = 42
 ROWS_PER_TASK = 250_000
 # The library's default experiment settings.
 TRAIN_SHARE = 0.7
 DEFAULT_FOLDS = 10
+PARALLEL_FITS = 8
 
 
 # --------------------------------------------------------------------------- M3
@@ -167,9 +170,12 @@ def prediction_error_line(pred: DataFrame, group: list[str], label: str = "label
 def compare_models(df: DataFrame, keys: list[str], numeric: list[str], label: str,
                    categorical: list[str] | None = None, models: dict | None = None,
                    folds: int = DEFAULT_FOLDS, seed: int = SEED,
-                   train_share: float = TRAIN_SHARE):
+                   train_share: float = TRAIN_SHARE, parallelism: int = PARALLEL_FITS):
     """M4: k-fold cross validation of every model -> (leaderboard, predictions).
 
+    Fits of several folds and models run at a time, at most ``parallelism`` of
+    them: most jobs of one fit are too small to fill a cluster.
+
     As in the experiment setup, the folds cover the training split
     (``train_share`` of the rows by key hash); the rest is held out. The
     leaderboard averages fold metrics per model and is ordered by R2 (the
@@ -183,15 +189,22 @@ def compare_models(df: DataFrame, keys: list[str], numeric: list[str], label: st
                       .filter(F.col("label").isNotNull()), keys, folds, seed)
     # laid out once; a fold's filter keeps the layout, so no fit shuffles its rows again
     data = materialize(stable_layout(materialize(data), keys))
-    preds = None
-    for name, est in models.items():
-        for k in range(folds):
-            train = data.filter(F.col("fold") != k)
-            fitted = pipeline(est.copy(), numeric, categorical).fit(train)
-            p = fitted.transform(data.filter(F.col("fold") == k)).select(
-                *keys, F.lit(name).alias("model"), "fold", "label", "prediction")
-            preds = p if preds is None else preds.unionByName(p)
-    preds = materialize(preds)     # scored once, read by the leaderboard and the caller
+    schema = data.select(*keys, F.lit("").alias("model"), "fold", "label", F.lit(0.0).alias("prediction")).schema
+
+    def one(job: tuple[str, int]) -> str:
+        """Fit on the other folds, score the fold, write its rows to the shared folder."""
+        name, k = job
+        fitted = pipeline(models[name].copy(), numeric, categorical).fit(data.filter(F.col("fold") != k))
+        path = scratch_path(df.sparkSession, "fold-predictions")
+        fitted.transform(data.filter(F.col("fold") == k)).select(
+            *keys, F.lit(name).alias("model"), "fold", "label", "prediction").write.parquet(path)
+        return path
+
+    jobs = [(name, k) for name in models for k in range(folds)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        paths = list(pool.map(inheritable_thread_target(df.sparkSession)(one), jobs))
+    # scored once, read by the leaderboard and the caller
+    preds = df.sparkSession.read.schema(schema).parquet(*paths)
     per_fold = metrics(preds, ["model", "fold"])
     board = per_fold.groupBy("model").agg(*[F.avg(c).alias(c) for c in
                                            ("mae", "mse", "rmse", "r2", "rmsle", "mape")])

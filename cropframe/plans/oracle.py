@@ -916,25 +916,25 @@ def regional_trees_sql(depth: int, bins: int = 8) -> str:
                  f"len(list_filter(e{i}, lambda t: {c} > t)) AS b{i}" for i, c in enumerate(cols)) + " FROM d, e)"]
     out = []
     for k in range(depth):
-        parts.append(f"""cells{k} AS (SELECT region, node, at, bin, count(*) AS n, sum(y) AS s
-  FROM (SELECT region, node, y, unnest([0, 1, 2]) AS at, unnest([b0, b1, b2]) AS bin FROM rows{k}) GROUP BY ALL)""")
-        parts.append(f"""side{k} AS (SELECT region, node, at, bin, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
-  sum(n) OVER (PARTITION BY region, node, at) AS n, sum(s) OVER (PARTITION BY region, node, at) AS s
-  FROM cells{k} WINDOW w AS (PARTITION BY region, node, at ORDER BY bin ROWS UNBOUNDED PRECEDING))""")
+        parts.append(f"""cells{k} AS (SELECT region, node, col, bin, count(*) AS n, sum(y) AS s
+  FROM (SELECT region, node, y, unnest([0, 1, 2]) AS col, unnest([b0, b1, b2]) AS bin FROM rows{k}) GROUP BY ALL)""")
+        parts.append(f"""side{k} AS (SELECT region, node, col, bin, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
+  sum(n) OVER (PARTITION BY region, node, col) AS n, sum(s) OVER (PARTITION BY region, node, col) AS s
+  FROM cells{k} WINDOW w AS (PARTITION BY region, node, col ORDER BY bin ROWS UNBOUNDED PRECEDING))""")
         parts.append(f"""best{k} AS (SELECT *, ln * (n - ln) / n * power(ls / ln - (s - ls) / (n - ln), 2) AS gain
-  FROM side{k} WHERE n > ln QUALIFY row_number() OVER (PARTITION BY region, node ORDER BY gain DESC, at, bin) = 1)""")
-        parts.append(f"""nodes{k} AS (SELECT t.region, t.node, t.n, t.p, at, bin, gain FROM
+  FROM side{k} WHERE n > ln QUALIFY row_number() OVER (PARTITION BY region, node ORDER BY gain DESC, col, bin) = 1)""")
+        parts.append(f"""nodes{k} AS (SELECT t.region, t.node, t.n, t.p, col, bin, gain FROM
   (SELECT region, node, count(*) AS n, avg(y) AS p FROM rows{k} GROUP BY region, node) t
   LEFT JOIN (SELECT * FROM best{k} WHERE gain > 1e-12) b ON b.region = t.region AND b.node = t.node)""")
-        parts.append(f"""rows{k + 1} AS (SELECT r.region, y, 2 * r.node + CAST(CASE b.at WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END
+        parts.append(f"""rows{k + 1} AS (SELECT r.region, y, 2 * r.node + CAST(CASE b.col WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END
   > b.bin AS INTEGER) AS node, b0, b1, b2 FROM rows{k} r JOIN nodes{k} b ON b.region = r.region AND b.node = r.node
-  WHERE b.at IS NOT NULL)""")
-        out.append(f"SELECT region, node, n, p, at, bin, gain FROM nodes{k}")
+  WHERE b.col IS NOT NULL)""")
+        out.append(f"SELECT region, node, n, p, col, bin, gain FROM nodes{k}")
     out.append(f"SELECT region, node, count(*), avg(y), NULL, NULL, NULL FROM rows{depth} GROUP BY region, node")
     return f"""WITH {', '.join(parts)}, every AS ({' UNION ALL '.join(out)})
 SELECT region, CAST(node AS INTEGER) AS node, CAST(n AS BIGINT) AS n, {r6('p', 'prediction')},
-       CASE at WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS feature,
-       {r6('CASE at WHEN 0 THEN e0[bin + 1] WHEN 1 THEN e1[bin + 1] WHEN 2 THEN e2[bin + 1] END', 'threshold')},
+       CASE col WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS feature,
+       {r6('CASE col WHEN 0 THEN e0[bin + 1] WHEN 1 THEN e1[bin + 1] WHEN 2 THEN e2[bin + 1] END', 'threshold')},
        {r6('gain')}
 FROM every, e"""
 
