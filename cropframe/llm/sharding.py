@@ -6,6 +6,8 @@ bytes per slot ask for it. Records never move between slots, so a rebalance
 rewrites only the slots whose entry changed.
 
 Defined results
+* law `bytes`: slots hash (id, text), so equal texts are not kept together and a
+  group of copies spreads over the shards;
 * null text: size 1 (no bytes plus one), CRC of the empty string;
 * null id: hashes like any other value;
 * repeated rows: the same slot, next to each other;
@@ -123,6 +125,16 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r["shard"] for r in sorted(rows, key=lambda r: r["vslot"])]
 
 
+def stored_version(spark: SparkSession, path: str | None) -> int:
+    """The latest version of the map under ``path``, 0 if there is none."""
+    if not path:
+        return 0
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+
+
 def assign(recs: DataFrame, mapping: Sequence[int]) -> DataFrame:
     """Records with their shard and their place ``slot`` in it, gapless from 0.
 
@@ -145,10 +157,24 @@ def assign(recs: DataFrame, mapping: Sequence[int]) -> DataFrame:
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id",
                    text_col: str = "text", map_path: str | None = None) -> DataFrame:
-    """Records in ``shards`` shards of near equal bytes; the map is stored as version 1."""
+    """Records in ``shards`` shards of near equal bytes.
+
+    Where ``map_path`` holds a map, its latest version is edited for the bytes
+    that the slots have now (``rebalance``) and stored as the next version, so
+    only the records of the moved slots change their shard; else a fresh map is
+    stored as version 1. A map with another number of slots is an error.
+    """
     from cropframe.llm.common import staged
 
+    spark = docs.sparkSession
     recs = staged(records(docs, id_col, text_col, slots), "shard-records")
-    mapping = balanced_map(weights_of(recs, slots), shards)
-    path = store_map(docs.sparkSession, mapping, 1, map_path)
-    return assign(recs, load_map(docs.sparkSession, path, 1))
+    weights, version = weights_of(recs, slots), stored_version(spark, map_path)
+    if version:
+        old = load_map(spark, map_path, version)
+        if len(old) != slots:
+            raise ValueError(f"the stored map has {len(old)} slots, not {slots}")
+        mapping = rebalance(old, weights, shards)
+    else:
+        mapping = balanced_map(weights, shards)
+    path = store_map(spark, mapping, version + 1, map_path)
+    return assign(recs, load_map(spark, path, version + 1))

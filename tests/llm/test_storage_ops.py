@@ -114,6 +114,30 @@ def test_map_versions(spark, tmp):
     assert sharding.load_map(spark, path) == [0, 1, 2, 0]
 
 
+def test_a_second_run_edits_the_stored_map(spark, tmp):
+    """The shard of every row is the stored map's entry of its slot; a grown table moves only slots that the edit names."""
+    rows = [(i, "x" * (i * 37 % 90)) for i in range(3000)]
+    path, kinds = f"{tmp}/slots", "doc_id long, text string"
+    first = {r["doc_id"]: r for r in sharding.shard_by_bytes(
+        spark.createDataFrame(rows, kinds), 4, 64, map_path=path).collect()}
+    old = sharding.load_map(spark, path, 1)
+    assert all(r["shard"] == old[r["vslot"]] for r in first.values())
+    heavy = [r["doc_id"] for r in first.values() if r["shard"] == 2]
+    grown = spark.createDataFrame(rows + [(5000 + i, "y" * 400) for i in range(40)], kinds)
+    second = {r["doc_id"]: r for r in sharding.shard_by_bytes(grown, 4, 64, map_path=path).collect()}
+    new = sharding.load_map(spark, path)
+    weights = [0] * 64
+    for r in second.values():
+        weights[r["vslot"]] += r["size"]
+    assert new == sharding.rebalance(old, weights, 4) and new != old and heavy
+    for k, r in first.items():
+        assert second[k]["vslot"] == r["vslot"]
+        assert (second[k]["shard"] != r["shard"]) == (new[r["vslot"]] != old[r["vslot"]])
+    assert all(r["shard"] == new[r["vslot"]] for r in second.values())
+    with pytest.raises(ValueError):
+        sharding.shard_by_bytes(grown, 4, 128, map_path=path)
+
+
 def test_sharding_plan_is_native(odd_docs, no_docs):
     plan = sharding.shard_by_bytes(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
