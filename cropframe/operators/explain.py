@@ -190,6 +190,44 @@ def _bin(col, qs):
     return (F.when(col <= qs[0], 0).when(col <= qs[1], 1).when(col <= qs[2], 2).otherwise(3))
 
 
+# Coefficients of Wichura's algorithm AS 241 (1988) for the normal quantile, lowest power first.
+_CENTRE = ([3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+            4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
+           [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+            2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3])
+_FLANK = ([1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+           1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4],
+          [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+           1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9])
+_TAIL = ([6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+          2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+         [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+          7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15])
+
+
+def normal_quantile(p):
+    """Inverse of the normal distribution function as a column expression (to 1e-15); NULL outside (0, 1)."""
+    def ratio(parts, x):
+        def power_sum(coefs):
+            out = F.lit(coefs[-1])
+            for c in reversed(coefs[:-1]):
+                out = out * x + F.lit(c)
+            return out
+        return power_sum(parts[0]) / power_sum(parts[1])
+
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
+    outer = F.when(r <= 5, ratio(_FLANK, r - 1.6)).otherwise(ratio(_TAIL, r - 5.0))
+    value = F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q)).when(q < 0, -outer).otherwise(outer)
+    return F.when((p > 0) & (p < 1), value)
+
+
+def _truncated(mean: float, sd: float, low: float, high: float) -> tuple[float, ...]:
+    """mean, sd, the ends of a bin, and the normal distribution function at its ends."""
+    below = [0.5 * math.erfc((mean - x) / (sd * math.sqrt(2))) if sd else 0.5 for x in (low, high)]
+    return (mean, sd, low, high, *below)
+
+
 def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: list[str],
          features: list[str], n_samples: int = LIME_SAMPLES, k: int = LIME_TOP,
          seed: int = SEED, selection: str = "highest_weights") -> DataFrame:
@@ -202,8 +240,9 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
 
     Quartile bins of the training data define the interpretable features
     (1 = same bin as the instance). For each instance, ``n_samples`` points
-    are drawn (bins by their training frequency, values uniform inside the
-    bin), scored by the model, weighted by an exponential kernel of width
+    are drawn (bins by their training frequency, values from the normal
+    distribution of the bin's training mean and deviation, cut to the bin), scored by
+    the model, weighted by an exponential kernel of width
     0.75 * sqrt(p) on the scaled binary distance, and a ridge regression on
     the binary features is fitted from grouped Gram sums. The k largest
     |weights| are kept and refitted.
@@ -219,14 +258,16 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), _bin(F.col(f), qs[f]).alias("b"), F.col(f).alias("v"))
         for f in features])).alias("t")).select("t.*")
-    cells = long.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                             F.max("v").alias("hi")).collect()    # at most 4 rows a feature
+    cells = long.groupBy("feature", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
+        F.stddev_pop("v").alias("sd")).collect()    # at most 4 rows a feature
     freq, box, stats = {}, {}, {}
     for f in features:
         own = {r["b"]: r for r in cells if r["feature"] == f}
         tot = sum(r["n"] for r in own.values())
         freq[f] = {b: r["n"] / tot for b, r in own.items()}
-        box[f] = {b: (r["lo"], r["hi"]) for b, r in own.items()}
+        box[f] = {b: _truncated(r["mean"], r["sd"], qs[f][b - 1] if b else r["lo"], qs[f][b] if b < 3 else r["hi"])
+                  for b, r in own.items()}
         stats[f"m_{f}"] = sum(b * q for b, q in freq[f].items())
         stats[f"s_{f}"] = math.sqrt(sum(q * (b - stats[f"m_{f}"]) ** 2 for b, q in freq[f].items()))
     width = 0.75 * math.sqrt(p)
@@ -245,9 +286,10 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
             cum += freq[f][bb]
             b = F.when(u <= F.lit(cum), F.lit(bb)) if b is None else b.when(u <= F.lit(cum), F.lit(bb))
         b = b.otherwise(F.lit(max(freq[f])))
-        lo = F.element_at(F.create_map(*sum(([F.lit(x), F.lit(box[f][x][0])] for x in box[f]), [])), b)
-        hi = F.element_at(F.create_map(*sum(([F.lit(x), F.lit(box[f][x][1])] for x in box[f]), [])), b)
-        val = lo + draw(2 * j + 1) * (hi - lo)
+        mean, sd, low, high, left, right = (
+            F.element_at(F.create_map(*sum(([F.lit(x), F.lit(float(box[f][x][i]))] for x in box[f]), [])), b) for i in range(6))
+        z = normal_quantile(left + draw(2 * j + 1) * (right - left))
+        val = F.when(sd > 0, F.greatest(low, F.least(high, mean + sd * z))).otherwise(mean)
         first = F.col("_s") == 0
         cols.append(F.when(first, F.col(f)).otherwise(val).alias(f))
         zs.append(F.when(first, F.lit(1.0)).otherwise(

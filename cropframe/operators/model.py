@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -22,7 +23,9 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
@@ -85,9 +88,42 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class ModeImputer(Estimator, HasInputCols, HasOutputCols):
+    """M3: a category's NULL becomes the column's most frequent value (ties: the smallest).
+
+    All columns are counted in one long aggregate; one value a column reaches the
+    driver. A column without any value keeps its NULLs.
+    """
+
+    def __init__(self, inputCols: list[str], outputCols: list[str]):
+        super().__init__()
+        self._set(inputCols=inputCols, outputCols=outputCols)
+
+    def _fit(self, df: DataFrame) -> ModeImputerModel:
+        cols = self.getInputCols()
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+                                             for c in cols])).alias("t")).select("t.*").filter("value is not null")
+        counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+        found = counts.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("c"), F.col("value"))).alias("mode")).collect()
+        model = ModeImputerModel()
+        model._set(inputCols=cols, outputCols=self.getOutputCols(), fills=json.dumps({r["feature"]: r["mode"] for r in found}))
+        return model
+
+
+class ModeImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted ``ModeImputer``; saved and read like any other stage."""
+
+    fills = Param(Params._dummy(), "fills", "most frequent value of each column, as JSON", TypeConverters.toString)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fills = json.loads(self.getOrDefault(self.fills))
+        return df.withColumns({out: F.coalesce(F.col(c).cast("string"), F.lit(fills.get(c))) for c, out in zip(
+            self.getInputCols(), self.getOutputCols(), strict=True)})
+
+
 def pipeline(estimator, numeric: list[str], categorical: list[str] | None = None,
              features_col: str = "features") -> Pipeline:
-    """M3: mean imputation, one-hot categories, assembled vector, estimator."""
+    """M3: mean imputation, mode imputation and one-hot categories, assembled vector, estimator."""
     categorical = categorical or []
     stages = []
     num_out = [f"{c}__imp" for c in numeric]
@@ -95,9 +131,10 @@ def pipeline(estimator, numeric: list[str], categorical: list[str] | None = None
         stages.append(Imputer(strategy="mean", inputCols=numeric, outputCols=num_out))
     cat_out = []
     if categorical:
-        idx = [f"{c}__idx" for c in categorical]
+        filled, idx = [f"{c}__mode" for c in categorical], [f"{c}__idx" for c in categorical]
         cat_out = [f"{c}__ohe" for c in categorical]
-        stages.append(StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep"))
+        stages.append(ModeImputer(inputCols=categorical, outputCols=filled))
+        stages.append(StringIndexer(inputCols=filled, outputCols=idx, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=cat_out, handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=num_out + cat_out, outputCol=features_col,
                                   handleInvalid="keep"))
@@ -238,7 +275,7 @@ def slot_names(model: PipelineModel, features: list[str], slots: int) -> list[st
     for stage in model.stages[:-1]:
         if hasattr(stage, "labelsArray"):
             for col, names in zip(stage.getInputCols(), stage.labelsArray, strict=True):
-                labels[col] = list(names)
+                labels[col.removesuffix("__mode")] = list(names)
         elif type(stage).__name__ == "VectorAssembler":
             inputs = stage.getInputCols()
     out: list[str] = []

@@ -86,31 +86,35 @@ def missing(df: DataFrame, c: str):
     return test
 
 
-def value_counts(df: DataFrame, cols: list[str], by: str = "native") -> DataFrame:
+def value_counts(df: DataFrame, cols: list[str], keep: bool = True) -> DataFrame:
     """(feature, value, c): how often each numeric value occurs, from one scan.
 
-    ``key`` tells values apart in the column's own type (large integers and
-    decimals that share a double stay distinct); ``value`` is the double that
-    positions and ranks use. The table is checkpointed: distinct counts,
-    quantiles, deviations and ranks all read it instead of the input.
+    Values are told apart in the column's own type (large integers and decimals
+    that share a double stay distinct rows); ``value`` is the double that
+    positions and ranks use. With ``keep`` the table is checkpointed: distinct
+    counts, quantiles, deviations and ranks all read it instead of the input.
     """
-    parts = []
+    parts, keys = [], ["feature", "whole", "value"]
+    if any(isinstance(df.schema[c].dataType, T.DecimalType) for c in cols):
+        keys.append("exact")       # decimals of any scale are told apart by their text
     for c in cols:
-        v = nan_to_null(F.col(c).cast("double")) + F.lit(0.0)
-        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-        parts.append(F.struct(F.lit(c).alias("feature"), (v if floating else F.col(c)).cast("string").alias("key"),
-                              v.alias("value")))
+        v, kind = nan_to_null(F.col(c).cast("double")) + F.lit(0.0), df.schema[c].dataType
+        fields = {"feature": F.lit(c), "whole": F.col(c).cast("long") if isinstance(kind, T.IntegralType) else F.lit(None).cast("long"),
+                  "value": v, "exact": F.col(c).cast("string") if isinstance(kind, T.DecimalType) else F.lit(None).cast("string")}
+        parts.append(F.struct(*[fields[k].alias(k) for k in keys]))
     long = df.select(F.explode(F.array(*parts)).alias("t")).select("t.*").filter(F.col("value").isNotNull())
-    return _reuse(long.groupBy("feature", "key").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("c")))
+    vc = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).select("feature", "value", "c")
+    return _reuse(vc) if keep else vc
 
 
-def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c: str = "c") -> DataFrame:
+def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c: str = "c",
+              totals_to: dict | None = None) -> DataFrame:
     """``vc`` with ``start``, the number of smaller values of the feature, for each distinct value.
 
     One range partitioning by (feature, value): a running sum inside each
     sorted partition plus the totals of the partitions before it. No value
     count, however large, gathers in one task; only one total per partition
-    and feature reaches the driver.
+    and feature reaches the driver (``totals_to`` gets each feature's).
     """
     spark = vc.sparkSession
     flat = _reuse(vc.groupBy(feature, value).agg(F.sum(c).alias(c)))
@@ -122,6 +126,8 @@ def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c:
     for f, pid, total, _ in totals:
         offsets.append((f, pid, before.get(f, 0)))
         before[f] = before.get(f, 0) + total
+    if totals_to is not None:
+        totals_to.update(before)
     off = spark.createDataFrame(offsets, f"{feature} string, _pid int, _off long")
     w = Window.partitionBy(feature, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     run = parts.withColumn("_run", F.coalesce(F.sum(c).over(w), F.lit(0)))
@@ -166,7 +172,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, vc: DataFrame
     cols = cols or numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
-    vc = value_counts(df, cols) if vc is None else vc
+    vc = value_counts(df, cols, keep=False) if vc is None else vc     # read once here
     names = ["count", "missing", "mean", "std", "variance", "min", "max", "sum", "zeros", "negatives", "_g1", "_g2"]
     aggs = []
     for i, c in enumerate(cols):
@@ -196,11 +202,14 @@ def exact_quantiles(vc: DataFrame, probs: list[float], feature: str = "feature",
     The two order statistics of each p are read off the cumulated counts:
     exact at any size, with no sketch and no global sort.
     """
-    cum = _reuse(cumulated(vc, feature, value, c))
-    n = cum.groupBy(feature).agg(F.sum(c).alias("n"))
-    at = n.select(feature, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n")
-    at = at.withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")).withColumn(
-        "k_lo", F.floor("h").cast("long")).withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
+    totals: dict[str, int] = {}
+    cum = cumulated(vc, feature, value, c, totals)
+    places = []
+    for f, n in totals.items():
+        for p in map(float, probs):
+            h = float(n - 1) * p
+            places.append((f, p, h, math.floor(h), min(math.floor(h) + 1, n - 1)))
+    at = vc.sparkSession.createDataFrame(places, f"{feature} string, p double, h double, k_lo long, k_hi long")
     end = F.col("start") + F.col(c) - 1
     # a row per feature and probability: bounded
     j = cum.join(F.broadcast(at), feature).filter(

@@ -26,7 +26,7 @@ def feature_edges(df: DataFrame, features: list[str], bins: int = BINS) -> dict[
     from cropframe.operators.profile import exact_quantiles, value_counts
 
     edges: dict[str, list[float]] = {f: [] for f in features}
-    for r in exact_quantiles(value_counts(df, features), [i / bins for i in range(1, bins)]).collect():
+    for r in exact_quantiles(value_counts(df, features, keep=False), [i / bins for i in range(1, bins)]).collect():
         edges[r["feature"]].append(float(r["q"]))
     return {f: sorted(e) for f, e in edges.items()}
 

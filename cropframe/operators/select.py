@@ -45,7 +45,7 @@ def _binned(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     from cropframe.operators.model import materialize
     from cropframe.operators.profile import exact_quantiles, value_counts
     edges: dict[str, list[float]] = {c: [] for c in cols}
-    found = exact_quantiles(value_counts(df, cols), [i / bins for i in range(1, bins)]).collect()
+    found = exact_quantiles(value_counts(df, cols, keep=False), [i / bins for i in range(1, bins)]).collect()
     for r in found:
         edges[r["feature"]].append(float(r["q"]))
     out = []

@@ -941,5 +941,10 @@ FROM every, e"""
 
 ORACLE["q_regional_trees"] = regional_trees_sql(2)
 
-for _name in ("q_spearman_null", "q_profile_nan", "q_phik", "q_mi_knn", "q_regional_trees"):
+ORACLE["q_sketch_profile"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS count, count(*) - count({c}) AS missing, {r6(f'min({c})', 'min')}, "
+    f"{r6(f'max({c})', 'max')}, {r6(f'avg({c})', 'mean')}, TRUE AS distinct_near, TRUE AS p50_near, TRUE AS p95_near FROM lineitem"
+    for c in NUM_COLS)
+
+for _name in ("q_sketch_profile", "q_spearman_null", "q_profile_nan", "q_phik", "q_mi_knn", "q_regional_trees"):
     ORACLE[_name] = _stable(ORACLE[_name])

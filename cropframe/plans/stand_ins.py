@@ -15,7 +15,7 @@ from cropframe.functions import round_doubles
 from cropframe.functions.numeric import NUDGE
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
 from cropframe.operators import (clean, explain, frame, gaps, knn_mi, model, phik, profile, query, regional,
-                                 season, select, soil, upsert)
+                                 season, select, sketch, soil, upsert)
 from cropframe.plans import ingest
 from cropframe.session import scratch_path
 from cropframe.sources import concat_frames, driver_table, read_catalog
@@ -497,6 +497,23 @@ def q_profile_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+def q_sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, P3 from merged sketches of stored partitions; what is estimated is held against the exact profile."""
+    li = _li(spark, sf_dir)
+    path = sketch.write_sketches(sketch.column_sketches(li, ["l_returnflag"], NUM_COLS), scratch_path(spark, "sketches"),
+                                 ["l_returnflag"])
+    m = sketch.merged_profile(spark.read.parquet(path))
+    vc = profile.value_counts(li, NUM_COLS)
+    exact = profile.numeric_profile(li, NUM_COLS, vc).select("feature", F.col("distinct").alias("values"))
+    ranks = vc.join(F.broadcast(m.select("feature", "p50", "p95", "count")), "feature").groupBy("feature").agg(*[
+        (F.abs(F.sum(F.when(F.col("value") <= F.col(p), F.col("c")).otherwise(0)) / F.max("count") - q) <= tie + 0.02).alias(p + "_near")
+        for p, q, tie in (("p50", 0.5, 0.1), ("p95", 0.95, 0.1))])
+    out = m.join(exact, "feature").join(ranks, "feature").select(
+        "feature", "count", "missing", "min", "max", "mean",
+        (F.abs(F.col("distinct") - F.col("values")) <= 0.06 * F.col("values")).alias("distinct_near"), "p50_near", "p95_near")
+    return round_doubles(out, DIGITS)
+
+
 def q_profile_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary, _ = profile.category_profile(_t(spark, sf_dir, "part"), CAT_COLS)
     return round_doubles(summary, DIGITS)
@@ -732,7 +749,8 @@ def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {"lr": LinearRegression(labelCol="label", solver="normal"),
               "rf": RandomForestRegressor(labelCol="label", seed=model.SEED, numTrees=20),
               "gbr": GBTRegressor(labelCol="label", seed=model.SEED, maxIter=10),
-              "ada": model.AdaBoostRegressor(labelCol="label", n_estimators=5)}
+              "ada": model.AdaBoostRegressor(labelCol="label", n_estimators=5),
+              "et": model.ExtraTreesRegressor(labelCol="label", n_estimators=3, max_depth=8)}
     board, _ = model.compare_models(frame_table(spark, sf_dir), FRAME_KEY, FRAME_FEATURES,
                                     "yield", models=models, folds=3)
     return board
@@ -855,6 +873,7 @@ QUERIES = {
     "q_backfill": q_backfill,
     "q_overview": q_overview,
     "q_profile_num": q_profile_num,
+    "q_sketch_profile": q_sketch_profile,
     "q_profile_cat": q_profile_cat,
     "q_top_values": q_top_values,
     "q_hist": q_hist,

@@ -203,3 +203,61 @@ def test_pair_tables_read_the_input_once(spark, tmp):
     assert plan.count("FileScan") == 1 and "Window" not in plan
     cells = {(r["pair"], r["xv"], r["yv"]): r["count"] for r in got.collect()}
     assert sum(v for k, v in cells.items() if k[0] == 0) == 300 and len([k for k in cells if k[0] == 0]) == 12
+
+
+def test_sketches_of_partitions_merge_to_the_whole(spark, tmp):
+    from cropframe.operators import sketch
+    rng = np.random.default_rng(1)
+    data = pd.DataFrame({"g": rng.integers(0, 5, 20_000), "v": rng.pareto(1.5, 20_000), "w": rng.integers(0, 300, 20_000).astype(float)})
+    data.loc[::50, "v"] = np.nan
+    df = spark.createDataFrame(data)
+    path = sketch.write_sketches(sketch.column_sketches(df, ["g"]), f"{tmp}/s", ["g"])
+    changed = df.withColumn("w", profile.F.when(df["g"] == 2, -df["w"]).otherwise(df["w"]))
+    sketch.refresh_sketches(changed, spark.createDataFrame([(2,)], "g int"), path, ["g"])
+    got = {r["feature"]: r for r in sketch.merged_profile(spark.read.parquet(path)).collect()}
+    data["w"] = np.where(data.g == 2, -data.w, data.w)
+    for c in ("v", "w"):
+        x = data[c].dropna()
+        r = got[c]
+        assert r["count"] == len(x) and r["missing"] == 20_000 - len(x) and r["min"] == x.min() and r["max"] == x.max()
+        assert abs(r["mean"] - x.mean()) < 1e-9 * abs(x).mean() + 1e-12
+        assert abs(r["distinct"] - x.nunique()) <= 0.06 * x.nunique()
+        for p in (5, 25, 50, 75, 95):
+            assert (x < r[f"p{p:02d}"]).mean() - 0.02 <= p / 100 <= (x <= r[f"p{p:02d}"]).mean() + 0.02
+
+
+def test_normal_quantile_and_truncated_draws(spark):
+    from statistics import NormalDist
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.0749, 0.3, 0.5, 0.500001, 0.925, 0.93, 0.9999, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", explain.normal_quantile(profile.F.col("p")).alias("z"))
+    for r in got.collect():
+        want = NormalDist().inv_cdf(r["p"])
+        assert abs(r["z"] - want) <= 1e-13 * max(1, abs(want))
+    edge = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(explain.normal_quantile(profile.F.col("p")).alias("z"))
+    assert [r["z"] for r in edge.collect()] == [None] * 3
+    mean, sd, low, high, a, b = explain._truncated(1.0, 2.0, 0.0, 5.0)
+    n = 20_000
+    u = profile.F.pmod(profile.F.xxhash64("id"), profile.F.lit(1 << 53)) / float(1 << 53)
+    z = explain.normal_quantile(profile.F.lit(a) + u * (b - a))
+    x = np.array([r[0] for r in spark.range(n).select(mean + sd * z).collect()])
+    assert low <= x.min() and x.max() <= high
+    d = NormalDist(mean, sd)
+    for t in (0.5, 1.0, 2.0, 3.5):      # the distribution of a normal cut to (0, 5)
+        assert abs((x <= t).mean() - (d.cdf(t) - d.cdf(low)) / (d.cdf(high) - d.cdf(low))) < 0.015
+
+
+def test_mode_imputation_in_a_saved_pipeline(spark, tmp):
+    rows = [(i, "b" if i % 3 else None, "x" if i % 2 else "y", float(i % 5), float(i % 3) + (i % 2)) for i in range(60)] + [
+        (100, "a", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, c string, d string, v double, y double").withColumn("e", profile.F.lit(None).cast("string"))
+    fitted = model.ModeImputer(["c", "d", "e"], ["c2", "d2", "e2"]).fit(df)
+    got = {(r["c"], r["c2"], r["d2"], r["e2"]) for r in fitted.transform(df).collect()}
+    assert got == {("b", "b", "x", None), ("b", "b", "y", None), (None, "b", "x", None), (None, "b", "y", None), ("a", "a", "x", None)}
+    m = model.fit(df, ["k"], ["v"], "y", categorical=["c", "d"])
+    path = model.save(m, f"{tmp}/m")
+    again = type(m).load(path)
+    a = {r["k"]: r["prediction"] for r in model.score(m, df).collect()}
+    b = {r["k"]: r["prediction"] for r in model.score(again, df).collect()}
+    assert a == b and len(a) == 61
+    names = [r["feature"] for r in model.importance(m, ["v"]).collect()]
+    assert "c=b" in names and "d=x" in names
