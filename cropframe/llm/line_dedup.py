@@ -18,8 +18,8 @@ words, goes as well if an earlier such line has a Jaccard similarity of
 
 Each line needs one earlier match only, so a dense group does not list all its
 pairs: per shared word, a line first tries its nearest few candidates; the
-lines that found no match among these and have more candidates try all the
-rest in a second round. A word that is still common among prefixes is replaced
+lines that found no match among these try the rest of the words where candidates
+are left in a second round, in which only these words are posted. A word that is still common among prefixes is replaced
 by pairs of words (two such lines share at least two words in a prefix one
 longer), so posting lists stay short. Postings travel as packed arrays, one
 row per task batch and group of words.
@@ -47,7 +47,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropframe.llm.common import fresh, held, staged
@@ -105,22 +105,32 @@ def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.strip().encode("utf-8", "surrogatepass"))
 
 
+def _split_lines(ids: list[int], texts: list[str | None]) -> tuple[list[str], list[int], list[int]]:
+    """Every line of the texts, its document and its place there."""
+    lines, docs, places = [], [], []
+    for doc, text in zip(ids, texts, strict=True):
+        if text:
+            own = text.split("\n")
+            lines += own
+            docs += [doc] * len(own)
+            places += range(len(own))
+    return lines, docs, places
+
+
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash) of every word of the lines, joined and lower-cased, and the places where lines end."""
+    low = "\n".join(lines).lower().encode("utf-8", "surrogatepass")
+    start, h = word_hashes(low)
+    return start, h, np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 10)
+
+
 class Lines:
     """The lines of ``min_words`` words or more of some documents, and their words: each once a line, sorted by line."""
 
     def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None):
-        lines, docs, places = [], [], []
-        for doc, text in zip(ids, texts, strict=True):
-            if text:
-                own = text.split("\n")
-                lines += own
-                docs += [doc] * len(own)
-                places += range(len(own))
-        low = "\n".join(lines).lower().encode("utf-8", "surrogatepass")
-        start, h = word_hashes(low)
-        ends = np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 10)
+        lines, docs, places = _split_lines(ids, texts)
+        start, h, ends = _hashed(lines)
         owner = np.searchsorted(ends, start)
-        self.total = h                         # every word, as often as it stands there
         length = np.bincount(owner, minlength=len(lines))
         for i in np.flatnonzero((length > 0) & (length < min_words)).tolist():
             if not lines[i].isascii():
@@ -150,17 +160,22 @@ class Lines:
         self.place = np.array(places, dtype=np.int32)[used] if docs else np.zeros(0, dtype=np.int32)
 
 
-def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None) -> Iterator[Lines]:
-    """Lines of a batch in chunks of bounded text (a single text may be longer)."""
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Ids and texts of a batch in chunks of bounded text (a single text may be longer)."""
     ids, texts, size = [], [], 0
     for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
         ids.append(doc)
         texts.append(text)
         size += len(text or "")
         if size >= CHUNK_BYTES:
-            yield Lines(ids, texts, min_words, rarity)
+            yield ids, texts
             ids, texts, size = [], [], 0
     if ids:
+        yield ids, texts
+
+
+def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None) -> Iterator[Lines]:
+    for ids, texts in _texts(b):
         yield Lines(ids, texts, min_words, rarity)
 
 
@@ -175,11 +190,14 @@ def _survey(counters: int):
         types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
         total = np.zeros(counters, dtype=np.uint32)
         for b in batches:
-            for x in _chunks(b, 1):
-                slots, n = np.unique((x.total % np.uint64(counters)).astype(np.int64), return_counts=True)
-                total[slots] += n.astype(np.uint32)
-                n = len(x.lines)
-                cols = [[None] * n, [None] * n, [line_key(t) for t in x.lines], x.doc, x.place]
+            for ids, texts in _texts(b):
+                lines, doc, place = _split_lines(ids, texts)
+                start, h, ends = _hashed(lines)
+                total += np.bincount((h % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
+                used = np.unique(np.searchsorted(ends, start)).tolist()     # the lines with any word
+                n = len(used)
+                cols = [[None] * n, [None] * n, [line_key(lines[i]) for i in used], [doc[i] for i in used],
+                        [place[i] for i in used]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
         blocks = total.reshape(-1, min(COUNT_BLOCK, counters))
         used = [i for i in range(len(blocks)) if blocks[i].any()]
@@ -236,17 +254,32 @@ def bloom_place(doc, place, bits: int):
     return (doc % (1 << 31) * 2654435761 + place * 40503) % bits
 
 
-def bloom_filter(lines: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bytes of a bit table with the bit of every (doc_id, place) set: ``bits`` / 8 bytes at any input size."""
-    at = F.pmod(F.pmod(F.col("doc_id"), F.lit(1 << 31)) * F.lit(2654435761) + F.col("place") * F.lit(40503), F.lit(bits))
-    words = lines.select(at.cast("long").alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(
+def _bits_set(rows: DataFrame, at: Column, bits: int) -> np.ndarray:
+    """Bytes of a table of ``bits`` bits in which those that ``at`` names are set, at any input size."""
+    words = rows.select(at.cast("long").alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set"))
     out = np.zeros(bits // 32, dtype="<u4")
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["set"]
+    table = words.toArrow()      # at most a row for every 32 bits
+    out[table["word"].to_numpy()] = table["set"].to_numpy().astype("<u4")
     return out.view(np.uint8)
 
 
+def bloom_filter(lines: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A bit table with the bit of every (doc_id, place) set."""
+    at = F.pmod(F.pmod(F.col("doc_id"), F.lit(1 << 31)) * F.lit(2654435761) + F.col("place") * F.lit(40503), F.lit(bits))
+    return _bits_set(lines, at, bits)
+
+
+def token_filter(tokens: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A bit table with the bit of every ``token`` set."""
+    return _bits_set(tokens, F.pmod("token", F.lit(bits)), bits)
+
+
+def has_token(table: np.ndarray, token: np.ndarray) -> np.ndarray:
+    at = np.ascontiguousarray(token).view(np.int64) % (len(table) * 8)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def in_bloom(table: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     at = bloom_place(doc, place, len(table) * 8)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -290,7 +323,8 @@ def postings(x: Lines, threshold: float, hot: int) -> np.ndarray:
 def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: int):
     """Second pass: postings of each batch, dealt to groups of words as packed arrays.
 
-    A line text that the task has posted is posted again only for a smaller
+    ``asking`` holds filters of the asking lines and of the words to post (None:
+    all of them). A line text that the task has posted is posted again only for a smaller
     (document, place), so the first occurrence of every text is posted.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,11 +345,14 @@ def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: in
                 x.owner, x.words, x.count = np.cumsum(new)[x.owner[pick]] - 1, x.words[pick], x.count[pick]
                 x.doc, x.place = x.doc[new], x.place[new]
                 if len(x.words):
-                    parts.append(postings(x, threshold, hot))
-            if not parts:
+                    p = postings(x, threshold, hot)
+                    if asking is not None:
+                        p = p[has_token(asking.value[1], p["token"])]
+                    parts.append(p)
+            if not any(len(p) for p in parts):
                 continue
             p = np.concatenate(parts)
-            p["asks"] = 1 if asking is None else in_bloom(asking.value, p["doc"], p["place"].astype(np.int64))
+            p["asks"] = 1 if asking is None else in_bloom(asking.value[0], p["doc"], p["place"].astype(np.int64))
             g = ((p["token"] >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             p, g = p[order], g[order]
@@ -369,7 +406,8 @@ class Columns:
         return ok, strong
 
 
-PAIRS = "xdoc long, xplace int, ydoc long, yplace int, more boolean"
+#: A pair of lines, or (with ``token``) a line and a word under which it has more candidates than it tried.
+PAIRS = "xdoc long, xplace int, ydoc long, yplace int, token long"
 
 
 def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFrame:
@@ -424,10 +462,12 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
         go = open_(live)
         live, at, end = live[go], at[go], end[go]
     x, y = np.concatenate(left), np.concatenate(right)
-    more = ~open_(x)
-    a, b = p[x], p[y]
-    return pd.DataFrame({"xdoc": a["doc"], "xplace": a["place"], "ydoc": b["doc"], "yplace": b["place"],
-                         "more": more}).drop_duplicates()
+    a, b, rest = p[x], p[y], p[np.unique(x[~open_(x)])]
+    pairs = pd.DataFrame({"xdoc": a["doc"], "xplace": a["place"], "ydoc": b["doc"], "yplace": b["place"]}).drop_duplicates()
+    more = pd.DataFrame({"xdoc": rest["doc"], "xplace": rest["place"], "token": rest["token"].astype(np.int64)})
+    kinds = {"ydoc": "Int64", "yplace": "Int32", "token": "Int64"}
+    return pd.concat([pairs.assign(token=pd.NA).astype(kinds), more.assign(ydoc=pd.NA, yplace=pd.NA).astype(kinds)])[
+        ["xdoc", "xplace", "ydoc", "yplace", "token"]]
 
 
 def _join(threshold: float, last: int | None):
@@ -438,25 +478,42 @@ def _join(threshold: float, last: int | None):
     return run
 
 
+def _word_sets(lines: list[str]) -> list[bytes]:
+    """The sorted distinct word hashes of every line."""
+    start, h, ends = _hashed(lines)
+    owner = np.searchsorted(ends, start)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    one = np.ones(len(h), dtype=bool)
+    one[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    raw, cut = h[one].tobytes(), (8 * np.searchsorted(owner[one], np.arange(len(lines) + 1))).tolist()
+    return [raw[a:z] for a, z in zip(cut, cut[1:], strict=False)]
+
+
 def _sets(asked):
     """Third pass: word sets of the lines that the filter lets through."""
+    def out(doc: list[int], place: list[int], lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()),
+                                           pa.array(_word_sets(lines), pa.binary())], ["doc_id", "place", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = asked.value
         for b in batches:
-            doc, place, sets = [], [], []
-            for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                if not text:
+            doc, place, found, size = [], [], [], 0
+            for ids, texts in _texts(b):
+                lines, docs, places = _split_lines(ids, texts)
+                if not lines:
                     continue
-                n = text.count("\n") + 1
-                hits = np.flatnonzero(in_bloom(table, np.full(n, i), np.arange(n)))
-                lines = text.split("\n") if len(hits) else []
-                for at in hits.tolist():
-                    words = np.unique(word_hashes(lines[at].lower().encode("utf-8", "surrogatepass"))[1])
-                    doc.append(i)
-                    place.append(at)
-                    sets.append(words.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()),
-                                              pa.array(sets, pa.binary())], ["doc_id", "place", "words"])
+                for at in np.flatnonzero(in_bloom(table, np.array(docs, dtype=np.int64), np.array(places))).tolist():
+                    doc.append(docs[at])
+                    place.append(places[at])
+                    found.append(lines[at])
+                    size += len(lines[at])
+                if size >= CHUNK_BYTES:
+                    yield out(doc, place, found)
+                    doc, place, found, size = [], [], [], 0
+            if doc:
+                yield out(doc, place, found)
     return run
 
 
@@ -500,16 +557,17 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
         packed = docs.mapInArrow(_post(counts, asking, threshold, min_words, hot, groups), "g long, packed binary")
         found = packed.groupBy("g").applyInPandas(_join(threshold, last), PAIRS)
         keys = ["xdoc", "xplace", "ydoc", "yplace"]
-        found = staged(found.groupBy(*keys).agg(F.max("more").alias("more")), "line-candidates")
-        return found, staged(verified(docs, found.select(*keys), threshold), "line-matches")
+        found = staged(found.distinct(), "line-candidates")
+        pairs = found.where("ydoc is not null").select(*keys)
+        return found.where("ydoc is null"), staged(verified(docs, pairs, threshold), "line-matches")
 
     found, good = round_(None, tries)
-    lines = found.where("more").select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place")).distinct()
+    lines = found.select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place"), "token")
     unsettled = staged(lines.join(good, ["doc_id", "place"], "left_anti"), "lines-open")
     if unsettled.isEmpty():
         return good
-    rest = round_(spark.sparkContext.broadcast(bloom_filter(unsettled)), None)[1]
-    return good.union(rest).distinct()
+    asking = spark.sparkContext.broadcast((bloom_filter(unsettled), token_filter(unsettled)))
+    return good.union(round_(asking, None)[1]).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
