@@ -948,3 +948,62 @@ ORACLE["q_sketch_profile"] = " UNION ALL ".join(
 
 for _name in ("q_sketch_profile", "q_spearman_null", "q_profile_nan", "q_phik", "q_mi_knn", "q_regional_trees"):
     ORACLE[_name] = _stable(ORACLE[_name])
+
+ORACLE["q_upsert_bucketed"] = ORACLE["q_upsert_merge"]     # the same rows by another plan
+
+# --------------------------------------------------------------------------- landed files
+ORACLE["q_yield_csv"] = _stable(f"""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 'S' || (o_custkey % 3) AS state, 'C' || o_custkey AS county,
+       o_orderpriority AS crop, {r6('o_totalprice', 'value')}, lower(o_orderpriority) || ' - Yield, measured in BU / ACRE' AS unit,
+       'D' || (o_custkey % 10) AS district,
+       CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey % 100 AS VARCHAR) END AS county_ansi
+FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND (o_orderkey % 3 <> 0 OR o_totalprice < 999.995)
+  AND year(o_orderdate) BETWEEN 1993 AND 1997
+""")
+
+DAILY = """lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name, year(l_shipdate)"""
+ORACLE["q_daily_grid"] = _stable(f"""
+SELECT n.n_name AS county, r.r_name AS state, CAST(year(l_shipdate) AS INTEGER) AS year,
+       {r6(f'coalesce(sum(CASE WHEN {SEASON} THEN l_extendedprice END), 0.0)', 'precipitation')},
+       {r6(f'avg(CASE WHEN {SEASON} THEN (l_quantity + l_tax) / 2 END)', 'avg_temp')},
+       {r6(f'coalesce(sum(CASE WHEN {SEASON} THEN greatest((l_quantity + l_tax) / 2 - 10.0, 0.0) END), 0.0)', 'gdd')},
+       {r6(f'avg(CASE WHEN {SEASON} AND l_linenumber <> 2 THEN l_discount END)', 'vp')},
+       {r6(f'avg(CASE WHEN {SEASON} THEN l_tax END)', 'srad')}
+FROM {DAILY}""")
+
+ORACLE["q_daily_csv"] = _stable(f"""
+SELECT n.n_name AS county, r.r_name AS state, CAST(year(l_shipdate) AS INTEGER) AS year,
+       {r6(f'coalesce(sum(CASE WHEN {SEASON} THEN l_extendedprice END), 0.0)', 'precipitation')},
+       {r6(f'avg(CASE WHEN {SEASON} THEN l_quantity / 2 END)', 'avg_temp')},
+       {r6(f'coalesce(sum(CASE WHEN {SEASON} THEN greatest((l_quantity + l_tax) / 2 - 10.0, 0.0) END), 0.0)', 'gdd')}
+FROM {DAILY}""")
+
+ORACLE["q_soil_tables"] = _stable(f"""
+WITH u AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS acres FROM lineitem GROUP BY l_suppkey, l_partkey),
+h AS (SELECT r_name AS state, n_name AS county, p_size / 100.0 * acres AS w, p_size % 14 AS ph, p_size % 20 AS cec,
+             p_partkey % 60 AS sand, p_partkey % 30 AS clay, p_size % 5 AS om
+      FROM u JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+      JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0)
+SELECT state, county, {r6('sum(ph * w) / sum(w)', 'ph')}, {r6('sum(cec * w) / sum(w)', 'cec')},
+       {r6('sum(sand * w) / sum(w)', 'sand_pct')}, {r6('sum(clay * w) / sum(w)', 'clay_pct')},
+       {r6('sum(om * w) / sum(w)', 'organic_matter')} FROM h GROUP BY state, county
+""")
+
+ORACLE["q_response_table"] = """
+SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity,
+       CAST(NULL AS VARCHAR) AS unit FROM lineitem"""
+
+ORACLE["q_stream_upsert"] = _stable(f"""WITH {YIELDS_CTE}
+SELECT year, state, district, county, county_ansi, crop,
+       {r6('round(value, 1) * CASE WHEN year % 2 = 0 THEN 2 ELSE 1 END', 'value')}, 'YIELD' AS unit FROM yields""")
+
+ORACLE["q_explanations"] = f"SELECT *, 'lr' AS model, '2024-01-01T00:00' AS run_ts FROM ({ORACLE['q_linear_shap']})"
+
+ORACLE["q_saved_model"] = f"""{WITH_ALL},
+f AS (SELECT y.state, y.county, y.year, y.crop, y.value AS yield, w.gdd {FRAME_FROM} WHERE {NOT_SENTINEL}),
+m AS (SELECT avg(gdd) AS fill FROM f),
+s AS (SELECT regr_slope(yield, coalesce(gdd, fill)) AS b, regr_intercept(yield, coalesce(gdd, fill)) AS a FROM f, m)
+SELECT state, county, year, crop, round((a + b * coalesce(gdd, fill)) * {NUDGE}, 2) + 0.0 AS prediction FROM f, m, s
+"""

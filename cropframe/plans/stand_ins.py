@@ -8,13 +8,15 @@ results compare stably with the SQL oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropframe.functions import round_doubles
 from cropframe.functions.numeric import NUDGE
 from cropframe.functions import area_name, day_of_year_date, norm_key, parse_number
-from cropframe.operators import (clean, explain, frame, gaps, knn_mi, model, phik, profile, query, regional,
+from cropframe.operators import (bucketed, clean, explain, frame, gaps, knn_mi, model, phik, profile, query, regional,
                                  season, select, sketch, soil, upsert)
 from cropframe.plans import ingest
 from cropframe.session import scratch_path
@@ -427,6 +429,19 @@ def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out, DIGITS)
 
 
+def q_upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K3 on a bucketed stored table: the same merge, with the batch's shuffle only."""
+    before, after = lineitem_batches(spark, sf_dir)
+    table = f"bucketed_{uuid.uuid4().hex}"
+    flag = lambda df: df.select(*LI_KEY, *LI_ORDER, "l_quantity", "l_extendedprice",
+                                F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    args = (LI_KEY, LI_ORDER, ["l_quantity", "l_extendedprice"], ["flag", "status"])
+    place = {"buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "location": scratch_path(spark, "bucketed")}
+    bucketed.upsert_bucketed(flag(before), table, *args, **place)
+    batch = flag(after).withColumns({"flag": F.nullif("flag", F.lit("N")), "status": F.nullif("status", F.lit("O"))})
+    return round_doubles(spark.table(bucketed.upsert_bucketed(batch, table, *args, **place)), DIGITS)
+
+
 def q_upsert_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 sink: a batch without two measures nulls them for its own keys only."""
     before, after = lineitem_batches(spark, sf_dir)
@@ -868,6 +883,7 @@ QUERIES = {
     "q_keep_missing": q_keep_missing,
     "q_upsert_batch": q_upsert_batch,
     "q_upsert_merge": q_upsert_merge,
+    "q_upsert_bucketed": q_upsert_bucketed,
     "q_upsert_narrow": q_upsert_narrow,
     "q_records_filter": q_records_filter,
     "q_backfill": q_backfill,

@@ -246,3 +246,26 @@ def test_backfill_normalises_and_falls_back_to_the_catalog(spark, tmp):
     catalog = spark.createDataFrame([("Wake County, NC",), ("Durham County, NC",), ("Lee County, SC",)], "areaname string")
     out = ingest.backfill(spark, store, landed, "nc", "corn", 2000, 2002, catalog)
     assert sorted((r["county"], r["year"]) for r in out.collect()) == [("WAKE", 2000), ("WAKE", 2001)]
+
+
+def test_bucketed_merge_shuffles_the_batch_only(spark, tmp):
+    import uuid
+
+    from cropframe.operators import bucketed, upsert
+    table, key = f"stored_{uuid.uuid4().hex[:8]}", ["a", "b"]
+    first = spark.range(400).selectExpr("id % 100 a", "id % 7 b", "id o", "id * 2 v", "if(id % 3 = 0, null, 'f') f")
+    batch = spark.range(350, 600).selectExpr("id % 120 a", "id % 7 b", "id o", "id * 5 v", "if(id % 2 = 0, null, 'g') f")
+    bucketed.upsert_bucketed(first, table, key, "o", ["v"], ["f"], buckets=5, location=tmp)
+    stored = spark.table(bucketed.latest(spark, table))
+    before = {tuple(r) for r in stored.collect()}
+    merged = bucketed.merged(spark, table, batch, key, "o", ["v"], ["f"], buckets=5)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.count("SelectedBucketsCount") == 1
+    want = upsert.merge(spark.createDataFrame(list(before), stored.schema), batch, key, "o", ["v"], ["f"])
+    name = bucketed.upsert_bucketed(batch, table, key, "o", ["v"], ["f"], buckets=5, location=tmp)
+    assert name == f"{table}_v2" and {tuple(r) for r in spark.table(name).collect()} == {tuple(r) for r in want.collect()}
+    bucketed.upsert_bucketed(batch, table, key, "o", ["v"], ["f"], buckets=5, location=tmp)      # twice = once
+    assert bucketed._versions(spark, table) == [2, 3]
+    assert {tuple(r) for r in spark.table(f"{table}_v3").collect()} == {tuple(r) for r in want.collect()}
+    for v in (2, 3):
+        spark.sql(f"DROP TABLE {table}_v{v}")
