@@ -72,6 +72,8 @@ class Grid:
 
     def _in_strips(self, strip: np.ndarray, y: np.ndarray) -> np.ndarray:
         out, order = np.empty(len(y), dtype=np.int64), np.argsort(strip, kind="stable")
+        if not len(y):
+            return out
         at = np.flatnonzero(np.diff(strip[order], prepend=-1))
         for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
             rows = order[lo:hi]

@@ -90,6 +90,23 @@ def test_nearest_neighbour_information(spark):
     assert {r["relevance"] for r in knn_mi.knn_mutual_information(few, ["line"], "y").collect()} == {None}
 
 
+def test_grid_finds_every_cell_that_a_box_meets():
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 500, 3000), rng.integers(0, 400, 3000) ** 2
+    grid = knn_mi.Grid(x[::3], y[::3], np.ones(1000, dtype=np.int64), 60)
+    cell = grid.cell(x, y)
+    r = rng.integers(0, 60, 3000)
+    rows, met = grid.reached(x, y, r)
+    found = {k: set() for k in range(3000)}
+    for i, c in zip(rows.tolist(), met.tolist(), strict=True):
+        found[i].add(c)
+    for i in range(0, 3000, 7):
+        near = np.maximum(np.abs(x - x[i]), np.abs(y - y[i])) <= r[i]
+        assert set(cell[near].tolist()) - {cell[i]} <= found[i] and cell[i] not in found[i]
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(v) for v in grid.reached(none, none, none)] == [0, 0] and len(grid.cell(none, none)) == 0
+
+
 def test_digamma(spark):
     from pyspark.sql import functions as F
     got = spark.range(1, 400).select("id", knn_mi.digamma(F.col("id")).alias("p")).collect()
