@@ -876,8 +876,8 @@ m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(q * d) AS mqd FROM b),
 v AS (SELECT l_orderkey, q * d AS whole, q * md AS qonly, mq * d AS donly, mqd AS none FROM d, m),
 s AS (SELECT l_orderkey, 'quantity' AS feature, ((qonly - none) + (whole - donly)) / 2 AS shap, none, whole FROM v
       UNION ALL SELECT l_orderkey, 'discount', ((donly - none) + (whole - qonly)) / 2, none, whole FROM v)
-SELECT l_orderkey, feature, round(shap * (1 + 3e-13), 4) + 0.0 AS shap, round(none * (1 + 3e-13), 4) + 0.0 AS base,
-       round(whole * (1 + 3e-13), 4) + 0.0 AS prediction FROM s
+SELECT l_orderkey, feature, round(shap * 1.0000000000003, 6) + 0.0 AS shap, round(none * 1.0000000000003, 6) + 0.0 AS base,
+       round(whole * 1.0000000000003, 6) + 0.0 AS prediction FROM s
 """
 
 

@@ -830,7 +830,7 @@ def q_shap_product(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.round(F.avg("discount"), 3).alias("discount"))     # a row per line count
     m = PipelineModel([SQLTransformer(statement="SELECT *, quantity * discount AS prediction FROM __THIS__")])
     out = explain.shap_values(m, d, ["l_orderkey"], ["quantity", "discount"], background=background, engine="coalition")
-    return round_fixed(out, 4)
+    return round_fixed(out, 6)
 
 
 def q_shap_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
