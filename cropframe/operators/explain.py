@@ -240,9 +240,8 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
 
     Quartile bins of the training data define the interpretable features
     (1 = same bin as the instance). For each instance, ``n_samples`` points
-    are drawn (bins by their training frequency, values from the normal
-    distribution of the bin's training mean and deviation, cut to the bin), scored by
-    the model, weighted by an exponential kernel of width
+    are drawn (bins by their training frequency, values uniform inside the
+    bin), scored by the model, weighted by an exponential kernel of width
     0.75 * sqrt(p) on the scaled binary distance, and a ridge regression on
     the binary features is fitted from grouped Gram sums. The k largest
     |weights| are kept and refitted.
@@ -259,15 +258,13 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
         F.struct(F.lit(f).alias("feature"), _bin(F.col(f), qs[f]).alias("b"), F.col(f).alias("v"))
         for f in features])).alias("t")).select("t.*")
     cells = long.groupBy("feature", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("sd")).collect()    # at most 4 rows a feature
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # at most 4 rows a feature
     freq, box, stats = {}, {}, {}
     for f in features:
         own = {r["b"]: r for r in cells if r["feature"] == f}
         tot = sum(r["n"] for r in own.values())
         freq[f] = {b: r["n"] / tot for b, r in own.items()}
-        box[f] = {b: _truncated(r["mean"], r["sd"], qs[f][b - 1] if b else r["lo"], qs[f][b] if b < 3 else r["hi"])
-                  for b, r in own.items()}
+        box[f] = {b: (r["lo"], r["hi"]) for b, r in own.items()}
         stats[f"m_{f}"] = sum(b * q for b, q in freq[f].items())
         stats[f"s_{f}"] = math.sqrt(sum(q * (b - stats[f"m_{f}"]) ** 2 for b, q in freq[f].items()))
     width = 0.75 * math.sqrt(p)
@@ -286,10 +283,9 @@ def lime(model: PipelineModel, train: DataFrame, instances: DataFrame, keys: lis
             cum += freq[f][bb]
             b = F.when(u <= F.lit(cum), F.lit(bb)) if b is None else b.when(u <= F.lit(cum), F.lit(bb))
         b = b.otherwise(F.lit(max(freq[f])))
-        mean, sd, low, high, left, right = (
-            F.element_at(F.create_map(*sum(([F.lit(x), F.lit(float(box[f][x][i]))] for x in box[f]), [])), b) for i in range(6))
-        z = normal_quantile(left + draw(2 * j + 1) * (right - left))
-        val = F.when(sd > 0, F.greatest(low, F.least(high, mean + sd * z))).otherwise(mean)
+        lo, hi = (F.element_at(F.create_map(*sum(([F.lit(x), F.lit(float(box[f][x][i]))] for x in box[f]), [])), b)
+                  for i in (0, 1))
+        val = lo + draw(2 * j + 1) * (hi - lo)
         first = F.col("_s") == 0
         cols.append(F.when(first, F.col(f)).otherwise(val).alias(f))
         zs.append(F.when(first, F.lit(1.0)).otherwise(
