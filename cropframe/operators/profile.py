@@ -31,6 +31,7 @@ from cropframe.functions import nan_to_null
 PROFILE_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 APPROX_ACCURACY = 10000
 SORT_VALUES = 1_000_000      # distinct values per sorted partition
+RANK_CELLS = 1_000_000       # ranks that are broadcast, of all columns together
 KENDALL_BUCKETS = 32
 KENDALL_POINTS = 1_000_000   # distinct points per bucket
 KENDALL_CELLS = 1_000_000    # grid cells settled in one array
@@ -52,6 +53,14 @@ def _reuse(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` by way of Parquet in the shared folder: like ``_reuse``, where passes read few of its columns or rows."""
+    from cropframe.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def safe_corr(a, b):
     """Pearson r that is NULL (not an error) when a side has no variance."""
     a = F.col(a) if isinstance(a, str) else a
@@ -116,24 +125,37 @@ def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c:
     count, however large, gathers in one task; only one total per partition
     and feature reaches the driver (``totals_to`` gets each feature's).
     """
-    spark = vc.sparkSession
-    flat = _reuse(vc.groupBy(feature, value).agg(F.sum(c).alias(c)))
-    n = max(1, -(-flat.count() // SORT_VALUES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = _reuse(flat.repartitionByRange(n, feature, value).withColumn("_pid", F.spark_partition_id()))
-    totals = sorted(parts.groupBy(feature, "_pid").agg(F.sum(c), F.min(value)).collect(),
-                    key=lambda r: (r[0], r[1]))
-    offsets, before = [], {}
-    for f, pid, total, _ in totals:
-        offsets.append((f, pid, before.get(f, 0)))
-        before[f] = before.get(f, 0) + total
+    totals: dict[str, tuple[int, list[int]]] = {}
+    run = running_counts(vc.groupBy(feature, value).agg(F.sum(c).alias(c)), feature, value, [c], totals)
     if totals_to is not None:
-        totals_to.update(before)
-    off = spark.createDataFrame(offsets, f"{feature} string, _pid int, _off long")
+        totals_to.update({f: sums[0] for f, (_, sums) in totals.items()})
+    return run.select(feature, value, c, F.col("_starts")[0].alias("start"))
+
+
+def running_counts(flat: DataFrame, feature: str, value: str, counts: list[str],
+                   totals_to: dict[str, tuple[int, list[int]]]) -> DataFrame:
+    """A table of distinct (feature, value) with ``_starts``, the sums of each of ``counts`` over smaller values.
+
+    ``totals_to`` gets each feature's number of values and sums of ``counts``.
+    """
+    spark = flat.sparkSession
+    flat = _stored(flat.select(feature, value, *counts), "values")
+    n = max(1, -(-flat.count() // SORT_VALUES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = _stored(flat.repartitionByRange(n, feature, value).withColumn("_pid", F.spark_partition_id()), "ranges")
+    sums = [F.sum(c).alias(f"_t{i}") for i, c in enumerate(counts)]
+    found = sorted(parts.groupBy(feature, "_pid").agg(F.count(F.lit(1)).alias("_t"), *sums).collect(),
+                   key=lambda r: (r[0], r[1]))
+    offsets = []
+    for f, pid, rows, *part in found:
+        values, before = totals_to.get(f, (0, [0] * len(counts)))
+        offsets.append((f, pid, before))
+        totals_to[f] = values + rows, [x + y for x, y in zip(before, part, strict=True)]
+    off = spark.createDataFrame(offsets, f"{feature} string, _pid int, _off array<long>")
     w = Window.partitionBy(feature, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    run = parts.withColumn("_run", F.coalesce(F.sum(c).over(w), F.lit(0)))
+    run = parts.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_run{i}") for i, c in enumerate(counts)])
+    starts = F.array(*[F.col("_off")[i] + F.col(f"_run{i}") for i in range(len(counts))])
     # one row per partition and feature: bounded by the partition count
-    return run.join(F.broadcast(off), [feature, "_pid"]).select(
-        feature, value, c, (F.col("_off") + F.col("_run")).alias("start"))
+    return run.join(F.broadcast(off), [feature, "_pid"]).select(feature, value, *counts, starts.alias("_starts"))
 
 
 # --------------------------------------------------------------------------- P1
@@ -369,62 +391,65 @@ def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman matrix (x, y, r) over all column pairs, pairwise complete; NaN is missing.
 
-    One scan compresses the rows to distinct value tuples and their null
-    pattern (which columns are missing). Each column's values are counted by
-    pattern, and running counts give, for every value and pattern, how many
-    smaller values the pattern's rows hold. A pair's ranks are sums of these
-    over the patterns that miss neither column, so each column's table joins
-    the rows once, all pairs come from one aggregate, and the plan is the
-    same with and without NULLs. Only the list of patterns that occur reaches
-    the driver.
+    One scan compresses the rows to distinct value tuples. Each column's
+    values are counted once per partner column, over the rows that have the
+    partner too, so running counts give a value's average rank among the rows
+    of each of its pairs; these tables grow with the square of the columns,
+    whatever null patterns occur. Columns of few values meet the rows by
+    broadcast, the others by one shuffle each, and all pairs come from one
+    aggregate. The plan is the same with and without NULLs.
     """
     cols = cols or numeric_columns(df)
     schema = "x string, y string, r double"
     pairs = list(combinations(range(len(cols)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    v = [f"_v{i}" for i in range(len(cols))]
-    rows = df.select(*[(nan_to_null(F.col(c).cast("double")) + F.lit(0.0)).alias(v[i]) for i, c in enumerate(cols)])
-    rows = rows.groupBy(*v).agg(F.count(F.lit(1)).alias("_n"))
-    rows = _reuse(rows.withColumn("_pattern", F.concat(*[F.when(F.col(a).isNull(), "1").otherwise("0") for a in v])))
-    totals = {r["_pattern"]: r["n"] for r in rows.groupBy("_pattern").agg(F.sum("_n").alias("n")).collect()}
-    patterns = sorted(totals)
-    if not patterns:
+    v, c, every = [f"_v{i}" for i in range(len(cols))], [f"_c{i}" for i in range(len(cols))], range(len(cols))
+    rows = df.select(*[(nan_to_null(F.col(x).cast("double")) + F.lit(0.0)).alias(v[i]) for i, x in enumerate(cols)])
+    rows = _stored(rows.groupBy(*v).agg(F.count(F.lit(1)).alias("_n")), "tuples")
+    have = [F.when(F.col(v[j]).isNotNull(), F.col("_n")).otherwise(F.lit(0)).alias(c[j]) for j in every]
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("value"), *have)
+                                           for x in v])).alias("t")).select("t.*")
+    counted = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(*[F.sum(x).alias(x) for x in c])
+    totals: dict[str, tuple[int, list[int]]] = {}
+    cum = running_counts(counted, "feature", "value", c, totals)
+    if not totals:      # no value in any column
         return df.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], schema)
-    long = rows.select("_pattern", "_n", F.explode(F.array(*[F.struct(F.lit(a).alias("feature"), F.col(a).alias("value"))
-                                                             for a in v])).alias("t")).select("_pattern", "_n", "t.*")
-    vc = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").pivot("_pattern", patterns).agg(F.sum("_n"))
-    # every value meets every pattern, with no rows where the pattern lacks it
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.coalesce(F.col(f"`{q}`"), F.lit(0)).alias("c"))
-                               for i, q in enumerate(patterns)])).alias("t")
-    each = vc.select("feature", "value", each).select("feature", "value", "t.*")
-    cum = cumulated(each.withColumn("key", F.concat_ws("|", "feature", "at")), "key", "value", "c")
-    part = F.split("key", "\\|")
-    cum = cum.select(part[0].alias("feature"), part[1].cast("int").alias("at"), "value", "c", "start")
-    cum = _reuse(cum.groupBy("feature", "value").agg(F.array_sort(F.collect_list(F.struct("at", "start", "c"))).alias("ranks")))
+    # average ranks have the mean (n + 1) / 2, exactly
+    mids = F.create_map(*[e for x, (_, sums) in totals.items()
+                          for e in (F.lit(x), F.array(*[F.lit((n + 1) / 2.0) for n in sums]))])[F.col("feature")]
+    cum = cum.select("feature", "value", *c, *[
+        (F.col("_starts")[j].cast("double") + (F.col(c[j]) + 1) / 2.0 - mids[j]).alias(f"_r{j}") for j in every])
+    cum = _stored(cum, "ranks", ["feature"])
+    squares = {r["feature"]: r for r in cum.groupBy("feature").agg(
+        *[F.sum(F.col(c[j]) * F.col(f"_r{j}") * F.col(f"_r{j}")).alias(f"s{j}") for j in every]).collect()}
+    # columns of many values first, while the rows are narrow
+    room, spread = RANK_CELLS, []
+    for x in sorted(totals, key=lambda x: totals[x][0]):
+        room -= totals[x][0] * len(cols)
+        spread.append((x, room >= 0))
     ranked = rows
-    for i, a in enumerate(v):
-        r = cum.filter(F.col("feature") == a).select(F.col("value").alias(a), F.col("ranks").alias(f"_r{i}"))
-        ranked = ranked.join(r, a, "left")
-    aggs = []
-    for i, j in pairs:
-        own = [k for k, q in enumerate(patterns) if q[i] == "0" and q[j] == "0"]
-        both = F.col("_pattern").isin([patterns[k] for k in own]) if own else F.lit(False)
-
-        def centred(k: int, total):
-            start = sum((F.col(f"_r{k}")[q]["start"] for q in own), F.lit(0))
-            c = sum((F.col(f"_r{k}")[q]["c"] for q in own), F.lit(0))
-            return F.when(both, start.cast("double") + (c + 1) / 2.0 - total)
-
-        # average ranks have the mean (n + 1) / 2, exactly
-        mid = F.lit((sum(totals[patterns[q]] for q in own) + 1) / 2.0)
-        n, a, b = F.col("_n").cast("double"), centred(i, mid), centred(j, mid)
-        aggs += [F.sum(n * a * a).alias(f"a{i}_{j}"), F.sum(n * b * b).alias(f"b{i}_{j}"), F.sum(n * a * b).alias(f"c{i}_{j}")]
-    sums = ranked.agg(*aggs)
+    for x, small in reversed(spread):
+        i = v.index(x)
+        r = cum.filter(F.col("feature") == x).select(
+            F.col("value").alias(x), *[F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in every if j != i])
+        if small:
+            ranked = ranked.join(F.broadcast(r), x, "left")
+        else:       # rows without a value match nothing, and are dealt out by their other columns
+            salt = F.when(F.col(x).isNull(), F.xxhash64(*v)).otherwise(F.lit(0))
+            ranked = ranked.withColumn("_salt", salt).join(r.withColumn("_salt", F.lit(0).cast("long")),
+                                                           [x, "_salt"], "left").drop("_salt")
+    known = {i for i in every if v[i] in totals}
+    live = [(i, j) for i, j in pairs if i in known and j in known]
+    sums = ranked.agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.sum(F.col("_n") * F.col(f"_r{i}_{j}") * F.col(f"_r{j}_{i}")).alias(f"c{i}_{j}") for i, j in live])
+
+    def r(i: int, j: int):
+        a, b = (squares[v[i]][f"s{j}"], squares[v[j]][f"s{i}"]) if (i, j) in live else (0.0, 0.0)
+        return F.col(f"c{i}_{j}") / F.lit(math.sqrt(a * b)) if a > 0 and b > 0 else F.lit(None).cast("double")
+
     return sums.select(F.explode(F.array(*[F.struct(
-        F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"),
-        F.when((F.col(f"a{i}_{j}") > 0) & (F.col(f"b{i}_{j}") > 0),
-               F.col(f"c{i}_{j}") / F.sqrt(F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}"))).alias("r")) for i, j in pairs])).alias("t")
+        F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r(i, j).alias("r")) for i, j in pairs])).alias("t")
     ).select("t.*")
 
 

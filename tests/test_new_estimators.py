@@ -278,3 +278,28 @@ def test_mode_imputation_in_a_saved_pipeline(spark, tmp):
     assert a == b and len(a) == 61
     names = [r["feature"] for r in model.importance(m, ["v"]).collect()]
     assert "c=b" in names and "d=x" in names
+
+
+def test_rank_matrix_grows_with_the_columns_not_their_null_patterns(spark, monkeypatch):
+    rng = random.Random(11)
+    # a value or none in each of six columns: most of the 64 null patterns occur
+    rows = [tuple(None if rng.random() < 0.4 else float(rng.choice([rng.randrange(5), rng.random()])) for _ in range(6))
+            for _ in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    plans = [len(profile.spearman(d)._jdf.queryExecution().optimizedPlan().toString()) for d in (df.fillna(0.5), df)]
+    assert plans[1] < 1.2 * plans[0]
+    want = df.toPandas().corr(method="spearman")
+    for cells in (profile.RANK_CELLS, 0):       # all columns by broadcast; all by shuffle, rows without a value too
+        monkeypatch.setattr(profile, "RANK_CELLS", cells)
+        got = profile.spearman(df)
+        assert len(got.collect()) == 15
+        for r in got.collect():
+            assert abs(r["r"] - want.loc[r["x"], r["y"]]) < 1e-9, r
+
+
+def test_rank_matrix_of_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, 1.0), (3.0, None, None)], "a double, b double, c double")
+    assert {(r["x"], r["y"]): r["r"] for r in profile.spearman(df).collect()} == {
+        ("a", "b"): None, ("a", "c"): -1.0, ("b", "c"): None}
+    assert [r["r"] for r in profile.spearman(df.select("b", profile.F.col("b").alias("d"))).collect()] == [None]
+    assert [r["r"] for r in profile.spearman(df.limit(0)).collect()] == [None] * 3
