@@ -19,7 +19,7 @@ words, goes as well if an earlier such line has a Jaccard similarity of
 Each line needs one earlier match only, so a dense group does not list all its
 pairs: per shared word, a line first tries its nearest few candidates; the
 lines that found no match among these try the rest of the words where candidates
-are left in a second round, in which only these words are posted. A word that is still common among prefixes is replaced
+are left in a second round, over the postings that the first kept of these words. A word that is still common among prefixes is replaced
 by pairs of words (two such lines share at least two words in a prefix one
 longer), so posting lists stay short. Postings travel as packed arrays, one
 row per task batch and group of words.
@@ -69,31 +69,38 @@ CHUNK_BYTES = 1 << 20
 MEMO = 200_000
 BLOOM_BITS = 1 << 25
 
-# Words are hashed as polynomials over a random 64-bit value per byte; any fixed draw will do.
-_DRAW = np.random.default_rng(20240229)
-_BYTE = _DRAW.integers(1, 1 << 64, 256, dtype=np.uint64)
-_STEP = np.uint64(_DRAW.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1))
-_IN_WORD = np.array([chr(b).isalnum() or b == 95 if b < 128 else True for b in range(256)])
+#: Words of more bytes are hashed one by one, shorter ones eight bytes of all words at a time.
+LONG_WORD = 32
+_IN_WORD = bytes(chr(b).isalnum() or b == 95 if b < 128 else True for b in range(256))
+_LEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(place of its first byte, 64-bit hash) of every word of a lower-cased UTF-8 text, in whole-array steps."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    inside = _IN_WORD[raw]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    padded = b"\n" + text + b"\n" * 8
+    inside = np.frombuffer(padded.translate(_IN_WORD), dtype=np.bool_)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, np.zeros(0, dtype=np.uint64)
     size = end - start
-    power = np.ones(int(size.max()), dtype=np.uint64)
-    power[1:] = _STEP
-    power = np.multiply.accumulate(power)
-    first = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = np.add.reduceat(_BYTE[raw[inside]] * power[at], first)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return start, h ^ (h >> np.uint64(29))
+    # the eight bytes from every place of the text on; no word holds a zero byte
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, offset=1, strides=(1,))
+    h = _mixed(eight[start] & _LEAD[np.minimum(size, 8)])
+    for k in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        piece = eight[start[more] + k] & _LEAD[np.minimum(size[more] - k, 8)]
+        h[more] = _mixed(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ piece)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i]:end[i]])
+    return start, h
 
 
 #: Characters of scripts that write no spaces: Thai, Lao, Burmese, Khmer, kana, Han.
@@ -124,11 +131,26 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, h, np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 10)
 
 
+def _new_lines(lines: list[str], docs: list[int], places: list[int], posted: dict[bytes, tuple[int, int]]) -> list[int]:
+    """Which lines ``posted`` does not know at their place or a smaller one; it knows them from now on."""
+    new = []
+    for i, here in enumerate(zip(docs, places, strict=True)):
+        k = line_key(lines[i])
+        if k not in posted or here < posted[k]:
+            posted[k] = here
+            new.append(i)
+    return new
+
+
 class Lines:
     """The lines of ``min_words`` words or more of some documents, and their words: each once a line, sorted by line."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None):
+    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None,
+                 posted: dict[bytes, tuple[int, int]] | None = None):
         lines, docs, places = _split_lines(ids, texts)
+        if posted is not None:
+            new = _new_lines(lines, docs, places, posted)
+            lines, docs, places = [lines[i] for i in new], [docs[i] for i in new], [places[i] for i in new]
         start, h, ends = _hashed(lines)
         owner = np.searchsorted(ends, start)
         length = np.bincount(owner, minlength=len(lines))
@@ -174,11 +196,6 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
         yield ids, texts
 
 
-def _chunks(b: pa.RecordBatch, min_words: int, rarity: np.ndarray | None = None) -> Iterator[Lines]:
-    for ids, texts in _texts(b):
-        yield Lines(ids, texts, min_words, rarity)
-
-
 SURVEY = "block int, counts binary, line binary, doc_id long, place int"
 
 
@@ -320,11 +337,10 @@ def postings(x: Lines, threshold: float, hot: int) -> np.ndarray:
     return out
 
 
-def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: int):
+def _post(counts, threshold: float, min_words: int, hot: int, groups: int):
     """Second pass: postings of each batch, dealt to groups of words as packed arrays.
 
-    ``asking`` holds filters of the asking lines and of the words to post (None:
-    all of them). A line text that the task has posted is posted again only for a smaller
+    A line text that the task has posted is posted again only for a smaller
     (document, place), so the first occurrence of every text is posted.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,26 +349,16 @@ def _post(counts, asking, threshold: float, min_words: int, hot: int, groups: in
         posted.clear()
         for b in batches:
             parts = []
-            for x in _chunks(b, min_words, rarity):
+            for ids, texts in _texts(b):
                 if len(posted) > MEMO:
                     posted.clear()
-                new = np.zeros(len(x.lines), dtype=bool)
-                for i, (t, here) in enumerate(zip(x.lines, zip(x.doc.tolist(), x.place.tolist(), strict=True), strict=True)):
-                    k = line_key(t)
-                    if k not in posted or here < posted[k]:
-                        posted[k], new[i] = here, True
-                pick = new[x.owner]
-                x.owner, x.words, x.count = np.cumsum(new)[x.owner[pick]] - 1, x.words[pick], x.count[pick]
-                x.doc, x.place = x.doc[new], x.place[new]
+                x = Lines(ids, texts, min_words, rarity, posted)
                 if len(x.words):
-                    p = postings(x, threshold, hot)
-                    if asking is not None:
-                        p = p[has_token(asking.value[1], p["token"])]
-                    parts.append(p)
-            if not any(len(p) for p in parts):
+                    parts.append(postings(x, threshold, hot))
+            if not parts:
                 continue
             p = np.concatenate(parts)
-            p["asks"] = 1 if asking is None else in_bloom(asking.value[0], p["doc"], p["place"].astype(np.int64))
+            p["asks"] = 1
             g = ((p["token"] >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(g, kind="stable")
             p, g = p[order], g[order]
@@ -470,11 +476,44 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
         ["xdoc", "xplace", "ydoc", "yplace", "token"]]
 
 
-def _join(threshold: float, last: int | None):
+#: Pairs and open words, and once a group the packed postings of all its open words.
+FOUND = f"{PAIRS}, open binary"
+
+
+def _join(threshold: float, last: int):
+    """First round: up to ``last`` candidates of a line under a word, and the postings of words with more."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [_unpacked(raw) for f in frames for raw in f["packed"]]
-        if parts:
-            yield candidates(np.concatenate(parts), threshold, last)
+        if not parts:
+            return
+        p = np.concatenate(parts)
+        found = candidates(p, threshold, last)
+        yield found.assign(open=None)
+        more = found["token"].dropna().unique().to_numpy(dtype=np.int64).view(np.uint64)
+        if len(more):
+            none = {c: pd.array([pd.NA], "Int32" if c.endswith("place") else "Int64") for c in found}
+            yield pd.DataFrame(none).assign(open=[_columns(p[np.isin(p["token"], more)])])
+    return run
+
+
+def _join_open(asking, threshold: float):
+    """Second round: all candidates of the asking lines, from the postings that the first round kept.
+
+    ``asking`` holds filters of the asking lines and of the words under which
+    they ask. All postings of a word are in one row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, tokens = asking.value
+        names = [c.split()[0] for c in PAIRS.split(", ")][:4]
+        for b in batches:
+            for raw in b["open"]:
+                p = _unpacked(raw.as_py())
+                p = p[has_token(tokens, p["token"])]
+                p["asks"] = in_bloom(lines, p["doc"], p["place"].astype(np.int64))
+                if p["asks"].any():
+                    found = candidates(p, threshold, None)
+                    yield pa.RecordBatch.from_pandas(found[names].astype(
+                        {"ydoc": "int64", "yplace": "int32"}), preserve_index=False)
     return run
 
 
@@ -553,21 +592,23 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
     # some nine words of a line are posted
     groups = max(1, -(-9 * survey.where("line is not null").count() // GROUP_POSTINGS))
 
-    def round_(asking, last: int | None) -> tuple[DataFrame, DataFrame]:
-        packed = docs.mapInArrow(_post(counts, asking, threshold, min_words, hot, groups), "g long, packed binary")
-        found = packed.groupBy("g").applyInPandas(_join(threshold, last), PAIRS)
-        keys = ["xdoc", "xplace", "ydoc", "yplace"]
-        found = staged(found.distinct(), "line-candidates")
-        pairs = found.where("ydoc is not null").select(*keys)
-        return found.where("ydoc is null"), staged(verified(docs, pairs, threshold), "line-matches")
+    packed = docs.mapInArrow(_post(counts, threshold, min_words, hot, groups), "g long, packed binary")
+    found = staged(packed.groupBy("g").applyInPandas(_join(threshold, tries), FOUND), "line-candidates")
+    keys = ["xdoc", "xplace", "ydoc", "yplace"]
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.select(*keys).distinct(), "line-pairs")
+        return staged(verified(docs, pairs, threshold), "line-matches")
 
-    found, good = round_(None, tries)
-    lines = found.select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place"), "token")
+    good = matches(found.where("ydoc is not null"))
+    lines = found.where("token is not null").select(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place"), "token")
     unsettled = staged(lines.join(good, ["doc_id", "place"], "left_anti"), "lines-open")
     if unsettled.isEmpty():
         return good
     asking = spark.sparkContext.broadcast((bloom_filter(unsettled), token_filter(unsettled)))
-    return good.union(round_(asking, None)[1]).distinct()
+    rest = found.where("open is not null").select("open").mapInArrow(
+        _join_open(asking, threshold), ", ".join(PAIRS.split(", ")[:4]))
+    return good.union(matches(rest)).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
