@@ -108,6 +108,13 @@ _UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3
                        "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
+def _counter(h: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of every word."""
+    if counters & (counters - 1):
+        return (h % np.uint64(counters)).astype(np.int64)
+    return (h & np.uint64(counters - 1)).astype(np.int64)
+
+
 def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.strip().encode("utf-8", "surrogatepass"))
 
@@ -145,38 +152,35 @@ def _new_lines(lines: list[str], docs: list[int], places: list[int], posted: dic
 class Lines:
     """The lines of ``min_words`` words or more of some documents, and their words: each once a line, sorted by line."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray | None = None,
-                 posted: dict[bytes, tuple[int, int]] | None = None):
+    def __init__(self, ids: list[int], texts: list[str | None], min_words: int, rarity: np.ndarray,
+                 magnitude: np.ndarray, posted: dict[bytes, tuple[int, int]]):
         lines, docs, places = _split_lines(ids, texts)
-        if posted is not None:
-            new = _new_lines(lines, docs, places, posted)
-            lines, docs, places = [lines[i] for i in new], [docs[i] for i in new], [places[i] for i in new]
+        new = _new_lines(lines, docs, places, posted)
+        lines, docs, places = [lines[i] for i in new], [docs[i] for i in new], [places[i] for i in new]
         start, h, ends = _hashed(lines)
         owner = np.searchsorted(ends, start)
         length = np.bincount(owner, minlength=len(lines))
         for i in np.flatnonzero((length > 0) & (length < min_words)).tolist():
             if not lines[i].isascii():
                 length[i] = max(length[i], len(_UNSPACED.findall(lines[i])))
-        count = np.zeros(len(h), dtype=np.int64)
-        if rarity is not None:
-            count = rarity[(h % np.uint64(len(rarity))).astype(np.int64)].astype(np.int64)
+        rank = magnitude[_counter(h, len(rarity))]
         # one sort key: line, magnitude of the count, leading bits of the hash
-        rank = np.frexp(count.astype(np.float64))[1].astype(np.uint64)
         key = owner.astype(np.uint64) << np.uint64(44) | rank << np.uint64(38) | h >> np.uint64(26)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, sorted_h = key[order], h[order]
         if (len(lines) >> 20) or ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
             order = np.lexsort((h, rank, owner))
             sorted_h = h[order]
-        owner, count = owner[order], count[order]
+        owner = owner[order]
         one = np.ones(len(order), dtype=bool)
         one[1:] = (owner[1:] != owner[:-1]) | (sorted_h[1:] != sorted_h[:-1])
-        owner, words, count = owner[one], sorted_h[one], count[one]
+        owner, words = owner[one], sorted_h[one]
         used = np.flatnonzero(length >= min_words)
         local = np.full(len(lines), -1)
         local[used] = np.arange(len(used))
         pick = local[owner] >= 0
-        self.owner, self.words, self.count = local[owner[pick]], words[pick], count[pick]
+        self.owner, self.words = local[owner[pick]], words[pick]
+        self.count = rarity[_counter(self.words, len(rarity))].astype(np.int64)
         self.lines = [lines[i] for i in used]
         self.doc = np.array(docs, dtype=np.int64)[used] if docs else np.zeros(0, dtype=np.int64)
         self.place = np.array(places, dtype=np.int32)[used] if docs else np.zeros(0, dtype=np.int32)
@@ -210,7 +214,7 @@ def _survey(counters: int):
             for ids, texts in _texts(b):
                 lines, doc, place = _split_lines(ids, texts)
                 start, h, ends = _hashed(lines)
-                total += np.bincount((h % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
+                total += np.bincount(_counter(h, counters), minlength=counters).astype(np.uint32)
                 used = np.unique(np.searchsorted(ends, start)).tolist()     # the lines with any word
                 n = len(used)
                 cols = [[None] * n, [None] * n, [line_key(lines[i]) for i in used], [doc[i] for i in used],
@@ -297,6 +301,11 @@ def has_token(table: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def with_documents(lines: DataFrame) -> DataFrame:
+    """The lines, and each document as the place -1."""
+    return lines.select("doc_id", F.explode(F.array("place", F.lit(-1))).alias("place"))
+
+
 def in_bloom(table: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     at = bloom_place(doc, place, len(table) * 8)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -345,6 +354,7 @@ def _post(counts, threshold: float, min_words: int, hot: int, groups: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
+        magnitude = np.frexp(rarity.astype(np.float64))[1].astype(np.uint64)
         posted: dict[bytes, tuple[int, int]] = held("lines", dict)
         posted.clear()
         for b in batches:
@@ -352,7 +362,7 @@ def _post(counts, threshold: float, min_words: int, hot: int, groups: int):
             for ids, texts in _texts(b):
                 if len(posted) > MEMO:
                     posted.clear()
-                x = Lines(ids, texts, min_words, rarity, posted)
+                x = Lines(ids, texts, min_words, rarity, magnitude, posted)
                 if len(x.words):
                     parts.append(postings(x, threshold, hot))
             if not parts:
@@ -375,8 +385,8 @@ def _columns(p: np.ndarray) -> bytes:
     return len(p).to_bytes(8, "little") + b"".join(np.ascontiguousarray(p[n]).tobytes() for n in POSTING.names)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    n, at = int.from_bytes(raw[:8], "little"), 8
+def _unpacked(raw: bytes | pa.Buffer) -> np.ndarray:
+    n, at = int(np.frombuffer(raw, dtype="<u8", count=1)[0]), 8
     out = np.zeros(n, dtype=POSTING)
     for name in POSTING.names:
         kind = POSTING[name]
@@ -388,45 +398,63 @@ def _unpacked(raw: bytes) -> np.ndarray:
 class Columns:
     """Fields of postings that the filters read, side by side."""
 
-    def __init__(self, p: np.ndarray):
-        self.size, self.pos = p["size"].astype(np.int64), p["pos"].astype(np.int64)
+    def __init__(self, p: np.ndarray, threshold: float):
+        self.size = p["size"].astype(np.int64)
+        self.left = self.size - p["pos"]
         self.sig0, self.sig1 = np.ascontiguousarray(p["sig0"]), np.ascontiguousarray(p["sig1"])
+        sizes = np.arange(2 * int(self.size.max(initial=0)) + 1)
+        self.least, self.overlap = needed(sizes, threshold), overlap_needed(sizes, 0, threshold)
 
-    def may_match(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Length, positional and signature filters of postings a and b of one word; which passed with ease.
+    def may_match(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings a and b of one word that pass length, positional and signature filters; which do with ease.
 
         A pair is looked for at its first shared word, so nothing before it counts.
         """
         sa, sb = self.size[a], self.size[b]
-        need = overlap_needed(sa, sb, threshold)
-        ok = np.minimum(sa - self.pos[a], sb - self.pos[b]) >= need
-        ok &= np.minimum(sa, sb) >= needed(np.maximum(sa, sb), threshold)
+        both = sa + sb
+        need = self.overlap[both]
+        ok = np.minimum(self.left[a], self.left[b]) >= need
+        ok &= np.minimum(sa, sb) >= self.least[np.maximum(sa, sb)]
         at = np.flatnonzero(ok)
         a, b = a[at], b[at]
-        differ = np.bitwise_count(self.sig0[a] ^ self.sig0[b]).astype(np.int64)
+        differ = np.bitwise_count(self.sig0[a] ^ self.sig0[b])
         differ += np.bitwise_count(self.sig1[a] ^ self.sig1[b])
-        most = (sa + sb - 2 * need)[at]
-        ok[at] = differ <= most
-        strong = np.zeros(len(ok), dtype=bool)
-        strong[at] = (differ <= 32) & (3 * differ <= 2 * most)  # signatures of far lines fill up near 64
-        return ok, strong
+        most = both[at] - 2 * need[at]
+        at = np.flatnonzero(differ <= most)
+        differ, most = differ[at].astype(np.int64), most[at]
+        # signatures of far lines fill up near 64
+        return a[at], b[at], (differ <= 32) & (3 * differ <= 2 * most)
+
+
+def _by_word(p: np.ndarray) -> np.ndarray:
+    """Postings sorted by word, document and place, each line once a word."""
+    words, word = np.unique(p["token"], return_inverse=True)
+    docs, doc = np.unique(p["doc"], return_inverse=True)
+    bits = int(p["place"].max(initial=0)).bit_length()
+    if (len(words) * len(docs)).bit_length() + bits < 63:
+        key = (word * len(docs) + doc) << bits | p["place"]
+        order = np.argsort(key)
+        key = key[order]
+        return p[order[np.r_[True, key[1:] != key[:-1]]]]
+    p = p[np.lexsort((p["place"], p["doc"], p["token"]))]
+    same = (p["token"][1:] == p["token"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["place"][1:] == p["place"][:-1])
+    return p[np.r_[True, ~same]]
 
 
 #: A pair of lines, or (with ``token``) a line and a word under which it has more candidates than it tried.
 PAIRS = "xdoc long, xplace int, ydoc long, yplace int, token long"
 
 
-def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFrame:
+def candidates(p: np.ndarray, threshold: float, last: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each asking posting, up to ``last`` candidates among the earlier lines of its word (None: all).
 
     First the nearest earlier lines in turn, where copies and near copies find
     a match at once; then, for lines still short of candidates, the rest of the
-    earlier lines, as far as their size fits.
+    earlier lines, as far as their size fits. Returns the postings of both sides
+    of the pairs (a pair may come under several words), and those that have more.
     """
-    p = p[np.lexsort((p["place"], p["doc"], p["token"]))]
-    same = (p["token"][1:] == p["token"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["place"][1:] == p["place"][:-1])
-    p = p[np.r_[True, ~same]]
-    cols = Columns(p)
+    p = _by_word(p)
+    cols = Columns(p, threshold)
     token = np.ascontiguousarray(p["token"])
     begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     run = np.diff(np.r_[begin, len(p)])
@@ -436,11 +464,11 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def put(x: np.ndarray, y: np.ndarray) -> None:
-        hit, strong = cols.may_match(x, y, threshold)
-        found[x[hit]] += 1
+        x, y, strong = cols.may_match(x, y)
+        found[x] += 1
         sure[x[strong]] += 1
-        left.append(x[hit])
-        right.append(y[hit])
+        left.append(x)
+        right.append(y)
 
     def open_(x: np.ndarray) -> np.ndarray:
         return np.ones(len(x), dtype=bool) if last is None else (found[x] < last) & (sure[x] < STRONG)
@@ -452,28 +480,37 @@ def candidates(p: np.ndarray, threshold: float, last: int | None) -> pd.DataFram
         if not len(live):
             break
     # the rest by size: a posting's place leaves room for lines up to a size only
-    by_size = np.lexsort((np.arange(len(p)), cols.size, group))
-    key = (group << 32 | cols.size)[by_size]
-    low = needed(cols.size[live], threshold)
-    most = np.floor((cols.size[live] - cols.pos[live]) * (1 + threshold) / threshold + 1e-9).astype(np.int64) - cols.size[live]
+    key = group << 32 | cols.size
+    by_size = np.argsort(key, kind="stable")
+    key = key[by_size]
+    low = cols.least[cols.size[live]]
+    most = np.floor(cols.left[live] * (1 + threshold) / threshold + 1e-9).astype(np.int64) - cols.size[live]
     at = np.searchsorted(key, group[live] << 32 | low, "left")
     end = np.searchsorted(key, group[live] << 32 | np.maximum(most, 0), "right")
+    go = at < end
+    live, at, end = live[go], at[go], end[go]
     while len(live):
-        go = at < end
-        live, at, end = live[go], at[go], end[go]
         y = by_size[at]
         ok = y < live - NEAREST
         put(live[ok], y[ok])
-        at = at + 1
-        go = open_(live)
+        at += 1
+        go = open_(live) & (at < end)
         live, at, end = live[go], at[go], end[go]
     x, y = np.concatenate(left), np.concatenate(right)
-    a, b, rest = p[x], p[y], p[np.unique(x[~open_(x)])]
-    pairs = pd.DataFrame({"xdoc": a["doc"], "xplace": a["place"], "ydoc": b["doc"], "yplace": b["place"]}).drop_duplicates()
-    more = pd.DataFrame({"xdoc": rest["doc"], "xplace": rest["place"], "token": rest["token"].astype(np.int64)})
-    kinds = {"ydoc": "Int64", "yplace": "Int32", "token": "Int64"}
-    return pd.concat([pairs.assign(token=pd.NA).astype(kinds), more.assign(ydoc=pd.NA, yplace=pd.NA).astype(kinds)])[
-        ["xdoc", "xplace", "ydoc", "yplace", "token"]]
+    return p[x], p[y], p[np.unique(x[~open_(x)])]
+
+
+def _found(x: np.ndarray, y: np.ndarray | None = None, token: np.ndarray | None = None,
+           kept: bytes | None = None) -> pa.RecordBatch:
+    """Rows of ``FOUND``; what is not given is null."""
+    def column(values: np.ndarray | None, name: str, kind: pa.DataType) -> pa.Array:
+        return pa.nulls(len(x), kind) if values is None else pa.array(np.ascontiguousarray(values[name]), kind)
+
+    open_ = pa.nulls(len(x), pa.binary()) if kept is None else pa.array([kept], pa.binary())
+    token = pa.nulls(len(x), pa.int64()) if token is None else pa.array(np.ascontiguousarray(token["token"]).view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [column(x, "doc", pa.int64()), column(x, "place", pa.int32()), column(y, "doc", pa.int64()),
+         column(y, "place", pa.int32()), token, open_], [c.split()[0] for c in FOUND.split(", ")])
 
 
 #: Pairs and open words, and once a group the packed postings of all its open words.
@@ -482,17 +519,18 @@ FOUND = f"{PAIRS}, open binary"
 
 def _join(threshold: float, last: int):
     """First round: up to ``last`` candidates of a line under a word, and the postings of words with more."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [_unpacked(raw) for f in frames for raw in f["packed"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(raw.as_buffer()) for b in batches for raw in b["packed"]]
         if not parts:
             return
         p = np.concatenate(parts)
-        found = candidates(p, threshold, last)
-        yield found.assign(open=None)
-        more = found["token"].dropna().unique().to_numpy(dtype=np.int64).view(np.uint64)
+        x, y, more = candidates(p, threshold, last)
+        yield _found(x, y)
         if len(more):
-            none = {c: pd.array([pd.NA], "Int32" if c.endswith("place") else "Int64") for c in found}
-            yield pd.DataFrame(none).assign(open=[_columns(p[np.isin(p["token"], more)])])
+            yield _found(more, token=more)
+            words = np.unique(more["token"])
+            at = np.minimum(np.searchsorted(words, p["token"]), len(words) - 1)
+            yield _found(more[:1], kept=_columns(p[words[at] == p["token"]]))
     return run
 
 
@@ -504,16 +542,14 @@ def _join_open(asking, threshold: float):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, tokens = asking.value
-        names = [c.split()[0] for c in PAIRS.split(", ")][:4]
         for b in batches:
             for raw in b["open"]:
-                p = _unpacked(raw.as_py())
+                p = _unpacked(raw.as_buffer())
                 p = p[has_token(tokens, p["token"])]
                 p["asks"] = in_bloom(lines, p["doc"], p["place"].astype(np.int64))
                 if p["asks"].any():
-                    found = candidates(p, threshold, None)
-                    yield pa.RecordBatch.from_pandas(found[names].astype(
-                        {"ydoc": "int64", "yplace": "int32"}), preserve_index=False)
+                    x, y, _ = candidates(p, threshold, None)
+                    yield _found(x, y)
     return run
 
 
@@ -538,6 +574,8 @@ def _sets(asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = asked.value
         for b in batches:
+            ids = b["doc_id"].to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(in_bloom(table, ids, np.full(len(ids), -1))))
             doc, place, found, size = [], [], [], 0
             for ids, texts in _texts(b):
                 lines, docs, places = _split_lines(ids, texts)
@@ -556,15 +594,34 @@ def _sets(asked):
     return run
 
 
+def common_words(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many words each set of ``x`` shares with the set of ``y`` at its place."""
+    size = [np.array([len(raw) >> 3 for raw in side], dtype=np.int64) for side in (x, y)]
+    pair = np.concatenate([np.repeat(np.arange(len(n), dtype=np.uint64), n) for n in size])
+    w = np.frombuffer(b"".join(x + y), dtype=np.uint64)
+    bits = max(1, len(x).bit_length())
+    key = pair << np.uint64(64 - bits) | w >> np.uint64(bits)     # one sort key: pair, leading bits of the word
+    order = np.argsort(key)
+    key, words = key[order], w[order]
+    same = words[1:] == words[:-1]
+    if ((key[1:] == key[:-1]) & ~same).any():
+        order = np.lexsort((w, pair))
+        words = w[order]
+        same = words[1:] == words[:-1]
+    pair = pair[order]
+    same &= pair[1:] == pair[:-1]
+    return np.bincount(pair[1:][same].astype(np.int64), minlength=len(x))
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b["wx"].to_pylist(), b["wy"].to_pylist(), strict=True):
-                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(a) + len(c) - len(np.union1d(a, c))
-                ok.append(common >= threshold * (len(a) + len(c) - common) - 1e-9)
-            mask = pa.array(ok, pa.bool_())
+            x, y = b["wx"].to_pylist(), b["wy"].to_pylist()
+            both = np.array([len(i) + len(j) >> 3 for i, j in zip(x, y, strict=True)], dtype=np.int64)
+            part = np.cumsum(both) * 8 // CHUNK_BYTES       # pairs of bounded words (a single one may be longer)
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(x)]
+            common = np.concatenate([common_words(x[i:j], y[i:j]) for i, j in zip(cut, cut[1:], strict=False)])
+            mask = pa.array(common >= threshold * (both - common) - 1e-9, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["xdoc"].filter(mask), b["xplace"].filter(mask)], ["doc_id", "place"])
     return run
 
@@ -575,7 +632,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     ends = F.array(F.struct(F.col("xdoc").alias("doc_id"), F.col("xplace").alias("place")),
                    F.struct(F.col("ydoc").alias("doc_id"), F.col("yplace").alias("place")))
     wanted = staged(pairs.select(F.explode(ends).alias("e")).select("e.doc_id", "e.place").distinct(), "lines-wanted")
-    asked = spark.sparkContext.broadcast(bloom_filter(wanted))
+    asked = spark.sparkContext.broadcast(bloom_filter(with_documents(wanted)))
     sets = docs.mapInArrow(_sets(asked), "doc_id long, place int, words binary")
     sets = staged(sets.join(wanted, ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"]), "line-words")
     x = sets.select(F.col("doc_id").alias("xdoc"), F.col("place").alias("xplace"), F.col("words").alias("wx"))
@@ -593,7 +650,7 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
     groups = max(1, -(-9 * survey.where("line is not null").count() // GROUP_POSTINGS))
 
     packed = docs.mapInArrow(_post(counts, threshold, min_words, hot, groups), "g long, packed binary")
-    found = staged(packed.groupBy("g").applyInPandas(_join(threshold, tries), FOUND), "line-candidates")
+    found = staged(packed.groupBy("g").applyInArrow(_join(threshold, tries), FOUND), "line-candidates")
     keys = ["xdoc", "xplace", "ydoc", "yplace"]
 
     def matches(pairs: DataFrame) -> DataFrame:
@@ -606,8 +663,7 @@ def similar_lines(docs: DataFrame, survey: DataFrame, threshold: float, min_word
     if unsettled.isEmpty():
         return good
     asking = spark.sparkContext.broadcast((bloom_filter(unsettled), token_filter(unsettled)))
-    rest = found.where("open is not null").select("open").mapInArrow(
-        _join_open(asking, threshold), ", ".join(PAIRS.split(", ")[:4]))
+    rest = found.where("open is not null").select("open").mapInArrow(_join_open(asking, threshold), FOUND)
     return good.union(matches(rest)).distinct()
 
 
@@ -622,10 +678,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     firsts = staged(firsts.where("n > 1").select("line", "first"), "line-firsts")
     copies = lines.join(firsts, "line").where(F.struct("doc_id", "place") != F.col("first")).select(
-        "doc_id", "place", "line", F.lit("copy").alias("how"))
-    near = lines.join(similar, ["doc_id", "place"]).select("doc_id", "place", "line", F.lit("similar").alias("how"))
-    # a posted copy can be similar too; copies come first in the order of names
-    return copies.union(near).groupBy("doc_id", "place", "line").agg(F.min("how").alias("how"))
+        "doc_id", "place", "line", F.lit(False).alias("near"))
+    near = lines.join(similar, ["doc_id", "place"]).select("doc_id", "place", "line", F.lit(True).alias("near"))
+    # a posted copy can be similar too, and counts as a copy
+    gone = copies.union(near).groupBy("doc_id", "place", "line").agg(F.min("near").alias("near"))
+    return gone.select("doc_id", "place", "line", F.when(F.col("near"), "similar").otherwise("copy").alias("how"))
 
 
 def document_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -62,6 +62,26 @@ def test_lines_match_brute_force(spark, near_lines, hot, tries, monkeypatch):
     assert got == brute_lines(near_lines)
 
 
+def test_second_round_reads_the_first_ones_postings(spark, near_lines, monkeypatch):
+    """Texts are split once for postings, whatever is left open; every word of a text has a hash of its own."""
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    df = spark.createDataFrame(near_lines, "doc_id long, text string").repartition(5)
+    passes, real, post = [], line_dedup.similar_lines, line_dedup._post
+    monkeypatch.setattr(line_dedup, "_post", lambda *a: passes.append(a) or post(*a))
+    monkeypatch.setattr(line_dedup, "similar_lines", lambda *a, **k: real(*a, **(k | {"hot": 3, "tries": 1})))
+    assert line_dedup.repeated_lines(df).where("how = 'similar'").count() > 0
+    assert len(passes) == 1
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij", k=n)) for n in [*range(1, 70), 5_000] for _ in range(9)]
+    texts += [t + "\u00e9" for t in texts]
+    start, h = line_dedup.word_hashes("  ".join(texts).encode())
+    raw = "  ".join(texts).encode()
+    assert len(set(h.tolist())) == len(set(texts)) and all(raw[a - 1:a] in (b"", b" ") for a in start.tolist())
+    one = {t: int(line_dedup.word_hashes(b"-" + t.encode() + b".")[1][0]) for t in texts}
+    assert [one[t] for t in texts] == h.tolist()
+    assert all(len(x) == 0 for t in (b"", b"\n", b"-- .") for x in line_dedup.word_hashes(t))
+
+
 def test_odd_documents(odd_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     want = brute_lines([tuple(r) for r in rows])
