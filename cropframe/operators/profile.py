@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,22 +128,27 @@ def cumulated(vc: DataFrame, feature: str = "feature", value: str = "value", c:
     and feature reaches the driver (``totals_to`` gets each feature's).
     """
     totals: dict[str, tuple[int, list[int]]] = {}
-    run = running_counts(vc.groupBy(feature, value).agg(F.sum(c).alias(c)), feature, value, [c], totals)
+    flat = _stored(vc.groupBy(feature, value).agg(F.sum(c).alias(c)), "values")
+    run = running_counts(flat, feature, value, [c], totals)
     if totals_to is not None:
         totals_to.update({f: sums[0] for f, (_, sums) in totals.items()})
     return run.select(feature, value, c, F.col("_starts")[0].alias("start"))
 
 
+def ranges(flat: DataFrame, feature: str, value: str, rows: int) -> DataFrame:
+    """A stored table of distinct (feature, value) in range partitions of about ``rows`` at most, numbered ``_pid``."""
+    n = max(1, -(-flat.count() // rows), int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return flat.repartitionByRange(n, feature, value).withColumn("_pid", F.spark_partition_id())
+
+
 def running_counts(flat: DataFrame, feature: str, value: str, counts: list[str],
                    totals_to: dict[str, tuple[int, list[int]]]) -> DataFrame:
-    """A table of distinct (feature, value) with ``_starts``, the sums of each of ``counts`` over smaller values.
+    """A stored table of distinct (feature, value) with ``_starts``, the sums of each of ``counts`` over smaller values.
 
     ``totals_to`` gets each feature's number of values and sums of ``counts``.
     """
     spark = flat.sparkSession
-    flat = _stored(flat.select(feature, value, *counts), "values")
-    n = max(1, -(-flat.count() // SORT_VALUES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = _stored(flat.repartitionByRange(n, feature, value).withColumn("_pid", F.spark_partition_id()), "ranges")
+    parts = _stored(ranges(flat.select(feature, value, *counts), feature, value, SORT_VALUES), "ranges")
     sums = [F.sum(c).alias(f"_t{i}") for i, c in enumerate(counts)]
     found = sorted(parts.groupBy(feature, "_pid").agg(F.count(F.lit(1)).alias("_t"), *sums).collect(),
                    key=lambda r: (r[0], r[1]))
@@ -388,69 +395,165 @@ def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return spearman(df, [x, y])
 
 
+def _rank_sums(batches, counts: list[str], weights: list[tuple[str, str]]):
+    """One row per feature of a range partition: its rows by each of ``counts`` and, over its values' average
+    ranks inside the partition, less their mean, the sums of squares by count and of products with ``weights``."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    names = t.column("feature").combine_chunks().dictionary_encode()
+    code, out = names.indices.to_numpy(), []
+    values = t.column("value").to_numpy()
+    for k, f in enumerate(names.dictionary.to_pylist()):
+        at = np.flatnonzero(code == k)
+        at = at[np.argsort(values[at])]
+        row = {"feature": f, "_pid": t.column("_pid")[0].as_py()}
+        rank = {}
+        for x in counts:
+            c = t.column(x).to_numpy()[at]
+            end = np.cumsum(c)
+            rank[x] = (end - c) + (c + 1) / 2.0 - (end[-1] + 1) / 2.0
+            row[f"n{x}"], row[f"s{x}"] = int(end[-1]), float(np.sum(c * rank[x] * rank[x]))
+        for x, y in weights:
+            w = t.column(x).to_numpy()[at]
+            row[f"t{x}"], row[f"p{x}"] = float(np.sum(w)), float(np.sum(w * rank[y]))
+        out.append(row)
+    kinds = [("feature", pa.string()), ("_pid", pa.int32()), *[(x, pa.int64() if x[0] == "n" else pa.float64())
+                                                               for x in list(out[0])[2:]]]
+    yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+
+
+def rank_sums(flat: DataFrame, counts: list[str], weights: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
+    """Sums over the values of each feature of a stored (feature, value, counts, weights) table.
+
+    Of the ranks by each of ``counts``, less their mean: the sum of squares, and
+    for each (weight, count) the sum of products with the weight. Each range
+    partition gives one row per feature, with ranks from its own start; these
+    rows are moved to their places on the driver, so values are shuffled once
+    and nothing of their size is stored again.
+    """
+    schema = ", ".join(["feature string, _pid int", *[f"n{x} long, s{x} double" for x in counts],
+                        *[f"t{x} double, p{x} double" for x, _ in weights]])
+    found: dict[str, list] = {}
+    part = partial(_rank_sums, counts=counts, weights=weights)
+    # a partition is sorted in one array: the wider the rows, the fewer
+    parts = ranges(flat, "feature", "value", max(1, 4 * SORT_VALUES // len(flat.columns)))
+    for row in sorted(parts.mapInArrow(part, schema).collect(), key=lambda x: x["_pid"]):
+        found.setdefault(row["feature"], []).append(row)
+    out = {}
+    for f, rows in found.items():
+        out[f] = sums = dict.fromkeys([*counts, *[x for x, _ in weights]], 0.0)
+        for y in counts:
+            total, before = sum(x[f"n{y}"] for x in rows), 0
+            for x in rows:
+                # from the mean rank of the whole to that of the part; ranks less their mean sum to zero
+                shift = before + (x[f"n{y}"] - total) / 2.0
+                before += x[f"n{y}"]
+                sums[y] += x[f"s{y}"] + shift * shift * x[f"n{y}"]
+                for w, of in weights:
+                    if of == y:
+                        sums[w] += x[f"p{w}"] + shift * x[f"t{w}"]
+    return out
+
+
 def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman matrix (x, y, r) over all column pairs, pairwise complete; NaN is missing.
 
-    One scan compresses the rows to distinct value tuples. Each column's
-    values are counted once per partner column, over the rows that have the
-    partner too, so running counts give a value's average rank among the rows
-    of each of its pairs; these tables grow with the square of the columns,
-    whatever null patterns occur. Columns of few values meet the rows by
-    broadcast, the others by one shuffle each, and all pairs come from one
-    aggregate. The plan is the same with and without NULLs.
+    Each column's values are counted once per partner column, over the rows
+    that have the partner too, so running counts give a value's average rank
+    among the rows of each of its pairs; these tables grow with the square of
+    the columns, whatever null patterns occur. Columns of few values are ranked
+    first and meet the rows by broadcast; the counts of a column of many values
+    then carry the sums of its partners' ranks, so that pairs with a column of
+    few values need no join of the rows. Only pairs of two columns of many
+    values join their ranks to the distinct value tuples, by one shuffle a
+    column. The plan is the same with and without NULLs.
     """
     cols = cols or numeric_columns(df)
-    schema = "x string, y string, r double"
-    pairs = list(combinations(range(len(cols)), 2))
+    spark, every = df.sparkSession, range(len(cols))
+    pairs = list(combinations(every, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    v, c, every = [f"_v{i}" for i in range(len(cols))], [f"_c{i}" for i in range(len(cols))], range(len(cols))
-    rows = df.select(*[(nan_to_null(F.col(x).cast("double")) + F.lit(0.0)).alias(v[i]) for i, x in enumerate(cols)])
-    rows = _stored(rows.groupBy(*v).agg(F.count(F.lit(1)).alias("_n")), "tuples")
-    have = [F.when(F.col(v[j]).isNotNull(), F.col("_n")).otherwise(F.lit(0)).alias(c[j]) for j in every]
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("value"), *have)
-                                           for x in v])).alias("t")).select("t.*")
-    counted = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(*[F.sum(x).alias(x) for x in c])
-    totals: dict[str, tuple[int, list[int]]] = {}
-    cum = running_counts(counted, "feature", "value", c, totals)
-    if not totals:      # no value in any column
-        return df.sparkSession.createDataFrame([(cols[i], cols[j], None) for i, j in pairs], schema)
-    # average ranks have the mean (n + 1) / 2, exactly
-    mids = F.create_map(*[e for x, (_, sums) in totals.items()
-                          for e in (F.lit(x), F.array(*[F.lit((n + 1) / 2.0) for n in sums]))])[F.col("feature")]
-    cum = cum.select("feature", "value", *c, *[
-        (F.col("_starts")[j].cast("double") + (F.col(c[j]) + 1) / 2.0 - mids[j]).alias(f"_r{j}") for j in every])
-    cum = _stored(cum, "ranks", ["feature"])
-    squares = {r["feature"]: r for r in cum.groupBy("feature").agg(
-        *[F.sum(F.col(c[j]) * F.col(f"_r{j}") * F.col(f"_r{j}")).alias(f"s{j}") for j in every]).collect()}
-    # columns of many values first, while the rows are narrow
-    room, spread = RANK_CELLS, []
-    for x in sorted(totals, key=lambda x: totals[x][0]):
-        room -= totals[x][0] * len(cols)
-        spread.append((x, room >= 0))
-    ranked = rows
-    for x, small in reversed(spread):
-        i = v.index(x)
-        r = cum.filter(F.col("feature") == x).select(
-            F.col("value").alias(x), *[F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in every if j != i])
-        if small:
-            ranked = ranked.join(F.broadcast(r), x, "left")
-        else:       # rows without a value match nothing, and are dealt out by their other columns
-            salt = F.when(F.col(x).isNull(), F.xxhash64(*v)).otherwise(F.lit(0))
-            ranked = ranked.withColumn("_salt", salt).join(r.withColumn("_salt", F.lit(0).cast("long")),
-                                                           [x, "_salt"], "left").drop("_salt")
-    known = {i for i in every if v[i] in totals}
-    live = [(i, j) for i, j in pairs if i in known and j in known]
-    sums = ranked.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.sum(F.col("_n") * F.col(f"_r{i}_{j}") * F.col(f"_r{j}_{i}")).alias(f"c{i}_{j}") for i, j in live])
-
-    def r(i: int, j: int):
-        a, b = (squares[v[i]][f"s{j}"], squares[v[j]][f"s{i}"]) if (i, j) in live else (0.0, 0.0)
-        return F.col(f"c{i}_{j}") / F.lit(math.sqrt(a * b)) if a > 0 and b > 0 else F.lit(None).cast("double")
-
-    return sums.select(F.explode(F.array(*[F.struct(
-        F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r(i, j).alias("r")) for i, j in pairs])).alias("t")
-    ).select("t.*")
+        return spark.createDataFrame([], "x string, y string, r double")
+    v, c, r, w = ([f"_{k}{i}" for i in every] for k in "vcrw")
+    rows = _stored(df.select(*[(nan_to_null(F.col(x).cast("double")) + F.lit(0.0)).alias(v[i])
+                               for i, x in enumerate(cols)]), "rows")
+    # an estimate picks the plan, no result depends on it
+    sizes = rows.agg(*[F.approx_count_distinct(x) for x in v]).first()
+    room, small = RANK_CELLS, []
+    for i in sorted(every, key=lambda i: sizes[i]):
+        room -= sizes[i] * len(cols)
+        if room >= 0:
+            small.append(i)
+    big = [i for i in every if i not in small]
+
+    def counted(table: DataFrame, which: list[int], partners: list[int]) -> DataFrame:
+        """(feature, value): rows with each other column, and the sums of the ranks that ``partners`` have there."""
+        others = [j for j in every if which != [j]]
+
+        def fields(i: int) -> list:
+            return [F.lit(v[i]).alias("feature"), F.col(v[i]).alias("value"),
+                    *[F.col(v[j]).isNotNull().cast("long").alias(c[j]) for j in others],
+                    *[F.coalesce(F.col(f"_r{j}_{i}"), F.lit(0.0)).alias(w[j]) for j in partners]]
+
+        long = table.select(F.explode(F.array(*[F.struct(*fields(i)) for i in which])).alias("t")).select("t.*") \
+            if len(which) > 1 else table.select(*fields(which[0]))
+        return long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+            *[F.sum(x).alias(x) for x in [*[c[j] for j in others], *[w[j] for j in partners]]])
+
+    def ranks_of(table: DataFrame, i: int) -> DataFrame:
+        return table.filter(F.col("feature") == v[i]).select(
+            F.col("value").alias(v[i]), *[F.col(r[j]).alias(f"_r{i}_{j}") for j in every if j != i])
+
+    def products(table: DataFrame, which: list[int], n) -> None:
+        """Sums of the products of ranks for the pairs inside ``which``."""
+        inside = list(combinations(sorted(which), 2))
+        if inside:
+            found = table.agg(*[F.sum(n * F.col(f"_r{i}_{j}") * F.col(f"_r{j}_{i}")) for i, j in inside]).first()
+            shared.update(zip(inside, found, strict=True))
+
+    square, shared, ranked = {}, {}, rows
+    if small:       # about RANK_CELLS cells at most: sorted by feature
+        others = [j for j in every if small != [j]]
+        of = Window.partitionBy("feature")
+        smaller = of.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        # average ranks have the mean (n + 1) / 2, exactly
+        ranks = _stored(counted(rows, small, []).select("feature", "value", *[c[j] for j in others], *[
+            (F.coalesce(F.sum(c[j]).over(smaller), F.lit(0)).cast("double") + (F.col(c[j]) + 1) / 2.0
+             - (F.sum(c[j]).over(of) + 1) / 2.0).alias(r[j]) for j in others]), "ranks")
+        for x in ranks.groupBy("feature").agg(*[F.sum(F.col(c[j]) * F.col(r[j]) * F.col(r[j])).alias(c[j])
+                                                for j in others]).collect():
+            square[x["feature"]] = x
+        for i in small:
+            ranked = ranked.join(F.broadcast(ranks_of(ranks, i)), v[i], "left")
+        products(ranked, small, F.lit(1.0))
+    if big:
+        flat = _stored(counted(ranked, big, small), "values")
+        found = rank_sums(flat, [c[j] for j in every if big != [j]], [(w[j], c[j]) for j in small])
+        for x, sums in found.items():
+            square[x], i = sums, v.index(x)
+            shared.update({(min(i, j), max(i, j)): sums[w[j]] for j in small})
+    if len(big) > 1:
+        totals: dict[str, tuple[int, list[int]]] = {}
+        cum = running_counts(flat, "feature", "value", c, totals)
+        mids = F.create_map(*[e for x, (_, sums) in totals.items()
+                              for e in (F.lit(x), F.array(*[F.lit((n + 1) / 2.0) for n in sums]))])[F.col("feature")]
+        cum = _stored(cum.select("feature", "value", *[
+            (F.col("_starts")[j].cast("double") + (F.col(c[j]) + 1) / 2.0 - mids[j]).alias(r[j]) for j in every]),
+            "ranks", ["feature"])
+        keys = [v[i] for i in big]
+        tuples = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        for i in big:       # rows without a value match nothing, and are dealt out by their other columns
+            salt = F.when(F.col(v[i]).isNull(), F.xxhash64(*keys)).otherwise(F.lit(0))
+            tuples = tuples.withColumn("_salt", salt).join(ranks_of(cum, i).withColumn("_salt", F.lit(0).cast("long")),
+                                                           [v[i], "_salt"], "left").drop("_salt")
+        products(tuples, big, F.col("_n"))
+
+    def corr(i: int, j: int) -> float | None:
+        a, b = (square[v[k]][c[m]] if v[k] in square else 0.0 for k, m in ((i, j), (j, i)))
+        return shared[i, j] / math.sqrt(a * b) if a > 0 and b > 0 else None
+
+    return spark.createDataFrame([(cols[i], cols[j], corr(i, j)) for i, j in pairs], "x string, y string, r double")
 
 
 # --------------------------------------------------------------------------- P8

@@ -303,3 +303,27 @@ def test_rank_matrix_of_columns_without_values(spark):
         ("a", "b"): None, ("a", "c"): -1.0, ("b", "c"): None}
     assert [r["r"] for r in profile.spearman(df.select("b", profile.F.col("b").alias("d"))).collect()] == [None]
     assert [r["r"] for r in profile.spearman(df.limit(0)).collect()] == [None] * 3
+
+
+def test_rank_matrix_stores_a_column_of_many_values_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(None if rng.random() < 0.2 else float(rng.randrange(5)),
+             rng.choice([0.0, float("nan"), float(i), i / 7, rng.random(), rng.random()]),
+             None if rng.random() < 0.3 else float(rng.randrange(7)), None if rng.random() < 0.3 else rng.random() - i / 900)
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    stored, write = [], profile._stored
+    monkeypatch.setattr(profile, "_stored", lambda d, name, by=None: stored.append((name, out := write(d, name, by))) or out)
+    monkeypatch.setattr(profile, "RANK_CELLS", 100)     # a and c meet the rows by broadcast, b and d do not
+    monkeypatch.setattr(profile, "SORT_VALUES", 50)
+    pdf = df.toPandas()
+    want = pdf.corr(method="spearman")
+    for cols in (["a", "b", "c"], ["b", "c"], ["c", "a"], ["a", "b", "c", "d"]):
+        stored.clear()
+        got = profile.spearman(df, cols).collect()
+        assert len(got) == len(cols) * (len(cols) - 1) // 2
+        for r in got:
+            assert abs(r["r"] - want.loc[r["x"], r["y"]]) < 1e-9, r
+        if len(cols) < 4:
+            values = sum(d.count() for name, d in stored if name != "rows")
+            assert values <= sum(pdf[c].nunique() for c in cols)
